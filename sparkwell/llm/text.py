@@ -90,11 +90,14 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """Words of the rows under a word_table; cuts marks bytes at which a new word begins in any case."""
     low = table[data]
     inside = low != 0
     edge = np.zeros(len(low) + 1, bool)
     edge[offsets] = True  # a word never crosses rows
+    if cuts is not None:
+        edge[:-1] |= cuts
     before = np.zeros(len(low), bool)
     before[1:] = inside[:-1]
     first = inside & (~before | edge[:-1])
