@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import decontaminate, packing, secret_scan, sharding
+from sparkwell.llm import decontaminate, jaccard, packing, secret_scan, sharding
 
 SHARDS = 24
 
@@ -37,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer_file())).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_jaccard": op8_jaccard,
     "op9_secrets": op9_secrets,
 }
 
