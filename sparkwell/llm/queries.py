@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import decontaminate, jaccard, packing, secret_scan, sharding
+from sparkwell.llm import decontaminate, jaccard, neardup, packing, secret_scan, sharding
 
 SHARDS = 24
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).alias("_bytes"), F.crc32(text).alias("text_crc32"))
@@ -47,6 +51,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_sharding": op2_sharding,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
