@@ -16,10 +16,13 @@ from sparkwell.llm.text import NON_SPACE, gram_hashes, gram_mask, mix, slices, s
 WORDS = 5
 #: Documents of a block; the pairs of a larger group of candidates are split into pairs of blocks.
 BLOCK = 256
-#: An n-gram found in LOCAL documents of one batch is counted over the corpus, and late in the order from HOT documents on.
-LOCAL, HOT = 3, 64
-#: Late n-grams kept at most (8 bytes each, broadcast). The order decides how much work there is, never which links are found.
-MOST_HOT = 1 << 20
+#: N-grams that several documents hold are late in the global order: those counted HOT times among the first n-grams of
+#: documents, and those that LOCAL documents of one batch hold. The order decides how much work there is, never which
+#: links are found, so a bitmap of fixed size may hold them: n-grams that share a bit are late as well.
+HOT, LOCAL = 3, 8
+BITS = 1 << 26
+#: Sets that share an n-gram are tried pair by pair against the bounds on size and place, up to this many.
+TRIED = 400
 #: Cells of a query membership table.
 CELLS = 1 << 24
 
@@ -49,21 +52,48 @@ def set_id(s: np.ndarray) -> int | None:
     return None if not len(s) else int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _wanted(n: int) -> int:
+    """How many of the first of n n-grams a linked set shares one of: it has at least 0.8 of either set."""
+    return n - -(-8 * n // 10) + 1
+
+
+def _member(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = values & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of a column of longs; at most BITS / 64 rows come to the driver, whatever the number of keys."""
+    at = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and one per batch with the n-grams that are common there."""
+    """A row per document, and one per batch with the n-grams to count; copies within a task count once."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = list(shingles(batch.column(1)))
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        every.sort()
+        sizes, names, fresh = [], [], [np.zeros(0, np.uint64)]
+        for s in shingles(batch.column(1)):
+            sizes.append(len(s))
+            names.append(set_id(s))
+            if len(s) and names[-1] not in seen:
+                seen.add(names[-1])
+                fresh.append(s)
+        every = np.sort(np.concatenate(fresh))
         start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(every)))
-        keys, counts = every[start][n >= LOCAL].view(np.int64), n[n >= LOCAL]
-        rows = len(sets)
+        first, counts = np.unique(np.concatenate([s[: _wanted(len(s))] for s in fresh]), return_counts=True)
+        keys = np.concatenate([first, every[start][n >= LOCAL]]).view(np.int64)
+        counts = np.concatenate([counts, n[n >= LOCAL]])
+        rows = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)]),
-                pa.array([len(s) for s in sets] + [-1], pa.int64()),
-                pa.array([set_id(s) for s in sets] + [None], pa.int64()),
+                pa.array([*sizes, -1], pa.int64()),
+                pa.array([*names, None], pa.int64()),
                 pa.array([None] * rows + [keys], pa.list_(pa.int64())),
                 pa.array([None] * rows + [counts], pa.list_(pa.int64())),
             ],
@@ -72,43 +102,48 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """set, early and late n-grams of which linked sets share one; copies within a task are given once."""
+    """set, size, early and late n-grams of which linked sets share one; copies within a task are given once."""
     seen: set[int] = set()
     for batch in batches:
-        ids, early, late = [], [], []
+        ids, sizes, early, late = [], [], [], []
         for s in shingles(batch.column(0)):
             name = set_id(s)
             if name is None or name in seen:
                 continue
             seen.add(name)
-            n = len(s) - -(-8 * len(s) // 10) + 1  # linked sets share at least 0.8 of either
-            is_hot = _member(s, hot)
+            n, is_hot = _wanted(len(s)), _member(s, hot)
             cold = s[~is_hot][:n]
             ids.append(name)
+            sizes.append(len(s))
             early.append(cold.view(np.int64))
             late.append(s[is_hot][: n - len(cold)].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(early, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))], names=["set", "early", "late"])
-
-
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(early, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))], names=["set", "n", "early", "late"])
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, set) for the sets of every n-gram of this partition that several sets have; hub: the least of them."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """(hub, set) for the sets that may link by an n-gram of this partition; hub: the least of those that share it."""
+    got = [[c.to_numpy() for c in b.columns] for b in batches]
     if not got:
         return
-    key, name = (np.concatenate(x) for x in zip(*got, strict=True))
+    key, name, size, place = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    start = np.concatenate([[True], key[1:] != key[:-1]])
-    hub = name[np.flatnonzero(start)][np.cumsum(start) - 1]
-    many = np.repeat(*(lambda at: (name[np.append(at[1:], len(name)) - 1] != name[at], np.diff(np.append(at, len(name)))))(np.flatnonzero(start)))
-    pairs = np.unique(np.stack([hub[many], name[many]], 1), axis=0) if many.any() else np.zeros((0, 2), np.int64)
+    key, name, size, place = key[order], name[order], size[order], place[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(start, len(key)))
+    most = size - place  # what a set has from this n-gram on, in the global order
+    hubs, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, m in zip(start[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+        some = slice(a, a + m)
+        kept = name[some]
+        if m <= TRIED:
+            both = size[some][:, None] + size[some][None, :]
+            may = (9 * np.minimum(most[some][:, None], most[some][None, :]) >= 4 * both) & (kept[:, None] != kept[None, :])
+            may &= 9 * np.minimum(size[some][:, None], size[some][None, :]) >= 4 * both
+            kept = kept[may.any(1)]
+        if len(kept) > 1 and kept[0] != kept[-1]:
+            names.append(kept)
+            hubs.append(np.full(len(kept), kept[0]))
+    pairs = np.unique(np.stack([np.concatenate(hubs), np.concatenate(names)], 1), axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "set"])
 
 
@@ -212,10 +247,18 @@ def _links(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], met: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the sets that are among `met`; copies within a task are given once."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [(set_id(s), s.tobytes()) for s in shingles(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sets], pa.int64()), pa.array([b for _, b in sets], pa.binary())], names=["set", "grams"])
+        names, grams = [], []
+        for s in shingles(batch.column(0)):
+            name = set_id(s)
+            if name is not None and name not in seen and _member(np.array([name], np.int64).view(np.uint64), met)[0]:
+                seen.add(name)
+                names.append(name)
+                grams.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(grams, pa.binary())], names=["set", "grams"])
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,21 +266,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set has its distinct shingles of WORDS
     words. Equal sets are one class. Classes whose sets share one of the first n-grams of the global order (common
-    n-grams last, else by hash) meet under the least class that has it; such a group is split into blocks, and each
+    n-grams last, else by hash) meet under the least class that may link by it; such a group is split into blocks, and each
     pair of blocks is joined by a trie. Only spanning links leave a task. A null text, or one without words, has an
     empty set and is linked with nothing; a null id has a null component and is linked with nothing; an id that
-    stands in several rows is one node for each different text and gets the least id of its text's component.
+    stands in several rows is one node for each different text and gets the least id of its text's component. Texts
+    are read three times and never shuffled; only n-grams of candidates are.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     digest = written(docs.mapInArrow(_digests, "id long, n long, set long, keys array<long>, counts array<long>"))
     counted = digest.where("n < 0").select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy("x.keys").agg(F.sum("x.counts").alias("c"))
-    common = counted.where(f"c >= {HOT}").orderBy(F.desc("c"), "keys").limit(MOST_HOT).select("keys").toArrow()  # at most MOST_HOT longs
-    hot = spark.sparkContext.broadcast(np.sort(common.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    hot = spark.sparkContext.broadcast(bitmap(counted.where(f"c >= {HOT}")))
     digest = digest.where("n >= 0").select("id", "n", "set")
 
-    first = written(docs.where("id is not null").select("text").mapInArrow(lambda b: _prefixes(b, hot.value), "set long, early array<long>, late array<long>"))
-    cold = first.select(F.explode("early").alias("key"), "set").repartition("key").mapInArrow(_hubs, "hub long, set long")
+    known = docs.where("id is not null").select("text")
+    first = written(known.mapInArrow(lambda b: _prefixes(b, hot.value), "set long, n int, early array<long>, late array<long>"))
+    cold = first.select("set", "n", F.posexplode("early").alias("place", "key")).select("key", "set", "n", "place").repartition("key").mapInArrow(_hubs, "hub long, set long")
     late = first.select(F.explode("late").alias("key"), "set").distinct()
     least = cut(late.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("most")).where("hub < most").select("key", "hub"))
     met = written(cold.union(late.join(least, "key").select("hub", "set")).distinct())
@@ -248,9 +292,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set")
 
     classes = cut(digest.where("set is not null").groupBy("set").agg(F.min("id").alias("id")))
-    wanted = classes.join(met.select("set").distinct(), "set").select("id", F.col("set").alias("wanted"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "id").select("text")
-    sets = texts.mapInArrow(_sets, "set long, grams binary")
+    there = spark.sparkContext.broadcast(bitmap(met.select("set")))
+    sets = known.mapInArrow(lambda b: _sets(b, there.value), "set long, grams binary")
     groups = dealt.hint("shuffle_hash").join(sets, "set").select("hub", "i", "j", "block", "set", "grams")
     links = groups.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(lambda b: _links(b, hot.value), "a long, b long")
 
