@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("functions", "rules")
+MODULES = ("functions", "rules", "retrieval", "shapes")
 
 
 def _gathered(name: str) -> dict:

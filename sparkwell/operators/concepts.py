@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
+from sparkwell.operators.graph import cut
 from sparkwell.operators.similarity import trigram_join
 
 #: Match classes from strong to weak; fixed names.
@@ -40,13 +41,15 @@ def match_hits(requests: DataFrame, concepts: DataFrame, semantic: DataFrame | N
     for what, cls in (("name", "EXACT_NAME"), ("alias", "EXACT_ALIAS")):
         named = live.select("concept_id", F.col(what).alias("matched_text"), folded(F.col(what)).alias("q"))
         hits = hits.unionByName(asked.join(named, "q").select("request_id", "concept_id", F.lit(cls).alias("class"), "matched_text", none.alias("score")))
-    for what in ("key", "name", "alias"):
-        named = live.select("concept_id", F.col(what).alias("matched_text"), folded(F.col(what)).alias("n")).where("n IS NOT NULL")
-        inside = substring_join(asked, "request_id", "q", named, "concept_id", "n").withColumn("inside", F.lit(True))
-        similar = trigram_join(asked, "request_id", "q", named, "concept_id", "n").select("request_id", "concept_id").withColumn("similar", F.lit(True))
-        both = inside.join(similar, ["request_id", "concept_id"], "full_outer").join(named, "concept_id").join(asked.select("request_id", "q"), "request_id")
-        score = T.trigram_similarity(T.trigrams(F.col("n")), T.trigrams(F.col("q")))
-        hits = hits.unionByName(both.select("request_id", "concept_id", F.when(F.col("inside"), "LEXICAL").otherwise("TRIGRAM").alias("class"), "matched_text", F.round(score, 9).alias("score")))
+    # all names in one table, so that each fuzzy join runs once
+    named = live.select("concept_id", F.explode(F.array("key", "name", "alias")).alias("matched_text")).where("matched_text IS NOT NULL").distinct()
+    named = cut(named.select(F.xxhash64("concept_id", "matched_text").alias("name_id"), "concept_id", "matched_text", folded(F.col("matched_text")).alias("n")))
+    asked = cut(asked)
+    inside = substring_join(asked, "request_id", "q", named, "name_id", "n").withColumn("inside", F.lit(True))
+    similar = trigram_join(asked, "request_id", "q", named, "name_id", "n").select("request_id", "name_id").withColumn("similar", F.lit(True))
+    both = inside.join(similar, ["request_id", "name_id"], "full_outer").join(named, "name_id").join(asked.select("request_id", "q"), "request_id")
+    score = T.trigram_similarity(T.trigrams(F.col("n")), T.trigrams(F.col("q")))
+    hits = hits.unionByName(both.select("request_id", "concept_id", F.when(F.col("inside"), "LEXICAL").otherwise("TRIGRAM").alias("class"), "matched_text", F.round(score, 9).alias("score")))
     if semantic is not None:
         hits = hits.unionByName(semantic.join(live, "concept_id").join(asked.select("request_id"), "request_id").select("request_id", "concept_id", F.lit("SEMANTIC").alias("class"), F.col("name").alias("matched_text"), "score"))
     return hits

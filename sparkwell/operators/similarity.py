@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
+from sparkwell.operators.graph import cut
 
 
 def trigram_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str, least: float = T.SIMILAR) -> DataFrame:
@@ -17,7 +18,7 @@ def trigram_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame
     def texts(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col(c).alias("t")).where("t IS NOT NULL").distinct().withColumn("g", T.trigrams(F.col("t"))).where(F.size("g") > 0)
 
-    a, b = texts(left, left_text), texts(right, right_text)
+    a, b = cut(texts(left, left_text)), cut(texts(right, right_text))
     rare = a.select(F.explode("g").alias("gram")).unionByName(b.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
@@ -28,7 +29,9 @@ def trigram_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame
     pa, pb = prefixes(a).alias("a"), prefixes(b).alias("b")
     near = pa.join(pb, "gram").where((F.col("a.n") * least <= F.col("b.n")) & (F.col("b.n") * least <= F.col("a.n")))
     pairs = near.select(F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).distinct()
-    scored = pairs.withColumn("score", T.trigram_similarity(T.trigrams(F.col("ta")), T.trigrams(F.col("tb")))).where(F.col("score") > least)
+    both = pairs.join(a.select(F.col("t").alias("ta"), F.col("g").alias("ga")), "ta").join(b.select(F.col("t").alias("tb"), F.col("g").alias("gb")), "tb")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    scored = both.select("ta", "tb", (shared / (F.size("ga") + F.size("gb") - shared)).alias("score")).where(F.col("score") > least)
     return left.select(F.col(left_id), F.col(left_text).alias("ta")).join(scored, "ta").join(right.select(F.col(right_id), F.col(right_text).alias("tb")), "tb").select(left_id, right_id, "score")
 
 
