@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("functions", "rules", "retrieval", "shapes")
+MODULES = ("functions", "rules", "retrieval", "shapes", "assembly", "builds")
 
 
 def _gathered(name: str) -> dict:

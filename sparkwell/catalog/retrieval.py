@@ -110,7 +110,12 @@ def st_channel_union(s, d):
 
 def ag_channel_pivot(s, d):
     m = fusion.merge_channels(_candidates(s, d))
-    return m.select("request_id", "chunk_id", *[c for ch in fusion.CHANNELS for c in (f"{ch}_rank", f"{ch}_score")])
+    return m.select("request_id", "chunk_id", *[c for ch in fusion.CHANNELS for c in (_rank(ch), f"{ch}_score")])
+
+
+def _rank(channel):
+    """A channel's rank, 0 where the chunk is not in it."""
+    return F.coalesce(f"{channel}_rank", F.lit(0)).alias(f"{channel}_rank")
 
 
 def ag_rrf(s, d):
@@ -155,11 +160,11 @@ def qp_retrieve(s, d):
 
 
 def qp_exclusions(s, d):
-    return P.exclusions(_done(s, d))
+    return P.exclusions(_done(s, d)).withColumn("chunk_id", F.coalesce(F.col("chunk_id").cast("string"), F.lit("redacted")))
 
 
 def qp_rankings(s, d):
-    return _done(s, d).where("final_rank IS NOT NULL").select("request_id", "chunk_id", "final_rank", "vector_rank", "fullText_rank", "trigram_rank", "conceptLinked_rank", "graphLinked_rank", F.col("code").isNull().alias("packed"))
+    return _done(s, d).where("final_rank IS NOT NULL").select("request_id", "chunk_id", "final_rank", *[_rank(ch) for ch in fusion.CHANNELS], F.col("code").isNull().alias("packed"))
 
 
 def ag_funnel(s, d):
@@ -339,18 +344,18 @@ SQL = {
     "gr_paths": f"with {_BASE}, {_RESOLVE}, {_EXPAND}, {_hop(2)} select request_id, node, hops, path from (select * from layer1 union all select * from layer2)",
     "tk_graph": f"with {_BASE}, {_RESOLVE}, {_EXPAND}, {_GRAPH} select * from tk_graph",
     "st_channel_union": f"with {_CANDIDATES} select request_id, chunk_id, count(*) as n_channels, min(rank) as best_rank from cand group by 1, 2",
-    "ag_channel_pivot": f"with {_MERGED} select * from merged",
+    "ag_channel_pivot": f"with {_MERGED} select request_id, chunk_id, {', '.join(f'coalesce({c}_rank, 0) as {c}_rank, {c}_score' for c in _CH)} from merged",
     "ag_rrf": f"with {_MERGED} select request_id, chunk_id, rrf from fused",
     "qp_reasons": f"""with {_MERGED} select request_id, chunk_id, concat_ws(',', case when vector_rank is not null then 'SEMANTIC_MATCH' end, case when fullText_rank is not null then 'FULL_TEXT_MATCH' end, case when trigram_rank is not null then 'TRIGRAM_MATCH' end, case when conceptLinked_rank is not null then 'CONCEPT_LINK' end, case when graphLinked_rank is not null then 'ONTOLOGY_CONCEPT_LINK' end) as reasons from merged""",
     "qp_retrieve": f"with recursive {_DONE} select request_id, chunk_id, item_id, final_rank, rrf, token_count from finished where final_code is null",
-    "qp_exclusions": f"""with recursive {_DONE} select request_id, case when not redacted then chunk_id end as chunk_id,
+    "qp_exclusions": f"""with recursive {_DONE} select request_id, case when redacted then 'redacted' else cast(chunk_id as varchar) end as chunk_id,
   case when final_code in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW') then 'lifecycle_filter' when final_code = 'AUTHORIZATION_NO_MATCH' then 'authorization' when final_code = 'APPLICABILITY_NO_MATCH' then 'applicability'
     when final_code = 'SELECTION_GROUP_NOT_SELECTED' then 'selection_groups' else 'packing' end as stage, final_code as code from finished where final_code is not null""",
-    "qp_rankings": f"with recursive {_DONE} select request_id, chunk_id, final_rank, vector_rank, fullText_rank, trigram_rank, conceptLinked_rank, graphLinked_rank, final_code is null as packed from finished where final_rank is not null",
+    "qp_rankings": f"with recursive {_DONE} select request_id, chunk_id, final_rank, {', '.join(f'coalesce({c}_rank, 0) as {c}_rank' for c in _CH)}, final_code is null as packed from finished where final_rank is not null",
     "ag_funnel": f"""with recursive {_DONE}, c as (select request_id, coalesce(final_code, '') as k from finished)
-select request_id, count(*) as merged, count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW')) as alive, count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW', 'AUTHORIZATION_NO_MATCH')) as authorized,
-  count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW', 'AUTHORIZATION_NO_MATCH', 'APPLICABILITY_NO_MATCH')) as applicable,
-  count_if(k in ('', 'PACKING_ITEM_CAP', 'PACKING_TOKEN_BUDGET')) as selected, count_if(k = '') as packed from c group by 1""",
+select request_id, count(*) as merged, cast(count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW')) as bigint) as alive, cast(count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW', 'AUTHORIZATION_NO_MATCH')) as bigint) as authorized,
+  cast(count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW', 'AUTHORIZATION_NO_MATCH', 'APPLICABILITY_NO_MATCH')) as bigint) as applicable,
+  cast(count_if(k in ('', 'PACKING_ITEM_CAP', 'PACKING_TOKEN_BUDGET')) as bigint) as selected, cast(count_if(k = '') as bigint) as packed from c group by 1""",
     "ag_token_total": f"with recursive {_DONE} select request_id, cast(sum(token_count) as bigint) as tokens, count(*) as n from finished where final_code is null group by 1",
     "qp_degrade": "select item_id as request_id, case when item_id % 2 = 1 or item_id not in (select vec_id from embeddings) then 'VECTOR_CHANNEL_UNAVAILABLE' end as warning from benchmark",
     "qp_profile": """select item_id as request_id, cast(case when item_id % 4 = 0 then (select count(*) from benchmark) else 60 end as int) as vector, cast(50 as int) as trigram,
