@@ -60,7 +60,7 @@ def sections(docs: DataFrame, id_col: str, body: str) -> DataFrame:
     )
     out = out.where((F.col("depth").isNotNull()) | (F.trim("content") != ""))
     key = F.when(F.col("depth").isNull(), "intro").when(F.col("explicit") != "", F.col("explicit")).otherwise(T.path_slug(F.col("heading_path")))
-    return out.select(id_col, F.col("part").alias("ordinal"), key.alias("section_key"), F.when(F.col("depth").isNotNull(), F.col("title")).alias("heading"), "heading_path", F.trim("content").alias("content"))
+    return out.select(id_col, F.col("part").alias("ordinal"), key.alias("section_key"), F.when(F.col("depth").isNotNull(), F.col("title")).alias("heading"), "heading_path", F.regexp_replace("content", r"^\s+|\s+$", "").alias("content"))
 
 
 def chunk_documents(docs: DataFrame, id_col: str, body: str, limit: int) -> DataFrame:
