@@ -80,11 +80,13 @@ def train_softmax(docs: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
 
 def temperature(logits: np.ndarray, target: np.ndarray) -> float:
     """The factor on the logits that fits the probabilities of held-back documents best."""
+    if not len(logits):
+        return 1.0
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 50, 61):
         z = logits * t
         z = z - z.max(1, keepdims=True)
-        loss = -(z[np.arange(len(z)), target] - np.log(np.exp(z).sum(1))).mean() if len(z) else 0.0
+        loss = -(z[np.arange(len(z)), target] - np.log(np.exp(z).sum(1))).mean()
         best = min(best, (float(loss), float(t)))
     return best[1]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 
 from sparkwell.llm.linear import row_sums
 from sparkwell.llm.quality import labelled_sample
+from sparkwell.llm.stash import small_batches
 from sparkwell.llm.text import ALNUM, mix, slices, split_words
 
 BITS = 18
@@ -131,11 +132,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 2) -> ToxicityModel:
     label = np.array(target)[held] if len(pairs) else np.zeros(0)
     order = np.argsort(-score, kind="stable")
     caught = np.cumsum(label[order])
-    if len(score) and caught[-1]:
+    if len(score) and caught[-1] >= 20:  # fewer tell nothing about a threshold
         f1 = 2 * caught / (np.arange(1, len(score) + 1) + caught[-1])
         k = int(f1.argmax())
         after = score[order][k + 1] if k + 1 < len(score) else 0.0
-        model.even = float(np.clip((score[order][k] + after) / 2, 0.02, 0.98))
+        model.even = float(np.clip((score[order][k] + after) / 2, 0.25, 0.95))
     return model
 
 
@@ -146,6 +147,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str
     read nothing but the text, whole, in one pass without a shuffle. A text without words (null, empty) has no
     sentence and so score 0; without anything to learn from no weight is set and scores stay near 0.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted", "toxic_sentences")
     got = labelled_sample(docs, labels, learn, label, per_class, text, id_col)
     model = docs.sparkSession.sparkContext.broadcast(fit([r[0] for r in got], [r[1] for r in got]))
