@@ -84,7 +84,7 @@ def dq_refs(s, d):
 
 def _bad_nodes(s, d):
     n = R.nodes(s, d)
-    k = F.crc32("rule_id") % 5
+    k = F.regexp_extract("rule_id", r"(\d+)", 1).cast("int") % 5
     leaf = F.col("kind") == "leaf"
     return n.withColumn("dim_key", F.when(leaf & (F.col("node_id") == 1) & (k == 1), "colour").otherwise(F.col("dim_key"))).withColumn("op", F.when((F.col("node_id") == 4) & (k == 2), "gt").otherwise(F.col("op"))).withColumn("operands", F.when((F.col("node_id") == 8) & (k == 3), F.array().cast("array<string>")).otherwise(F.col("operands")))
 
@@ -222,6 +222,8 @@ select namespace, environment, cast(1 as int) as revision, case when namespace =
     "jn_anti_deletes": f"with {_V} select id from v1 where id not in (select id from v2)",
     "dq_unique": _UNIQUE,
     "dq_refs": f"with {_ORD} {_REFS}",
+    "dq_rules": """with r as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 5 as k from part group by p_brand, p_type)
+select (['UNKNOWN_DIMENSION', 'INVALID_OPERATOR_FOR_DIMENSION', 'INVALID_EXPRESSION'])[k] as code, count(*) as n from r where k in (1, 2, 3) group by 1""",
     "dq_groups": "with g as (select p_brand, arg_min(p_type, p_partkey) as k from part group by 1) select 'SELECTION_GROUP_KIND_MISMATCH' as code, 'error' as severity, cast(p_partkey as varchar) as subject from part join g using (p_brand) where p_type <> k",
     "dq_lifecycle_deps": f"""with {M.TOOL_EDGES}, {M.CONCEPTS} select 'PUBLISHED_DEPENDS_ON_UNPUBLISHED' as code, 'error' as severity, cast(source as varchar) || '->' || cast(target as varchar) as subject
 from tool_edges join concepts a on a.concept_id = source and a.status = 'published' join concepts b on b.concept_id = target and b.status <> 'published'""",

@@ -130,6 +130,11 @@ QUERIES = {f.__name__: f for f in (fn_normalize, fn_fold_accents, fn_slug, fn_es
 
 _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _TURNS = "(select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as body from conversations group by conv_id)"
+# every turn is a section of its own, and no text has a blank line or a heading
+_SECTIONS = r"""t as (select conv_id, role || ' ' || cast(turn as varchar) as heading, '## ' || role || ' ' || cast(turn as varchar) || chr(10) || text as line, turn from conversations),
+sec as (
+  select conv_id, cast(row_number() over (partition by conv_id order by turn, line) as int) as ordinal, lower(replace(heading, ' ', '-')) as section_key, heading, regexp_replace(line, '^\s+|\s+$', '', 'g') as content from t
+  union all select distinct conv_id, 0, 'intro', null, 'conversation' from conversations)"""
 
 SQL = {
     "fn_normalize": r"select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as normalized from documents",
@@ -163,5 +168,9 @@ f as (select conv_id, ps, 1 as i, ps[1] as cur, cast([] as varchar[]) as out fro
     case when length(cur) + 2 + length(ps[i + 1]) <= 1500 then out else list_append(out, cur) end from f where i < len(ps)),
 e as (select conv_id, list_append(out, cur) as out from f where i = len(ps))
 select conv_id, cast(o as int) as ordinal, cast(length(out[o + 1]) as int) as n, md5(out[o + 1]) as content_md5 from (select conv_id, out, unnest(range(0, len(out))) as o from e)""",
+    "ck_sections": f"""with {_SECTIONS} select conv_id, ordinal, section_key, heading, coalesce(heading, '') as path, md5(content) as content_md5 from sec""",
+    "ck_chunk": f"""with {_SECTIONS}, cut as (select conv_id, ordinal, section_key, content, greatest(1, cast(ceil(length(content) / 800.0) as int)) as n, unnest(range(0, greatest(1, cast(ceil(length(content) / 800.0) as int)))) as p from sec),
+piece as (select *, substr(content, p * 800 + 1, 800) as part from cut)
+select conv_id, cast(row_number() over (partition by conv_id order by ordinal, p) - 1 as int) as ordinal, section_key || case when n > 1 then '--part-' || lpad(cast(p + 1 as varchar), cast(greatest(2, length(cast(p + 1 as varchar))) as int), '0') else '' end as chunk_key, cast(length(part) as int) as n, md5(part) as content_md5 from piece""",
     "ck_inherit": f"with {M.CHUNKS} select chunk_id, item_id, status, priority, round(authority, 9) as authority, effective_from, effective_to, selection_group, token_count, sha256(content) as content_hash from chunks",
 }
