@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwell.llm.stash import small_batches
 from sparkwell.llm.text import ALNUM, gram_hashes, gram_mask, slices, split_words
 
 #: Words of a window that counts as a hit.
@@ -131,24 +132,14 @@ def _search(batches: Iterator[pa.RecordBatch], index: BlockIndex, text: str) ->
         yield pa.RecordBatch.from_pydict({k: named[k] for k in batch.schema.names})
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs plus _words (number of words) and _spans (array of first word, last word + 1, item id) for shared windows.
-
-    The benchmark is the stated query set: it is cut into blocks of about block_bytes (each at least one item), and
-    every block's fingerprints are broadcast and met by all documents in one pass over them without a shuffle. Every
-    run of WINDOW shared words holds a kept fingerprint on both sides, so none is missed; runs are then compared word
-    by word in both directions. Items of fewer words are compared whole. Null texts have no words; null items and
-    items without words match nothing; an item without an id counts under the id "null".
-    """
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list:
+    """Broadcast indexes of blocks of items, each of about block_bytes of text (at least one item)."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(total // block_bytes)
-    out = docs.withColumn("_words", F.lit(0).cast("long")).withColumn("_spans", F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>)"))
+    blocks = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    out = []
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).distinct().collect()  # of bounded size, see above
-        index = spark.sparkContext.broadcast(build_index([r["id"] for r in mine], pa.array([r["text"] for r in mine], pa.string())))
-        out = out.mapInArrow(lambda batches, index=index: _search(batches, index.value, text), out.schema)
+        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).distinct().collect()  # of bounded size
+        out.append(benchmark.sparkSession.sparkContext.broadcast(build_index([r["id"] for r in mine], pa.array([r["text"] for r in mine], pa.string()))))
     return out
 
 
@@ -161,19 +152,30 @@ def covered(spans: list[dict]) -> tuple[int, list[str]]:
     return hit, sorted({s["item"] for s in spans})
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, n_hit, items (sorted ids with occurring windows), items_sha256 and contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs plus n_words, n_hit, spans (first word, last word + 1, item), items (sorted ids with occurring windows), items_sha256 and contaminated.
 
-    One row per input row; a document without hits has no items and the hash of the empty string. See contaminated_spans.
+    The benchmark is the stated query set: it is cut into blocks of about block_bytes, and every block's fingerprints
+    are broadcast and met by all documents in one pass over them without a shuffle. Every run of WINDOW shared words
+    holds a kept fingerprint on both sides, so none is missed; runs are then compared word by word in both directions.
+    Items of fewer words are compared whole. One row per input row: null texts have no words, a document without hits
+    has no items and the hash of the empty string; null items and items without words match nothing; an item without
+    an id counts under the id "null". Columns of docs with the names of new ones are replaced.
     """
-    spans = contaminated_spans(docs.drop("n_words", "n_hit", "items", "items_sha256", "contaminated"), benchmark, text)
-    out = spans.drop("_words", "_spans").schema.names
-    schema = spans.select(*out, F.col("_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("CAST(array() AS array<string>)").alias("items"), F.lit("").alias("items_sha256"), F.lit(False).alias("contaminated")).schema
+    small_batches(docs.sparkSession)
+    new = ["n_words", "n_hit", "spans", "items", "items_sha256", "contaminated", "_words", "_spans"]
+    out = docs.drop(*new)
+    names = out.schema.names
+    schema = out.selectExpr("*", "0L n_words", "0L n_hit", "CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>) spans", "CAST(array() AS array<string>) items", "'' items_sha256", "false contaminated").schema
+    *earlier, last = _blocks(benchmark, item_id, item_text, block_bytes)
+    out = out.withColumn("_words", F.lit(0).cast("long")).withColumn("_spans", F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>)"))
+    for index in earlier:
+        out = out.mapInArrow(lambda batches, index=index: _search(batches, index.value, text), out.schema)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _search(batches, last.value, text):
             got = [covered(s) for s in b.column("_spans").to_pylist()]
-            cols = [b.column(c) for c in out] + [b.column("_words"), pa.array([h for h, _ in got], pa.int64()), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
+            cols = [b.column(c) for c in names] + [b.column("_words"), pa.array([h for h, _ in got], pa.int64()), b.column("_spans"), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return spans.mapInArrow(digest, schema)
+    return out.mapInArrow(finish, schema)

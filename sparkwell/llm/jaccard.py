@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.llm.components import components
-from sparkwell.llm.stash import cut, written
+from sparkwell.llm.stash import cut, small_batches, written
 from sparkwell.llm.text import NON_SPACE, gram_hashes, gram_mask, mix, slices, split_words
 
 WORDS = 5
 #: Documents of a block; the pairs of a larger group of candidates are split into pairs of blocks.
 BLOCK = 256
 #: N-grams that several documents hold are late in the global order: those counted HOT times among the first n-grams of
-#: documents, and those that LOCAL documents of one batch hold. The order decides how much work there is, never which
+#: documents, and those that LOCAL of the documents counted together hold. The order decides how much work there is, never which
 #: links are found, so a bitmap of fixed size may hold them: n-grams that share a bit are late as well.
 HOT, LOCAL = 3, 8
+#: N-grams that a task gathers before it counts them.
+COUNTED = 2_000_000
 BITS = 1 << 26
 #: Sets that share an n-gram are tried pair by pair against the bounds on size and place, up to this many.
 TRIED = 400
@@ -71,34 +73,42 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _counted(fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams to count and how many of the sets have them: the first of each set, and those that LOCAL sets share."""
+    every = np.sort(np.concatenate([np.zeros(0, np.uint64), *fresh]))
+    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(every)))
+    first, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[: _wanted(len(s))] for s in fresh)]), return_counts=True)
+    return np.concatenate([first, every[start][n >= LOCAL]]).view(np.int64), np.concatenate([counts, n[n >= LOCAL]])
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and one per batch with the n-grams to count; copies within a task count once."""
+    """A row per document, and rows with n < 0 that hold n-grams to count; copies within a task count once."""
     seen: set[int] = set()
+    fresh: list[np.ndarray] = []
+    waiting = 0
+    names = ["id", "n", "set", "keys", "counts"]
+
+    def count_row() -> pa.RecordBatch:
+        keys, counts = _counted(fresh)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=names)
+
     for batch in batches:
-        sizes, names, fresh = [], [], [np.zeros(0, np.uint64)]
+        sizes, ids = [], []
         for s in shingles(batch.column(1)):
             sizes.append(len(s))
-            names.append(set_id(s))
-            if len(s) and names[-1] not in seen:
-                seen.add(names[-1])
+            ids.append(set_id(s))
+            if len(s) and ids[-1] not in seen:
+                seen.add(ids[-1])
                 fresh.append(s)
-        every = np.sort(np.concatenate(fresh))
-        start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        n = np.diff(np.append(start, len(every)))
-        first, counts = np.unique(np.concatenate([s[: _wanted(len(s))] for s in fresh]), return_counts=True)
-        keys = np.concatenate([first, every[start][n >= LOCAL]]).view(np.int64)
-        counts = np.concatenate([counts, n[n >= LOCAL]])
-        rows = len(sizes)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)]),
-                pa.array([*sizes, -1], pa.int64()),
-                pa.array([*names, None], pa.int64()),
-                pa.array([None] * rows + [keys], pa.list_(pa.int64())),
-                pa.array([None] * rows + [counts], pa.list_(pa.int64())),
-            ],
-            names=["id", "n", "set", "keys", "counts"],
-        )
+                waiting += len(s)
+        n, lists = len(sizes), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, lists), pa.nulls(n, lists)], names=names)
+        if waiting >= COUNTED:
+            yield count_row()
+            fresh, waiting = [], 0
+    if fresh:
+        yield count_row()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -273,6 +283,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     are read three times and never shuffled; only n-grams of candidates are.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     digest = written(docs.mapInArrow(_digests, "id long, n long, set long, keys array<long>, counts array<long>"))
     counted = digest.where("n < 0").select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy("x.keys").agg(F.sum("x.counts").alias("c"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.llm.linear import Features, byte_grams, merged, row_sums, sample_by_class, softmax, temperature, train_softmax
+from sparkwell.llm.stash import small_batches
 from sparkwell.llm.text import slices
 
 BITS = 16
@@ -92,6 +93,7 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
     anything to learn from every row is "und".
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("lang_pred", "score", "accepted")
     able = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
     chosen = sample_by_class(able.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang")), "_lang", per_class, F.col("_id")).distinct()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.stash import cut
+from sparkwell.llm.stash import cut, small_batches
 from sparkwell.llm.text import NON_SPACE, slices, split_words
 
 CAPACITY = 4096
@@ -20,7 +20,7 @@ GROUP_PIECES = 4000
 #: Pairs of bins that the local search of one group may try; it bounds effort, never rows.
 TRIES = 20_000
 #: Words whose ids one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -102,6 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
     A document is its ids and end_id; only one longer than capacity is cut. A null or empty text has end_id alone.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.schema.names if c not in (text, "piece", "start", "length", "ids_crc32")]
     schema = docs.selectExpr(*[f"`{c}`" for c in keep], "0 piece", "0L start", "0L length", "0L ids_crc32").schema
 

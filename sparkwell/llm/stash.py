@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,3 +31,15 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of an Arrow batch of texts; a longer text makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what text operators hold at once; a session set lower stays so."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
