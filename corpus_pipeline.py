@@ -27,7 +27,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = written(jaccard.jaccard_groups(docs))
     stay = groups.where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").select(COLUMNS)
+    # the ids may be as many as the documents, so the join shuffles at every size
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
