@@ -13,7 +13,7 @@ from sparkwell.llm.stash import small_batches
 from sparkwell.llm.text import NON_SPACE, slices, split_words
 
 #: Nodes of one Python worker's trie before it is begun anew; it bounds memory and changes no count.
-MOST_NODES = 600_000
+MOST_NODES = 900_000
 #: The mark that stands for the white space before a pre-token.
 MARK = "▁"
 
@@ -41,14 +41,15 @@ class CountingTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.root: list = [0.0, 0, {}]  # best score, tokens, children
+        self.root: list = [0.0, 0, None]  # best score, tokens, children if any
         self.nodes = 0
 
     def count(self, word: str) -> int:
         """Tokens of the best segmentation: most probable, then fewest tokens."""
         scores, longest, node, path = self.scores, self.longest, self.root, [self.root]
         for i, c in enumerate(word):
-            below = node[2].get(c)
+            children = node[2]
+            below = children.get(c) if children else None
             if below is None:
                 raw = len(c.encode("utf-8", "surrogatepass"))
                 best, few = node[0] + raw * self.byte_score, node[1] + raw
@@ -59,19 +60,24 @@ class CountingTrie:
                         total = before[0] + s
                         if total > best or total == best and before[1] + 1 < few:
                             best, few = total, before[1] + 1
-                below = node[2][c] = [best, few, {}]
+                below = [best, few, None]
+                if children is None:
+                    node[2] = {c: below}
+                else:
+                    children[c] = below
                 self.nodes += 1
             node = below
             path.append(node)
         return node[1]
 
 
-_tries: dict[str, CountingTrie] = {}
+_tries: dict[str, tuple[CountingTrie, dict[int, int]]] = {}
 
 
-def _trie(path: str) -> CountingTrie:
+def _trie(path: str) -> tuple[CountingTrie, dict[int, int]]:
+    """One trie, and the counts of its pre-tokens by hash, per Python worker: later tasks find what earlier ones scored."""
     if path not in _tries:
-        _tries[path] = CountingTrie(*unigram_scores(path))
+        _tries[path] = CountingTrie(*unigram_scores(path)), {}
     return _tries[path]
 
 
@@ -101,7 +107,7 @@ _CASED = np.where(NON_SPACE > 0, np.arange(256), 0).astype(np.uint8)
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs plus n_tokens and n_pretokens.
 
-    Pre-tokens are runs without ASCII white space, each with a mark for the space before it. Every task inserts the
+    Pre-tokens are runs without ASCII white space, each with a mark for the space before it. Every worker inserts the
     distinct ones into a trie and reads the count at each one's end, so a shared prefix is scored once and a repeated
     pre-token costs a look-up. A null text, or one without words, has 0 of both. One pass, no shuffle.
     """
@@ -111,8 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     schema = docs.selectExpr("*", "0L n_tokens", "0L n_pretokens").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = _trie(vocabulary), {}
-        trie.clear()
+        trie, known = _trie(vocabulary)
         for b in batches:
             tokens, words = count_rows(b.column(text), trie, known)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(tokens), pa.array(words)], names=schema.names)
