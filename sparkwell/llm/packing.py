@@ -17,8 +17,6 @@ from sparkwell.llm.text import NON_SPACE, slices, split_words
 CAPACITY = 4096
 #: Pieces packed together; each group wastes less than one sequence over what a single group would.
 GROUP_PIECES = 4000
-#: Pairs of bins that the local search of one group may try; it bounds effort, never rows.
-TRIES = 20_000
 #: Words whose ids one Python worker remembers.
 CACHE_WORDS = 300_000
 
@@ -175,32 +173,75 @@ def _transfer(a: np.ndarray, b: np.ndarray, room: int) -> tuple[tuple[int, ...],
     return give[int(g[at // len(t)])], take[int(t[at % len(t)])]
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Exchanges between underfull bins, always from the emptier to the fuller one, until none helps or tries run out.
+def _amounts(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """Amounts that one piece of a bin has, and the other ones that two pieces add up to."""
+    one = set(sizes)
+    return sorted(one), sorted({a + b for k, a in enumerate(sizes) for b in sizes[k + 1 :]} - one)
 
-    Each raises the sum of squared fills, so the search ends; a bin that becomes empty goes.
+
+class _Takers:
+    """For every amount, which of the bins gain when they are given it as one piece, or as two, against what they hold."""
+
+    def __init__(self, n: int, capacity: int):
+        self.one, self.two = np.zeros((capacity + 1, n), bool), np.zeros((capacity + 1, n), bool)
+        self.capacity = capacity
+
+    def set(self, b: int, sizes: list[int], room: int) -> None:
+        one, two = _amounts(sizes)
+        single = [0, *one]
+        for table, back in ((self.two, single), (self.one, single + two)):
+            t = np.array(back)
+            t = t[t < self.capacity]
+            steps = np.bincount(t + 1, minlength=self.capacity + 2) - np.bincount(np.minimum(t + room, self.capacity) + 1, minlength=self.capacity + 2)
+            table[:, b] = np.cumsum(steps[: self.capacity + 1]) > 0
+
+    def of(self, sizes: list[int]) -> np.ndarray:
+        one, two = _amounts(sizes)
+        two = [x for x in two if x <= self.capacity]
+        return self.one[one].any(axis=0) | self.two[two].any(axis=0)
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Exchanges between underfull bins, always from the emptier to the fuller one, until none helps.
+
+    Each raises the sum of squared fills, so the search ends; a bin that becomes empty goes. It also ends when no fewer
+    bins can hold the pieces. Only pairs of bins that gain are looked at.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    least, count = -(-sum(fills) // capacity), sum(map(bool, bins))
+    if count <= least:
+        return [b for b in bins if b]
+    done = [b for b, f in zip(bins, fills, strict=True) if f >= capacity]
+    under = [list(b) for b, f in zip(bins, fills, strict=True) if b and f < capacity]
+    fill = np.array([f for b, f in zip(bins, fills, strict=True) if b and f < capacity], np.int64)
+    takers = _Takers(len(under), capacity)
+
+    def note(b: int) -> None:
+        takers.set(b, [sizes[i] for i in under[b]], capacity - int(fill[b]))
+
+    for b in range(len(under)):
+        note(b)
     moved = True
-    while moved and tries > 0 and sum(map(bool, bins)) > least:
+    while moved and count > least:
         moved = False
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        for a in under:
-            for b in reversed(under):
-                if not bins[a] or tries <= 0:
+        for a in np.argsort(fill, kind="stable").tolist():
+            while under[a] and count > least:
+                own = [sizes[i] for i in under[a]]
+                fits = takers.of(own) & (fill >= fill[a]) & (fill < capacity)
+                fits[a] = False
+                b = int(np.where(fits, fill, -1).argmax())
+                if not fits[b]:
                     break
-                if a == b or not bins[b] or fill[b] >= capacity or fill[b] < fill[a]:
-                    continue
-                tries -= 1
-                got = _transfer(np.array([sizes[i] for i in bins[a]]), np.array([sizes[i] for i in bins[b]]), capacity - fill[b])
-                if got:
-                    give, take = [bins[a][i] for i in got[0]], [bins[b][i] for i in got[1]]
-                    bins[a] = [i for i in bins[a] if i not in give] + take
-                    bins[b] = [i for i in bins[b] if i not in take] + give
-                    net = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-                    fill[a], fill[b], moved = fill[a] - net, fill[b] + net, True
-    return [b for b in bins if b]
+                give, take = _transfer(np.array(own), np.array([sizes[i] for i in under[b]]), capacity - int(fill[b]))
+                given, taken = {under[a][i] for i in give}, {under[b][i] for i in take}
+                net = sum(sizes[i] for i in given) - sum(sizes[i] for i in taken)
+                under[a] = [i for i in under[a] if i not in given] + sorted(taken)
+                under[b] = [i for i in under[b] if i not in taken] + sorted(given)
+                fill[a], fill[b], moved = fill[a] - net, fill[b] + net, True
+                count -= not under[a]
+                note(a)
+                note(b)
+    return done + [b for b in under if b]
 
 
 def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -185,6 +185,17 @@ def test_local_search_keeps_pieces_and_helps():
     assert len(after) <= len(bins)
 
 
+def test_local_search_ends_only_when_no_exchange_helps():
+    sizes = [int(x) for x in np.random.default_rng(6).integers(800, 2600, 600)]
+    bins = packing.best_fit(sizes, 4096)
+    after = packing.local_search([list(b) for b in bins], sizes, 4096)
+    assert sorted(i for b in after for i in b) == list(range(600)) and len(after) < len(bins)
+    held = sorted((np.array([sizes[i] for i in b]) for b in after), key=lambda b: b.sum())
+    for k, a in enumerate(held):
+        for b in held[k + 1 :]:
+            assert b.sum() == 4096 or packing._transfer(a, b, 4096 - int(b.sum())) is None
+
+
 def test_secret_layers(spark):
     secret = "password = hunter2secret"
     wrap = {
