@@ -6,6 +6,7 @@ import base64
 import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -23,12 +24,20 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A base64 token, with the lines below it that a single line end joins to it.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A short first line of a token that begins in the middle of its line.
+_ABOVE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n\Z")
+_LINE = re.compile(r"[^\r\n]+")
+#: How base64 of gzip, zlib, bz2 and xz begins.
+_PACKED = re.compile(r"H4s|e[A-P]|Ql|[/_]T")
 #: Texts in which none of the patterns above can begin are skipped by one linear pass in Arrow.
 _MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"""
-#: Decompressed layers are scanned in windows of this many characters that overlap by OVERLAP, so memory stays bounded.
+#: Decompressed layers are scanned in windows of this many characters that overlap by OVERLAP, so memory stays bounded
+#: by them and the longest token: one that a border would cut is held back until it ends.
 LAYER_CHARS = 8 << 20
 OVERLAP = 1 << 16
+_TOKEN = bytes(i for i in range(33, 127)) + b"\r\n"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -75,45 +84,95 @@ def _back(marks: list[tuple[int, int, int, int]], start: int, end: int) -> tuple
     return place(start, 0), place(end - 1, 1)
 
 
+def _texts(data: bytes) -> Iterator[str]:
+    """Bytes as UTF-8, those that are not kept as surrogates; with NUL among them also as UTF-16."""
+    yield data.decode("utf-8", "surrogateescape")
+    if b"\0" in data:
+        yield data.decode("utf-16-le", "replace")
+        yield data.decode("utf-16-be", "replace")
+
+
 def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
-    """Decoded text in overlapping windows of bounded size."""
-    tail = b""
+    """Decoded text in overlapping windows of bounded size; a token at the border comes whole in a later one."""
+    tail, held = b"", False
     for c in chunks:
         block = tail + c
-        yield block.decode("utf-8", "replace")
-        tail = block[-OVERLAP:]
+        at = len(block.rstrip(_TOKEN))
+        held = len(block) - at > OVERLAP
+        yield from _texts(block[:at] if held else block)
+        tail = block[max(0, at - OVERLAP) :] if held else block[-OVERLAP:]
+    if held:
+        yield from _texts(tail)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor)):
-        if data.startswith(magic):
-            d, rest = make(), data
-            try:
-                while not d.eof:
-                    block = d.decompress(rest, LAYER_CHARS)
-                    rest = getattr(d, "unconsumed_tail", b"")
-                    if block:
-                        yield block
-                    elif not rest and getattr(d, "needs_input", True):
-                        return
-            except (zlib.error, OSError, lzma.LZMAError, EOFError):
-                return
-
-
-def _unpacked(token: str) -> Iterator[str]:
-    """The texts that a base64 token holds, as they are or compressed."""
+    """What compressed bytes hold, all members of them one after another."""
+    makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
+    while make := next((make for magic, make in makers if data.startswith(magic)), None):
+        d, rest = make(), data
+        try:
+            while not d.eof:
+                block = d.decompress(rest, LAYER_CHARS)
+                rest = getattr(d, "unconsumed_tail", b"")
+                if block:
+                    yield block
+                elif not d.eof and not rest and getattr(d, "needs_input", True):
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+        data = d.unused_data.lstrip(b"\0")
+
+
+def _decoded(token: str) -> bytes:
     body = token.rstrip("=").translate({45: 43, 95: 47})
     if len(body) % 4 == 1:
         body = body[:-1]
-    data = base64.b64decode(body + "=" * (-len(body) % 4))
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unpacked(data: bytes) -> Iterator[str]:
+    """The texts that the bytes of a base64 token hold when they are unpacked or are not UTF-8."""
     if data[:1] in (b"\x1f", b"\x78", b"B", b"\xfd"):
         yield from _windows(_inflated(data))
-    try:
-        plain = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return
-    if all(c.isprintable() or c in "\t\r\n" for c in plain):
-        yield plain
+    yield from itertools.islice(_texts(data), 1, None)
+
+
+def _tokens(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """What the base64 tokens of a layer hold, with the place of a span of it there.
+
+    Every line of a token over several lines is read alone, too. The whole is read from the first line of each
+    alignment and from lines where packed bytes may begin, as what stands above may not belong to it. Unpacked text maps
+    to all lines read, plain text to those that hold it.
+    """
+    for m in _BASE64.finditer(layer):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        above = _ABOVE.search(layer, max(0, m.start() - 18), m.start())
+        if above:
+            lines.insert(0, above.span(1))
+        reads = [[x] for x in lines if x[1] - x[0] >= 16]
+        if len(lines) > 1:
+            firsts: dict[int, int] = {}
+            size = 0
+            for k, (a, b) in enumerate(lines[:-1]):
+                if firsts.setdefault(size % 4, k) == k or _PACKED.match(layer, a):
+                    reads.append(lines[k:])
+                size += b - a
+        for read in reads:
+            data = _decoded("".join(layer[a:b] for a, b in read))
+            whole = (read[0][0], read[-1][1])
+            for inner in _unpacked(data):
+                yield inner, lambda a, b, whole=whole: whole
+            plain = data.decode("utf-8", "surrogateescape")
+            begins = list(itertools.accumulate((b - a for a, b in read[:-1]), initial=0))
+
+            def place(a: int, b: int, plain=plain, read=read, begins=begins) -> tuple[int, int]:
+                if len(read) == 1 or (a == 0 and b >= len(plain)):
+                    return read[0][0], read[-1][1]
+                first, last = (len(plain[:x].encode("utf-8", "surrogateescape")) - y for x, y in ((a, 0), (b, 1)))
+                here = [bisect.bisect_right(begins, n // 3 * 4 + n % 3 + y) - 1 for n, y in ((first, 0), (last, 1))]
+                return read[here[0]][0], read[here[1]][1]
+
+            yield plain, place
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -121,14 +180,14 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 
     Layers wait on a list: the text itself, then what its escapes, base64 tokens and compressed tokens unwrap to. A
     layer that has been seen with the same place is not unwrapped again, so cycles end. Escapes map span by span; what
-    a base64 token holds maps to the token.
+    a base64 token holds maps to the token, or to those of its lines that hold it.
     """
     base = scan(text)
     found, seen = set(base), set()
     work: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = [(text, lambda a, b: (a, b))]
     while work:
         layer, to = work.pop()
-        key = (hashlib.blake2b(layer.encode("utf-8", "replace"), digest_size=16).digest(), to(0, max(1, len(layer))))
+        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), to(0, max(1, len(layer))))
         if key in seen:
             continue
         seen.add(key)
@@ -137,9 +196,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         plain = _escaped(layer)
         if plain and plain[0] != layer:
             work.append((plain[0], lambda a, b, marks=plain[1], to=to: to(*_back(marks, a, b))))
-        for m in _BASE64.finditer(layer):
-            place = to(m.start(), m.end())
-            work += [(inner, lambda a, b, place=place: place) for inner in _unpacked(m[0]) if inner]
+        work += [(inner, lambda a, b, place=place, to=to: to(*place(a, b))) for inner, place in _tokens(layer) if inner]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order)
 

@@ -216,6 +216,34 @@ def test_secret_layers(spark):
     assert all(g[:3] == (0, 0, 0) for g in got[1:])
 
 
+def test_secret_layers_over_lines_and_of_any_bytes(monkeypatch):
+    secret = b"password = hunter2secret"
+    noise = RNG.randbytes(400)
+
+    def lines(data, end="\n"):
+        text = base64.b64encode(data).decode()
+        return end.join(text[k : k + 76] for k in range(0, len(text), 76))
+
+    wrapped = {
+        "gzip": lines(gzip.compress(noise + secret, mtime=0)), "crlf": lines(zlib.compress(noise + secret), "\r\n"), "border": lines(b"." * 45 + secret + b" and more words"),
+        "below a word": "internationalisation\n" + lines(gzip.compress(noise + secret, mtime=0)), "members": lines(gzip.compress(noise, mtime=0) + gzip.compress(secret, mtime=0)),
+        "bom": lines(b"\xef\xbb\xbf" + secret), "no-break": lines("\u00a0".encode() + secret), "joiner": lines("\u200d".encode() + secret), "nul": lines(secret + b"\0"),
+        "utf-16": lines(secret.decode().encode("utf-16")), "utf-16 be": lines(secret.decode().encode("utf-16-be")), "latin": lines(b"\xe9 " + secret), "zipped utf-16": lines(gzip.compress(secret.decode().encode("utf-16"), mtime=0)),
+    }
+    for name, token in wrapped.items():
+        own, every = secret_scan.all_spans(f"see\n\n{token}\n\nend")
+        assert own == [] and every and all(k == "assign" and 5 <= a < b <= 5 + len(token) for k, a, b in every), name
+    own, every = secret_scan.all_spans(lines(b"." * 72 + secret + b" and more words" * 20))
+    assert own == [] and every == [("assign", 77, 153)]  # the second line alone
+
+    monkeypatch.setattr(secret_scan, "LAYER_CHARS", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 64)
+    inner = base64.b64encode(gzip.compress(RNG.randbytes(6000) + secret, mtime=0))
+    for pad in (0, 3000):
+        token = base64.b64encode(gzip.compress(b"x " * pad + inner + b" end", mtime=0)).decode()
+        assert [k for k, _, _ in secret_scan.all_spans(token)[1]] == ["assign"], pad
+
+
 def test_secret_cycles_end():
     text = "a%2525252541 " + base64.b64encode(b"%41%41" * 30).decode()
     assert secret_scan.all_spans(text)[0] == []
