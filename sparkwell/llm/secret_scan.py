@@ -10,8 +10,10 @@ import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,8 +24,10 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_URL = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: One percent, Unicode, byte or HTML escape.
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: The longest escape, and the characters that one begins with.
+_LONGEST, _LEADS = 11, frozenset("%\\&")
 #: A base64 token, with the lines below it that a single line end joins to it.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 #: A short first line of a token that begins in the middle of its line.
@@ -33,11 +37,14 @@ _LINE = re.compile(r"[^\r\n]+")
 _PACKED = re.compile(r"H4s|e[A-P]|Ql|[/_]T")
 #: Texts in which none of the patterns above can begin are skipped by one linear pass in Arrow.
 _MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"""
-#: Decompressed layers are scanned in windows of this many characters that overlap by OVERLAP, so memory stays bounded
-#: by them and the longest token: one that a border would cut is held back until it ends.
-LAYER_CHARS = 8 << 20
-OVERLAP = 1 << 16
+#: Decompressed layers are read in windows of this many bytes, one at a time, that overlap by OVERLAP. A token without
+#: white space that a border would cut is held back until it ends, or has HELD bytes: then it goes on in a next window,
+#: from a place that keeps the alignment of base64. So memory is bounded by these three and the document itself.
+WINDOW, OVERLAP, HELD = 1 << 20, 1 << 16, 8 << 20
+#: Memory that an xz layer may ask for; one that wants more stays packed.
+XZ_MEMORY = 80 << 20
 _TOKEN = bytes(i for i in range(33, 127)) + b"\r\n"
+_BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -47,41 +54,93 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def _escaped(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
-    """The text with percent and Unicode escapes resolved, and (start, end there, start, end here) of each resolved one."""
-    runs = [(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")) for m in _URL.finditer(text)] if "%" in text else []
-    if "\\" in text or "&#" in text:
-        for m in _ESCAPE.finditer(text):
-            code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
-            if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                runs.append((m.start(), m.end(), chr(code)))
-    if not runs:
-        return None
-    out, marks, at, size = [], [], 0, 0
-    for a, b, plain in sorted(runs):
-        if a < at:
-            continue
-        out += [text[at:a], plain]
-        size += a - at
-        marks.append((size, size + len(plain), a, b))
-        size += len(plain)
-        at = b
-    return "".join([*out, text[at:]]), marks
+class Places:
+    """Where the characters of a layer stand in the document: pieces that begin at `at`.
 
+    A piece with last < 0 is copied: its characters stand one by one from `first` on. Any other piece stands as a whole
+    for first to last. Layers of layers are mapped to the document at once, so that no chain of maps grows.
+    """
 
-def _back(marks: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int]:
-    """A span of the resolved text as the smallest span of the text before it."""
+    def __init__(self) -> None:
+        self.at, self.first, self.last = array("q"), array("q"), array("q")
 
-    def place(x: int, last: int) -> int:
-        i = bisect.bisect_right(marks, (x, 1 << 62)) - 1
-        if i < 0:
-            return x + last
-        _, upto, a, b = marks[i]
-        if x < upto:
-            return b if last else a
-        return b + x - upto + last
+    @classmethod
+    def copied(cls) -> Places:
+        return cls().add(0, 0, -1)
 
-    return place(start, 0), place(end - 1, 1)
+    @classmethod
+    def whole(cls, first: int, last: int) -> Places:
+        return cls().add(0, first, last)
+
+    def add(self, at: int, first: int, last: int) -> Places:
+        if not self.at or last < 0 or self.first[-1] != first or self.last[-1] != last:
+            self.at.append(at)
+            self.first.append(first)
+            self.last.append(last)
+        return self
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        i, j = bisect.bisect_right(self.at, start) - 1, bisect.bisect_right(self.at, end - 1) - 1
+        a = self.first[i] + (start - self.at[i] if self.last[i] < 0 else 0)
+        return a, self.first[j] + end - self.at[j] if self.last[j] < 0 else self.last[j]
+
+    def copy_into(self, new: Places, at: int, start: int, end: int) -> None:
+        """Adds the pieces of [start, end) of this layer to a new one, from its place `at` on."""
+        if start >= end:
+            return
+        i = bisect.bisect_right(self.at, start) - 1
+        while i < len(self.at) and (i < 0 or self.at[i] < end):
+            here = max(start, self.at[i])
+            new.add(at + here - start, self.first[i] + (here - self.at[i] if self.last[i] < 0 else 0), self.last[i])
+            i += 1
+
+
+def _unwrapped(text: str, m: re.Match) -> tuple[int | str | None, int]:
+    """(byte of a percent escape, character of another one, or None if there is none such; its end in the text).
+
+    What unwraps to the beginning of another escape is unwrapped on at once, so that a nest of them is one step.
+    """
+    end = m.end()
+    while True:
+        if m[1]:
+            value: int | str | None = int(m[1], 16)
+            plain = chr(value)
+        else:
+            code = int(m[6]) if m[6] else int(m[2] or m[3] or m[4] or m[5], 16)
+            if code >= 0x110000 or 0xD800 <= code < 0xE000:
+                return None, end
+            value = plain = chr(code)
+        more = _ESCAPE.match(plain + text[end : end + _LONGEST]) if plain in _LEADS else None
+        if more is None:
+            return value, end
+        m, end = more, end + more.end() - 1
+
+
+def _escaped(text: str, places: Places) -> tuple[str, Places] | None:
+    """The text with percent, Unicode and HTML escapes resolved, and its places."""
+    out, new, upto, size = [], Places(), 0, 0
+    m = _ESCAPE.search(text)
+    while m:
+        start = m.start()
+        value, end = _unwrapped(text, m)
+        if isinstance(value, int):  # bytes that stand side by side are decoded together
+            raw = bytearray([value])
+            while (m := _ESCAPE.match(text, end)) and isinstance((following := _unwrapped(text, m))[0], int):
+                raw.append(following[0])
+                end = following[1]
+            value = raw.decode("utf-8", "replace")
+        if value is not None:
+            places.copy_into(new, size, upto, start)
+            size += start - upto
+            out += [text[upto:start], value]
+            new.add(size, *places.span(start, end))
+            size += len(value)
+            upto = end
+        m = _ESCAPE.search(text, end)
+    if not out:
+        return None
+    places.copy_into(new, size, upto, len(text))
+    return "".join([*out, text[upto:]]), new
 
 
 def _texts(data: bytes) -> Iterator[str]:
@@ -99,26 +158,37 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
         block = tail + c
         at = len(block.rstrip(_TOKEN))
         held = len(block) - at > OVERLAP
-        yield from _texts(block[:at] if held else block)
-        tail = block[max(0, at - OVERLAP) :] if held else block[-OVERLAP:]
+        if held and len(block) - at <= HELD:
+            if at > OVERLAP or not tail:
+                yield from _texts(block[:at])
+            tail = block[max(0, at - OVERLAP) :]
+            continue
+        yield from _texts(block)
+        cut = max(0, len(block) - OVERLAP)
+        if held:  # keep whole groups of four base64 characters together
+            first = len(block.rstrip(_BASE64_BYTES))
+            cut = max(first, cut)
+            while (len(block[first:cut].translate(None, b"\r\n")) % 4 or block[cut : cut + 1] in (b"\r", b"\n")) and cut > first:
+                cut -= 1
+        tail, held = block[cut:], False
     if held:
         yield from _texts(tail)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
-    """What compressed bytes hold, all members of them one after another."""
-    makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
+    """What compressed bytes hold, all members of them one after another, WINDOW bytes at a time."""
+    makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lambda: lzma.LZMADecompressor(memlimit=XZ_MEMORY)))
     while make := next((make for magic, make in makers if data.startswith(magic)), None):
         d, rest = make(), data
         try:
             while not d.eof:
-                block = d.decompress(rest, LAYER_CHARS)
+                block = d.decompress(rest, WINDOW)
                 rest = getattr(d, "unconsumed_tail", b"")
                 if block:
                     yield block
                 elif not d.eof and not rest and getattr(d, "needs_input", True):
                     return
-        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, MemoryError):
             return
         data = d.unused_data.lstrip(b"\0")
 
@@ -137,8 +207,27 @@ def _unpacked(data: bytes) -> Iterator[str]:
     yield from itertools.islice(_texts(data), 1, None)
 
 
-def _tokens(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
-    """What the base64 tokens of a layer hold, with the place of a span of it there.
+def _line_places(plain: str, read: list[tuple[int, int]], places: Places) -> Places:
+    """Places of the text of a token over several lines: for every character the lines that hold its bytes."""
+    begins = list(itertools.accumulate((b - a for a, b in read[:-1]), initial=0))
+    # byte n takes characters n // 3 * 4 + n % 3 and the next one of the token; the first byte of every line, and who lies over its end
+    first = np.array([x // 4 * 3 + min(x % 4, 3) for x in begins])
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+    alone = (codes >= 0xDC80) & (codes <= 0xDCFF)
+    size = np.where(alone | (codes < 0x80), 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+    ends = np.cumsum(size)
+    last = ends - 1
+    start_line = np.searchsorted(first, ends - size, "right") - 1
+    end_line = np.searchsorted(np.array(begins), last // 3 * 4 + last % 3 + 1, "right") - 1
+    pair = start_line * len(read) + end_line
+    out = Places()
+    for i in np.flatnonzero(np.diff(pair, prepend=-1)).tolist():
+        out.add(i, *places.span(read[start_line[i]][0], read[end_line[i]][1]))
+    return out
+
+
+def _tokens(layer: str, places: Places) -> Iterator[tuple[str, Places]]:
+    """What the base64 tokens of a layer hold, with its places; one text at a time.
 
     Every line of a token over several lines is read alone, too. The whole is read from the first line of each
     alignment and from lines where packed bytes may begin, as what stands above may not belong to it. Unpacked text maps
@@ -159,44 +248,45 @@ def _tokens(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, i
                 size += b - a
         for read in reads:
             data = _decoded("".join(layer[a:b] for a, b in read))
-            whole = (read[0][0], read[-1][1])
+            whole = Places.whole(*places.span(read[0][0], read[-1][1]))
             for inner in _unpacked(data):
-                yield inner, lambda a, b, whole=whole: whole
+                yield inner, whole
             plain = data.decode("utf-8", "surrogateescape")
-            begins = list(itertools.accumulate((b - a for a, b in read[:-1]), initial=0))
-
-            def place(a: int, b: int, plain=plain, read=read, begins=begins) -> tuple[int, int]:
-                if len(read) == 1 or (a == 0 and b >= len(plain)):
-                    return read[0][0], read[-1][1]
-                first, last = (len(plain[:x].encode("utf-8", "surrogateescape")) - y for x, y in ((a, 0), (b, 1)))
-                here = [bisect.bisect_right(begins, n // 3 * 4 + n % 3 + y) - 1 for n, y in ((first, 0), (last, 1))]
-                return read[here[0]][0], read[here[1]][1]
-
-            yield plain, place
+            yield plain, whole if len(read) == 1 or not plain else _line_places(plain, read, places)
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the text as it is, spans of every layer mapped to the text), each sorted.
 
-    Layers wait on a list: the text itself, then what its escapes, base64 tokens and compressed tokens unwrap to. A
-    layer that has been seen with the same place is not unwrapped again, so cycles end. Escapes map span by span; what
-    a base64 token holds maps to the token, or to those of its lines that hold it.
+    The worklist holds layers that are open: the text itself, then what escapes, base64 tokens and compressed tokens
+    unwrap to. The texts inside a layer are made one by one as the list comes back to it; when none is left, the layer
+    gives way to itself with its escapes resolved. A layer that has been seen in the same place is not unwrapped again,
+    so cycles end. Escapes map span by span; what a base64 token holds maps to the token, or to those of its lines that
+    hold it. Nothing is called in itself, so no depth of layers is too much.
     """
     base = scan(text)
     found, seen = set(base), set()
-    work: list[tuple[str, Callable[[int, int], tuple[int, int]]]] = [(text, lambda a, b: (a, b))]
+    work: list[tuple[str, Places, Iterator[tuple[str, Places]]]] = []
+
+    def open_layer(layer: str, places: Places) -> None:
+        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), places.span(0, max(1, len(layer))))
+        if layer and key not in seen:
+            seen.add(key)
+            if work or seen != {key}:
+                found.update((k, *places.span(a, b)) for k, a, b in scan(layer))
+            work.append((layer, places, _tokens(layer, places)))
+
+    open_layer(text, Places.copied())
     while work:
-        layer, to = work.pop()
-        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), to(0, max(1, len(layer))))
-        if key in seen:
+        layer, places, inside = work[-1]
+        inner = next(inside, None)
+        if inner is not None:
+            open_layer(*inner)
             continue
-        seen.add(key)
-        if layer is not text:
-            found.update((k, *to(a, b)) for k, a, b in scan(layer))
-        plain = _escaped(layer)
+        work.pop()
+        plain = _escaped(layer, places)
         if plain and plain[0] != layer:
-            work.append((plain[0], lambda a, b, marks=plain[1], to=to: to(*_back(marks, a, b))))
-        work += [(inner, lambda a, b, place=place, to=to: to(*place(a, b))) for inner, place in _tokens(layer) if inner]
+            open_layer(*plain)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order)
 
