@@ -1,8 +1,9 @@
-"""Packing documents into sequences: best fit, then swaps and moves between underfull bins."""
+"""Packing documents into sequences: best fit as they come, then swaps and moves between underfull bins until bins empty."""
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,20 +18,38 @@ from sparkwell.llm.text import NON_SPACE, slices, split_words
 CAPACITY = 4096
 #: Pieces packed together; each group wastes less than one sequence over what a single group would.
 GROUP_PIECES = 4000
-#: Words whose ids one Python worker remembers.
-CACHE_WORDS = 300_000
+#: Units whose ids one Python worker remembers, and bytes of text split at once.
+CACHE_WORDS, SLICE = 1_000_000, 1 << 20
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP = np.zeros(256, bool)
-_STOP[list(b".,;:!?")] = True
+_SPACE, _LETTER, _DIGIT, _STOP, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = _STOP
+_CLASS[[32, *range(9, 14)]] = _SPACE
+#: Units that are one pre-token for certain: Latin letters, or ASCII stops.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-/:-@\[-`{-~]+")
+
+
+def unit_cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a pre-token begins whatever stands around: between ASCII letters, digits and stops, and at every digit.
+
+    A letter after an apostrophe may belong to it ("'s"), and bytes beyond ASCII may be anything, so nothing is cut there.
+    """
+    kind = _CLASS[data]
+    cuts = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    known = (before != _OTHER) & (here != _OTHER)
+    cuts[1:] = known & ((before != here) | (here == _DIGIT)) & ~((here == _LETTER) & (data[:-1] == 39))
+    return cuts
 
 
 class WordEncoder:
-    """Ids of whole texts from ids of words, each encoded once and remembered.
+    """Ids of whole texts from ids of units (parts of words), each encoded once and remembered.
 
-    Words end at ASCII white space and between a letter and a stop after it. Right for tokenizers that ignore case,
-    drop white space, and whose pre-tokens cross neither, as the default file's; its special tokens begin with "<|".
+    Right for tokenizers that ignore case, drop white space, keep runs of letters, single digits and runs of stops apart
+    and mark the ends of pre-tokens with "</w>", as the default file's; its special tokens begin with "<|". The table of
+    units is sorted arrays, not a dictionary; when it is full the half that was used least goes.
     """
 
     def __init__(self, path: str):
@@ -38,51 +57,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for lo in range(0, len(words), 10_000):
-            for h, e in zip(hashes[lo : lo + 10_000], self.tokenizer.encode_batch_fast(words[lo : lo + 10_000], add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                if k >= len(self.first):
-                    self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.known[h], self.first[k], self.size[k] = k, self.used, len(ids)
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.hashes, self.first, self.size, self.uses, self.ids = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint32))
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Adds units that are not in the table; hashes are sorted."""
+        plain = np.fromiter((_PLAIN.fullmatch(u) is not None for u in units), bool, len(units))
+        ids = np.array(self.tokenizer.encode(" ".join([u for u, p in zip(units, plain.tolist(), strict=True) if p]), add_special_tokens=False).ids, np.uint32)
+        upto = np.flatnonzero(self.ends[ids]) + 1  # each end closes its unit
+        if len(upto) != plain.sum():
+            plain[:], ids, upto = False, ids[:0], upto[:0]
+        rest = np.flatnonzero(~plain)
+        more = [e.ids for e in self.tokenizer.encode_batch_fast([units[i] for i in rest.tolist()], add_special_tokens=False)]
+        sizes, first = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        sizes[plain], sizes[rest] = np.diff(upto, prepend=0), [len(x) for x in more]
+        first[plain], first[rest] = upto - sizes[plain], len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.size, self.uses = np.insert(self.hashes, at, hashes), np.insert(self.size, at, sizes), np.insert(self.uses, at, 0)
+        self.first = np.insert(self.first, at, len(self.ids) + first)
+        self.ids = np.concatenate([self.ids, ids, np.array([i for x in more for i in x], np.uint32)])
+
+    def _forget(self) -> None:
+        """Drops the less used half of the table; past uses count half."""
+        keep = np.sort(np.argpartition(-self.uses, len(self.uses) // 2)[: len(self.uses) // 2])
+        self.hashes, first, self.size, self.uses = self.hashes[keep], self.first[keep], self.size[keep], self.uses[keep] // 2
+        upto = np.cumsum(self.size)
+        self.ids = self.ids[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first - (upto - self.size), self.size)]
+        self.first = upto - self.size
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """uint32 ids of every row; a null is empty."""
-        for _, _, data, offsets in slices(column):
-            if (data == 0).any() or ((data[:-1] == 60) & (data[1:] == 124)).any():  # NUL would pass for white space; special tokens
-                for i in range(len(offsets) - 1):
-                    yield np.array(self.tokenizer.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
-                continue
-            if len(self.known) > CACHE_WORDS:
-                self.reset()
-            stop = np.zeros(len(data), bool)
-            stop[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
-            w = split_words(data, offsets, NON_SPACE, stop)
-            distinct, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-            keys = distinct.tolist()
-            new = [i for i, h in enumerate(keys) if h not in self.known]
-            raw = data.tobytes()
-            at = one[new]
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
-            which = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[back]
+        for _, _, data, offsets in slices(column, SLICE):
+            # NUL would pass for white space, and special tokens are no text: such rows go to the tokenizer as they are
+            odd = np.flatnonzero((data == 0) | np.append((data[:-1] == 60) & (data[1:] == 124), False)[: len(data)])
+            alone = set((np.searchsorted(offsets, odd, "right") - 1).tolist())
+            if len(self.hashes) > CACHE_WORDS:
+                self._forget()
+            w = split_words(data, offsets, NON_SPACE, unit_cuts(data))
+            distinct, one, back, often = np.unique(w.hashes, return_index=True, return_inverse=True, return_counts=True)
+            at = np.searchsorted(self.hashes, distinct)
+            new = np.ones(len(distinct), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
+            if new.any():
+                raw = w.data.tobytes()
+                self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(w.starts[one[new]].tolist(), w.ends[one[new]].tolist(), strict=True)])
+                at = np.searchsorted(self.hashes, distinct)
+            self.uses[at] += often
+            which = at[back]
             n = self.size[which]
             upto = np.cumsum(n)
-            total = int(upto[-1]) if len(upto) else 0
-            ids = self.ids[np.arange(total) + np.repeat(self.first[which] - (upto - n), n)]
+            ids = self.ids[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(self.first[which] - (upto - n), n)]
             ends = np.concatenate([[0], upto])[w.bounds]
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                yield ids[a:b]
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if i in alone:
+                    yield np.array(self.tokenizer.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield ids[a:b]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -123,12 +154,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of places in sizes: longest first, each into the fullest bin that still takes it."""
+    """Bins of places in sizes: each piece, as it comes, into the fullest bin that still takes it.
+
+    Pieces are not sorted: exchanges between the bins of mixed pieces empty more of them than those between sorted ones.
+    """
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has room r
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        n = sizes[i]
+    for i, n in enumerate(sizes):
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -180,25 +213,25 @@ def _amounts(sizes: list[int]) -> tuple[list[int], list[int]]:
 
 
 class _Takers:
-    """For every amount, which of the bins gain when they are given it as one piece, or as two, against what they hold."""
+    """For every bin, which amounts it gains by when it is given them as one piece, or as two, against what it holds."""
 
     def __init__(self, n: int, capacity: int):
-        self.one, self.two = np.zeros((capacity + 1, n), bool), np.zeros((capacity + 1, n), bool)
+        self.one, self.two = np.zeros((n, capacity + 1), bool), np.zeros((n, capacity + 1), bool)
         self.capacity = capacity
 
     def set(self, b: int, sizes: list[int], room: int) -> None:
         one, two = _amounts(sizes)
         single = [0, *one]
         for table, back in ((self.two, single), (self.one, single + two)):
-            t = np.array(back)
-            t = t[t < self.capacity]
-            steps = np.bincount(t + 1, minlength=self.capacity + 2) - np.bincount(np.minimum(t + room, self.capacity) + 1, minlength=self.capacity + 2)
-            table[:, b] = np.cumsum(steps[: self.capacity + 1]) > 0
+            row = table[b]
+            row[:] = False
+            for t in back:  # an amount over t, and by no more than the room
+                row[t + 1 : t + room + 1] = True
 
     def of(self, sizes: list[int]) -> np.ndarray:
         one, two = _amounts(sizes)
         two = [x for x in two if x <= self.capacity]
-        return self.one[one].any(axis=0) | self.two[two].any(axis=0)
+        return self.one[:, one].any(axis=1) | self.two[:, two].any(axis=1)
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:

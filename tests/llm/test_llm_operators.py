@@ -185,6 +185,15 @@ def test_local_search_keeps_pieces_and_helps():
     assert len(after) <= len(bins)
 
 
+def test_the_search_reaches_what_sorting_first_reaches():
+    for low, high in ((150, 2600), (400, 2600), (800, 2600)):
+        sizes = [int(x) for x in np.random.default_rng(low).integers(low, high, 900)]
+        start = packing.best_fit(sizes, 4096)
+        longest_first = packing.best_fit(sorted(sizes, reverse=True), 4096)
+        after = packing.local_search([list(b) for b in start], sizes, 4096)
+        assert len(after) <= len(longest_first) and len(after) < len(start)  # exchanges emptied bins
+
+
 def test_local_search_ends_only_when_no_exchange_helps():
     sizes = [int(x) for x in np.random.default_rng(6).integers(800, 2600, 600)]
     bins = packing.best_fit(sizes, 4096)
@@ -236,7 +245,7 @@ def test_secret_layers_over_lines_and_of_any_bytes(monkeypatch):
     own, every = secret_scan.all_spans(lines(b"." * 72 + secret + b" and more words" * 20))
     assert own == [] and every == [("assign", 77, 153)]  # the second line alone
 
-    monkeypatch.setattr(secret_scan, "LAYER_CHARS", 4096)
+    monkeypatch.setattr(secret_scan, "WINDOW", 4096)
     monkeypatch.setattr(secret_scan, "OVERLAP", 64)
     inner = base64.b64encode(gzip.compress(RNG.randbytes(6000) + secret, mtime=0))
     for pad in (0, 3000):
@@ -244,6 +253,35 @@ def test_secret_layers_over_lines_and_of_any_bytes(monkeypatch):
         assert [k for k, _, _ in secret_scan.all_spans(token)[1]] == ["assign"], pad
 
 
+def test_nests_of_secret_layers_need_no_recursion():
+    for text in ("password%" + "25" * 5000 + "3Dhunter2secret", "password\\" + "u005c" * 5000 + "u003dhunter2secret", "password&#" + "38;#" * 5000 + "61;hunter2secret", "password%3D" + "hunter2" + "%3" * 1000 + "%31"):
+        assert ("assign", 0, len(text)) in secret_scan.all_spans(text)[1]
+    token = "password = hunter2secret"
+    for _ in range(200):
+        token = base64.b64encode(zlib.compress(token.encode())).decode()
+    assert secret_scan.all_spans(token)[1] == [("assign", 0, len(token))]
+
+
+@pytest.mark.parametrize("filler", [b"\0", b"A", b"ab c\n"])
+def test_a_packed_layer_is_read_in_bounded_memory(filler):
+    import tracemalloc
+
+    token = base64.b64encode(gzip.compress(filler * ((48 << 20) // len(filler)) + b" password = hunter2secret")).decode()
+    tracemalloc.start()
+    found = secret_scan.all_spans(token)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [("assign", 0, len(token))] and peak < 100 << 20
+
+
+def test_a_token_longer_than_what_is_held_keeps_its_alignment(monkeypatch):
+    for name, n in (("WINDOW", 512), ("OVERLAP", 128), ("HELD", 2048)):
+        monkeypatch.setattr(secret_scan, name, n)
+    inner = base64.b64encode(RNG.randbytes(9000) + b" password = hunter2secret " + RNG.randbytes(3000))
+    token = base64.b64encode(gzip.compress(b'key="' + inner + b'" end', mtime=0)).decode()
+    assert ("assign", 0, len(token)) in secret_scan.all_spans(token)[1]
+
+
 def test_secret_cycles_end():
     text = "a%2525252541 " + base64.b64encode(b"%41%41" * 30).decode()
     assert secret_scan.all_spans(text)[0] == []
@@ -256,15 +294,54 @@ def test_token_counts(spark):
     other = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items()], 0, False))
     rows = [(k, prose(30)) for k in range(20)] + EDGES[:8]
     got = token_counts.count_tokens(docs_frame(spark, rows), tokenizer_file("piece_bpe_32k.model")).collect()
-    trie = token_counts.CountingTrie(scores, byte)
+    pieces = {w.encode(): s for w, s in scores.items()}
+    longest = max(map(len, pieces))
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            ways = [(best[-1][0] + byte, best[-1][1] + 1)]
+            ways += [(best[k][0] + pieces[word[k:end]], best[k][1] + 1) for k in range(max(0, end - longest), end) if word[k:end] in pieces]
+            best.append(max(ways, key=lambda w: (w[0], -w[1])))
+        return best[-1][1]
 
     def brute(word):
         e = other.encode(token_counts.MARK + word)
-        return len(e.ids) if 0 not in e.ids else trie.count(token_counts.MARK + word)
+        n = plain((token_counts.MARK + word).encode())
+        assert 0 in e.ids or n == len(e.ids)
+        return n
 
     want = sorted((str(i), sum(map(brute, re.findall(r"[^\x20\x09-\x0D]+", t or "")))) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
-    assert trie.count("漢") == (1 if "漢" in scores else 3)
+    vocabulary = token_counts.Vocabulary(scores, byte)
+    words = sorted({(token_counts.MARK + "".join(RNG.choice("abethingnosé漢0.!") for _ in range(RNG.randint(0, 40)))).encode() for _ in range(2000)} | {("the" * 500).encode(), ("the" * 70).encode()})
+    assert token_counts.trie_counts(words, vocabulary).tolist() == [plain(w) for w in words]
+
+
+def test_tables_that_are_full_change_no_result(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "MOST_KNOWN", 40)
+    monkeypatch.setattr(token_counts, "SLICE", 300)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    monkeypatch.setattr(packing, "SLICE", 300)
+    texts = pa.array([prose(40) + " It's 3.5kg, O'Neil''s <|x" * (k % 2) for k in range(30)] + [None, "", "a\0b"])
+    table = token_counts.CountTable(token_counts.Vocabulary(*token_counts.unigram_scores(tokenizer_file("piece_bpe_32k.model"))))
+    once = [table.rows(texts.slice(k, 1))[0][0] for k in range(len(texts))]
+    assert table.rows(texts)[0].tolist() == once and len(table.hashes) < 200
+    tool, encoder = Tokenizer.from_file(tokenizer_file()), packing.WordEncoder(tokenizer_file())
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [tool.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+
+
+def test_units_equal_the_tokenizer_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    odd = [*"abzAZéÉßİſK09'`!-.,<|>/w\"@# \t\n\x0b\x1c\x85\xa0 \u0338\u0301\u20e3\u037e漢字ªº²½٣ǅΣςσ\u200d\ufeff;=_", "'s", "'re", "'LL", "<|endoftext|>", "</w>", "😀"]
+    texts = ["".join(RNG.choice(odd) for _ in range(RNG.randint(0, 40))) for _ in range(4000)]
+    tool = Tokenizer.from_file(tokenizer_file())
+    got = packing.WordEncoder(tokenizer_file()).encode(pa.array(texts))
+    assert all(g.tolist() == tool.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
 
 
 DATA = "/root/testdata/sf0.01"
