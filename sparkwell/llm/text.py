@@ -14,7 +14,7 @@ SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -28,7 +28,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
     global _powers
     if len(_powers[0]) < n:
@@ -105,9 +105,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts:
     after[:-1] = inside[1:]
     last = inside & (~after | edge[1:])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(len(low) + 1)
+    up, down = power_tables(len(low) + 1)
     total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[low] * up[: len(low)], out=total[1:])
+    np.cumsum(BYTE_VALUES[low] * up[: len(low)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), low)
 
