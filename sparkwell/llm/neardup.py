@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.llm.components import components
 from sparkwell.llm.stash import cut, written
+from sparkwell.llm.text import mix
 
 COSINE = 0.98
 TREES = 6
 #: Vectors of the bounded sample on which the split points are fitted; every vector is indexed.
 SAMPLE = 40_000
-#: Vectors of one label that a leaf should hold.
-LEAF = 256
+#: Vectors of one label that a leaf should hold; trees are built at every size.
+LEAF = 32
+#: A leaf with more vectors than this is split further by a tree of its own, fitted on about FIT of them, unless its
+#: largest part would keep more than KEPT of it, as in a group of vectors that are all close to each other.
+LARGE, FIT, KEPT = 1024, 4000, 0.8
 #: A vector within this distance of a split point (on unit vectors) goes to both sides.
 SPILL = 0.012
 #: Vectors of a block; the pairs of a larger leaf are split into pairs of blocks.
@@ -49,33 +54,36 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return usable, every
 
 
-class Forest:
-    """Trees of random directions with the medians of a sample as split points; nodes are numbered as in a heap."""
-
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        dim = sample.shape[1]
-        self.depth, self.trees = depth, trees
-        self.axes = rng.standard_normal((trees, (1 << depth) - 1, dim))
-        self.axes /= np.linalg.norm(self.axes, axis=2, keepdims=True)
-        self.at = np.zeros((trees, (1 << depth) - 1))
-        for t in range(trees):
-            inside = {0: np.arange(len(sample))}
-            for node in range((1 << depth) - 1):
-                rows = inside.pop(node, np.zeros(0, int))
-                x = sample[rows] @ self.axes[t, node]
-                self.at[t, node] = np.median(x) if len(x) else 0.0
-                inside[2 * node + 1], inside[2 * node + 2] = rows[x < self.at[t, node]], rows[x >= self.at[t, node]]
-
-    def leaves(self, vectors: np.ndarray, spill: float = SPILL) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each tree: rows and the leaves they fall into, a row once for each of its leaves."""
-        for t in range(self.trees):
-            rows, nodes = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-            for _ in range(self.depth):
-                x = np.einsum("ij,ij->i", vectors[rows], self.axes[t, nodes]) - self.at[t, nodes]
-                left, right = x < spill, x >= -spill
-                rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
-            yield t, rows, nodes
+class Tree:
+    """Random directions with the medians of some vectors as split points; nodes are numbered as in a heap."""
+
+    def __init__(self, vectors: np.ndarray, depth: int, seed: int):
+        self.depth, self.seed, self.dim = depth, seed, vectors.shape[1]
+        axes, self.at = self.axes(), np.zeros((1 << depth) - 1)
+        inside = {0: np.arange(len(vectors))}
+        for node in range((1 << depth) - 1):
+            rows = inside.pop(node)
+            x = vectors[rows] @ axes[node]
+            self.at[node] = np.median(x) if len(x) else 0.0
+            inside[2 * node + 1], inside[2 * node + 2] = rows[x < self.at[node]], rows[x >= self.at[node]]
+
+    def axes(self) -> np.ndarray:
+        axes = np.random.default_rng(self.seed).standard_normal(((1 << self.depth) - 1, self.dim))
+        return axes / np.linalg.norm(axes, axis=1, keepdims=True)
+
+    def leaves(self, vectors: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the leaves they fall into, a row once for each of its leaves."""
+        axes, rows, nodes = self.axes(), np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
+        for _ in range(self.depth):
+            x = np.einsum("ij,ij->i", vectors[rows], axes[nodes]) - self.at[nodes]
+            left, right = x < spill, x >= -spill
+            rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
+        return rows, nodes
+
+
+def _depth(n: int, most: int) -> int:
+    """Levels until n vectors stand in leaves of LEAF, as far as `most` vectors can tell split points; one at least."""
+    return max(1, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(2, most / 8)))))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,45 +98,92 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([row, name, label.cast(pa.string()), pa.array(raw, pa.binary()), pa.array(key, pa.binary())], names=["row", "id", "label", "vector", "class"])
 
 
-def _homes(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """A row for every leaf that a vector falls into, with all of its leaves."""
+def _homes(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[pa.RecordBatch]:
+    """(row, label, vector, home): a row for every leaf that a vector falls into."""
+    dim = 8 * trees[0].dim
     for batch in batches:
         raw = batch.column(2).to_pylist()
-        dims = np.array([len(v) for v in raw])
-        row, home, every = [], [], [[] for _ in raw]
-        same = np.flatnonzero(dims == 8 * forest.axes.shape[2])
+        dims = np.array([len(v) for v in raw], np.int64)
+        same, other = np.flatnonzero(dims == dim), np.flatnonzero(dims != dim)
         vectors = np.array([np.frombuffer(raw[i]) for i in same]).reshape(len(same), -1)
-        for t, rows, leaves in forest.leaves(vectors) if len(same) else ():
-            for r, leaf in zip(same[rows].tolist(), leaves.tolist(), strict=True):
-                every[r].append((t << 32) + leaf)
-        for r in np.flatnonzero(dims != 8 * forest.axes.shape[2]).tolist():
-            every[r].append(-int(dims[r]))  # vectors of another dimension meet among themselves
-        for r, h in enumerate(every):
-            row += [r] * len(h)
-            home += h
-        row = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), pa.array(home, pa.int64()), pa.array(every, pa.list_(pa.int64())).take(row)], names=["row", "label", "vector", "home", "homes"])
-
-
-def _leaf_links(t: pa.Table) -> pa.Table:
-    """Per vector of a leaf (or pair of its blocks): how many copies it links with here first, and links that join them."""
+        row, home = [other], [-dims[other]]  # vectors of another dimension meet among themselves
+        for t, tree in enumerate(trees if len(same) else ()):
+            rows, leaves = tree.leaves(vectors)
+            row.append(same[rows])
+            home.append((t << 32) + leaves)
+        at = pa.array(np.concatenate(row))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(np.concatenate(home))], names=["row", "label", "vector", "home"])
+
+
+def _inner_tree(t: pa.Table) -> pa.Table:
+    """A tree for one large leaf from a sample of its vectors, as the bytes of its split points."""
+    label, home, n = (t[c][0].as_py() for c in ("label", "home", "n"))
+    vectors = np.array([np.frombuffer(v) for v in t["vector"].to_pylist()])
+    tree = Tree(vectors, _depth(n, len(vectors)), home & 0x7FFFFFFF)
+    return pa.table({"label": pa.array([label]), "home": pa.array([home], pa.int64()), "depth": pa.array([tree.depth], pa.int32()), "cuts": pa.array([tree.at.tobytes()], pa.binary())})
+
+
+def _inner_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, label, vector, parent, home) of rows with the tree of their large leaf."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        parents = t["home"].to_numpy()
+        for home in np.unique(parents).tolist():
+            mine = t.filter(pa.array(parents == home))
+            for label in mine["label"].unique().to_pylist():
+                some = mine.filter(pc.equal(mine["label"], label))
+                vectors = np.array([np.frombuffer(v) for v in some["vector"].to_pylist()])
+                tree = Tree.__new__(Tree)
+                tree.depth, tree.seed, tree.dim, tree.at = some["depth"][0].as_py(), home & 0x7FFFFFFF, vectors.shape[1], np.frombuffer(some["cuts"][0].as_py())
+                rows, nodes = tree.leaves(vectors)
+                at = pa.array(rows)
+                # a new name for (home, node); below zero are the homes of other dimensions, so it stays above
+                name = (mix(np.uint64(home * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + nodes.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([some["row"].combine_chunks().take(at), some["label"].combine_chunks().take(at), some["vector"].combine_chunks().take(at), pa.array(np.full(len(rows), home)), pa.array(name)], names=["row", "label", "vector", "parent", "home"])
+
+
+def _split_large(at: DataFrame) -> DataFrame:
+    """Leaves of at(row, label, vector, home) split on until they are small or only close vectors are left."""
+    done = None
+    while True:
+        sizes = written(at.groupBy("label", "home").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+        if sizes.isEmpty():
+            return at if done is None else written(done.unionByName(at))
+        # sampled by a hash of the row, so about FIT rows of each leaf meet in a task
+        large = at.join(sizes, ["label", "home"])
+        some = large.where(F.pmod(F.xxhash64("row", "home"), F.lit(1 << 20)) * F.col("n") < F.lit(FIT) * F.lit(1 << 20))
+        trees = written(some.groupBy("label", "home").applyInArrow(_inner_tree, "label string, home long, depth int, cuts binary"))
+        parts = written(at.join(trees, ["label", "home"]).select("row", "label", "vector", "home", "depth", "cuts").mapInArrow(_inner_homes, "row long, label string, vector binary, parent long, home long"))
+        found = parts.groupBy("label", "parent", "home").agg(F.count("*").alias("m")).groupBy("label", "parent").agg(F.max("m").alias("m"))
+        split = written(found.join(sizes.withColumnRenamed("home", "parent"), ["label", "parent"]).where(F.col("m") <= KEPT * F.col("n")).select("label", "parent"))
+        rest = at.join(split.withColumnRenamed("parent", "home"), ["label", "home"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        at = written(parts.join(split, ["label", "parent"], "left_semi").select("row", "label", "vector", "home"))
+        if split.isEmpty():
+            return written(done)
+
+
+def _leaf_links(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(rows that link here first, with how many copies, and links that join them) of a leaf or a pair of its blocks."""
     row, copies = t["row"].to_numpy(), t["copies"].to_numpy()
     home, side = t["home"][0].as_py(), t["block"].to_numpy() != t["i"][0].as_py()
-    unit = np.array([np.frombuffer(v) for v in t["vector"].to_pylist()])
-    lists = t["homes"].to_pylist()
-    homes = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-    for r, h in enumerate(lists):
-        homes[r, : len(h)] = h
+    raw = t["vector"].combine_chunks()
+    unit = np.array([np.frombuffer(v) for v in raw.to_pylist()])
     within = t["i"][0].as_py() == t["j"][0].as_py()
     left, right = (np.arange(len(row)),) * 2 if within else (np.flatnonzero(~side), np.flatnonzero(side))
     close = unit[left] @ unit[right].T >= COSINE
     i, j = np.nonzero(np.triu(close, 1) if within else close)
+    if not len(i):
+        return row[:0], copies[:0], []
     a, b = left[i], right[j]
-    least = np.full(len(a), 1 << 62)
+    lists = t["homes"].to_pylist()
+    homes = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+    for r, h in enumerate(lists):
+        homes[r, : len(h)] = h
+    least = np.full(len(a), (1 << 63) - 1)
     for c in range(homes.shape[1]):
         x = homes[a, c]
-        shared = (x >= 0) | (x < -1)
-        shared &= (homes[b] == x[:, None]).any(1)
+        shared = (x != -1) & (homes[b] == x[:, None]).any(1)
         least = np.where(shared, np.minimum(least, x), least)
     a, b = a[least == home], b[least == home]
     degree = np.bincount(a, copies[b], len(row)) + np.bincount(b, copies[a], len(row))
@@ -144,22 +199,49 @@ def _leaf_links(t: pa.Table) -> pa.Table:
         p, q = find(x), find(y)
         if p != q:
             root[max(p, q)] = min(p, q)
-            joins.append((x, y))
+            joins.append((int(row[x]), int(row[y])))
     linked = np.flatnonzero(degree)
-    one, two = (np.array([e[k] for e in joins], np.int64) for k in (0, 1))
-    n, m = len(linked), len(joins)
-    return pa.table({"row": pa.array(np.concatenate([row[linked], row[one]])), "other": pa.array([None] * n + row[two].tolist(), pa.int64()), "n": pa.array(degree[linked].astype(np.int64).tolist() + [None] * m, pa.int64())})
+    return row[linked], degree[linked].astype(np.int64), joins
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, other, n) of consecutive leaves, or pairs of blocks of them, in rows sorted by label, home, i, j."""
+    rest: pa.Table | None = None
+    key = ("label", "home", "i", "j")
+
+    def out(tables: list[pa.Table]) -> pa.RecordBatch:
+        row, other, n = [], [], []
+        for t in tables:
+            linked, degree, joins = _leaf_links(t)
+            row += [*linked.tolist(), *(x for x, _ in joins)]
+            other += [*[None] * len(linked), *(y for _, y in joins)]
+            n += [*degree.tolist(), *[None] * len(joins)]
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], names=["row", "other", "n"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not len(t):
+            continue
+        codes = [t[c].combine_chunks().dictionary_encode().indices.to_numpy() if c == "label" else t[c].to_numpy() for c in key]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+        starts = [0, *new.tolist()]
+        yield out([t.slice(x, y - x) for x, y in zip(starts[:-1], starts[1:], strict=True)])
+        rest = t.slice(starts[-1]).combine_chunks()
+    if rest is not None and len(rest):
+        yield out([rest])
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", trees: int = TREES) -> DataFrame:
     """(id, n_links, component_id, kept) per row: links are exact cosines >= COSINE between rows of equal label.
 
-    Equal vectors of a label are one class, which stands in the forest once. The forest is fitted on a bounded sample
-    and indexes every class; recall is measured in the tests. A leaf larger than BLOCK is split into pairs of blocks.
-    Each linked pair counts in the first leaf that both share, so counts leave a leaf, not pairs. Null labels, null,
-    empty or zero vectors and those with null or non-finite parts link with nothing; vectors of another length than
-    most of the sample meet in a leaf of their own. A component's id is its least non-null id; an id in several rows
-    stands for each of them. An empty table gives an empty result.
+    Equal vectors of a label are one class, which stands in the forest once. The trees are fitted on a bounded sample
+    and index every class; a leaf that is still large gets a tree of its own, round by round. Recall is measured in the
+    tests. A leaf larger than BLOCK after that (a group of close vectors) is split into pairs of blocks. Each linked pair
+    counts in the first leaf that both share, so counts leave a leaf, not pairs. Null labels, null, empty or zero vectors
+    and those with null or non-finite parts link with nothing; vectors of another length than most of the sample meet in
+    a leaf of their own; a long vector is a longer row and nothing else. A component's id is its least non-null id; an
+    id in several rows stands for each of them, and a row without an id has no component. An empty table gives an empty
+    result. Other columns of rows are not read, so their names cannot clash.
     """
     spark = rows.sparkSession
     keyed = cut(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector")))
@@ -175,16 +257,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     dims = [len(v) for v in sample]
     dim = max(set(dims), key=dims.count) if dims else 8
     fitted = np.array([np.frombuffer(v) for v in sample if len(v) == dim]).reshape(-1, dim // 8)
-    depth = max(0, min(int(np.ceil(np.log2(max(1, most / LEAF)))), int(np.log2(max(1, len(fitted) / 8)))))
-    forest = spark.sparkContext.broadcast(Forest(fitted, depth, trees))  # at most SAMPLE / 8 directions a tree
+    depth = _depth(most, len(fitted))
+    forest = spark.sparkContext.broadcast([Tree(fitted, depth, 11 + t) for t in range(trees)])  # at most SAMPLE / 8 split points each
 
-    at = firsts.select("row", "label", "vector").mapInArrow(lambda b: _homes(b, forest.value), "row long, label string, vector binary, home long, homes array<long>")
-    at = written(at.join(classes.select("row", "copies"), "row"))
+    homed = written(firsts.select("row", "label", "vector").mapInArrow(lambda b: _homes(b, forest.value), "row long, label string, vector binary, home long"))
+    homed = _split_large(homed)
+    lists = homed.groupBy("row").agg(F.collect_list("home").alias("homes"))  # a few leaves in each tree
     leaf = ["label", "home"]
-    sizes = cut(at.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    sizes = written(homed.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    at = homed.join(lists, "row").join(classes.select("row", "copies"), "row")
     dealt = at.join(sizes, leaf).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = written(dealt.drop("other", "blocks").groupBy(*leaf, "i", "j").applyInArrow(_leaf_links, "row long, other long, n long"))
+    group = [*leaf, "i", "j"]
+    found = written(dealt.drop("other", "blocks").repartition(*group).sortWithinPartitions(*group).mapInArrow(_links, "row long, other long, n long"))
 
     label_of = components(found.where("other is not null").select(F.col("row").alias("a"), F.col("other").alias("b")))
     counts = found.where("n is not null").groupBy("row").agg(F.sum("n").alias("n"))

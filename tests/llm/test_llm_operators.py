@@ -135,23 +135,63 @@ def test_trie_links_equal_brute_force():
     assert set(jaccard.trie_links(sets, sets)) == want
 
 
-def test_near_duplicates(spark):
+def cosine_truth(vectors, labels):
+    """Which rows link with each other, in doubles."""
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1)[:, None]
+    close = (unit @ unit.T >= 0.98) & (np.array(labels)[:, None] == np.array(labels))
+    np.fill_diagonal(close, False)
+    return close
+
+
+@pytest.mark.parametrize("many_leaves", [False, True])
+def test_near_duplicates(spark, many_leaves, monkeypatch):
+    if many_leaves:  # few fitted levels, so that large leaves are split by trees of their own
+        for name, n in (("SAMPLE", 100), ("LARGE", 64), ("FIT", 60)):
+            monkeypatch.setattr(neardup, name, n)
     rng = np.random.default_rng(2)
-    centres = rng.standard_normal((40, 16))
+    centres = rng.standard_normal((90, 16))
     vectors = [(c + rng.standard_normal(16) * rng.choice([0.0, 0.02, 0.08, 0.3])).tolist() for c in np.repeat(centres, 12, axis=0)]
-    rows = [(k, v, k % 3) for k, v in enumerate(vectors)]
-    rows += [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [None] * 16, 1), (9005, vectors[0], None), (9006, [], 0), (9007, [1.0, 2.0], 0), (None, vectors[3], 0)]
+    vectors += [(centres[0] + rng.standard_normal(16) * 0.01).tolist() for _ in range(150)]  # a tight group that no tree can split
+    rows = [(k, v, k % 2) for k, v in enumerate(vectors)]
+    rows += [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [None] * 16, 1), (9005, vectors[0], None), (9006, [], 0), (9007, [1.0, 2.0], 0), (None, vectors[2], 0), (7, vectors[7], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("row", F.lit("clash"))
-    got = {r.vec_id: r for r in neardup.near_duplicates(frame).collect()}
-    assert len(got) == len(rows)
-    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1)[:, None]
-    close = (unit @ unit.T >= 0.98) & (np.arange(len(unit))[:, None] % 3 == np.arange(len(unit)) % 3)
-    np.fill_diagonal(close, False)
+    out = neardup.near_duplicates(frame).collect()
+    assert len(out) == len(rows)
+    got = {r.vec_id: r for r in out}
+    close = cosine_truth([*vectors, vectors[2], vectors[7]], [k % 2 for k in range(len(vectors))] + [0, 1])
     want = close.sum(1)
-    extra = np.array([unit[3] @ u >= 0.98 and k % 3 == 0 for k, u in enumerate(unit)])  # the row without an id links too
-    found = sum(got[k].n_links for k in range(len(unit)))
-    assert found >= 0.9 * want.sum() and all(got[k].n_links <= want[k] + extra[k] for k in range(len(unit)))
+    plain = [k for k in range(len(vectors)) if k != 7]
+    asked = [k for k in plain if k % 20 == 0]
+    assert sum(got[k].n_links for k in asked) >= 0.9 * want[asked].sum() and all(got[k].n_links <= want[k] for k in plain)
     assert all(got[k].n_links == 0 and got[k].kept for k in range(9001, 9008))
+    depth = neardup._depth(len(vectors) // 2, min(neardup.SAMPLE, len(vectors)))
+    assert depth >= (1 if many_leaves else 4)
+    # links that are found join: what is linked at all lies in one component with its least id
+    assert all(got[k].component_id <= k and got[k].kept == (got[k].component_id == k) for k in plain)
+    assert got[0].component_id == got[2].component_id or not close[0, 2]
+
+
+def test_the_forest_finds_close_vectors_in_deep_trees():
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((5000, 64))
+    near = base[:2000] + rng.standard_normal((2000, 64)) * 0.15
+    unit = np.concatenate([base, near])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    asked = np.arange(0, len(unit), 20)
+    pairs = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit[asked] @ unit.T >= 0.98), strict=True) if asked[a] != b}
+    met = set()
+    for t in range(neardup.TREES):
+        tree = neardup.Tree(unit[::2], neardup._depth(len(unit), 5000), 11 + t)
+        assert tree.depth == 8
+        rows, leaves = tree.leaves(unit)
+        of = {}
+        for r, leaf in zip(rows.tolist(), leaves.tolist(), strict=True):
+            of.setdefault(leaf, set()).add(r)
+        at = [[] for _ in unit]
+        for r, leaf in zip(rows.tolist(), leaves.tolist(), strict=True):
+            at[r].append(leaf)
+        met |= {(a, b) for a, b in pairs if any(b in of[x] for x in at[asked[a]])}
+    assert pairs and len(met) >= 0.9 * len(pairs)
 
 
 def test_pieces_and_packing(spark):
