@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.stash import small_batches
+from sparkwell.llm.stash import free, small_batches
 from sparkwell.llm.text import ALNUM, gram_hashes, gram_mask, slices, split_words
 
 #: Words of a window that counts as a hit.
@@ -115,7 +115,7 @@ def find_spans(hashes: np.ndarray, bounds: np.ndarray, index: BlockIndex, window
     return sorted(found)
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: BlockIndex, text: str) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], index: BlockIndex, text: str, words: str, spans_column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans: list[list] = [[] for _ in range(batch.num_rows)]
         counts = np.zeros(batch.num_rows, np.int64)
@@ -126,9 +126,9 @@ def _search(batches: Iterator[pa.RecordBatch], index: BlockIndex, text: str) ->
                 spans[lo + row].append({"first": a, "last": b, "item": index.ids[item]})
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("item", pa.string())]))
         named = dict(zip(batch.schema.names, batch.columns, strict=True))
-        old = named.pop("_spans").to_pylist()
-        named["_words"] = pa.array(counts)
-        named["_spans"] = pa.array([x + y for x, y in zip(old, spans, strict=True)], kind)
+        old = named.pop(spans_column).to_pylist()
+        named[words] = pa.array(counts)
+        named[spans_column] = pa.array([x + y for x, y in zip(old, spans, strict=True)], kind)
         yield pa.RecordBatch.from_pydict({k: named[k] for k in batch.schema.names})
 
 
@@ -160,22 +160,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     holds a kept fingerprint on both sides, so none is missed; runs are then compared word by word in both directions.
     Items of fewer words are compared whole. One row per input row: null texts have no words, a document without hits
     has no items and the hash of the empty string; null items and items without words match nothing; an item without
-    an id counts under the id "null". Columns of docs with the names of new ones are replaced.
+    an id counts under the id "null". Rows are searched one by one, so repeated rows get equal answers; a very long text
+    is searched whole; an empty table on either side gives no rows or no hits. Columns of docs with the names of new
+    ones are replaced, all others stay.
     """
     small_batches(docs.sparkSession)
-    new = ["n_words", "n_hit", "spans", "items", "items_sha256", "contaminated", "_words", "_spans"]
+    new = ["n_words", "n_hit", "spans", "items", "items_sha256", "contaminated"]
     out = docs.drop(*new)
+    words, found = free(out, "words", "found")
     names = out.schema.names
     schema = out.selectExpr("*", "0L n_words", "0L n_hit", "CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>) spans", "CAST(array() AS array<string>) items", "'' items_sha256", "false contaminated").schema
     *earlier, last = _blocks(benchmark, item_id, item_text, block_bytes)
-    out = out.withColumn("_words", F.lit(0).cast("long")).withColumn("_spans", F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>)"))
+    out = out.withColumn(words, F.lit(0).cast("long")).withColumn(found, F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>)"))
     for index in earlier:
-        out = out.mapInArrow(lambda batches, index=index: _search(batches, index.value, text), out.schema)
+        out = out.mapInArrow(lambda batches, index=index: _search(batches, index.value, text, words, found), out.schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _search(batches, last.value, text):
-            got = [covered(s) for s in b.column("_spans").to_pylist()]
-            cols = [b.column(c) for c in names] + [b.column("_words"), pa.array([h for h, _ in got], pa.int64()), b.column("_spans"), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
+        for b in _search(batches, last.value, text, words, found):
+            got = [covered(s) for s in b.column(found).to_pylist()]
+            cols = [b.column(c) for c in names] + [b.column(words), pa.array([h for h, _ in got], pa.int64()), b.column(found), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return out.mapInArrow(finish, schema)

@@ -280,7 +280,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     pair of blocks is joined by a trie. Only spanning links leave a task. A null text, or one without words, has an
     empty set and is linked with nothing; a null id has a null component and is linked with nothing; an id that
     stands in several rows is one node for each different text and gets the least id of its text's component. Texts
-    are read three times and never shuffled; only n-grams of candidates are.
+    are read three times and never shuffled; only n-grams of candidates are. A very long text is a large set and is
+    compared whole; equal texts are one class however many; an empty table gives an empty result. Shingles are compared
+    by hashes of 64 bits: among the M distinct shingles of two sets some two agree with a chance of M^2 / 2^65. Other
+    columns of docs are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.llm.linear import Features, byte_grams, merged, row_sums, sample_by_class, softmax, temperature, train_softmax
-from sparkwell.llm.stash import small_batches
+from sparkwell.llm.stash import free, small_batches
 from sparkwell.llm.text import slices
 
 BITS = 16
@@ -90,23 +90,26 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
     language, chosen by a hash of their id, on the driver; prediction reads nothing but the text, whole, in one pass
     without a shuffle. lang_pred is a learnt language, or "und" with score 0 for a null text or one without letters;
     accepted tells whether the calibrated score is one at which TRUST of the held-back documents were right. Without
-    anything to learn from every row is "und".
+    anything to learn from every row is "und". Rows are predicted one by one, so repeated rows and ids get equal
+    answers; an empty table gives an empty result. Columns called lang_pred, score or accepted are replaced, all others stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("lang_pred", "score", "accepted")
     able = docs.where(learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull())
-    chosen = sample_by_class(able.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang")), "_lang", per_class, F.col("_id")).distinct()
-    got = able.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang) == F.col("_lang"))).where(F.col(text).isNotNull()).select(text, lang).collect()
+    able = able.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen = sample_by_class(able.select("id", "lang"), "lang", per_class, F.col("id")).distinct()
+    got = able.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("text").isNotNull()).select("text", "lang").collect()
     model = spark.sparkContext.broadcast(fit([r[0] for r in got], [r[1] for r in got]))
-    wide = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    (letters,) = free(docs, "letters")
+    wide = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters))
     names = docs.schema.names
     schema = docs.selectExpr("*", "'' lang_pred", "0D score", "false accepted").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            some = b.column("_letters").to_numpy(zero_copy_only=False)
+            some = b.column(letters).to_numpy(zero_copy_only=False)
             if m.langs and b.num_rows:
                 best, score = m.predict(b.column(text))
                 pred = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, some, strict=True)]

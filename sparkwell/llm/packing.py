@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.stash import cut, small_batches
+from sparkwell.llm.stash import cut, free, small_batches
 from sparkwell.llm.text import NON_SPACE, slices, split_words
 
 CAPACITY = 4096
@@ -129,7 +129,9 @@ def encoder(path: str) -> WordEncoder:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """One row per piece: the columns of docs but the text, then piece, start, length and ids_crc32.
 
-    A document is its ids and end_id; only one longer than capacity is cut. A null or empty text has end_id alone.
+    A document is its ids and end_id; only one longer than capacity is cut. A null or empty text has end_id alone; a
+    very long one has many pieces; repeated rows and ids have theirs each; an empty table gives an empty result. Columns
+    called piece, start, length or ids_crc32 are replaced, all others but the text stay.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.schema.names if c not in (text, "piece", "start", "length", "ids_crc32")]
@@ -282,21 +284,24 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, grou
 
     length: 1 to capacity in every row. Rows of full length fill a sequence each; the others are dealt by a hash of
     their place into groups of about group_pieces, which are packed on their own, so no task grows with the input and
-    equal rows spread evenly. An empty table gives an empty result.
+    equal rows spread evenly. Within a group pieces come in reading order and the search makes no random choice. An
+    empty table gives an empty result. Columns called sequence_id or offset are replaced, all others stay.
     """
-    rows = cut(rows.drop("sequence_id", "offset", "_uid", "_group").withColumn("_uid", F.monotonically_increasing_id()))
+    rows = rows.drop("sequence_id", "offset")
+    uid, group = free(rows, "uid", "group")
+    rows = cut(rows.withColumn(uid, F.monotonically_increasing_id()))
     full, rest = rows.where(F.col(length) >= capacity), rows.where(F.col(length) < capacity)
     groups = max(1, -(-rest.count() // group_pieces))
-    dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_uid"), F.lit(groups)))
-    out = rows.drop("_uid").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    dealt = rest.withColumn(group, F.pmod(F.xxhash64(uid), F.lit(groups)))
+    out = rows.drop(uid).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     names = out.schema.names
 
     def one_group(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_uid")  # whatever order the shuffle brought
+        t = t.sort_by(uid)  # whatever order the shuffle brought
         sizes = t.column(length).to_pylist()
         bins = local_search(best_fit(sizes, capacity), sizes, capacity)
         sequence, offset = [0] * len(sizes), [0] * len(sizes)
-        first = t.column("_group")[0].as_py() << 32
+        first = t.column(group)[0].as_py() << 32
         for k, b in enumerate(bins):
             at = 0
             for i in b:
@@ -304,5 +309,5 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, grou
                 at += sizes[i]
         return pa.table([t.column(c) for c in names[:-2]] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
 
-    packed = dealt.groupBy("_group").applyInArrow(one_group, out.schema)
-    return packed.unionByName(full.withColumn("sequence_id", -1 - F.col("_uid")).withColumn("offset", F.lit(0).cast("long")).drop("_uid"))
+    packed = dealt.groupBy(group).applyInArrow(one_group, out.schema)
+    return packed.unionByName(full.withColumn("sequence_id", -1 - F.col(uid)).withColumn("offset", F.lit(0).cast("long")).drop(uid))

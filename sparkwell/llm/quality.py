@@ -74,9 +74,10 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, per_class: int, text: str, id_col: str) -> list:
     """(text, label) of about per_class documents of each label of 0 and 1, chosen by a hash of their id."""
-    able = labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).alias("_label")).distinct()
-    chosen = sample_by_class(able, "_label", per_class, F.col("_id"))  # bounded, so that it can be broadcast
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).where(F.col(text).isNotNull()).select(text, "_label").collect()
+    able = labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label")).distinct()
+    chosen = sample_by_class(able, "label", per_class, F.col("id"))  # bounded, so that it can be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(chosen), "id").select("text", "label").collect()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", label: str = "quality", id_col: str = "doc_id", per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -84,7 +85,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
 
     learn: which rows of labels may be learnt from. The fit takes about per_class of each label on the driver; scores
     read nothing but the text, whole, in one pass without a shuffle. A null text counts as empty; an empty text, like
-    every text when nothing can be learnt, gets 0.5.
+    every text when nothing can be learnt, gets 0.5. Rows are scored one by one, so repeated rows and ids get equal
+    scores; an id with both labels is learnt with both; an empty table gives an empty result. Columns called score or
+    predicted are replaced, all others stay.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")

@@ -48,7 +48,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("toxic_sentences").cast("long").alias("n_toxic_sentences"))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", F.size("toxic_sentences").cast("long").alias("n_toxic_sentences"), F.array_join(F.transform("toxic_sentences", lambda x: F.concat_ws(":", x["first"].cast("string"), x["last"].cast("string"))), ",").alias("toxic_spans"))
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -108,4 +108,17 @@ items as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' ord
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw d left join words using (doc_id) left join items using (doc_id)""",
+    "op8_jaccard": rf"""
+with recursive dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as p from dw where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+both_ways as (select a, b from links union select b, a from links),
+reach as (select a as doc_id, a as node from both_ways union select doc_id, b from reach join both_ways on a = node),
+least as (select doc_id, min(node) as component_id from reach group by doc_id)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+from dw d left join sizes using (doc_id) left join least using (doc_id)""",
 }

@@ -310,7 +310,9 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus n_assign, n_access, n_hex (secrets standing as they are), base_spans, spans (all) and redacted.
 
     spans are strings kind:start:end in code points, comma-joined by start, then kind. A null text counts as empty:
-    no spans, and redacted stays null. Rows are independent: nothing is shuffled.
+    no spans, and redacted stays null. Rows are scanned one by one, so repeated rows get equal spans; a text is scanned
+    whole however long, with bounded memory beyond it for packed layers; an empty table gives an empty result. Columns
+    called as the new ones are replaced, all others stay. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted")

@@ -10,13 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine) a folder of this driver's own."""
+    """spark.checkpoint.dir. Only where all of Spark runs on this machine may it be unset: then a folder of this driver's own."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_sparkwell_folder", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or getattr(sc, "_sparkwell_folder", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = sc._sparkwell_folder = tempfile.mkdtemp(prefix="sparkwell-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder in the shared one; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it, so that columns of the user never clash with those in between."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: columns can be pruned, and it survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stash")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,7 +61,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to what text operators hold at once; a session set lower stays so."""
+    """Lowers the session's Arrow batches to what text operators hold at once; a session set lower stays so.
+
+    The setting stays with the session, as a plan reads it only when it runs; it changes the size of batches, no result.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)))
         if now <= 0 or now > most:

@@ -20,10 +20,14 @@ SAMPLE_PER_CLASS = 3000
 LEAST_DOCS = 4
 EPOCHS = 10
 #: Step size, and how far the gradients of a feature must add up before it gets a weight.
-RATE, SPARSE = 0.5, 0.4
+RATE, SPARSE = 0.5, 4.0
+#: Toxic documents that are held back at least, where there are as many, to find the threshold.
+CALIBRATION = 60
 #: Bytes of the beginnings of words that are features, so that unseen endings of a known stem count.
 HEADS = (4, 6)
 
+SENTENCES = "array<struct<first:bigint,last:bigint,text:string>>"
+
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
 
@@ -72,40 +76,30 @@ class ToxicityModel:
         """even: the noisy-or that counts as a score of 0.5."""
         self.weights, self.bias, self.even = weights, bias, even
 
-    def score(self, column: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[str]]]:
-        """(scores of rows, their sentences with a score of at least `least`)"""
+    def score(self, column: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
+        """(scores of rows, their sentences with a score of at least `least`: first and last + 1 code point, text)"""
         out, found = np.zeros(len(column)), [[] for _ in range(len(column))]
         for lo, hi, flat, at, rows, starts, ends in sentences(column):
             z = self.bias + row_sums(self.weights[flat], at)
             out[lo:hi] = -np.expm1(-row_sums(np.logaddexp(0, z), rows))
             for s in np.flatnonzero(_shifted(1 / (1 + np.exp(-np.clip(z, -60, 60))), self.even) >= least):
                 r = lo + int(np.searchsorted(rows, s, "right")) - 1
-                found[r].append(column[r].as_py().encode()[starts[s] : ends[s]].decode())
+                raw = column[r].as_py().encode()
+                first, text = len(raw[: starts[s]].decode()), raw[starts[s] : ends[s]].decode()
+                found[r].append({"first": first, "last": first + len(text), "text": text})
         return _shifted(np.clip(out, 0, 1), self.even), found
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 2) -> ToxicityModel:
-    """Weights of sentence features by stochastic gradient descent (sparse, follow-the-regularised-leader) on the noisy-or of a document's sentences.
-
-    Equal texts count once; a fifth is held back to find the noisy-or that parts the classes best.
-    """
-    pairs = sorted(set(zip(texts, labels, strict=True)))
-    column, target = pa.array([t for t, _ in pairs], pa.string()), [int(y) for _, y in pairs]
-    held = np.random.default_rng(seed).permutation(len(pairs)) % 5 == 4
-    docs = []
-    for lo, hi, flat, at, rows, _, _ in sentences(column):
-        for r in range(hi - lo):
-            a, b = rows[r], rows[r + 1]
-            if not held[lo + r]:
-                docs.append((flat[at[a] : at[b]], at[a : b + 1] - at[a], target[lo + r]))
+def _trained(docs: list[tuple[np.ndarray, np.ndarray, int]], seed: int) -> ToxicityModel:
+    """Weights of sentence features by stochastic gradient descent (sparse, follow-the-regularised-leader) on the noisy-or of a document's sentences."""
     count = np.zeros(1 << BITS, np.int64)
     for flat, _, _ in docs:
         count[np.unique(flat)] += 1
     usable = count >= LEAST_DOCS
     weights, past, pull, bias, past_bias = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS), -4.0, 1.0
     rng = np.random.default_rng(seed)
-    share = np.bincount(target, minlength=2) if target else np.ones(2)
-    heavy = (len(target) / (2 * np.maximum(1, share))).clip(0.2, 5)
+    share = np.bincount([y for _, _, y in docs], minlength=2)
+    heavy = (len(docs) / (2 * np.maximum(1, share))).clip(0.2, 5)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
             flat, at, y = docs[i]
@@ -127,14 +121,32 @@ def fit(texts: list[str], labels: list[int], seed: int = 2) -> ToxicityModel:
             weights[ids] = -np.sign(pull[ids]) * over / ((0.1 + np.sqrt(now)) / RATE + 0.02)
             past_bias += g.sum() ** 2
             bias -= 0.2 * g.sum() / np.sqrt(past_bias)
-    model = ToxicityModel(weights.astype(np.float32), float(bias))
-    score, _ = model.score(column.filter(pa.array(held, pa.bool_())), 2.0)
-    label = np.array(target)[held] if len(pairs) else np.zeros(0)
-    order = np.argsort(-score, kind="stable")
-    caught = np.cumsum(label[order])
-    if len(score) and caught[-1] >= 20:  # fewer tell nothing about a threshold
-        f1 = 2 * caught / (np.arange(1, len(score) + 1) + caught[-1])
-        k = int(f1.argmax())
+    return ToxicityModel(weights.astype(np.float32), float(bias))
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 2) -> ToxicityModel:
+    """A model from labelled texts; equal texts count once.
+
+    A fifth is held back to find the noisy-or that parts the classes best (by F1); with few toxic texts further fifths
+    are held back in turn, each from a model of the others, until CALIBRATION of them have been scored or all have.
+    Where even all of them are fewer than 20, the threshold stays at 0.5.
+    """
+    pairs = sorted(set(zip(texts, labels, strict=True)))
+    column, target = pa.array([t for t, _ in pairs], pa.string()), np.array([int(y) for _, y in pairs], np.int64)
+    fold = np.random.default_rng(seed).permutation(len(pairs)) % 5
+    docs = []
+    for lo, hi, flat, at, rows, _, _ in sentences(column):
+        docs += [(flat[at[rows[r]] : at[rows[r + 1]]], at[rows[r] : rows[r + 1] + 1] - at[rows[r]], int(target[lo + r])) for r in range(hi - lo)]
+    score, label, model = np.zeros(0), np.zeros(0, np.int64), None
+    for f in (4, 3, 2, 1, 0):
+        fitted = _trained([d for d, k in zip(docs, fold.tolist(), strict=True) if k != f], seed)
+        model = model or fitted
+        score, label = np.append(score, fitted.score(column.filter(pa.array(fold == f, pa.bool_())), 2.0)[0]), np.append(label, target[fold == f])
+        if label.sum() >= CALIBRATION or target.sum() < 20:
+            break
+    if label.sum() >= 20:
+        order = np.argsort(-score, kind="stable")
+        k = int((np.cumsum(label[order]) / (np.arange(1, len(score) + 1) + label.sum())).argmax())
         after = score[order][k + 1] if k + 1 < len(score) else 0.0
         model.even = float(np.clip((score[order][k] + after) / 2, 0.25, 0.95))
     return model
@@ -145,19 +157,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, text: str
 
     learn: which rows of labels may be learnt from. The fit takes about per_class of each label on the driver; scores
     read nothing but the text, whole, in one pass without a shuffle. A text without words (null, empty) has no
-    sentence and so score 0; without anything to learn from no weight is set and scores stay near 0.
+    sentence and so score 0; without anything to learn from no weight is set and scores stay near 0. toxic_sentences
+    has first and last + 1 code point and the text of each. Rows are scored one by one, so repeated rows and ids get
+    equal scores; an id with both labels is learnt with both; an empty table gives an empty result. Columns called
+    score, predicted or toxic_sentences are replaced, all others stay.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted", "toxic_sentences")
     got = labelled_sample(docs, labels, learn, label, per_class, text, id_col)
     model = docs.sparkSession.sparkContext.broadcast(fit([r[0] for r in got], [r[1] for r in got]))
     names = docs.schema.names
-    schema = docs.selectExpr("*", "0D score", "0 predicted", "CAST(array() AS array<string>) toxic_sentences").schema
+    schema = docs.selectExpr("*", "0D score", "0 predicted", f"CAST(array() AS {SENTENCES}) toxic_sentences").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score, found = model.value.score(b.column(text))
-            new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, pa.list_(pa.string()))]
+            new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("text", pa.string())])))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + new, names=schema.names)
 
     return docs.mapInArrow(run, schema)

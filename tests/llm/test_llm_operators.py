@@ -401,19 +401,55 @@ def test_language(spark):
     assert {r.lang_pred for r in got if r.doc_id < 0} == {"und"} and all(0 <= r.score <= 1 for r in got)
 
 
-def test_quality_and_toxicity(spark):
+def test_quality(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     docs = labelled(spark).drop("lang")
     q = quality.score_quality(docs, labels, ~held).join(labels, "doc_id").where(held).collect()
     assert sum(r.predicted == r.quality for r in q) >= 0.95 * len(q)
-    t = toxicity.score_toxicity(docs, labels, ~held)
-    rows = t.join(labels, "doc_id").collect()
-    clean = [r for r in rows if r.toxic == 0]
-    assert sum(r.predicted == 0 for r in clean) >= 0.95 * len(clean)
-    caught = [r for r in rows if r.toxic == 1 and r.predicted == 1]
-    assert caught and sum(bool(r.toxic_sentences) for r in caught) >= 0.5 * len(caught)
-    assert {r.predicted for r in t.where("doc_id < 0").collect()} == {0}
+
+
+def test_toxicity_of_documents_it_has_not_learnt_from(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "123 ...")], "doc_id long, text string"))
+    rows = toxicity.score_toxicity(docs, labels, ~held).join(labels, "doc_id", "left").where(held | F.col("toxic").isNull()).collect()
+    toxic, clean = ([r for r in rows if r.toxic == k] for k in (1, 0))
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert all(r.predicted == 0 and r.score < 0.5 for r in rows if r.toxic is None)
+    for r in toxic:
+        assert all(r.text[x.first : x.last] == x.text for x in r.toxic_sentences)
+    caught = [r for r in toxic if r.predicted]
+    assert sum(bool(r.toxic_sentences) for r in caught) >= 0.7 * len(caught)
+
+
+def test_noisy_or_of_a_document():
+    model = toxicity.fit([f"plain words {k} here. more of them" for k in range(40)] + [f"plain words {k}. dreadful filth" for k in range(40)], [0] * 40 + [1] * 40)
+    texts = pa.array(["plain words 1. dreadful filth. more of them"])
+    for lo, hi, flat, at, rows, _, _ in toxicity.sentences(texts):
+        z = [model.bias + model.weights[flat[a:b]].astype(float).sum() for a, b in zip(at[:-1], at[1:], strict=True)]
+    p = 1 - np.prod([1 / (1 + np.exp(x)) for x in z])
+    odds = p / (1 - p) * (1 - model.even) / model.even
+    assert abs(model.score(texts)[0][0] - odds / (1 + odds)) < 1e-9
+
+
+CLASHING = ["tie", "part", "o0", "row", "first", "upto", "nth", "bytes0", "n0", "total", "letters", "id", "_id", "_lang", "_label", "label", "share", "_share", "uid", "group", "_uid", "_group", "_words", "_spans", "set", "n", "hub", "Text_"]
+
+
+def test_columns_of_any_name_stay(spark):
+    wide = docs_frame(spark, EDGES).drop("spans", "score").withColumn("lang", F.lit("en")).withColumn("quality", F.lit(1)).withColumn("toxic", F.lit(0))
+    for c in CLASHING:
+        wide = wide.withColumn(c, F.lit(c))
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    outs = [
+        sharding.byte_shards(wide, F.octet_length(F.coalesce("text", F.lit(""))) + 8, [F.col("doc_id")], 3), language.identify(wide, F.lit(True)), quality.score_quality(wide, wide, F.lit(True)), toxicity.score_toxicity(wide, wide, F.lit(True)),
+        decontaminate.decontaminate(wide, bench), packing.pack(packing.pieces(wide, tokenizer_file())), secret_scan.scan_secrets(wide), token_counts.count_tokens(wide, tokenizer_file("piece_bpe_32k.model")),
+    ]
+    for out in outs:
+        assert set(CLASHING) <= set(out.columns)
+        assert all(r[c] == c for r in out.collect() for c in CLASHING)
+    assert jaccard.jaccard_groups(wide).count() == len(EDGES)
 
 
 def test_classifiers_without_labels(spark):
