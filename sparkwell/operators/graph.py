@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in spark.checkpoint.dir; where that is unset, in a folder of this driver's own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkwell-"))
-    return df.checkpoint(eager=True)
+from sparkwell.operators.cuts import cut
 
 
 def closure(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwell.operators.cuts import new_folder
+
 
 def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, one of this machine's own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkwell-")
-    return f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which goes when the application ends."""
+    return new_folder(spark, "feed")
 
 
 def ingest(spark: SparkSession, folder: str, schema, key: str, version: str, columns: list[str]) -> DataFrame:
