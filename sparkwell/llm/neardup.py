@@ -99,7 +99,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _homes(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[pa.RecordBatch]:
-    """(row, label, vector, home): a row for every leaf that a vector falls into."""
+    """(row, label, vector, copies, home, homes): a row for every leaf that a vector falls into, with all of its leaves."""
     dim = 8 * trees[0].dim
     for batch in batches:
         raw = batch.column(2).to_pylist()
@@ -111,8 +111,12 @@ def _homes(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[pa.
             rows, leaves = tree.leaves(vectors)
             row.append(same[rows])
             home.append((t << 32) + leaves)
-        at = pa.array(np.concatenate(row))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(np.concatenate(home))], names=["row", "label", "vector", "home"])
+        row, home = np.concatenate(row), np.concatenate(home)
+        order = np.argsort(row, kind="stable")
+        row, home = row[order], home[order]
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(raw) + 1)).astype(np.int32)), pa.array(home))
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array(home), lists.take(at)], names=["row", "label", "vector", "copies", "home", "homes"])
 
 
 def _inner_tree(t: pa.Table) -> pa.Table:
@@ -124,7 +128,7 @@ def _inner_tree(t: pa.Table) -> pa.Table:
 
 
 def _inner_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, label, vector, parent, home) of rows with the tree of their large leaf."""
+    """(row, label, vector, copies, parent, home) of rows with the tree of their large leaf."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
         parents = t["home"].to_numpy()
@@ -139,28 +143,33 @@ def _inner_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = pa.array(rows)
                 # a new name for (home, node); below zero are the homes of other dimensions, so it stays above
                 name = (mix(np.uint64(home * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + nodes.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([some["row"].combine_chunks().take(at), some["label"].combine_chunks().take(at), some["vector"].combine_chunks().take(at), pa.array(np.full(len(rows), home)), pa.array(name)], names=["row", "label", "vector", "parent", "home"])
+                kept = [some[c].combine_chunks().take(at) for c in ("row", "label", "vector", "copies")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(rows), home)), pa.array(name)], names=["row", "label", "vector", "copies", "parent", "home"])
 
 
-def _split_large(at: DataFrame) -> DataFrame:
-    """Leaves of at(row, label, vector, home) split on until they are small or only close vectors are left."""
-    done = None
+def _split_large(first: DataFrame) -> DataFrame:
+    """Leaves of first(row, label, vector, copies, home, homes) split on until they are small or only close vectors are left."""
+    slim = ["row", "label", "vector", "copies", "home"]
+    at, done, leaf = first.select(slim), None, ["label", "home"]
     while True:
-        sizes = written(at.groupBy("label", "home").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+        sizes = written(at.groupBy(*leaf).agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
         if sizes.isEmpty():
-            return at if done is None else written(done.unionByName(at))
+            break
         # sampled by a hash of the row, so about FIT rows of each leaf meet in a task
-        large = at.join(sizes, ["label", "home"])
-        some = large.where(F.pmod(F.xxhash64("row", "home"), F.lit(1 << 20)) * F.col("n") < F.lit(FIT) * F.lit(1 << 20))
-        trees = written(some.groupBy("label", "home").applyInArrow(_inner_tree, "label string, home long, depth int, cuts binary"))
-        parts = written(at.join(trees, ["label", "home"]).select("row", "label", "vector", "home", "depth", "cuts").mapInArrow(_inner_homes, "row long, label string, vector binary, parent long, home long"))
+        some = at.join(sizes, leaf).where(F.pmod(F.xxhash64("row", "home"), F.lit(1 << 20)) * F.col("n") < F.lit(FIT) * F.lit(1 << 20))
+        trees = written(some.groupBy(*leaf).applyInArrow(_inner_tree, "label string, home long, depth int, cuts binary"))
+        parts = written(at.join(trees, leaf).select(*slim, "depth", "cuts").mapInArrow(_inner_homes, "row long, label string, vector binary, copies long, parent long, home long"))
         found = parts.groupBy("label", "parent", "home").agg(F.count("*").alias("m")).groupBy("label", "parent").agg(F.max("m").alias("m"))
         split = written(found.join(sizes.withColumnRenamed("home", "parent"), ["label", "parent"]).where(F.col("m") <= KEPT * F.col("n")).select("label", "parent"))
-        rest = at.join(split.withColumnRenamed("parent", "home"), ["label", "home"], "left_anti")
-        done = rest if done is None else done.unionByName(rest)
-        at = written(parts.join(split, ["label", "parent"], "left_semi").select("row", "label", "vector", "home"))
         if split.isEmpty():
-            return written(done)
+            break
+        rest = at.join(split.withColumnRenamed("parent", "home"), leaf, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        at = written(parts.join(split, ["label", "parent"], "left_semi").select(slim))
+    if done is None:
+        return first
+    every = written(done.unionByName(at))
+    return every.join(every.groupBy("row").agg(F.collect_list("home").alias("homes")), "row")  # a few leaves in each tree
 
 
 def _leaf_links(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -176,16 +185,14 @@ def _leaf_links(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, in
     if not len(i):
         return row[:0], copies[:0], []
     a, b = left[i], right[j]
-    lists = t["homes"].to_pylist()
-    homes = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-    for r, h in enumerate(lists):
-        homes[r, : len(h)] = h
-    least = np.full(len(a), (1 << 63) - 1)
-    for c in range(homes.shape[1]):
-        x = homes[a, c]
-        shared = (x != -1) & (homes[b] == x[:, None]).any(1)
-        least = np.where(shared, np.minimum(least, x), least)
-    a, b = a[least == home], b[least == home]
+    # close vectors mostly have the same lists of leaves, so the first shared one is found once for each two lists
+    names: dict[tuple, int] = {}
+    of = np.array([names.setdefault(tuple(h), len(names)) for h in t["homes"].to_pylist()])
+    lists = list(names)
+    both, at = np.unique(of[a] * len(lists) + of[b], return_inverse=True)
+    sets = [set(h) for h in lists]
+    here = np.array([min(sets[x // len(lists)] & sets[x % len(lists)]) == home for x in both.tolist()])
+    a, b = a[here[at]], b[here[at]]
     degree = np.bincount(a, copies[b], len(row)) + np.bincount(b, copies[a], len(row))
     root = list(range(len(row)))
 
@@ -260,12 +267,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     depth = _depth(most, len(fitted))
     forest = spark.sparkContext.broadcast([Tree(fitted, depth, 11 + t) for t in range(trees)])  # at most SAMPLE / 8 split points each
 
-    homed = written(firsts.select("row", "label", "vector").mapInArrow(lambda b: _homes(b, forest.value), "row long, label string, vector binary, home long"))
-    homed = _split_large(homed)
-    lists = homed.groupBy("row").agg(F.collect_list("home").alias("homes"))  # a few leaves in each tree
+    at = _split_large(written(firsts.mapInArrow(lambda b: _homes(b, forest.value), "row long, label string, vector binary, copies long, home long, homes array<long>")))
     leaf = ["label", "home"]
-    sizes = written(homed.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    at = homed.join(lists, "row").join(classes.select("row", "copies"), "row")
+    sizes = written(at.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"))
     dealt = at.join(sizes, leaf).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     group = [*leaf, "i", "j"]
