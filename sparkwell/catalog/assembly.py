@@ -14,25 +14,22 @@ from sparkwell.plans import assemble as A
 
 
 def _semantic(s, d):
-    """Per label (entity type) the five nearest vectors of each request."""
-    q = Q._request_vectors(s, d)
-    e = M.table(s, d, "embeddings")
-    out = None
-    for label in (0, 1, 2):
-        v = e.where(F.col("label") == label).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-        part = channels.vector_channel(q, v, 5).select("request_id", F.lit(label).alias("kind"), F.col("chunk_id").alias("entity_id"), "score", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Per label (entity type) the five nearest vectors of each request, all labels in one pass."""
+    e = M.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("kind"))
+    scores = channels.vector_scores(Q._request_vectors(s, d), e, 5, by="kind")
+    w = Window.partitionBy("request_id", "kind").orderBy(F.desc("score"), "id")
+    return scores.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("request_id", "kind", F.col("id").alias("entity_id"), "score", "rank")
 
 
 def _linked(s, d):
     r = M.requests(s, d).select("request_id")
-    return r.withColumn("entity_id", F.explode(F.array(F.col("request_id") * 2, F.col("request_id") * 3 + 1))).distinct()
+    ids = r.withColumn("entity_id", F.explode(F.array(F.col("request_id") * 2, F.col("request_id") * 3 + 1))).distinct()
+    return ids.join(M.table(s, d, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").alias("kind")), "entity_id")
 
 
 def as_discover(s, d):
-    a = A.discover(_semantic(s, d).where("kind = 0"), _linked(s, d))
-    return a.select("request_id", "entity_id", "score", F.coalesce("rank", F.lit(0)).alias("rank"), "reasons")
+    a = A.discover(_semantic(s, d), _linked(s, d))
+    return a.select("request_id", "kind", "entity_id", "score", F.coalesce("rank", F.lit(0)).alias("rank"), "reasons")
 
 
 def _gated(s, d):
@@ -40,9 +37,9 @@ def _gated(s, d):
     values, closure = R.registry(s, d)
     ids = M.requests(s, d).select("request_id")
     nodes = R.nodes(s, d)
-    got = rules.evaluate(R.contexts(s, d).join(ids, "request_id", "left_semi"), nodes, R.dimensions(s), values, closure)
+    got = rules.evaluate(R.contexts(s, d).join(ids, "request_id", "left_semi"), nodes, R.dimensions(s), values, closure, requests=R.customers(s, d).join(ids, "request_id", "left_semi"))
     verdict = graph.cut(rules.authorize(got, nodes, R.dimensions(s)).select("request_id", "rule_id", "state", "allowed", "spec_a", "spec_b"))
-    p = M.table(s, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("entity_id"), F.concat_ws("/", "p_brand", "p_type").alias("rule_id"), F.when(F.col("p_size") % 10 == 0, "draft").otherwise("published").alias("status"), F.col("p_brand").alias("grp"), F.col("p_size").alias("priority"))
+    p = M.table(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.concat_ws("/", "p_brand", "p_type").alias("rule_id"), F.when(F.col("p_size") % 10 == 0, "draft").otherwise("published").alias("status"), F.col("p_brand").alias("grp"), F.col("p_size").alias("priority"))
     offered = verdict.join(p, "rule_id")
     i = F.col("entity_id")
     return A.gates(offered.withColumn("authorized", F.when(i % 3 == 0, F.col("allowed"))).withColumn("applicable", F.when(i % 4 == 0, F.col("state") == 2)))
@@ -87,10 +84,10 @@ def _graph(s, d):
 
 
 def _seeds(s, d):
-    """Every band of 40 parts is a request; its four largest keys are seeds, the largest is required."""
-    p = M.table(s, d, "part").select(F.expr("p_partkey div 40").alias("request_id"), F.col("p_partkey").alias("node"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("node"))
-    return p.withColumn("r", F.row_number().over(w)).where("r <= 4").select("request_id", "node", (F.col("r") == 1).alias("required"))
+    """Every request asks for four parts; the first is required."""
+    n = M.table(s, d, "part").count()
+    r = M.requests(s, d).select("request_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    return r.select("request_id", ((13 * F.col("request_id") + 101 * F.col("j")) % n).alias("node"), (F.col("j") == 0).alias("required"))
 
 
 def gr_dep_closure(s, d):
@@ -113,9 +110,11 @@ def as_edge_status(s, d):
 
 
 def _skills(s, d):
-    """A skill for every four neighbouring parts of a band; it needs its two largest ones."""
-    p = M.table(s, d, "part").select(F.expr("p_partkey div 40").alias("request_id"), F.expr("p_partkey div 4").alias("skill"), F.col("p_partkey").alias("tool"))
-    return p.select("request_id", "skill").distinct(), p.where("tool % 4 >= 2").select("skill", "tool")
+    """A skill is four neighbouring parts and needs the two largest of them; every request asks for six."""
+    n = M.table(s, d, "part").count() // 4
+    r = M.requests(s, d).select("request_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    p = M.table(s, d, "part").select(F.expr("p_partkey div 4").alias("skill"), F.col("p_partkey").alias("tool"))
+    return r.select("request_id", ((7 * F.col("request_id") + 31 * F.col("j")) % n).alias("skill")).distinct(), p.where("tool % 4 >= 2").select("skill", "tool")
 
 
 def as_skill_select(s, d):
@@ -137,7 +136,7 @@ def as_tool_budget(s, d):
     v, _ = graph.dependency_closure(_seeds(s, d), nodes, edges)
     p = M.table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("score"), F.col("p_size").alias("priority"))
     seed = _seeds(s, d).select("request_id", "node", F.lit(True).alias("seed"))
-    tools = v.where("included").join(p, "node").join(seed, ["request_id", "node"], "left").select("request_id", "node", "required", "score", "priority", F.coalesce("seed", F.lit(False)).alias("seed"), F.lit(4).alias("budget"))
+    tools = v.where("included").join(p, "node").join(seed, ["request_id", "node"], "left").select("request_id", "node", "required", "score", "priority", F.coalesce("seed", F.lit(False)).alias("seed"), F.lit(A.CEILINGS["tools"]).alias("budget"))
     return A.trim_tools(tools, edges)
 
 
@@ -157,7 +156,7 @@ def as_render(s, d):
 
 QUERIES = {f.__name__: f for f in (as_discover, as_gate, as_groups, as_fragments, as_budgets, gr_dep_closure, as_provenance, as_edge_status, as_skill_select, as_usage, as_tool_budget, as_bootstrap, as_render)}
 
-_GATED = f"""{R._EVAL}, p as (select p_partkey as entity_id, p_brand || '/' || p_type as rule_id, case when p_size % 10 = 0 then 'draft' else 'published' end as status, p_brand as grp, p_size as priority from part where p_partkey < 300),
+_GATED = f"""{R._EVAL}, p as (select p_partkey as entity_id, p_brand || '/' || p_type as rule_id, case when p_size % 10 = 0 then 'draft' else 'published' end as status, p_brand as grp, p_size as priority from part),
 g as (select request_id, p.*, spec_a, spec_b, case when status <> 'published' then 'LIFECYCLE_NOT_PUBLISHED' when entity_id % 3 = 0 and not allowed then 'AUTHORIZATION_NO_MATCH' when entity_id % 4 = 0 and state <> 'true' then 'APPLICABILITY_NO_MATCH' end as code
   from done join p using (rule_id) where request_id in (select item_id from benchmark))"""
 
@@ -175,20 +174,20 @@ status as (
   from tool_edges join verdict s on s.node = source join verdict t on t.node = target and t.request_id = s.request_id)"""
 
 
-_SEEDS = "select p_partkey // 40 as request_id, p_partkey as node, row_number() over w = 1 as required from part window w as (partition by p_partkey // 40 order by p_partkey desc) qualify row_number() over w <= 4"
+_SEEDS = "select item_id as request_id, (13 * item_id + 101 * j) % (select count(*) from part) as node, j = 0 as required from benchmark, range(4) t(j)"
 # a skill stays when both its tools are usable: skills do not touch each other's gates, so one round decides
-_SKILLS = f"""with recursive {_closure_sql("select p_partkey // 40 as request_id, p_partkey as node, true as required from part where p_partkey % 4 >= 2")},
-skills as (select distinct p_partkey // 40 as request_id, p_partkey // 4 as skill from part),
+_SKILLS = f"""with recursive {_closure_sql(_SEEDS)},
+skills as (select distinct item_id as request_id, (7 * item_id + 31 * j) % (select count(*) // 4 from part) as skill from benchmark, range(6) t(j)),
 kept as (select request_id, skill from skills where skill not in (select node // 4 from broken where node % 4 >= 2)),
-used as (select skills.request_id, p_partkey as node from kept skills join part on p_partkey // 4 = skill and p_partkey % 4 >= 2),
+used as (select kept.request_id, p_partkey as node from kept join part on p_partkey // 4 = skill and p_partkey % 4 >= 2),
 inc as (select request_id, node from used union select request_id, target from inc join tool_edges on source = node where target not in (select node from broken))"""
 
 SQL = {
-    "as_discover": """with s as (select i.item_id as request_id, v.vec_id as entity_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from benchmark i join embeddings q on q.vec_id = i.item_id, embeddings v where v.label = 0),
-r as (select *, cast(row_number() over (partition by request_id order by score desc, entity_id) as int) as rank from s qualify rank <= 5),
-l as (select distinct item_id as request_id, unnest([item_id * 2, item_id * 3 + 1]) as entity_id from benchmark)
-select coalesce(r.request_id, l.request_id) as request_id, coalesce(r.entity_id, l.entity_id) as entity_id, score, coalesce(rank, 0) as rank, concat_ws(',', case when rank is not null then 'SEMANTIC_MATCH' end, case when l.request_id is not null then 'CONCEPT_LINK' end) as reasons
-from r full join l on r.request_id = l.request_id and r.entity_id = l.entity_id""",
+    "as_discover": """with s as (select i.item_id as request_id, v.label as kind, v.vec_id as entity_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from benchmark i join embeddings q on q.vec_id = i.item_id, embeddings v),
+r as (select *, cast(row_number() over (partition by request_id, kind order by score desc, entity_id) as int) as rank from s qualify rank <= 5),
+l as (select distinct x.request_id, label as kind, x.entity_id from (select item_id as request_id, unnest([item_id * 2, item_id * 3 + 1]) as entity_id from benchmark) x join embeddings on vec_id = x.entity_id)
+select coalesce(r.request_id, l.request_id) as request_id, coalesce(r.kind, l.kind) as kind, coalesce(r.entity_id, l.entity_id) as entity_id, score, coalesce(rank, 0) as rank, concat_ws(',', case when rank is not null then 'VECTOR_MATCH' end, case when l.request_id is not null then 'DIRECT_CONCEPT_LINK' end) as reasons
+from r full join l on r.request_id = l.request_id and r.kind = l.kind and r.entity_id = l.entity_id""",
     "as_gate": f"with {_GATED} select request_id, code, count(*) as n, min(case when code <> 'AUTHORIZATION_NO_MATCH' then entity_id else -1 end) as first_entity from g where code is not null group by 1, 2",
     "as_groups": f"""with {_GATED}, h as (select *, cast(regexp_extract(grp, '(\\d+)', 1) as int) % 4 as k from g where code is null)
 select request_id, entity_id from h qualify case when k in (0, 3) then true when k = 1 then row_number() over (partition by request_id, grp order by spec_a desc, spec_b desc, priority desc, entity_id) = 1 else row_number() over (partition by request_id, grp order by priority desc, spec_a desc, spec_b desc, entity_id) = 1 end""",

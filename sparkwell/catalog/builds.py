@@ -109,9 +109,11 @@ def dq_lifecycle_deps(s, d):
 
 
 def dq_self_and_cycles(s, d):
-    e = M.edges(s, d).select("source", "target").where("source < 60 AND target < 60")
-    own = M.table(s, d, "part").where("p_partkey % 500 = 7").select(F.col("p_partkey").alias("source"), F.col("p_partkey").alias("target"))
-    return checks.faults(graph.cycles(e.unionByName(own)), F.col("node"), "DEPENDENCY_CYCLE")
+    """Every edge between parts, and some parts that depend on themselves."""
+    e = M.edges(s, d).select("source", "target").distinct()
+    own = M.table(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("node"))
+    circles = checks.faults(graph.strong_components(e), F.col("node"), "TOOL_DEPENDENCY_CYCLE")
+    return circles.unionByName(checks.faults(own, F.col("node"), "TOOL_SELF_DEPENDENCY"))
 
 
 def dq_name_collision(s, d):
@@ -148,13 +150,14 @@ def ev_report(s, d):
 
 
 def ev_assembly(s, d):
-    """A case per band of parts: its largest and smallest part should be included among the tools."""
+    """A case per request: its first seed should be included among the tools, and another part not."""
     from sparkwell.catalog import assembly
 
     got = assembly.gr_dep_closure(s, d).where("included").select(F.col("request_id").alias("case_id"), F.col("node").alias("ref"), F.lit(1).alias("rank"))
-    p = M.table(s, d, "part").groupBy(F.expr("p_partkey div 40").alias("case_id")).agg(F.max("p_partkey").alias("hi"), F.min("p_partkey").alias("lo"))
+    n = M.table(s, d, "part").count()
+    r = M.requests(s, d).select(F.col("request_id").alias("case_id"), ((13 * F.col("request_id")) % n).alias("yes"), ((17 * F.col("request_id") + 5) % n).alias("no"))
     none = F.lit(-1).cast("long").alias("ref_b")
-    want = p.select("case_id", F.lit("include").alias("kind"), F.col("hi").alias("ref_a"), none, F.lit(0).alias("within")).unionByName(p.select("case_id", F.lit("exclude").alias("kind"), F.col("lo").alias("ref_a"), none, F.lit(0).alias("within")))
+    want = r.select("case_id", F.lit("include").alias("kind"), F.col("yes").alias("ref_a"), none, F.lit(0).alias("within")).unionByName(r.select("case_id", F.lit("exclude").alias("kind"), F.col("no").alias("ref_a"), none, F.lit(0).alias("within")))
     return evaluate.assertions(want, graph.cut(got)).select("case_id", "kind", "passed")
 
 
@@ -224,18 +227,24 @@ select namespace, environment, cast(1 as int) as revision, case when namespace =
     "dq_refs": f"with {_ORD} {_REFS}",
     "dq_rules": """with r as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 5 as k from part group by p_brand, p_type)
 select (['UNKNOWN_DIMENSION', 'INVALID_OPERATOR_FOR_DIMENSION', 'INVALID_EXPRESSION'])[k] as code, count(*) as n from r where k in (1, 2, 3) group by 1""",
-    "dq_groups": "with g as (select p_brand, arg_min(p_type, p_partkey) as k from part group by 1) select 'SELECTION_GROUP_KIND_MISMATCH' as code, 'error' as severity, cast(p_partkey as varchar) as subject from part join g using (p_brand) where p_type <> k",
-    "dq_lifecycle_deps": f"""with {M.TOOL_EDGES}, {M.CONCEPTS} select 'PUBLISHED_DEPENDS_ON_UNPUBLISHED' as code, 'error' as severity, cast(source as varchar) || '->' || cast(target as varchar) as subject
+    "dq_groups": "with g as (select p_brand, arg_min(p_type, p_partkey) as k from part group by 1) select 'SELECTION_GROUP_TYPE_MISMATCH' as code, 'error' as severity, cast(p_partkey as varchar) as subject from part join g using (p_brand) where p_type <> k",
+    "dq_lifecycle_deps": f"""with {M.TOOL_EDGES}, {M.CONCEPTS} select 'INVALID_LIFECYCLE_DEPENDENCY' as code, 'error' as severity, cast(source as varchar) || '->' || cast(target as varchar) as subject
 from tool_edges join concepts a on a.concept_id = source and a.status = 'published' join concepts b on b.concept_id = target and b.status <> 'published'""",
-    "dq_self_and_cycles": f"""with recursive {M.EDGES}, e as (select source, target from edges where source < 60 and target < 60 union select p_partkey, p_partkey from part where p_partkey % 500 = 7),
-r as (select source as origin, target as node from e union select origin, target from r join e on source = node) select distinct 'DEPENDENCY_CYCLE' as code, 'error' as severity, cast(node as varchar) as subject from r where origin = node""",
+    # the component of one busy node first, then all with all in what it leaves
+    "dq_self_and_cycles": f"""with recursive {M.EDGES}, e as materialized (select distinct source, target from edges), hub as (select source as node from e group by source order by count(*) desc, source limit 1),
+fw as (select node from hub union select target from fw join e on node = source), bw as (select node from hub union select source from bw join e on node = target),
+core as materialized (select node from fw intersect select node from bw), rest as materialized (select source, target from e where source not in (select node from core) and target not in (select node from core)),
+r as (select source as origin, target as node from rest union select origin, target from r join rest on source = node),
+c as (select node from core where (select count(*) from core) > 1 union select node from r where origin = node)
+select 'TOOL_DEPENDENCY_CYCLE' as code, 'error' as severity, cast(node as varchar) as subject from c
+union all select 'TOOL_SELF_DEPENDENCY', 'error', cast(p_partkey as varchar) from part where p_size = 7""",
     "dq_name_collision": f"with {M.CONCEPTS} {_NAMES}",
     "dq_domain_values": f"with {_ORD} {_DOMAIN}",
     "dq_summary": f"with {_ORD}, {M.CONCEPTS} select severity, count(*) as n from ({_UNIQUE} union all {_REFS} union all {_NAMES} union all {_DOMAIN}) group by 1",
     "ev_retrieval": f"with recursive {_EV} select case_id, kind, passed from rs",
     "ev_report": f"with recursive {_EV} select kind, cast(count_if(passed) as bigint) as n_passed, cast(count_if(not passed) as bigint) as n_failed, coalesce(string_agg(case when not passed then cast(case_id as varchar) end, ',' order by case_id), '') as failed_cases from rs group by 1",
-    "ev_assembly": f"""with recursive {_A._closure_sql(_A._SEEDS)}, b as (select p_partkey // 40 as case_id, max(p_partkey) as hi, min(p_partkey) as lo from part group by 1)
-select case_id, 'include' as kind, (case_id, hi) in (select (request_id, node) from included) as passed from b union all select case_id, 'exclude', (case_id, lo) not in (select (request_id, node) from included) from b""",
+    "ev_assembly": f"""with recursive {_A._closure_sql(_A._SEEDS)}, b as (select item_id as case_id, (13 * item_id) % n as yes, (17 * item_id + 5) % n as no from benchmark, (select count(*) as n from part))
+select case_id, 'include' as kind, (case_id, yes) in (select (request_id, node) from included) as passed from b union all select case_id, 'exclude', (case_id, no) not in (select (request_id, node) from included) from b""",
     "ev_refs": f"with {M.CHUNKS} select cast(item_id as varchar) || '#' || case when part_key = '' then 'intro' else part_key end as ref, chunk_id from chunks",
     "src_corpus": "select case when source like 'src1%' then 'first' else 'other' end as kind, count(distinct source || '/' || cast(doc_id // 200 as varchar)) as n_files from documents group by 1",
     "src_entities": "select case when source like 'src1%' then 'first' else 'other' end as kind, doc_id as id, lang, n_chars from documents",

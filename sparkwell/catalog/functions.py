@@ -59,7 +59,7 @@ def fn_trgm_similarity(s, d):
 
 def fn_edit_distance_suggest(s, d):
     p = M.table(s, d, "part")
-    wrong = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.expr("concat(substr(p_name, 1, 2), substr(p_name, 4))").alias("word"))
+    wrong = p.select(F.col("p_partkey").alias("id"), F.expr("concat(substr(p_name, 1, 2), substr(p_name, 4), CASE WHEN p_partkey % 3 = 0 THEN ' xyzzy' ELSE '' END)").alias("word"))
     return similarity.suggest(wrong, "word", p.select(F.col("p_name").alias("key")).distinct()).select("id", "word", "suggestion", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
@@ -144,10 +144,10 @@ SQL = {
     "fn_trigrams": f"select p_partkey, array_to_string(list_sort({_grams('p_name')}), '|') as grams from part",
     "fn_trgm_similarity": f"""with g as (select p_partkey, {_grams('p_name')} as a, {_grams("lower(p_type) || ' ' || split_part(p_name, ' ', -1)")} as b from part)
 select p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) as similarity from g""",
-    "fn_edit_distance_suggest": """with w as (select p_partkey as id, substr(p_name, 1, 2) || substr(p_name, 4) as word from part where p_partkey % 50 = 0),
-k as (select distinct p_name as key from part),
-r as (select id, word, key, levenshtein(word, key) as dist, row_number() over (partition by id order by levenshtein(word, key), key) as n from w, k)
-select id, word, case when dist <= greatest(2, length(word) / 3.0) then key end as suggestion, case when dist <= greatest(2, length(word) / 3.0) then cast(dist as int) else -1 end as distance from r where n = 1""",
+    "fn_edit_distance_suggest": """with w as (select p_partkey as id, substr(p_name, 1, 2) || substr(p_name, 4) || case when p_partkey % 3 = 0 then ' xyzzy' else '' end as word from part),
+k as (select distinct p_name as key from part), a as (select distinct word from w),
+r as (select word, key, levenshtein(word, key) as dist, row_number() over (partition by word order by levenshtein(word, key), key) as n from a, k)
+select id, word, case when dist <= greatest(2, length(word) / 3.0) then key end as suggestion, case when dist <= greatest(2, length(word) / 3.0) then cast(dist as int) else -1 end as distance from w join r using (word) where n = 1""",
     "fn_canonical_hash": "select doc_id, sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source})) as hash from documents",
     "fn_uuid5": f"""select doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab89ab89ab89ab', cast('0x' || substr(h, 17, 1) as int) + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) as uuid
 from (select doc_id, sha1(unhex('{NAMESPACE}') || encode(source || ':' || cast(doc_id as varchar))) as h from documents)""",

@@ -51,7 +51,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     from sparkwell.operators.chunking import hard_split
 
     cut = hard_split(items(spark, d), "body", CHUNK_LIMIT)
-    return cut.withColumn("chunk_id", F.col("item_id") * STRIDE + F.col("ordinal")).withColumn("token_count", T.estimate_tokens(F.col("content"))).drop("body")
+    heading = F.when(F.col("part_key") != "", F.substring(F.split_part("content", F.lit("\n"), F.lit(1)), 1, 80))  # a part's own first line
+    return cut.withColumn("chunk_id", F.col("item_id") * STRIDE + F.col("ordinal")).withColumn("token_count", T.estimate_tokens(F.col("content"))).withColumn("heading", heading).drop("body")
 
 
 CHUNKS = f"""{ITEMS},
@@ -59,7 +60,7 @@ chunks as (
   select item_id, title, source, lang, status, priority, authority, effective_from, effective_to, selection_group,
     cast(o as int) as ordinal, substr(body, o * {CHUNK_LIMIT} + 1, {CHUNK_LIMIT}) as content,
     case when length(body) > {CHUNK_LIMIT} then 'part-' || lpad(cast(o + 1 as varchar), cast(greatest(2, length(cast(o + 1 as varchar))) as int), '0') else '' end as part_key,
-    item_id * {STRIDE} + o as chunk_id,
+    item_id * {STRIDE} + o as chunk_id, case when length(body) > {CHUNK_LIMIT} then substr(split_part(substr(body, o * {CHUNK_LIMIT} + 1, {CHUNK_LIMIT}), chr(10), 1), 1, 80) end as heading,
     cast(ceil(length(substr(body, o * {CHUNK_LIMIT} + 1, {CHUNK_LIMIT})) / 4.0) as bigint) as token_count
   from (select *, unnest(range(0, greatest(1, cast(ceil(length(body) / {CHUNK_LIMIT}.0) as bigint)))) as o from items))"""
 
@@ -97,50 +98,47 @@ CHUNK_CONCEPTS = """chunk_concepts as (
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Typed concept edges: consecutive distinct parts of an order, the type is the return flag."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 3")
-    a = lines.select("l_orderkey", F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("relation"), "l_linestatus")
+    lines = table(spark, d, "lineitem")
+    a = lines.select("l_orderkey", F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("relation"), "l_linestatus", "l_quantity")
     b = lines.select("l_orderkey", F.col("l_partkey").alias("target"), (F.col("l_linenumber") - 1).alias("n"))
     e = a.join(b, ["l_orderkey", "n"]).where("source <> target")
-    return e.groupBy("source", "target", "relation").agg(F.min("l_orderkey").alias("edge_id"), F.max("l_linestatus").alias("line_status"))
+    return e.groupBy("source", "target", "relation").agg(F.min("l_orderkey").alias("edge_id"), F.max("l_linestatus").alias("line_status"), F.max("l_quantity").alias("quantity"))
 
 
 EDGES = """edges as (
-  select a.l_partkey as source, b.l_partkey as target, a.l_returnflag as relation, min(a.l_orderkey) as edge_id, max(a.l_linestatus) as line_status
+  select a.l_partkey as source, b.l_partkey as target, a.l_returnflag as relation, min(a.l_orderkey) as edge_id, max(a.l_linestatus) as line_status, max(a.l_quantity) as quantity
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_linenumber <= 3 and b.l_linenumber <= 3 and a.l_partkey <> b.l_partkey group by all)"""
+  where a.l_partkey <> b.l_partkey group by all)"""
 
 
 def tool_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Dependencies between parts: from the larger key to the smaller, within bands of 40 keys; status F is required."""
+    """Dependencies between parts: from the larger key to the smaller; those of large lines with status F are required."""
     return (
         edges(spark, d)
-        .select(F.greatest("source", "target").alias("source"), F.least("source", "target").alias("target"), "line_status")
-        .where("source div 40 = target div 40")
-        .groupBy("source", "target")
-        .agg(F.when(F.min("line_status") == "F", "required").otherwise("optional").alias("requirement"))
+        .groupBy(F.greatest("source", "target").alias("source"), F.least("source", "target").alias("target"))
+        .agg(F.when((F.min("line_status") == "F") & (F.max("quantity") >= 46), "required").otherwise("optional").alias("requirement"))
     )
 
 
 TOOL_EDGES = f"""{EDGES},
 tool_edges as (
-  select greatest(source, target) as source, least(source, target) as target, case when min(line_status) = 'F' then 'required' else 'optional' end as requirement
-  from edges where greatest(source, target) // 40 = least(source, target) // 40 group by 1, 2)"""
+  select greatest(source, target) as source, least(source, target) as target, case when min(line_status) = 'F' and max(quantity) >= 46 then 'required' else 'optional' end as requirement
+  from edges group by 1, 2)"""
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as requests: text, the first words as query, a text that names a concept, and an as-of time."""
+    """Benchmark items as requests: text, a text that names a concept, and an as-of time."""
     n = table(spark, d, "part").count()
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text", ((13 * F.col("item_id")) % n).alias("concept_id"))
     c = concepts(spark, d).select("concept_id", "key", "name", "alias")
     m = F.col("request_id") % 5
     named = F.when(m == 0, F.col("key")).when(m == 1, F.upper("name")).when(m == 2, F.expr("substr(name, 1, length(name) - 2)")).when(m == 3, F.col("alias")).otherwise(F.concat(F.lit("the "), F.col("name"), F.lit("s")))
-    words = F.slice(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), 1, 3)
-    return b.join(c, "concept_id").select("request_id", "text", F.array_join(words, " ").alias("query"), named.alias("concept_text"), F.expr("timestamp'2024-03-01' + make_dt_interval(int(request_id))").alias("as_of"), (F.col("request_id") % 3 == 0).alias("include_draft"))
+    return b.join(c, "concept_id").select("request_id", "text", F.col("text").alias("query"), named.alias("concept_text"), F.expr("timestamp'2024-03-01' + make_dt_interval(int(request_id))").alias("as_of"), (F.col("request_id") % 3 == 0).alias("include_draft"))
 
 
 REQUESTS = f"""{CONCEPTS},
 requests as (
-  select item_id as request_id, text, array_to_string(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')[1:3], ' ') as query,
+  select item_id as request_id, text, text as query,
     case item_id % 5 when 0 then key when 1 then upper(name) when 2 then substr(name, 1, length(name) - 2) when 3 then alias else 'the ' || name || 's' end as concept_text,
     timestamp '2024-03-01' + to_days(cast(item_id as int)) as as_of, item_id % 3 = 0 as include_draft
   from benchmark join concepts on concept_id = (13 * item_id) % (select count(*) from part))"""

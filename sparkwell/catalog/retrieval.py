@@ -29,13 +29,21 @@ def tk_vector(s, d):
     return C.vector_channel(_request_vectors(s, d), _chunk_vectors(s, d), LIMITS["vector"])
 
 
+def _names(s, d):
+    """Names of the concepts of every chunk."""
+    named = M.chunk_concepts(s, d).join(M.concepts(s, d).select("concept_id", "name"), "concept_id")
+    return named.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
+
+
 def tk_fulltext(s, d):
-    return C.fulltext_channel(M.requests(s, d), C.postings(M.chunks(s, d)), LIMITS["full_text"], 3)
+    return C.fulltext_channel(M.requests(s, d), C.postings(M.chunks(s, d), _names(s, d)), LIMITS["full_text"])
 
 
 def tk_trigram(s, d):
-    q = M.requests(s, d).select("request_id", F.substring("text", 1, 80).alias("query"))
-    return C.trigram_channel(q, M.chunks(s, d).select("chunk_id", F.col("title").alias("name")), LIMITS["trigram"])
+    """Titles of items and headings of chunks; the better of both counts."""
+    c = M.chunks(s, d)
+    names = c.select("chunk_id", F.col("title").alias("name")).unionByName(c.select("chunk_id", F.col("heading").alias("name")))
+    return C.trigram_channel(M.requests(s, d), names, LIMITS["trigram"])
 
 
 def _concept_semantic(s, d):
@@ -141,7 +149,7 @@ def _verdicts(s, d):
     values, closure = R.registry(s, d)
     ids = M.requests(s, d).select("request_id")
     nodes = R.nodes(s, d)
-    got = rules.evaluate(R.contexts(s, d).join(ids, "request_id", "left_semi"), nodes, R.dimensions(s), values, closure)
+    got = rules.evaluate(R.contexts(s, d).join(ids, "request_id", "left_semi"), nodes, R.dimensions(s), values, closure, requests=R.customers(s, d).join(ids, "request_id", "left_semi"))
     return rules.authorize(got, nodes, R.dimensions(s))
 
 
@@ -204,10 +212,11 @@ def _grams(c: str) -> str:
 
 
 def _lexemes(c: str) -> str:
+    from sparkwell.catalog.functions import _folded
     from sparkwell.functions.text import STOP_WORDS
 
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' and w not in ({stop}))"
+    return f"list_filter(regexp_split_to_array(lower({_folded(c)}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' and w not in ({stop}))"
 
 
 _BASE = f"{M.REQUESTS}, {M.CHUNKS}, {M.CHUNK_CONCEPTS}"
@@ -216,26 +225,23 @@ vector_hits as (
   select request_id, v.vec_id * 100000 as chunk_id, round(list_cosine_similarity(q::double[], embedding::double[]), 9) as score
   from qv, embeddings v where v.vec_id in (select doc_id from documents)),
 tk_vector as (select request_id, 'vector' as channel, chunk_id, cast(row_number() over (partition by request_id order by score desc, chunk_id) as int) as rank, score from vector_hits qualify rank <= 60)"""
-_FULL = f"""post as (
-  select chunk_id, unnest(list_concat(a, b)) as lexeme, unnest(range(0, len(a) + len(b))) as pos, len(a) as na
-  from (select chunk_id, {_lexemes('title')} as a, {_lexemes('content')} as b from chunks)),
+_FULL = f"""cnames as (select chunk_id, string_agg(name, ' ' order by name) as names from chunk_concepts join concepts using (concept_id) group by 1),
+post as (
+  select chunk_id, unnest(list_concat(list_concat(a, b), c)) as lexeme, unnest(range(0, len(a) + len(b) + len(c))) as pos, len(a) as na, len(a) + len(b) as nb
+  from (select chunk_id, {_lexemes('title')} as a, {_lexemes('content')} as b, {_lexemes("coalesce(names, '')")} as c from chunks left join cnames using (chunk_id))),
 ask as (select request_id, unnest(q) as lexeme, unnest(range(0, len(q))) as k, len(q) as n from (select request_id, list_sort(list_distinct({_lexemes('query')})) as q from requests)),
-found as (select request_id, chunk_id, k, n, pos, case when pos < na then 1.0 else 0.4 end::double as weight from post join ask using (lexeme)),
-hold as (select request_id, chunk_id from found group by 1, 2 having count(distinct k) = max(n)),
-latest as (
-  select request_id, chunk_id, pos, n,
-    max(case when k = 0 then {{'pos': pos, 'w': weight}} end) over w as l0, max(case when k = 1 then {{'pos': pos, 'w': weight}} end) over w as l1, max(case when k = 2 then {{'pos': pos, 'w': weight}} end) over w as l2
-  from found semi join hold using (request_id, chunk_id) window w as (partition by request_id, chunk_id order by pos rows between unbounded preceding and current row)),
-ends as (
-  select request_id, chunk_id, pos as e, n, least(l0.pos, l1.pos, l2.pos) as s, coalesce(1 / l0.w, 0) + coalesce(1 / l1.w, 0) + coalesce(1 / l2.w, 0) as inv
-  from latest where (l0 is not null)::int + (l1 is not null)::int + (l2 is not null)::int = n),
+hold as (select request_id, chunk_id from (select distinct chunk_id, lexeme from post) join ask using (lexeme) group by 1, 2 having count(*) = any_value(n)),
+found as (select request_id, chunk_id, k, n, pos, case when pos < na then 1.0 when pos < nb then 0.4 else 0.2 end::double as weight from hold join post using (chunk_id) join ask using (request_id, lexeme)),
+latest as (select e.request_id, e.chunk_id, e.pos as e, f.k, any_value(e.n) as n, max(f.pos) as pos, arg_max(f.weight, f.pos) as w from found e join found f on f.request_id = e.request_id and f.chunk_id = e.chunk_id and f.pos <= e.pos group by 1, 2, 3, 4),
+ends as (select request_id, chunk_id, e, any_value(n) as n, min(pos) as s, list_sum(list(1 / w order by k)) as inv from latest group by 1, 2, 3 having count(*) = any_value(n)),
 covers as (select request_id, chunk_id, s, min(e) as e, arg_min(inv, e) as inv, any_value(n) as n from ends group by 1, 2, 3),
 full_hits as (select request_id, chunk_id, round(sum((n / inv) / (1 + e - s + 1 - n)), 9) as score from covers group by 1, 2),
 tk_fulltext as (select request_id, 'fullText' as channel, chunk_id, cast(row_number() over (partition by request_id order by score desc, chunk_id) as int) as rank, score from full_hits qualify rank <= 40)"""
-_TRGM = f"""tq as (select request_id, {_grams('substr(text, 1, 80)')} as a from requests),
-tt as (select title, {_grams('title')} as b from (select distinct title from chunks)),
-tsim as (select request_id, title, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as score from tq, tt where len(b) > 0),
-tri_hits as (select request_id, chunk_id, round(score, 9) as score from tsim join chunks using (title) where score > 0.3),
+_TRGM = f"""tq as (select request_id, {_grams('text')} as a from requests),
+tn as (select chunk_id, title as name from chunks union all select chunk_id, heading from chunks where heading is not null),
+tt as (select name, {_grams('name')} as b from (select distinct name from tn)),
+tsim as (select request_id, name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as score from tq, tt where len(b) > 0),
+tri_hits as (select request_id, chunk_id, round(max(score), 9) as score from tsim join tn using (name) where score > 0.3 group by 1, 2),
 tk_trigram as (select request_id, 'trigram' as channel, chunk_id, cast(row_number() over (partition by request_id order by score desc, chunk_id) as int) as rank, score from tri_hits qualify rank <= 20)"""
 
 
@@ -346,7 +352,7 @@ SQL = {
     "st_channel_union": f"with {_CANDIDATES} select request_id, chunk_id, count(*) as n_channels, min(rank) as best_rank from cand group by 1, 2",
     "ag_channel_pivot": f"with {_MERGED} select request_id, chunk_id, {', '.join(f'coalesce({c}_rank, 0) as {c}_rank, {c}_score' for c in _CH)} from merged",
     "ag_rrf": f"with {_MERGED} select request_id, chunk_id, rrf from fused",
-    "qp_reasons": f"""with {_MERGED} select request_id, chunk_id, concat_ws(',', case when vector_rank is not null then 'SEMANTIC_MATCH' end, case when fullText_rank is not null then 'FULL_TEXT_MATCH' end, case when trigram_rank is not null then 'TRIGRAM_MATCH' end, case when conceptLinked_rank is not null then 'CONCEPT_LINK' end, case when graphLinked_rank is not null then 'ONTOLOGY_CONCEPT_LINK' end) as reasons from merged""",
+    "qp_reasons": f"""with {_MERGED} select request_id, chunk_id, concat_ws(',', case when vector_rank is not null then 'VECTOR_MATCH' end, case when fullText_rank is not null then 'FULL_TEXT_MATCH' end, case when trigram_rank is not null then 'TRIGRAM_MATCH' end, case when conceptLinked_rank is not null then 'DIRECT_CONCEPT_LINK' end, case when graphLinked_rank is not null then 'ONTOLOGY_CONCEPT_LINK' end) as reasons from merged""",
     "qp_retrieve": f"with recursive {_DONE} select request_id, chunk_id, item_id, final_rank, rrf, token_count from finished where final_code is null",
     "qp_exclusions": f"""with recursive {_DONE} select request_id, case when redacted then 'redacted' else cast(chunk_id as varchar) end as chunk_id,
   case when final_code in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW') then 'lifecycle_filter' when final_code = 'AUTHORIZATION_NO_MATCH' then 'authorization' when final_code = 'APPLICABILITY_NO_MATCH' then 'applicability'

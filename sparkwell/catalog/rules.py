@@ -206,10 +206,12 @@ def pr_lifecycle(s, d):
 
 
 def pr_effective_window(s, d):
+    """Items are counted by window first: there are few different ones, and only those meet the times that requests name."""
     r = M.requests(s, d).select("request_id", "as_of")
-    w = M.items(s, d).select("item_id", "effective_from", "effective_to").where("effective_from IS NOT NULL OR effective_to IS NOT NULL")
+    w = M.items(s, d).where("effective_from IS NOT NULL OR effective_to IS NOT NULL").groupBy("effective_from", "effective_to").agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
     within = (F.col("effective_from").isNull() | (F.col("effective_from") <= F.col("as_of"))) & (F.col("effective_to").isNull() | (F.col("as_of") < F.col("effective_to")))
-    return w.join(r, within).groupBy("request_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
+    times = w.join(r.select("as_of").distinct(), within).groupBy("as_of").agg(F.sum("n").alias("n_items"), F.min("first").alias("first_item"))
+    return r.join(times, "as_of").select("request_id", "n_items", "first_item")
 
 
 def pr_hard_filters(s, d):

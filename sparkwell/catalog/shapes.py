@@ -60,8 +60,8 @@ def jn_left_state(s, d):
 
 
 def jn_similarity(s, d):
-    p = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).where("id < 200")
-    q = p.select(F.col("id").alias("query_id"), F.col("name").alias("query")).where("query_id % 10 = 0")
+    p = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    q = p.select(F.col("id").alias("query_id"), F.col("name").alias("query")).where("query_id % 20 = 0")
     return trigram_join(q, "query_id", "query", p, "id", "name").select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -79,20 +79,22 @@ def jn_self_hierarchy(s, d):
 
 
 def jn_range_window(s, d):
-    r = M.requests(s, d).select("request_id", "as_of")
-    i = M.items(s, d).where("effective_from IS NOT NULL AND effective_to IS NOT NULL").select("item_id", "effective_from", "effective_to")
-    return i.join(r, (F.col("effective_from") <= F.col("as_of")) & (F.col("as_of") < F.col("effective_to"))).select("request_id", "item_id")
+    """Requests meet the items of their month; the window is tested within it."""
+    r = M.requests(s, d).select("request_id", "as_of", F.trunc("as_of", "month").alias("month"))
+    i = M.items(s, d).where("effective_from < effective_to").select("item_id", "effective_from", "effective_to")
+    i = i.withColumn("month", F.explode(F.sequence(F.trunc("effective_from", "month"), F.trunc("effective_to", "month"), F.expr("interval 1 month"))))
+    return i.join(r, "month").where("effective_from <= as_of AND as_of < effective_to").select("request_id", "item_id")
 
 
 def ag_max_score(s, d):
-    q = M.requests(s, d).select("request_id", F.substring("text", 1, 80).alias("query"))
+    q = M.requests(s, d).select("request_id", F.col("text").alias("query"))
     c = M.chunks(s, d)
     names = c.select("chunk_id", F.col("title").alias("name")).unionByName(c.select("chunk_id", F.concat_ws(" ", "source", "part_key").alias("name")))
     return channels.trigram_channel(q, names, 20).select("request_id", "chunk_id", "score")
 
 
 def ag_distinct(s, d):
-    return M.table(s, d, "lineitem").where("l_partkey % 50 = 0").select("l_orderkey").distinct()
+    return M.table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
 
 
 def ag_total_count(s, d):
@@ -122,11 +124,9 @@ def wn_final_order(s, d):
 
 
 def wn_pack(s, d):
-    """Chunks of a source as candidates of a request by id, with tight budgets."""
-    w = Window.partitionBy("request_id").orderBy("chunk_id")
+    """All chunks of a source as candidates of a request by id, with tight budgets."""
     c = M.chunks(s, d).select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("request_id"), "chunk_id", (F.col("item_id") % 7).alias("item_id"), "token_count")
-    c = c.withColumn("final_rank", F.row_number().over(w)).where("final_rank <= 60")
-    return fusion.pack(c, F.lit(10), F.lit(5000), F.lit(3)).select("request_id", "chunk_id", "outcome")
+    return fusion.pack_long(c, 10, 5000, 3, "chunk_id").select("request_id", "chunk_id", "outcome")
 
 
 def wn_keyset_page(s, d):
@@ -187,22 +187,33 @@ def _dag(s, d):
     return graph.cut(M.tool_edges(s, d))
 
 
+def _origins(s, d):
+    """Every twentieth part as a query of its own."""
+    return M.table(s, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+
+
 def gr_reachable(s, d):
-    seeds = M.table(s, d, "part").where("p_partkey % 40 = 39").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
-    return graph.reachable(seeds, _dag(s, d), ["origin"])
+    return graph.reachable(_origins(s, d), _dag(s, d), ["origin"])
 
 
 def gr_dependents(s, d):
-    seeds = M.table(s, d, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
     back = _dag(s, d).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.reachable(seeds, back, ["origin"])
+    return graph.reachable(_origins(s, d), back, ["origin"])
+
+
+def _turned(s, d):
+    """The required dependencies, and beside one of every hundredth part one that turns it back."""
+    e = graph.cut(_dag(s, d).where("requirement = 'required'").select("source", "target"))
+    back = e.where("source % 100 = 7").groupBy("source").agg(F.min("target").alias("target"))
+    return e.unionByName(back.select(F.col("target").alias("source"), F.col("source").alias("target")))
+
+
+def gr_cycle_paths(s, d):
+    return graph.cycle_paths(_turned(s, d)).select("component", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def gr_cycles(s, d):
-    """The dependencies with one edge turned back in every third band."""
-    e = _dag(s, d)
-    band = e.where("source div 40 % 3 = 0").groupBy(F.expr("source div 40").alias("b")).agg(F.min(F.struct("source", "target")).alias("x"))
-    return graph.cycles(e.select("source", "target").unionByName(band.select(F.col("x.target").alias("source"), F.col("x.source").alias("target"))))
+    return graph.cycles(_turned(s, d))
 
 
 def br_list(s, d):
@@ -234,7 +245,7 @@ def br_backlinks(s, d):
     return t.unionByName(k).groupBy("id", "used_by_type").agg(F.count("*").alias("n"), F.min("used_by").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, br_list, br_list_all, br_get, br_children, br_backlinks)}
+QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_all, br_get, br_children, br_backlinks)}
 
 _HIER = "v as (select r_name as value, null::varchar as parent from region union all select n_name, r_name from nation join region on n_regionkey = r_regionkey)"
 _NEAR = f"""{M.EDGES}, {M.CONCEPTS}, e as (select * from edges where relation in ('A', 'R')),
@@ -254,19 +265,19 @@ select edge_id, a.key as source_key, relation_name, b.key as target_key from edg
     "jn_semi_concept": "select l_returnflag, count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_name like 'red %') group by 1",
     "jn_semi_domain": f"with {M.CHUNKS}, {M.CHUNK_CONCEPTS} select distinct item_id from chunks where chunk_id in (select chunk_id from chunk_concepts join part on p_partkey = concept_id where p_brand = 'Brand#3')",
     "jn_left_state": """select o_custkey as namespace, o_orderkey as revision, row_number() over w = 1 as active from orders window w as (partition by o_custkey order by o_orderdate desc, o_orderkey desc) qualify row_number() over w <= 3""",
-    "jn_similarity": f"""with p as (select p_partkey as id, p_name as name, {Q._grams('p_name')} as g from part where p_partkey < 200)
-select q.id as query_id, p.id, round(len(list_intersect(q.g, p.g)) / len(list_distinct(list_concat(q.g, p.g))), 9) as score from p q, p where q.id % 10 = 0 and len(list_intersect(q.g, p.g)) / len(list_distinct(list_concat(q.g, p.g))) > 0.3""",
+    "jn_similarity": f"""with p as (select p_partkey as id, p_name as name, {Q._grams('p_name')} as g from part)
+select q.id as query_id, p.id, round(len(list_intersect(q.g, p.g)) / len(list_distinct(list_concat(q.g, p.g))), 9) as score from p q, p where q.id % 20 = 0 and len(list_intersect(q.g, p.g)) / len(list_distinct(list_concat(q.g, p.g))) > 0.3""",
     "jn_vector": """with s as (select q.vec_id as request_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from embeddings q, embeddings v where q.vec_id % 20 = 0)
 select request_id, id, cast(row_number() over (partition by request_id order by score desc, id) as int) as rank, score from s qualify rank <= 5""",
     "jn_self_hierarchy": f"with {_HIER} select value, case when parent is null then value else parent || ' > ' || value end as path from v",
     "jn_range_window": f"with {M.REQUESTS}, {M.ITEMS} select request_id, item_id from requests join items on effective_from <= as_of and as_of < effective_to",
-    "ag_max_score": f"""with {M.REQUESTS}, {M.CHUNKS}, tq as (select request_id, {Q._grams('substr(text, 1, 80)')} as a from requests),
+    "ag_max_score": f"""with {M.REQUESTS}, {M.CHUNKS}, tq as (select request_id, {Q._grams('text')} as a from requests),
 nm as (select chunk_id, title as name from chunks union all select chunk_id, concat_ws(' ', source, part_key) from chunks),
 g as (select name, {Q._grams('name')} as b from (select distinct name from nm)),
 sim as (select request_id, name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as score from tq, g where len(b) > 0),
 h as (select request_id, chunk_id, round(max(score), 9) as score from sim join nm using (name) where score > 0.3 group by 1, 2)
 select request_id, chunk_id, score from h qualify row_number() over (partition by request_id order by score desc, chunk_id) <= 20""",
-    "ag_distinct": "select distinct l_orderkey from lineitem where l_partkey % 50 = 0",
+    "ag_distinct": "select distinct l_orderkey, l_partkey from lineitem",
     "ag_total_count": "select count(*) as total from part where p_type = 'SMALL'",
     "ag_percentiles": """select event_type as stage, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, count(*) as n from events group by 1
 union all select 'total', quantile_disc(value, 0.5), quantile_disc(value, 0.95), count(*) from events""",
@@ -275,7 +286,7 @@ union all select 'total', quantile_disc(value, 0.5), quantile_disc(value, 0.95),
 select id, grp from p qualify case k when 0 then true when 1 then row_number() over (partition by grp order by a desc, b desc, priority desc, id) = 1 else row_number() over (partition by grp order by priority desc, a desc, b desc, id) = 1 end""",
     "wn_final_order": f"with recursive {Q._DONE} select request_id, chunk_id, final_rank from finished where final_rank is not null",
     "wn_pack": f"""with recursive {M.CHUNKS},
-c as (select cast(regexp_extract(source, '(\\d+)', 1) as bigint) as request_id, chunk_id, item_id % 7 as item_id, token_count, row_number() over (partition by source order by chunk_id) as r from chunks qualify r <= 60),
+c as (select cast(regexp_extract(source, '(\\d+)', 1) as bigint) as request_id, chunk_id, item_id % 7 as item_id, token_count, row_number() over (partition by source order by chunk_id) as r from chunks),
 f as (
   select request_id, 0::bigint as i, 0::bigint as n, 0::bigint as used, cast([] as bigint[]) as took, null::bigint as chunk_id, null::varchar as outcome from (select distinct request_id from c)
   union all
@@ -297,11 +308,15 @@ from (select * from v full join l using (request_id, concept_id)) join concepts
     "gr_closure": f"with {_HIER} select value as ancestor, value as descendant, cast(0 as int) as depth from v union all select parent, value, 1 from v where parent is not null",
     "gr_topo_depth": f"with {_HIER} select value, cast(case when parent is null then 0 else 1 end as int) as depth from v",
     "gr_neighbourhood": f"with {_NEAR} select source, relation, target from e where source in (select node from seen) and target in (select node from seen)",
-    "gr_reachable": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 40 = 39 union select origin, target from r join tool_edges on source = node) select origin, node from r",
-    "gr_dependents": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 40 = 0 union select origin, source from r join tool_edges on target = node) select origin, node from r",
-    "gr_cycles": f"""with recursive {M.TOOL_EDGES}, turned as (select source, target from tool_edges where source // 40 % 3 = 0 qualify row_number() over (partition by source // 40 order by source, target) = 1),
-e as (select source, target from tool_edges union select target, source from turned),
-r as (select source as origin, target as node from e union select origin, target from r join e on source = node) select distinct node from r where origin = node""",
+    "gr_reachable": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 20 = 0 union select origin, target from r join tool_edges on source = node) select origin, node from r",
+    "gr_dependents": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 20 = 0 union select origin, source from r join tool_edges on target = node) select origin, node from r",
+    # every cycle uses a turned edge, so a node lies on one when its start is reached from the node and the node from its end
+    "gr_cycles": f"""with recursive {M.TOOL_EDGES}, must as (select source, target from tool_edges where requirement = 'required'),
+turned as (select min(target) as source, source as target from must where source % 100 = 7 group by source),
+e as (select source, target from must union all select source, target from turned),
+fw as (select target as k, target as node from turned union select k, e.target from fw join e on fw.node = e.source),
+bw as (select target as k, source as node from turned union select k, e.source from bw join e on bw.node = e.target)
+select distinct fw.node from fw join bw on fw.k = bw.k and fw.node = bw.node""",
     "br_list": f"""with {M.CONCEPTS}, c as (select concept_id, key from concepts where status = 'published' and domain in ('Brand#2', 'Brand#4') and contains(lower(name), 'bolt')), p as (select * from c order by concept_id limit 11)
 select concept_id, key, to_base64(encode('cursor:' || cast(concept_id as varchar))) as cursor, (select count(*) from p) > 10 as has_next_page, (select count(*) from c) as total from (select * from p order by concept_id limit 10)""",
     "br_list_all": "select dim_key, value_type, (select count(*) from region) as n_regions, cast(row_number() over (order by dim_key) as int) as place from (values " + ", ".join(f"('{x[0]}', '{x[1]}')" for x in R.DIMENSIONS) + ") t(dim_key, value_type)",

@@ -1,7 +1,6 @@
 """Candidate channels for a batch of requests. Each gives (request_id, channel, chunk_id, rank, score), ranks from 1.
 
-Requests are the stated query set: small beside the corpus. Limits may be a number, or a column of the requests when
-`most` gives the largest, so that Spark can cut groups early.
+A limit is a number, or a column of the requests given as (request_id, limit).
 """
 
 from __future__ import annotations
@@ -14,83 +13,138 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
+from sparkwell.operators.cuts import cut, written
 from sparkwell.operators.similarity import trigram_join
 
-#: Query vectors multiplied at once.
-QUERY_BLOCK = 1024
-#: Weights of title and body words in a cover.
-TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
+#: Query vectors that are broadcast; more of them meet the corpus in blocks of so many, and of SLICE vectors, by a shuffle.
+QUERY_BLOCK, SLICE = 1024, 20_000
+#: Weights of words of the title, the body and the names of concepts in a cover.
+TITLE_WEIGHT, BODY_WEIGHT, NAME_WEIGHT = 1.0, 0.4, 0.2
 DIGITS = 9
 
 
-def ranked(hits: DataFrame, channel: str, limit: int, order: list[Column]) -> DataFrame:
+def ranked(hits: DataFrame, channel: str, limit: int | DataFrame, order: list[Column]) -> DataFrame:
     """The first `limit` hits of each request in `order`."""
     w = Window.partitionBy("request_id").orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("request_id", F.lit(channel).alias("channel"), "chunk_id", "rank", "score")
-
-
-def vector_scores(requests: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """(request_id, id, score): for every request the `limit` nearest of each batch of vectors(id, vector) by cosine.
-
-    Requests(request_id, vector) are collected in blocks and broadcast; the corpus is read once per block and never
-    shuffled, only each batch's best leave the task. Zero and null vectors have no cosine and no row.
+    placed = hits.withColumn("rank", F.row_number().over(w))
+    if isinstance(limit, DataFrame):
+        placed = placed.join(limit, "request_id").where(F.col("rank") <= F.col("limit"))
+    else:
+        placed = placed.where(F.col("rank") <= limit)
+    return placed.select("request_id", F.lit(channel).alias("channel"), "chunk_id", "rank", "score")
+
+
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places of vectors with a direction, those as unit vectors)"""
+    v = np.array(column.to_pylist(), np.float64)
+    v = v.reshape(len(v), -1)
+    norm = np.linalg.norm(v, axis=1)
+    at = np.flatnonzero(norm > 0)
+    return at, v[at] / norm[at, None]
+
+
+def _nearest(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, groups: list | None, limit: int, kind: pa.DataType | None = None) -> dict[str, pa.Array]:
+    """Columns of the `limit` nearest of the vectors (of each group) for every query."""
+    request, found, score = [], [], []
+    scores = np.round(queries @ vectors.T, DIGITS)
+    some = {None: np.arange(len(ids))} if groups is None else {g: np.flatnonzero(np.array([x == g for x in groups])) for g in set(groups)}
+    for at in some.values():
+        for i, s in enumerate(scores[:, at]):
+            top = np.lexsort((ids[at], -s))[:limit] if len(s) <= 4 * limit else None
+            if top is None:  # sort no more than what can be among the first
+                near = np.flatnonzero(s >= np.partition(s, -limit)[-limit])
+                top = near[np.lexsort((ids[at][near], -s[near]))[:limit]]
+            request.append(np.full(len(top), names[i]))
+            found.append(at[top])
+            score.append(s[top])
+    place = np.concatenate([np.zeros(0, np.int64), *found])
+    out = {"request_id": pa.array(np.concatenate([np.zeros(0, np.int64), *request])), "id": pa.array(ids[place]), "score": pa.array(np.concatenate([np.zeros(0), *score]))}
+    return out if groups is None else out | {"by": pa.array([groups[i] for i in place.tolist()], kind)}
+
+
+def vector_scores(requests: DataFrame, vectors: DataFrame, limit: int, by: str | None = None) -> DataFrame:
+    """(request_id, id, score and `by`): candidates for the `limit` nearest of vectors(id, vector) by cosine, per value of `by`.
+
+    Up to QUERY_BLOCK requests(request_id, vector) are broadcast, and only each batch's best leave a task: no shuffle.
+    More of them are dealt into blocks that meet slices of the corpus by an equi key, so that neither passes through
+    the driver. Zero and null vectors have no cosine and no row.
     """
-    spark = vectors.sparkSession
-    rows = [(r[0], r[1]) for r in requests.select("request_id", "vector").where("vector IS NOT NULL").collect()]
-    schema = "request_id long, id long, score double"
-    out = spark.createDataFrame([], schema)
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r for r, _ in block], np.int64)
-        q = np.array([v for _, v in block], np.float64)
-        norm = np.linalg.norm(q, axis=1)
-        shared = spark.sparkContext.broadcast((ids[norm > 0], q[norm > 0] / norm[norm > 0, None]))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    asked = requests.select(F.col("request_id").cast("long").alias("request_id"), F.col("vector")).where("vector IS NOT NULL")
+    extra = [] if by is None else [F.col(by).alias("by")]
+    corpus = vectors.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vector", *extra)
+    schema = "request_id long, id long, score double" + ("" if by is None else f", by {corpus.schema['by'].dataType.simpleString()}")
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()  # of bounded size
+    if len(first) <= QUERY_BLOCK:
+        at, queries = _unit(first["vector"].combine_chunks()) if len(first) else (np.zeros(0, int), np.zeros((0, 1)))
+        shared = vectors.sparkSession.sparkContext.broadcast((first["request_id"].to_numpy()[at], queries))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, unit = shared.value
             for b in batches:
-                if not b.num_rows or not len(names):
-                    continue
-                v = np.array(b.column(1).to_pylist(), np.float64)
-                n = np.linalg.norm(v, axis=1)
-                ok = n > 0
-                own = b.column(0).to_numpy()[ok]
-                s = np.round(unit @ (v[ok] / n[ok, None]).T, DIGITS)
-                for i, name in enumerate(names):
-                    top = np.lexsort((own, -s[i]))[:limit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), name)), pa.array(own[top]), pa.array(s[i][top])], names=["request_id", "id", "score"])
-
-        out = out.unionByName(vectors.where("vector IS NOT NULL").select(F.col("id").cast("long"), "vector").mapInArrow(best, schema))
-    return out
-
-
-def vector_channel(requests: DataFrame, vectors: DataFrame, limit: int, channel: str = "vector") -> DataFrame:
-    """Nearest chunks by cosine; ties by id."""
-    hits = vector_scores(requests, vectors, limit).withColumnRenamed("id", "chunk_id")
+                if b.num_rows and len(names):
+                    ok, v = _unit(b.column(1))
+                    groups = None if by is None else [b.column(2)[i].as_py() for i in ok.tolist()]
+                    yield pa.RecordBatch.from_pydict(_nearest(names, unit, b.column(0).to_numpy()[ok], v, groups, limit, None if by is None else b.column(2).type))
+
+        out = corpus.mapInArrow(best, schema)
+    else:
+        blocks, slices = 1 + asked.count() // QUERY_BLOCK, 1 + corpus.count() // SLICE
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        left = asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(blocks))).withColumn("slice", every(slices))
+        right = corpus.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", every(blocks))
+
+        def pair(some: pa.Table, many: pa.Table) -> pa.Table:
+            if not len(some) or not len(many):
+                return pa.table({f: [] for f in ("request_id", "id", "score", "by")[: 3 + (by is not None)]}, schema=target)
+            (a, q), (b, v) = _unit(some["vector"].combine_chunks()), _unit(many["vector"].combine_chunks())
+            names = many["by"].to_pylist() if by is not None else None
+            groups = None if names is None else [names[i] for i in b.tolist()]
+            return pa.table(_nearest(some["request_id"].to_numpy()[a], q, many["id"].to_numpy()[b], v, groups, limit, None if by is None else target.field("by").type), schema=target)
+
+        fields = [("request_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]
+        target = pa.schema(fields if by is None else [*fields, ("by", corpus.select("by").limit(0).toArrow().schema.field("by").type)])
+        out = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(pair, schema)
+    return out if by is None else out.withColumnRenamed("by", by)
+
+
+def vector_channel(requests: DataFrame, vectors: DataFrame, limit: int | DataFrame, channel: str = "vector", most: int | None = None) -> DataFrame:
+    """Nearest chunks by cosine; ties by id. most: the largest limit, when limits are a column."""
+    hits = vector_scores(requests, vectors, limit if most is None else most).withColumnRenamed("id", "chunk_id")
     return ranked(hits, channel, limit, [F.desc("score"), F.col("chunk_id")])
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, lexeme, pos, weight) of title and content, the title first."""
-    parts = chunks.select("chunk_id", T.lexemes(F.col("title")).alias("a"), T.lexemes(F.col("content")).alias("b"))
-    both = parts.select("chunk_id", F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("pos", "lexeme"))
-    return both.select("chunk_id", "lexeme", "pos", F.when(F.col("pos") < F.col("n"), TITLE_WEIGHT).otherwise(BODY_WEIGHT).alias("weight"))
+def postings(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, lexeme, pos, weight) of title, content and the names of concepts, in that order; names(chunk_id, names)."""
+    if names is None:
+        names = chunks.select("chunk_id").limit(0).withColumn("names", F.lit(""))
+    a, b, c = (T.lexemes(T.fold_accents(x)) for x in (F.col("title"), F.col("content"), F.coalesce("names", F.lit(""))))
+    parts = chunks.join(names, "chunk_id", "left").select("chunk_id", a.alias("a"), b.alias("b"), c.alias("c"))
+    both = parts.select("chunk_id", F.size("a").alias("n"), (F.size("a") + F.size("b")).alias("m"), F.posexplode(F.concat("a", "b", "c")).alias("pos", "lexeme"))
+    weight = F.when(F.col("pos") < F.col("n"), TITLE_WEIGHT).when(F.col("pos") < F.col("m"), BODY_WEIGHT).otherwise(NAME_WEIGHT)
+    return both.select("chunk_id", "lexeme", "pos", weight.alias("weight"))
 
 
-def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int, most_lexemes: int) -> DataFrame:
+def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFrame) -> DataFrame:
     """Chunks that hold every lexeme of requests(request_id, query), by cover density.
 
-    A cover is a shortest stretch with all lexemes; it scores the harmonic mean of its words' weights over one plus the
-    other words in it. most_lexemes: the largest number of distinct lexemes of a query.
+    A request meets the chunks of its rarest lexeme; only what holds all the others, looked up one chunk and lexeme at a
+    time, gets its positions. A cover is a shortest stretch with all lexemes; it scores the harmonic mean of its words'
+    weights over one plus the other words in it.
     """
-    asked = requests.select("request_id", F.array_sort(F.array_distinct(T.lexemes(F.col("query")))).alias("q")).where(F.size("q") > 0)
-    asked = asked.select("request_id", F.size("q").alias("n"), F.posexplode("q").alias("k", "lexeme"))
-    found = words.join(asked, "lexeme")
-    full = found.groupBy("request_id", "chunk_id").agg(F.countDistinct("k").alias("have"), F.first("n").alias("n")).where("have = n").select("request_id", "chunk_id")
-    found = found.join(full, ["request_id", "chunk_id"], "left_semi")
+    asked = requests.select("request_id", F.array_sort(F.array_distinct(T.lexemes(T.fold_accents(F.col("query"))))).alias("q")).where(F.size("q") > 0)
+    asked = cut(asked.select("request_id", F.size("q").alias("n"), F.posexplode("q").alias("k", "lexeme")))
+    most = asked.agg(F.max("n")).first()[0] or 0
+    held = words.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    held = written(held)  # of all words only those that some request asks for
+    often = held.select("lexeme", "chunk_id").distinct().groupBy("lexeme").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "lexeme", "left").groupBy("request_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "lexeme")).alias("x")).select("request_id", "x.lexeme")
+    near = rarest.join(held.select("lexeme", "chunk_id").distinct(), "lexeme").select("request_id", "chunk_id")
+    pairs = near.join(asked, "request_id").join(held.select("lexeme", "chunk_id").distinct(), ["lexeme", "chunk_id"])
+    full = cut(pairs.groupBy("request_id", "chunk_id").agg(F.count("*").alias("have"), F.first("n").alias("n")).where("have = n").select("request_id", "chunk_id"))
+    found = full.join(asked, "request_id").join(held, ["lexeme", "chunk_id"])
     upto = Window.partitionBy("request_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("k") == k, F.struct("pos", "weight"))).over(upto) for k in range(most_lexemes)]
-    ends = found.select("request_id", "chunk_id", "pos", "n", F.array_compact(F.array(*last)).alias("latest")).where(F.size("latest") == F.col("n"))
+    last = [F.max(F.when(F.col("k") == k, F.struct("pos", "weight"))).over(upto) for k in range(most)]
+    ends = found.select("request_id", "chunk_id", "pos", "n", F.array_compact(F.array(*last) if last else F.array().cast("array<struct<pos:int,weight:double>>")).alias("latest")).where(F.size("latest") == F.col("n"))
     ends = ends.select("request_id", "chunk_id", F.col("pos").alias("e"), F.array_min(F.transform("latest", lambda x: x["pos"])).alias("s"), F.aggregate("latest", F.lit(0.0), lambda a, x: a + 1 / x["weight"]).alias("inv"), "n")
     covers = ends.groupBy("request_id", "chunk_id", "s").agg(F.min(F.struct("e", "inv", "n")).alias("c"))
     score = F.sum((F.col("c.n") / F.col("c.inv")) / (1 + F.col("c.e") - F.col("s") + 1 - F.col("c.n")))
@@ -98,20 +152,20 @@ def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int, most_lex
     return ranked(hits, "fullText", limit, [F.desc("score"), F.col("chunk_id")])
 
 
-def trigram_channel(requests: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+def trigram_channel(requests: DataFrame, names: DataFrame, limit: int | DataFrame) -> DataFrame:
     """Chunks whose title or heading is similar to requests(request_id, query); names(chunk_id, name) has one row per name."""
-    pairs = trigram_join(requests.select("request_id", "query"), "request_id", "query", names, "chunk_id", "name")
+    pairs = trigram_join(requests.select("request_id", "query"), "request_id", "query", names.where("name IS NOT NULL"), "chunk_id", "name")
     hits = pairs.groupBy("request_id", "chunk_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
     return ranked(hits, "trigram", limit, [F.desc("score"), F.col("chunk_id")])
 
 
-def concept_channel(seeds: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+def concept_channel(seeds: DataFrame, links: DataFrame, limit: int | DataFrame) -> DataFrame:
     """Chunks tagged with any seed concept of seeds(request_id, concept_id), by chunk id."""
     hits = seeds.select("request_id", "concept_id").join(links, "concept_id").select("request_id", "chunk_id").distinct().withColumn("score", F.lit(None).cast("double"))
     return ranked(hits, "conceptLinked", limit, [F.col("chunk_id")])
 
 
-def graph_channel(neighbours: DataFrame, links: DataFrame, keys: DataFrame, relation_order: list[str], limit: int) -> DataFrame:
+def graph_channel(neighbours: DataFrame, links: DataFrame, keys: DataFrame, relation_order: list[str], limit: int | DataFrame) -> DataFrame:
     """Chunks of expanded concepts: by seed rank, hops, first relation's place, concept key, chunk id; each chunk once."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in relation_order]).cast("array<string>"), F.col("first_relation")), F.lit(0))
     typed = neighbours.withColumn("relation_rank", F.when(place == 0, 1 << 30).otherwise(place - 1))

@@ -28,7 +28,7 @@ def allowed(rows: DataFrame, subject: str, column: str, values: list[str], code:
 
 def group_kinds(members: DataFrame, groups: DataFrame) -> DataFrame:
     """members(member, grp, kind) whose kind is not that of their group (grp, group_kind)."""
-    return faults(members.join(groups, "grp").where("kind <> group_kind"), F.col("member"), "SELECTION_GROUP_KIND_MISMATCH")
+    return faults(members.join(groups, "grp").where("kind <> group_kind"), F.col("member"), "SELECTION_GROUP_TYPE_MISMATCH")
 
 
 def lifecycle_dependencies(edges: DataFrame, status: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def lifecycle_dependencies(edges: DataFrame, status: DataFrame) -> DataFrame:
     a = status.select(F.col("node").alias("source"), F.col("status").alias("s"))
     b = status.select(F.col("node").alias("target"), F.col("status").alias("t"))
     bad = edges.join(a, "source").join(b, "target", "left").where("s = 'published' AND (t IS NULL OR t <> 'published')")
-    return faults(bad, F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string")), "PUBLISHED_DEPENDS_ON_UNPUBLISHED")
+    return faults(bad, F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string")), "INVALID_LIFECYCLE_DEPENDENCY")
 
 
 def name_collisions(names: DataFrame) -> DataFrame:

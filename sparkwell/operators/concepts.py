@@ -18,12 +18,19 @@ def folded(c: Column) -> Column:
 
 
 def substring_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str) -> DataFrame:
-    """(left_id, right_id) where the right text holds the left one: they meet by the left text's first run of up to three letters."""
+    """(left_id, right_id) where the right text holds the left one: they meet by the left text's rarest run of three letters.
+
+    A shorter text meets by itself. Runs that many right texts share, such as "the", so meet only what holds nothing rarer.
+    """
     runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
-    a = left.select(F.col(left_id), F.col(left_text).alias("ta")).where(F.length("ta") > 0).withColumn("run", F.substring("ta", 1, 3))
+    a = left.select(F.col(left_text).alias("ta")).where(F.length("ta") > 0).distinct()
+    a = a.select("ta", F.explode(F.array_distinct(F.when(F.length("ta") < 3, F.array("ta")).otherwise(runs(F.col("ta"), 3)))).alias("run"))
     b = right.select(F.col(right_text).alias("tb")).where(F.length("tb") > 0).distinct()
-    b = b.select("tb", F.explode(F.array_distinct(F.concat(runs(F.col("tb"), 1), runs(F.col("tb"), 2), runs(F.col("tb"), 3)))).alias("run"))
-    near = a.join(b, "run").where(F.contains("tb", "ta")).select(left_id, "tb").distinct()
+    b = cut(b.select("tb", F.explode(F.array_distinct(F.concat(runs(F.col("tb"), 1), runs(F.col("tb"), 2), runs(F.col("tb"), 3)))).alias("run")))
+    often = b.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = a.join(often, "run", "left").groupBy("ta").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("x")).select("ta", "x.run")
+    near = rarest.join(b, "run").where(F.contains("tb", "ta")).select("ta", "tb")
+    near = near.join(left.select(F.col(left_id), F.col(left_text).alias("ta")), "ta").select(left_id, "tb")
     return near.join(right.select(F.col(right_id), F.col(right_text).alias("tb")), "tb").select(left_id, right_id)
 
 
@@ -42,8 +49,8 @@ def match_hits(requests: DataFrame, concepts: DataFrame, semantic: DataFrame | N
         named = live.select("concept_id", F.col(what).alias("matched_text"), folded(F.col(what)).alias("q"))
         hits = hits.unionByName(asked.join(named, "q").select("request_id", "concept_id", F.lit(cls).alias("class"), "matched_text", none.alias("score")))
     # all names in one table, so that each fuzzy join runs once
-    named = live.select("concept_id", F.explode(F.array("key", "name", "alias")).alias("matched_text")).where("matched_text IS NOT NULL").distinct()
-    named = cut(named.select(F.xxhash64("concept_id", "matched_text").alias("name_id"), "concept_id", "matched_text", folded(F.col("matched_text")).alias("n")))
+    named = live.select("concept_id", F.posexplode(F.array("key", "name", "alias")).alias("field", "matched_text")).where("matched_text IS NOT NULL")
+    named = cut(named.select(F.xxhash64("concept_id", "field").alias("name_id"), "concept_id", "matched_text", folded(F.col("matched_text")).alias("n")))
     asked = cut(asked)
     inside = substring_join(asked, "request_id", "q", named, "name_id", "n").withColumn("inside", F.lit(True))
     similar = trigram_join(asked, "request_id", "q", named, "name_id", "n").select("request_id", "name_id").withColumn("similar", F.lit(True))

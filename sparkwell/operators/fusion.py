@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwell.operators.cuts import cut, written
+
 RRF_K = 60
 #: Channels in their fixed order.
 CHANNELS = ["vector", "fullText", "trigram", "conceptLinked", "graphLinked"]
@@ -24,7 +26,7 @@ def merge_channels(candidates: DataFrame, channels: list[str] = CHANNELS) -> Dat
 
 def reasons(channels: list[str] = CHANNELS) -> Column:
     """Codes of the channels in which a merged row stands, in their order."""
-    codes = {"vector": "SEMANTIC_MATCH", "fullText": "FULL_TEXT_MATCH", "trigram": "TRIGRAM_MATCH", "conceptLinked": "CONCEPT_LINK", "graphLinked": "ONTOLOGY_CONCEPT_LINK"}
+    codes = {"vector": "VECTOR_MATCH", "fullText": "FULL_TEXT_MATCH", "trigram": "TRIGRAM_MATCH", "conceptLinked": "DIRECT_CONCEPT_LINK", "graphLinked": "ONTOLOGY_CONCEPT_LINK"}  # fixed values
     return F.array_compact(F.array(*[F.when(F.col(f"{c}_rank").isNotNull(), codes[c]) for c in channels]))
 
 
@@ -68,3 +70,28 @@ def pack(rows: DataFrame, max_chunks: Column, max_tokens: Column, max_per_item:
 
     done = folded.select("request_id", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select("request_id", "x.*")
     return rows.join(done, ["request_id", "chunk_id"])
+
+
+def pack_long(rows: DataFrame, max_chunks: int, max_tokens: int, max_per_item: int, order: str = "final_rank") -> DataFrame:
+    """As pack, for requests with any number of rows; order tells the rows of a request apart.
+
+    At most max_chunks rows of a request are packed. Each round finds the next one: the first row after the last packed
+    one that fits. What a row is passed over for follows from those packed before it, so no request's rows ever meet.
+    """
+    slim = written(rows.select("request_id", F.col(order).alias("o"), "item_id", F.col("token_count").cast("long").alias("t")))
+    packed = slim.select("request_id").distinct().withColumn("taken", F.array().cast("array<struct<o:bigint,t:bigint,item_id:bigint>>"))
+    for _ in range(max_chunks):
+        state = packed.withColumn("at", F.coalesce(F.get("taken", F.size("taken") - 1)["o"], F.lit(-(1 << 62))))
+        after = slim.join(state, "request_id").where("o > at")
+        used = F.aggregate("taken", F.lit(0).cast("long"), lambda s, x: s + x["t"])
+        of_item = F.size(F.filter("taken", lambda x: x["item_id"] == F.col("item_id")))
+        following = after.where((of_item < max_per_item) & (used + F.col("t") <= max_tokens)).groupBy("request_id").agg(F.min(F.struct(F.col("o").cast("long").alias("o"), "t", F.col("item_id").cast("long").alias("item_id"))).alias("next"))
+        packed = cut(packed.join(following, "request_id", "left").select("request_id", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("next"))).alias("taken")))
+    before = F.filter("taken", lambda x: x["o"] < F.col(order))
+    outcome = (
+        F.when(F.exists("taken", lambda x: x["o"] == F.col(order)), "PACKED")
+        .when(F.size(before) >= max_chunks, "TOKEN_BUDGET")
+        .when(F.size(F.filter(before, lambda x: x["item_id"] == F.col("item_id"))) >= max_per_item, "ITEM_CAP")
+        .otherwise("TOKEN_BUDGET")
+    )
+    return rows.join(packed, "request_id").withColumn("outcome", outcome).drop("taken")

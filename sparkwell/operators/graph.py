@@ -103,19 +103,75 @@ def dependency_closure(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     return verdict, resolved
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle: those reachable from their own successors. Nodes that no cycle can hold are peeled off first."""
-    left = cut(edges.select("source", "target").where("source <> target").distinct())
-    n = left.count()
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges without those that no cycle can hold: of nodes that nothing enters or leaves, round by round."""
+    left, n = edges, edges.count()
     while n:
-        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        kept = cut(kept)
-        m = kept.count()
-        left, was, n = kept, n, m
-        if m == was:
+        left = cut(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
+        was, n = n, left.count()
+        if n == was:
             break
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges(source, target) that reach each other with some other node; the component is its largest node.
+
+    Round by round, every node takes the largest node that reaches it; those of one such colour that reach back to it
+    are a component, and go. No table grows beyond nodes and edges, whatever the sizes of components.
+    """
+    left = _peeled(cut(edges.select("source", "target").where("source <> target").distinct()))
+    found = None
+    while not left.isEmpty():
+        colour = cut(left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            over = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("by")), "source").groupBy(F.col("target").alias("node")).agg(F.max("by").alias("by"))
+            step = cut(colour.join(over, "node", "left").select("node", F.greatest("colour", "by").alias("colour"), (F.coalesce("by", "colour") > F.col("colour")).alias("moved")))
+            colour = step.select("node", "colour")
+            if step.where("moved").isEmpty():
+                break
+        ends = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target")
+        inside = cut(ends.where("a = b").select("source", "target", F.col("a").alias("component")))
+        back = inside.select("component", F.col("target").alias("source"), F.col("source").alias("target"))
+        seeds = inside.select("component").distinct().withColumn("node", F.col("component"))
+        whole = _reach_within(seeds, back)
+        found = whole if found is None else cut(found.unionByName(whole))
+        gone = whole.select("node")
+        left = _peeled(cut(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")))
+    if found is None:
+        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    return found.join(found.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component")
+
+
+def _reach_within(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, node) reachable from seeds(component, node) over edges(component, source, target) of the same component."""
+    found = front = cut(seeds.select("component", "node").distinct())
+    while True:
+        step = front.withColumnRenamed("node", "source").join(edges, ["component", "source"]).select("component", F.col("target").alias("node")).distinct()
+        front = cut(step.join(found, ["component", "node"], "left_anti"))
+        if front.isEmpty():
+            return found
+        found = cut(found.unionByName(front))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle, a self dependency among them."""
     own = edges.where("source = target").select(F.col("source").alias("node"))
-    if not n:
-        return own.distinct()
-    paths = reachable(left.select(F.col("source").alias("origin"), F.col("target").alias("node")), left, ["origin"])
-    return paths.where("origin = node").select("node").unionByName(own).distinct()
+    return strong_components(edges).select("node").unionByName(own).distinct()
+
+
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(component, path): a shortest cycle through the largest node of every component, from it and back to it; of several the least."""
+    inside = strong_components(edges)
+    a, b = (inside.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")) for end in ("source", "target"))
+    live = cut(edges.select("source", "target").where("source <> target").distinct().join(a, "source").join(b, "target").where("source_component = target_component").select(F.col("source_component").alias("component"), "source", "target"))
+    front = cut(inside.select("component", F.col("component").alias("node")).distinct().withColumn("path", F.array("node")))
+    seen, done = front.select("component", "node"), None
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "source").join(live, ["component", "source"]).groupBy("component", "target").agg(F.min(F.concat("path", F.array("target"))).alias("path"))
+        step = cut(step.withColumnRenamed("target", "node"))
+        closed = step.where("node = component").select("component", "path")
+        done = closed if done is None else done.unionByName(closed)
+        front = cut(step.join(done.select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti"))
+        seen = cut(seen.unionByName(front.select("component", "node")))
+    return done if done is not None else inside.select("component", F.array("node").alias("path")).limit(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
@@ -36,10 +36,27 @@ def trigram_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame
 
 
 def suggest(words: DataFrame, word: str, keys: DataFrame) -> DataFrame:
-    """words plus suggestion and distance: the nearest of keys(key), ties to the lexically first, if near enough.
+    """words plus suggestion and distance: the nearest of keys(key), ties to the lexically first, within max(2, length / 3) edits.
 
-    keys is a small registry (checked by Spark before it broadcasts); an edit distance has no equi join.
+    With t edits one of t + 1 segments of a key stands unchanged in the word, at most t places off. So words and keys
+    meet by segment, its number, the key's length and t, not all with all; then the edits are counted.
     """
-    best = words.select(word).distinct().join(keys.select("key")).groupBy(word).agg(F.min(F.struct(F.levenshtein(word, "key").alias("distance"), F.col("key"))).alias("best"))
-    near = F.col("best.distance") <= F.greatest(F.lit(2), F.length(word) / 3)
-    return words.join(best, word, "left").withColumn("suggestion", F.when(near, F.col("best.key"))).withColumn("distance", F.when(near, F.col("best.distance"))).drop("best")
+    asked = cut(words.select(F.col(word).alias("w")).where("w IS NOT NULL").distinct().withColumn("t", F.greatest(F.lit(2), F.floor(F.length("w") / 3)).cast("int")))
+    most = asked.agg(F.max("t")).first()[0] or 2
+
+    def segments(df: DataFrame, size: Column) -> DataFrame:
+        """One row per segment i of a key of `size` letters: its place (from 1) and length."""
+        short = size.cast("int") / (F.col("t") + 1)
+        n, longer = F.floor(short).cast("int"), F.pmod(size, F.col("t") + 1)
+        some = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
+        before = F.col("t") + 1 - longer  # the first of them have n letters, the others one more
+        return some.withColumn("at", F.col("i") * n + F.greatest(F.lit(0), F.col("i") - before) + 1).withColumn("len", n + (F.col("i") >= before).cast("int"))
+
+    k = keys.select("key").where("key IS NOT NULL").distinct().withColumn("size", F.length("key")).withColumn("t", F.explode(F.sequence(F.lit(2), F.lit(most))))
+    k = segments(k, F.col("size")).select("t", "size", "i", F.substring("key", F.col("at"), F.col("len")).alias("part"), "key")
+    w = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.length("w") - F.col("t")), F.length("w") + F.col("t"))))
+    w = segments(w, F.col("size")).withColumn("from", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("t")), F.greatest(F.lit(1), F.col("at") + F.col("t")))))
+    w = w.where("from + len - 1 <= length(w)").select("t", "size", "i", F.substring("w", F.col("from"), F.col("len")).alias("part"), "w").distinct()
+    near = w.join(k, ["t", "size", "i", "part"]).select("w", "key", "t").distinct().withColumn("distance", F.levenshtein("w", "key")).where("distance <= t")
+    best = near.groupBy("w").agg(F.min(F.struct("distance", "key")).alias("best")).select(F.col("w").alias(word), F.col("best.key").alias("suggestion"), F.col("best.distance").alias("distance"))
+    return words.join(best, word, "left")

@@ -13,11 +13,11 @@ CEILINGS = {"skills": 32, "tools": 64, "prompt_tokens": 32768, "bootstrap_tokens
 
 
 def discover(semantic: DataFrame, linked: DataFrame) -> DataFrame:
-    """(request_id, entity_id, score, rank, reasons): semantic hits and concept-linked ones; a link alone has no score."""
-    s = semantic.select("request_id", "entity_id", "score", "rank")
-    both = s.join(linked.select("request_id", "entity_id").distinct().withColumn("linked", F.lit(True)), ["request_id", "entity_id"], "full_outer")
-    why = F.concat_ws(",", F.when(F.col("rank").isNotNull(), "SEMANTIC_MATCH"), F.when(F.col("linked"), "CONCEPT_LINK"))
-    return both.select("request_id", "entity_id", "score", "rank", why.alias("reasons"))
+    """(request_id, kind, entity_id, score, rank, reasons): semantic hits and concept-linked ones of every kind; a link alone has no score."""
+    by = ["request_id", "kind", "entity_id"]
+    both = semantic.select(*by, "score", "rank").join(linked.select(*by).distinct().withColumn("linked", F.lit(True)), by, "full_outer")
+    why = F.concat_ws(",", F.when(F.col("rank").isNotNull(), "VECTOR_MATCH"), F.when(F.col("linked"), "DIRECT_CONCEPT_LINK"))
+    return both.select(*by, "score", "rank", why.alias("reasons"))
 
 
 def gates(found: DataFrame) -> DataFrame:
@@ -60,38 +60,41 @@ def select_skills(skills: DataFrame, needs: DataFrame, nodes: DataFrame, edges:
 
 
 def trim_tools(tools: DataFrame, edges: DataFrame) -> DataFrame:
-    """tools(request_id, node, required, score, priority, budget) cut to the budget: (request_id, node, status).
+    """tools(request_id, node, required, score, priority, seed, budget) cut to the budget: (request_id, node, status).
 
     Required ones over budget fail the request (OVER_BUDGET); else the optional one with the least (score, priority)
-    and then the larger id goes, with those that only it brought in, until the rest fits. One request is a small
-    sequential problem (a bounded closure), so requests are the groups.
+    and then the larger id goes, with those that only it brought in, until the rest fits. edges(source, target) hold no
+    cycle, so a tool stays while it is a seed or something that stays needs it, and a count of those tells. One request
+    is a sequential problem over its closure, so requests are the groups.
     """
-    needs = edges.select(F.col("source").alias("node"), "target")
-    wide = tools.join(needs, "node", "left").groupBy("request_id", "node").agg(F.first("required").alias("required"), F.first("score").alias("score"), F.first("priority").alias("priority"), F.first("budget").alias("budget"), F.first("seed").alias("seed"), F.collect_set("target").alias("targets"))
+    ends = tools.select("request_id", F.col("node").alias("target"))
+    inside = edges.select(F.col("source").alias("node"), "target").join(ends, "target")  # what a request does not hold it need not see
+    needs = tools.select("request_id", "node").join(inside, ["request_id", "node"]).groupBy("request_id", "node").agg(F.collect_set("target").alias("targets"))
+    wide = tools.select("request_id", "node", "required", "score", "priority", "seed", "budget").join(needs, ["request_id", "node"], "left")
 
     def one(t: pa.Table) -> pa.Table:
         rows = {r["node"]: r for r in t.to_pylist()}
         request, most = t["request_id"][0].as_py(), t["budget"][0].as_py()
-        must = {n for n, r in rows.items() if r["required"]}
-        gone: set[int] = set()
-
-        def reached() -> set[int]:
-            seen = {n for n, r in rows.items() if r["seed"] and n not in gone}
-            work = list(seen)
-            while work:
-                for x in rows[work.pop()]["targets"]:
-                    if x in rows and x not in gone and x not in seen:
-                        seen.add(x)
-                        work.append(x)
-            return seen
-
-        live = reached()
-        if len(must) > most:
-            status = {n: "OVER_BUDGET" for n in rows}
+        held = {n: int(r["seed"]) for n, r in rows.items()}
+        for r in rows.values():
+            for x in r["targets"] or ():
+                held[x] += 1
+        live = {n for n, c in held.items() if c}
+        if sum(r["required"] for r in rows.values()) > most:
+            status = dict.fromkeys(rows, "OVER_BUDGET")
         else:
-            while len(live) > most:
-                gone.add(min(live - must, key=lambda n: (rows[n]["score"] if rows[n]["score"] is not None else float("-inf"), rows[n]["priority"], -n)))
-                live = reached()
+            order = sorted((n for n, r in rows.items() if not r["required"]), key=lambda n: (rows[n]["score"] if rows[n]["score"] is not None else float("-inf"), rows[n]["priority"], -n))
+            for least in order:
+                if len(live) <= most:
+                    break
+                gone = [least] if least in live else []
+                while gone:
+                    n = gone.pop()
+                    live.discard(n)
+                    for x in rows[n]["targets"] or ():
+                        held[x] -= 1
+                        if not held[x] and x in live:
+                            gone.append(x)
             status = {n: "INCLUDED" if n in live else "BUDGET_OMITTED" for n in rows}
         nodes = sorted(rows)
         return pa.table({"request_id": pa.array([request] * len(nodes), pa.int64()), "node": pa.array(nodes, pa.int64()), "status": pa.array([status[n] for n in nodes])})
