@@ -82,6 +82,16 @@ def dq_refs(s, d):
     return checks.references(_orders(s, d), "o_orderkey", "cust", M.table(s, d, "customer"), "c_custkey", "REFERENCE_NOT_FOUND")
 
 
+def dq_ref_suggestions(s, d):
+    """References to parts by name and to suppliers by name: some misspelt, some naming the other kind."""
+    p, sup = M.table(s, d, "part"), M.table(s, d, "supplier")
+    targets = p.select(F.col("p_name").alias("key"), F.lit("part").alias("kind")).unionByName(sup.select(F.col("s_name").alias("key"), F.lit("supplier").alias("kind")))
+    k = F.col("p_partkey")
+    ref = F.when(k % 5 == 0, F.expr("concat(substr(p_name, 1, 1), substr(p_name, 3))")).when(k % 5 == 1, F.lit("no part is called like this")).otherwise(F.col("p_name"))
+    rows = p.select(F.concat(F.lit("p"), k.cast("string")).alias("subject"), ref.alias("ref"), F.when(k % 7 == 0, "supplier").otherwise("part").alias("kind"))
+    return checks.reference_faults(rows, targets).select("subject", "ref", "code", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
+
+
 def _bad_nodes(s, d):
     n = R.nodes(s, d)
     k = F.regexp_extract("rule_id", r"(\d+)", 1).cast("int") % 5
@@ -122,7 +132,15 @@ def dq_name_collision(s, d):
 
 
 def dq_domain_values(s, d):
-    return checks.allowed(_orders(s, d), "o_orderkey", "o_orderstatus", ["O", "F"], "INVALID_STATUS")
+    i = M.items(s, d)
+    status = checks.allowed(_orders(s, d), "o_orderkey", "o_orderstatus", ["O", "F"], "INVALID_STATUS")
+    life = checks.allowed(i.select("item_id", F.when(F.col("item_id") % 90 == 1, "retired").otherwise(F.col("status")).alias("status")), "item_id", "status", ["draft", "published", "deprecated"], "INVALID_LIFECYCLE")
+    mode = checks.allowed(M.table(s, d, "part"), "p_partkey", "p_type", MODES, "INVALID_MODE")
+    return status.unionByName(life).unionByName(mode).unionByName(checks.window_order(i, "item_id", "effective_from", "effective_to"))
+
+
+#: Types that stand for the modes a group may have.
+MODES = ["SMALL", "LARGE", "MEDIUM", "ECONOMY"]
 
 
 def dq_summary(s, d):
@@ -193,7 +211,7 @@ def sm_metrics(s, d):
     return feeds.metric_windows(s, f"{d}/event[s].parquet", M.table(s, d, "events").schema)
 
 
-QUERIES = {f.__name__: f for f in (bd_hashes, bd_plan, sink_apply_plan, bd_apply, bd_verify, bd_equivalence, bd_embed_work, jn_anti_deletes, dq_unique, dq_refs, dq_rules, dq_groups, dq_lifecycle_deps, dq_self_and_cycles, dq_name_collision, dq_domain_values, dq_summary, ev_retrieval, ev_report, ev_assembly, ev_refs, src_corpus, src_entities, sm_ingest, sm_metrics)}
+QUERIES = {f.__name__: f for f in (bd_hashes, bd_plan, sink_apply_plan, bd_apply, bd_verify, bd_equivalence, bd_embed_work, jn_anti_deletes, dq_unique, dq_refs, dq_ref_suggestions, dq_rules, dq_groups, dq_lifecycle_deps, dq_self_and_cycles, dq_name_collision, dq_domain_values, dq_summary, ev_retrieval, ev_report, ev_assembly, ev_refs, src_corpus, src_entities, sm_ingest, sm_metrics)}
 
 _V = f"""{M.ITEMS}, v1 as (select item_id as id, title, body, lang, source, priority from items),
 v2 as (
@@ -203,7 +221,10 @@ _ORD = "ord as (select o_orderkey, case when o_orderkey % 97 = 0 then -o_custkey
 _UNIQUE = "select 'DUPLICATE_KEY' as code, 'error' as severity, p_brand || '/' || p_name || '/' || cast(p_size as varchar) as subject from part group by p_brand, p_name, p_size having count(*) > 1"
 _REFS = "select 'REFERENCE_NOT_FOUND' as code, 'error' as severity, cast(o_orderkey as varchar) as subject from ord where cust not in (select c_custkey from customer)"
 _NAMES = "select 'CONCEPT_NAME_COLLISION' as code, 'warning' as severity, name as subject from (select concept_id, name from concepts union all select concept_id, alias from concepts) group by name having count(distinct concept_id) > 1"
-_DOMAIN = "select 'INVALID_STATUS' as code, 'error' as severity, cast(o_orderkey as varchar) as subject from ord where o_orderstatus not in ('O', 'F')"
+_DOMAIN = f"""select 'INVALID_STATUS' as code, 'error' as severity, cast(o_orderkey as varchar) as subject from ord where o_orderstatus not in ('O', 'F')
+union all select 'INVALID_LIFECYCLE', 'error', cast(item_id as varchar) from items where item_id % 90 = 1
+union all select 'INVALID_MODE', 'error', cast(p_partkey as varchar) from part where p_type not in ({', '.join(f"'{m}'" for m in MODES)})
+union all select 'INVALID_EFFECTIVE_WINDOW', 'error', cast(item_id as varchar) from items where effective_to < effective_from"""
 _EV = f"""{Q._DONE}, dl as (select request_id as case_id, chunk_id as ref, final_rank as rank from finished where final_code is null),
 xp as (select request_id as case_id, unnest([{{'kind': 'include', 'm': 1}}, {{'kind': 'exclude', 'm': 3}}, {{'kind': 'topk', 'm': 1}}, {{'kind': 'outranks', 'm': 1}}]) as x from requests),
 rs as (
@@ -225,6 +246,12 @@ select namespace, environment, cast(1 as int) as revision, case when namespace =
     "jn_anti_deletes": f"with {_V} select id from v1 where id not in (select id from v2)",
     "dq_unique": _UNIQUE,
     "dq_refs": f"with {_ORD} {_REFS}",
+    "dq_ref_suggestions": """with t as (select p_name as key, 'part' as kind from part union select s_name, 'supplier' from supplier),
+r as (select 'p' || cast(p_partkey as varchar) as subject, case p_partkey % 5 when 0 then substr(p_name, 1, 1) || substr(p_name, 3) when 1 then 'no part is called like this' else p_name end as ref, case when p_partkey % 7 = 0 then 'supplier' else 'part' end as kind from part),
+l as (select * from r where not exists (select 1 from t where t.key = ref and t.kind = r.kind)),
+c as (select *, case when ref in (select key from t) then 'REFERENCE_TYPE_MISMATCH' else 'REFERENCE_NOT_FOUND' end as code from l),
+n as (select ref, kind, key from (select distinct ref, kind from c where code = 'REFERENCE_NOT_FOUND') a join t using (kind) where levenshtein(ref, key) <= greatest(2, length(ref) / 3.0) qualify row_number() over (partition by ref, kind order by levenshtein(ref, key), key) = 1)
+select subject, ref, code, coalesce(key, '') as suggestion from c left join n on n.ref = c.ref and n.kind = c.kind and code = 'REFERENCE_NOT_FOUND'""".replace("select subject, ref, code", "select subject, c.ref as ref, code"),
     "dq_rules": """with r as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 5 as k from part group by p_brand, p_type)
 select (['UNKNOWN_DIMENSION', 'INVALID_OPERATOR_FOR_DIMENSION', 'INVALID_EXPRESSION'])[k] as code, count(*) as n from r where k in (1, 2, 3) group by 1""",
     "dq_groups": "with g as (select p_brand, arg_min(p_type, p_partkey) as k from part group by 1) select 'SELECTION_GROUP_TYPE_MISMATCH' as code, 'error' as severity, cast(p_partkey as varchar) as subject from part join g using (p_brand) where p_type <> k",
@@ -239,8 +266,8 @@ c as (select node from core where (select count(*) from core) > 1 union select n
 select 'TOOL_DEPENDENCY_CYCLE' as code, 'error' as severity, cast(node as varchar) as subject from c
 union all select 'TOOL_SELF_DEPENDENCY', 'error', cast(p_partkey as varchar) from part where p_size = 7""",
     "dq_name_collision": f"with {M.CONCEPTS} {_NAMES}",
-    "dq_domain_values": f"with {_ORD} {_DOMAIN}",
-    "dq_summary": f"with {_ORD}, {M.CONCEPTS} select severity, count(*) as n from ({_UNIQUE} union all {_REFS} union all {_NAMES} union all {_DOMAIN}) group by 1",
+    "dq_domain_values": f"with {_ORD}, {M.ITEMS} {_DOMAIN}",
+    "dq_summary": f"with {_ORD}, {M.CONCEPTS}, {M.ITEMS} select severity, count(*) as n from ({_UNIQUE} union all {_REFS} union all {_NAMES} union all {_DOMAIN}) group by 1",
     "ev_retrieval": f"with recursive {_EV} select case_id, kind, passed from rs",
     "ev_report": f"with recursive {_EV} select kind, cast(count_if(passed) as bigint) as n_passed, cast(count_if(not passed) as bigint) as n_failed, coalesce(string_agg(case when not passed then cast(case_id as varchar) end, ',' order by case_id), '') as failed_cases from rs group by 1",
     "ev_assembly": f"""with recursive {_A._closure_sql(_A._SEEDS)}, b as (select item_id as case_id, (13 * item_id) % n as yes, (17 * item_id + 5) % n as no from benchmark, (select count(*) as n from part))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.operators import rules as R
+from sparkwell.operators.similarity import suggest
 
 
 def faults(rows: DataFrame, subject: Column, code: str, severity: str = "error") -> DataFrame:
@@ -18,10 +19,33 @@ def unique(rows: DataFrame, keys: list[str], code: str) -> DataFrame:
 
 
 def references(rows: DataFrame, subject: str, column: str, targets: DataFrame, key: str, code: str) -> DataFrame:
-    """Rows whose non-null reference is no key of targets."""
+    """Rows whose non-null reference is no key of targets; see reference_faults for suggestions and wrong kinds."""
     return faults(rows.where(F.col(column).isNotNull()).join(targets.select(F.col(key).alias(column)), column, "left_anti"), F.col(subject), code)
 
 
+def reference_faults(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(subject, ref, code, suggestion) of rows(subject, ref, kind) whose ref is no key of targets(key, kind) of their kind.
+
+    One that is a key of another kind is a REFERENCE_TYPE_MISMATCH; one that is none is a REFERENCE_NOT_FOUND, with the
+    nearest key of the wanted kind if it is near enough. A null reference is none.
+    """
+    want = rows.where("ref IS NOT NULL").select("subject", F.col("ref").cast("string").alias("ref"), "kind")
+    have = targets.select(F.col("key").cast("string").alias("ref"), F.col("kind").alias("of")).distinct()
+    lost = want.join(have.withColumnRenamed("of", "kind"), ["ref", "kind"], "left_anti")
+    other = have.select("ref").distinct().withColumn("other", F.lit(True))
+    told = lost.join(other, "ref", "left").withColumn("code", F.when(F.col("other"), "REFERENCE_TYPE_MISMATCH").otherwise("REFERENCE_NOT_FOUND")).drop("other")
+    out = told.where("code <> 'REFERENCE_NOT_FOUND'").withColumn("suggestion", F.lit(None).cast("string"))
+    for kind in sorted(r[0] for r in told.select("kind").distinct().collect()):  # kinds of entities: a handful
+        keys = have.where(F.col("of") == kind).select(F.col("ref").alias("key"))
+        out = out.unionByName(suggest(told.where((F.col("kind") == kind) & (F.col("code") == "REFERENCE_NOT_FOUND")), "ref", keys).drop("distance"))
+    return out.select("subject", "ref", "code", "suggestion")
+
+
+def window_order(rows: DataFrame, subject: str, start: str, end: str) -> DataFrame:
+    """Rows whose window ends before it begins."""
+    return faults(rows.where(F.col(end) < F.col(start)), F.col(subject), "INVALID_EFFECTIVE_WINDOW")
+
+
 def allowed(rows: DataFrame, subject: str, column: str, values: list[str], code: str) -> DataFrame:
     return faults(rows.where(F.col(column).isNull() | ~F.col(column).isin(*values)), F.col(subject), code)
 
