@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkwell.catalog import model as M
 from sparkwell.catalog import retrieval as Q
 from sparkwell.catalog import rules as R
+from sparkwell.functions import text as T
 from sparkwell.operators import channels, fusion, graph, paging
 from sparkwell.operators.similarity import trigram_join
 
@@ -222,14 +223,45 @@ def br_list(s, d):
     return page.join(c.agg(F.count("*").alias("total")))
 
 
+def _entities(s, d):
+    """Everything that can be browsed: (kind, id, key, parent, status)."""
+    def kind(df, name, id_col, key, parent=None, status=None):
+        return df.select(F.lit(name).alias("kind"), F.col(id_col).cast("long").alias("id"), key.alias("key"), (parent if parent is not None else F.lit(None)).cast("long").alias("parent"), (status if status is not None else F.lit("published")).alias("status"))
+
+    c = M.concepts(s, d)
+    number = F.regexp_extract("domain", r"(\d+)", 1).cast("long")
+    t = M.table(s, d, "conversations")
+    out = kind(c, "concept", "concept_id", F.col("key"), status=F.col("status"))
+    out = out.unionByName(kind(c.select("domain").distinct().withColumn("n", number), "domain", "n", F.col("domain")))
+    out = out.unionByName(kind(M.items(s, d), "item", "item_id", F.concat_ws("/", "source", F.col("item_id").cast("string")), status=F.col("status")))
+    out = out.unionByName(kind(M.chunks(s, d), "chunk", "chunk_id", F.col("part_key"), F.col("item_id"), F.col("status")))
+    out = out.unionByName(kind(M.table(s, d, "part"), "tool", "p_partkey", F.concat(F.lit("tool-"), F.col("p_partkey").cast("string"))))
+    out = out.unionByName(kind(M.table(s, d, "part").select(F.expr("p_partkey div 4").alias("n")).distinct(), "skill", "n", F.concat(F.lit("skill-"), F.col("n").cast("string"))))
+    return out.unionByName(kind(t.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("n")).agg(F.min("role").alias("role")), "fragment", "n", F.concat_ws("-", "role", F.col("n").cast("string"))))
+
+
+def br_list_kinds(s, d):
+    """The first twenty published ones of every kind whose key holds a 1, with totals."""
+    e = _entities(s, d).where((F.col("status") == "published") & T.contains_any(F.lit("1"), F.col("key")))
+    return paging.page_per_kind(e, 20).select("kind", "id", "key", "place", "total", "has_next_page")
+
+
 def br_list_all(s, d):
-    w = Window.orderBy("dim_key")
-    return R.dimensions(s).join(M.table(s, d, "region").agg(F.count("*").alias("n_regions"))).select("dim_key", "value_type", "n_regions", F.row_number().over(w).alias("place"))
+    """Dimensions, groups and domains by key."""
+    dims = R.dimensions(s).select(F.lit("dimension").alias("kind"), F.col("dim_key").alias("key"), F.col("value_type").alias("detail"))
+    groups = Q._modes(s, d).select(F.lit("group").alias("kind"), F.col("selection_group").alias("key"), F.col("mode").alias("detail"))
+    domains = M.concepts(s, d).groupBy(F.col("domain").alias("key")).agg(F.count("*").cast("string").alias("detail")).select(F.lit("domain").alias("kind"), "key", "detail")
+    w = Window.partitionBy("kind").orderBy("key")
+    return dims.unionByName(groups).unionByName(domains).select("kind", "key", "detail", F.row_number().over(w).alias("place"))
 
 
 def br_get(s, d):
-    keys = M.requests(s, d).select(F.col("concept_text").alias("key")).distinct()
-    return M.concepts(s, d).join(keys, "key", "left_semi").select("concept_id", "key", "status")
+    """Concepts, items and chunks by id or by key (a chunk's within its item), some that are not there, some asked by both or neither."""
+    r = M.requests(s, d)
+    i, none, text = F.col("request_id"), F.lit(None).cast("long"), F.lit(None).cast("string")
+    asks = [("concept", none, F.col("concept_text"), none), ("concept", i * 3, text, none), ("item", i * 40, text, none), ("chunk", none, F.lit("part-02"), i * 7), ("chunk", none, F.lit(""), i * 7), ("tool", i, F.lit("tool-1"), none), ("skill", none, text, none)]
+    asked = r.select(i, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.alias("id"), b.alias("key"), p.alias("parent")) for k, a, b, p in asks])).alias("x")).select("request_id", "x.*")
+    return paging.lookup(asked, _entities(s, d).select("kind", "id", "key", "parent")).select("request_id", "kind", F.coalesce("found", F.lit(-1)).alias("found"), F.coalesce("code", F.lit("")).alias("code"))
 
 
 def br_children(s, d):
@@ -245,7 +277,7 @@ def br_backlinks(s, d):
     return t.unionByName(k).groupBy("id", "used_by_type").agg(F.count("*").alias("n"), F.min("used_by").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_all, br_get, br_children, br_backlinks)}
+QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
 
 _HIER = "v as (select r_name as value, null::varchar as parent from region union all select n_name, r_name from nation join region on n_regionkey = r_regionkey)"
 _NEAR = f"""{M.EDGES}, {M.CONCEPTS}, e as (select * from edges where relation in ('A', 'R')),
@@ -255,6 +287,15 @@ h1 as (select target as node from le where source = 0 union select source from l
 h2 as (select target as node from le where source in (select node from h1) union select source from le where target in (select node from h1)),
 seen as (select 0 as node union select node from h1 union select node from h2)"""
 
+_ENTITIES = """entities as (
+  select 'concept' as kind, concept_id as id, key, null::bigint as parent, status from concepts
+  union all select distinct 'domain', cast(regexp_extract(domain, '([0-9]+)', 1) as bigint), domain, null::bigint, 'published' from concepts
+  union all select 'item', item_id, source || '/' || cast(item_id as varchar), null, status from items
+  union all select 'chunk', chunk_id, part_key, item_id, status from chunks
+  union all select 'tool', p_partkey, 'tool-' || cast(p_partkey as varchar), null, 'published' from part
+  union all select distinct 'skill', p_partkey // 4, 'skill-' || cast(p_partkey // 4 as varchar), null::bigint, 'published' from part
+  union all select 'fragment', conv_id * 1000 + turn, min(role) || '-' || cast(conv_id * 1000 + turn as varchar), null, 'published' from conversations group by conv_id * 1000 + turn)"""
+
 SQL = {
     "src_tables": "select p_partkey, p_name, p_type from part where p_brand = 'Brand#7'",
     "jn_chunk_item": f"with {M.CHUNKS} select chunk_id, item_id, d.lang, d.source from chunks join documents d on d.doc_id = item_id",
@@ -319,8 +360,20 @@ bw as (select target as k, source as node from turned union select k, e.source f
 select distinct fw.node from fw join bw on fw.k = bw.k and fw.node = bw.node""",
     "br_list": f"""with {M.CONCEPTS}, c as (select concept_id, key from concepts where status = 'published' and domain in ('Brand#2', 'Brand#4') and contains(lower(name), 'bolt')), p as (select * from c order by concept_id limit 11)
 select concept_id, key, to_base64(encode('cursor:' || cast(concept_id as varchar))) as cursor, (select count(*) from p) > 10 as has_next_page, (select count(*) from c) as total from (select * from p order by concept_id limit 10)""",
-    "br_list_all": "select dim_key, value_type, (select count(*) from region) as n_regions, cast(row_number() over (order by dim_key) as int) as place from (values " + ", ".join(f"('{x[0]}', '{x[1]}')" for x in R.DIMENSIONS) + ") t(dim_key, value_type)",
-    "br_get": f"with {M.REQUESTS} select concept_id, key, status from concepts where key in (select concept_text from requests)",
+    "br_list_kinds": f"""with {M.CHUNKS}, {M.CONCEPTS}, {_ENTITIES}, e as (select * from entities where status = 'published' and contains(key, '1'))
+select kind, id, key, cast(row_number() over w as int) as place, count(*) over (partition by kind) as total, count(*) over (partition by kind) > 20 as has_next_page from e window w as (partition by kind order by id, key) qualify row_number() over w <= 20""",
+    "br_list_all": f"""with {M.ITEMS}, {M.CONCEPTS}, a as (
+  select 'dimension' as kind, dim_key as key, value_type as detail from (values {", ".join(f"('{x[0]}', '{x[1]}')" for x in R.DIMENSIONS)}) t(dim_key, value_type)
+  union all select 'group', g, case cast(split_part(g, '-', -1) as int) % 24 when 8 then 'all' when 16 then 'most_specific' else 'highest_priority' end from (select distinct selection_group as g from items where selection_group is not null)
+  union all select 'domain', domain, cast(count(*) as varchar) from concepts group by domain)
+select kind, key, detail, cast(row_number() over (partition by kind order by key) as int) as place from a""",
+    "br_get": f"""with {M.REQUESTS}, {M.CHUNKS}, {_ENTITIES},
+a as (select request_id, 'concept' as kind, null::bigint as id, concept_text as key, null::bigint as parent from requests union all select request_id, 'concept', request_id * 3, null, null from requests
+  union all select request_id, 'item', request_id * 40, null, null from requests union all select request_id, 'chunk', null, 'part-02', request_id * 7 from requests union all select request_id, 'chunk', null, '', request_id * 7 from requests
+  union all select request_id, 'tool', request_id, 'tool-1', null from requests union all select request_id, 'skill', null, null, null from requests),
+f as (select a.*, (select min(e.id) from entities e where e.kind = a.kind and e.id = a.id) as by_id, (select min(e.id) from entities e where e.kind = a.kind and e.key = a.key and e.parent is not distinct from a.parent) as by_key from a)
+select request_id, kind, coalesce(case when (id is null) = (key is null) then null when id is not null then by_id else by_key end, -1) as found,
+  case when (id is null) = (key is null) then 'INVALID_INPUT' when coalesce(by_id, by_key) is null then 'ENTITY_NOT_FOUND' else '' end as code from f""",
     "br_children": f"""with {M.EDGES}, o as (select source as concept_id, count(*) as n_out, string_agg(distinct relation, ',' order by relation) as kinds from edges group by 1), i as (select target as concept_id, count(*) as n_in from edges group by 1)
 select concept_id, coalesce(n_out, 0) as n_out, coalesce(n_in, 0) as n_in, kinds from o full join i using (concept_id)""",
     "br_backlinks": f"""with {M.TOOL_EDGES}, {M.CHUNKS}, {M.CHUNK_CONCEPTS}, b as (select target as id, 'tool' as used_by_type, source as used_by from tool_edges union all select concept_id, 'chunk', chunk_id from chunk_concepts)
