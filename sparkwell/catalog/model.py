@@ -127,18 +127,18 @@ tool_edges as (
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as requests: text, a text that names a concept, and an as-of time."""
+    """Benchmark items as requests: text, query (blank for some), a text that names a concept, and an as-of time."""
     n = table(spark, d, "part").count()
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text", ((13 * F.col("item_id")) % n).alias("concept_id"))
     c = concepts(spark, d).select("concept_id", "key", "name", "alias")
     m = F.col("request_id") % 5
     named = F.when(m == 0, F.col("key")).when(m == 1, F.upper("name")).when(m == 2, F.expr("substr(name, 1, length(name) - 2)")).when(m == 3, F.col("alias")).otherwise(F.concat(F.lit("the "), F.col("name"), F.lit("s")))
-    return b.join(c, "concept_id").select("request_id", "text", F.col("text").alias("query"), named.alias("concept_text"), F.expr("timestamp'2024-03-01' + make_dt_interval(int(request_id))").alias("as_of"), (F.col("request_id") % 3 == 0).alias("include_draft"))
+    return b.join(c, "concept_id").select("request_id", "text", F.when(F.col("request_id") % 10 == 9, "  ").otherwise(F.col("text")).alias("query"), named.alias("concept_text"), F.expr("timestamp'2024-03-01' + make_dt_interval(int(request_id))").alias("as_of"), (F.col("request_id") % 3 == 0).alias("include_draft"))
 
 
 REQUESTS = f"""{CONCEPTS},
 requests as (
-  select item_id as request_id, text, text as query,
+  select item_id as request_id, text, case when item_id % 10 = 9 then '  ' else text end as query,
     case item_id % 5 when 0 then key when 1 then upper(name) when 2 then substr(name, 1, length(name) - 2) when 3 then alias else 'the ' || name || 's' end as concept_text,
     timestamp '2024-03-01' + to_days(cast(item_id as int)) as as_of, item_id % 3 = 0 as include_draft
   from benchmark join concepts on concept_id = (13 * item_id) % (select count(*) from part))"""

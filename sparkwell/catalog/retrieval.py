@@ -39,11 +39,14 @@ def tk_fulltext(s, d):
     return C.fulltext_channel(M.requests(s, d), C.postings(M.chunks(s, d), _names(s, d)), LIMITS["full_text"])
 
 
+def _headings(s, d):
+    c = M.chunks(s, d)
+    return c.select("chunk_id", F.col("title").alias("name")).unionByName(c.select("chunk_id", F.col("heading").alias("name")))
+
+
 def tk_trigram(s, d):
     """Titles of items and headings of chunks; the better of both counts."""
-    c = M.chunks(s, d)
-    names = c.select("chunk_id", F.col("title").alias("name")).unionByName(c.select("chunk_id", F.col("heading").alias("name")))
-    return C.trigram_channel(M.requests(s, d), names, LIMITS["trigram"])
+    return C.trigram_channel(M.requests(s, d), _headings(s, d), LIMITS["trigram"])
 
 
 def _concept_semantic(s, d):
@@ -102,12 +105,44 @@ def tk_graph(s, d):
     return C.graph_channel(_expanded(s, d, LIMITS["graph_depth"]), M.chunk_concepts(s, d), M.concepts(s, d), ["R", "A"], LIMITS["graph_limit"])
 
 
+def _profiled(s, d):
+    """Every request with the limits of its profile (named, default or built in), and why it cannot be answered."""
+    r = M.requests(s, d)
+    named = r.select("request_id", F.when(F.col("request_id") % 4 == 0, "wide").when(F.col("request_id") % 4 == 1, "tight").when(F.col("request_id") % 4 == 2, "absent").alias("profile"))
+    b = M.table(s, d, "benchmark").agg(F.count("*").cast("int").alias("n"))
+    fields = dict.fromkeys(LIMITS, F.lit(None).cast("int"))
+
+    def profile(name, default, **given):
+        return b.select(F.lit(name).alias("profile"), F.lit(default).alias("is_default"), *[c.alias(f) for f, c in (fields | given).items()])
+
+    known = profile("wide", False, vector=F.col("n")).unionByName(profile("tight", False, max_chunks=F.lit(5))).unionByName(profile("base", True, trigram=F.lit(50)))
+    return P.errors(r, P.profiles(named, known))
+
+
+def _services(s, d):
+    """Whether the vector of a request and the graph could be had."""
+    i = F.col("request_id")
+    return M.requests(s, d).select("request_id", (i % 5 != 4).alias("has_vector"), (i % 8 != 3).alias("has_graph"))
+
+
 def _candidates(s, d):
-    seeds = cut(_seeds(s, d))
+    """All channels under the limits of each request's profile; requests in error have none, and a channel that is down is left out."""
+    limits = cut(_profiled(s, d).where("error_code IS NULL"))
+    limit = lambda name: limits.select("request_id", F.col(name).alias("limit"))
+    most = limits.agg(F.max("vector")).first()[0] or 1
+    services = _services(s, d)
+    asked = M.requests(s, d).join(limits.select("request_id"), "request_id", "left_semi")
+    vectors = _request_vectors(s, d).join(services.where("has_vector"), "request_id", "left_semi").join(limits.select("request_id"), "request_id", "left_semi")
+    seeds = cut(qp_resolve_concepts(s, d).join(limits.select("request_id", "seeds"), "request_id").where("rank <= seeds").select("request_id", "concept_id", F.col("rank").alias("seed_rank")))
     links = M.chunk_concepts(s, d)
-    near = graph.expand(seeds.withColumnRenamed("concept_id", "node"), M.edges(s, d), _published(s, d), LIMITS["graph_depth"])
-    out = tk_vector(s, d)
-    for part in (tk_fulltext(s, d), tk_trigram(s, d), C.concept_channel(seeds, links, LIMITS["concept_linked"]), C.graph_channel(near, links, M.concepts(s, d), ["R", "A"], LIMITS["graph_limit"])):
+    walk = seeds.join(services.where("has_graph"), "request_id", "left_semi").withColumnRenamed("concept_id", "node")
+    near = graph.expand(walk, M.edges(s, d), _published(s, d), limits.agg(F.max("graph_depth")).first()[0] or 1)
+    near = near.join(limits.select("request_id", "graph_depth"), "request_id").where("hops <= graph_depth").drop("graph_depth")
+    out = C.vector_channel(vectors, _chunk_vectors(s, d), limit("vector"), most=most)
+    for part in (
+        C.fulltext_channel(asked, C.postings(M.chunks(s, d), _names(s, d)), limit("full_text")), C.trigram_channel(asked, _headings(s, d), limit("trigram")),
+        C.concept_channel(seeds, links, limit("concept_linked")), C.graph_channel(near, links, M.concepts(s, d), ["R", "A"], limit("graph_limit")),
+    ):
         out = out.unionByName(part)
     return cut(out)
 
@@ -160,7 +195,7 @@ def _modes(s, d):
 
 
 def _done(s, d):
-    return P.retrieve(_candidates(s, d), cut(_gated_chunks(s, d)), M.requests(s, d), cut(_verdicts(s, d)), _modes(s, d))
+    return P.retrieve(_candidates(s, d), cut(_gated_chunks(s, d)), M.requests(s, d), cut(_verdicts(s, d)), _modes(s, d), _profiled(s, d))
 
 
 def qp_retrieve(s, d):
@@ -184,21 +219,11 @@ def ag_token_total(s, d):
 
 
 def qp_degrade(s, d):
-    """Requests without a vector: every other request's vector is taken away."""
-    have = _request_vectors(s, d).where("request_id % 2 = 0").select("request_id", F.lit(True).alias("has"))
-    r = M.requests(s, d).select("request_id").join(have, "request_id", "left")
-    return r.select("request_id", F.when(F.col("has").isNull(), "VECTOR_CHANNEL_UNAVAILABLE").alias("warning"))
+    return P.warnings(_services(s, d))
 
 
 def qp_profile(s, d):
-    r = M.requests(s, d).select("request_id", F.when(F.col("request_id") % 4 == 0, "wide").when(F.col("request_id") % 4 == 1, "tight").when(F.col("request_id") % 4 == 2, "absent").alias("profile"))
-    b = M.table(s, d, "benchmark").agg(F.count("*").cast("int").alias("n"))
-    none = F.lit(None).cast("int")
-    fields = {f: none for f in LIMITS}
-    wide = b.select(F.lit("wide").alias("profile"), F.lit(False).alias("is_default"), *[(F.col("n") if f == "vector" else fields[f]).alias(f) for f in LIMITS])
-    tight = b.select(F.lit("tight").alias("profile"), F.lit(False).alias("is_default"), *[(F.lit(5) if f == "max_chunks" else fields[f]).alias(f) for f in LIMITS])
-    base = b.select(F.lit("base").alias("profile"), F.lit(True).alias("is_default"), *[(F.lit(50) if f == "trigram" else fields[f]).alias(f) for f in LIMITS])
-    return P.profiles(r, wide.unionByName(tight).unionByName(base)).select("request_id", "vector", "trigram", "max_chunks", "max_tokens", "error_code")
+    return _profiled(s, d).select("request_id", "vector", "trigram", "max_chunks", "max_tokens", "error_code")
 
 
 QUERIES = {f.__name__: f for f in (tk_vector, tk_fulltext, tk_trigram, qp_resolve_concepts, ag_ambiguous, ag_strongest_match, st_hits_union, tk_concept, gr_expand, gr_paths, tk_graph, st_channel_union, ag_channel_pivot, ag_rrf, qp_reasons, qp_retrieve, qp_exclusions, qp_rankings, ag_funnel, ag_token_total, qp_degrade, qp_profile)}
@@ -237,7 +262,7 @@ ends as (select request_id, chunk_id, e, any_value(n) as n, min(pos) as s, list_
 covers as (select request_id, chunk_id, s, min(e) as e, arg_min(inv, e) as inv, any_value(n) as n from ends group by 1, 2, 3),
 full_hits as (select request_id, chunk_id, round(sum((n / inv) / (1 + e - s + 1 - n)), 9) as score from covers group by 1, 2),
 tk_fulltext as (select request_id, 'fullText' as channel, chunk_id, cast(row_number() over (partition by request_id order by score desc, chunk_id) as int) as rank, score from full_hits qualify rank <= 40)"""
-_TRGM = f"""tq as (select request_id, {_grams('text')} as a from requests),
+_TRGM = f"""tq as (select request_id, {_grams('query')} as a from requests),
 tn as (select chunk_id, title as name from chunks union all select chunk_id, heading from chunks where heading is not null),
 tt as (select name, {_grams('name')} as b from (select distinct name from tn)),
 tsim as (select request_id, name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as score from tq, tt where len(b) > 0),
@@ -298,8 +323,13 @@ _GRAPH = """gr_hits as (
   from layer1 join (select concept_id as node, chunk_id from chunk_concepts) using (node) join (select concept_id as node, key from concepts) c using (node)),
 gr_once as (select * from gr_hits qualify row_number() over (partition by request_id, chunk_id order by seed_rank, hops, t, key) = 1),
 tk_graph as (select request_id, 'graphLinked' as channel, chunk_id, cast(row_number() over (partition by request_id order by seed_rank, hops, t, key, chunk_id) as int) as rank, null::double as score from gr_once qualify rank <= 30)"""
-_CANDIDATES = f"""{_BASE}, {_VECTOR}, {_FULL}, {_TRGM}, {_RESOLVE}, {_CONCEPT}, {_EXPAND}, {_GRAPH},
-cand as materialized (select * from tk_vector union all select * from tk_fulltext union all select * from tk_trigram union all select * from tk_concept union all select * from tk_graph)"""
+_CANDIDATES = f"""{_BASE}, {_VECTOR.replace("rank <= 60", "rank <= 100000")}, {_FULL}, {_TRGM.replace("rank <= 20", "rank <= 50")}, {_RESOLVE}, {_CONCEPT}, {_EXPAND}, {_GRAPH},
+asks as (
+  select request_id, case when request_id % 4 = 2 then 'PROFILE_NOT_FOUND' when trim(query) = '' then 'INVALID_INPUT' end as err,
+    case when request_id % 4 = 0 then (select count(*) from benchmark) else 60 end as v_lim, case when request_id % 4 = 1 then 5 else 10 end as c_lim from requests),
+cand as materialized (
+  select c.* from (select * from tk_vector union all select * from tk_fulltext union all select * from tk_trigram union all select * from tk_concept union all select * from tk_graph) c join asks using (request_id)
+  where err is null and case channel when 'vector' then rank <= v_lim and request_id % 5 <> 4 when 'graphLinked' then request_id % 8 <> 3 else true end)"""
 _CH = ["vector", "fullText", "trigram", "conceptLinked", "graphLinked"]
 _MERGED = f"""{_CANDIDATES},
 merged as (
@@ -311,13 +341,13 @@ gch as (
   select c.*, case when item_id % 4 = 1 then p_brand || '/' || p_type end as authz, case when item_id % 4 = 2 then p_brand || '/' || p_type end as appl
   from chunks c join part on p_partkey = (7 * item_id) % (select count(*) from part)),
 gated as (
-  select f.*, g.item_id, g.priority, g.authority, g.selection_group, g.token_count, coalesce(b.spec_a, 0) as spec_a, coalesce(b.spec_b, 0) as spec_b,
+  select f.*, g.item_id, g.priority, g.authority, g.selection_group, g.token_count, k.c_lim, coalesce(b.spec_a, 0) as spec_a, coalesce(b.spec_b, 0) as spec_b,
     authz is not null and not coalesce(a.allowed, false) as redacted,
     case when not (status = 'published' or (status = 'draft' and include_draft)) then 'LIFECYCLE_NOT_PUBLISHED'
       when coalesce(effective_from > as_of, false) or coalesce(effective_to <= as_of, false) then 'OUTSIDE_EFFECTIVE_WINDOW'
       when authz is not null and not coalesce(a.allowed, false) then 'AUTHORIZATION_NO_MATCH'
       when appl is not null and coalesce(b.st, 0) <> 2 then 'APPLICABILITY_NO_MATCH' end as code
-  from fused f join gch g using (chunk_id) join requests r using (request_id)
+  from fused f join gch g using (chunk_id) join requests r using (request_id) join asks k using (request_id)
   left join vd a on a.request_id = f.request_id and a.rule_id = authz left join vd b on b.request_id = f.request_id and b.rule_id = appl),
 won as (
   select *, case when selection_group is null then true
@@ -331,7 +361,7 @@ fold as (
   union all
   select f.request_id, i + 1, n + case when o = 'PACKED' then 1 else 0 end, used + case when o = 'PACKED' then token_count else 0 end, case when o = 'PACKED' then list_append(took, item_id) else took end, cid, o
   from (select f.*, x.item_id, x.token_count, x.chunk_id as cid,
-      case when f.n >= 10 then 'TOKEN_BUDGET' when len(list_filter(took, lambda z: z = x.item_id)) >= 3 then 'ITEM_CAP' when used + token_count > 7000 then 'TOKEN_BUDGET' else 'PACKED' end as o
+      case when f.n >= x.c_lim then 'TOKEN_BUDGET' when len(list_filter(took, lambda z: z = x.item_id)) >= 3 then 'ITEM_CAP' when used + token_count > 7000 then 'TOKEN_BUDGET' else 'PACKED' end as o
     from fold f join ordered x on x.request_id = f.request_id and x.final_rank = f.i + 1) f),
 finished as (
   select g.*, o.final_rank, coalesce(g.code, case when w.wins = false then 'SELECTION_GROUP_NOT_SELECTED' end, case fold.outcome when 'ITEM_CAP' then 'PACKING_ITEM_CAP' when 'TOKEN_BUDGET' then 'PACKING_TOKEN_BUDGET' end) as final_code
@@ -363,7 +393,7 @@ select request_id, count(*) as merged, cast(count_if(k not in ('LIFECYCLE_NOT_PU
   cast(count_if(k not in ('LIFECYCLE_NOT_PUBLISHED', 'OUTSIDE_EFFECTIVE_WINDOW', 'AUTHORIZATION_NO_MATCH', 'APPLICABILITY_NO_MATCH')) as bigint) as applicable,
   cast(count_if(k in ('', 'PACKING_ITEM_CAP', 'PACKING_TOKEN_BUDGET')) as bigint) as selected, cast(count_if(k = '') as bigint) as packed from c group by 1""",
     "ag_token_total": f"with recursive {_DONE} select request_id, cast(sum(token_count) as bigint) as tokens, count(*) as n from finished where final_code is null group by 1",
-    "qp_degrade": "select item_id as request_id, case when item_id % 2 = 1 or item_id not in (select vec_id from embeddings) then 'VECTOR_CHANNEL_UNAVAILABLE' end as warning from benchmark",
+    "qp_degrade": "select item_id as request_id, 'VECTOR_CHANNEL_UNAVAILABLE' as warning from benchmark where item_id % 5 = 4 union all select item_id, 'ONTOLOGY_CHANNEL_UNAVAILABLE' from benchmark where item_id % 8 = 3",
     "qp_profile": """select item_id as request_id, cast(case when item_id % 4 = 0 then (select count(*) from benchmark) else 60 end as int) as vector, cast(50 as int) as trigram,
-  cast(case when item_id % 4 = 1 then 5 else 10 end as int) as max_chunks, cast(7000 as int) as max_tokens, case when item_id % 4 = 2 then 'PROFILE_NOT_FOUND' end as error_code from benchmark""",
+  cast(case when item_id % 4 = 1 then 5 else 10 end as int) as max_chunks, cast(7000 as int) as max_tokens, case when item_id % 4 = 2 then 'PROFILE_NOT_FOUND' when item_id % 10 = 9 then 'INVALID_INPUT' end as error_code from benchmark""",
 }

@@ -23,6 +23,19 @@ def profiles(requests: DataFrame, named: DataFrame) -> DataFrame:
     return both.select(*requests.columns, *fields, F.when(F.col("profile").isNotNull() & F.col("known").isNull(), "PROFILE_NOT_FOUND").alias("error_code"))
 
 
+def errors(requests: DataFrame, profiled: DataFrame) -> DataFrame:
+    """profiled(request_id, fields, error_code) with INVALID_INPUT for requests(request_id, query) whose query is blank."""
+    blank = requests.select("request_id", (F.trim("query") == "").alias("blank"))
+    both = profiled.join(blank, "request_id")
+    return both.withColumn("error_code", F.coalesce("error_code", F.when(F.col("blank"), "INVALID_INPUT"))).drop("blank")
+
+
+def warnings(requests: DataFrame) -> DataFrame:
+    """(request_id, warning) of requests(request_id, has_vector, has_graph): a channel that is down is left out, the others go on."""
+    down = F.array_compact(F.array(F.when(~F.col("has_vector"), "VECTOR_CHANNEL_UNAVAILABLE"), F.when(~F.col("has_graph"), "ONTOLOGY_CHANNEL_UNAVAILABLE")))
+    return requests.select("request_id", F.explode(down).alias("warning"))
+
+
 def gate(merged: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     """merged candidates with the chunk's columns, `stage` and `code` of the first gate that stops them, and specificity.
 
@@ -42,10 +55,10 @@ def gate(merged: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: Da
     return c.withColumn("code", code).withColumn("redacted", denied).withColumn("spec_a", F.coalesce("spec_a", F.lit(0))).withColumn("spec_b", F.coalesce("spec_b", F.lit(0)))
 
 
-def retrieve(candidates: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame, modes: DataFrame) -> DataFrame:
+def retrieve(candidates: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame, modes: DataFrame, limits: DataFrame) -> DataFrame:
     """Every candidate of every request with its code (null: packed), ranks, fused score and final rank.
 
-    modes(selection_group, mode): a group without a mode takes highest_priority.
+    limits(request_id, max_chunks, max_tokens, max_per_item): of its profile. modes(selection_group, mode): a group without a mode takes highest_priority.
     """
     merged = fusion.merge_channels(candidates)
     gated = gate(merged, chunks, requests, verdicts).join(modes, "selection_group", "left")
@@ -53,7 +66,8 @@ def retrieve(candidates: DataFrame, chunks: DataFrame, requests: DataFrame, verd
     chosen = alive.withColumn("wins", fusion.group_winner("selection_group", F.coalesce("mode", F.lit("highest_priority")), "chunk_id", ("request_id",)))
     lost = chosen.where("NOT wins").select("request_id", "chunk_id", F.lit("SELECTION_GROUP_NOT_SELECTED").alias("lost_code"))
     order = chosen.where("wins").withColumn("final_rank", fusion.final_order())
-    packed = fusion.pack(order, F.lit(DEFAULTS["max_chunks"]), F.lit(DEFAULTS["max_tokens"]), F.lit(DEFAULTS["max_per_item"])).select("request_id", "chunk_id", "final_rank", "outcome")
+    order = order.join(limits.select("request_id", "max_chunks", "max_tokens", "max_per_item"), "request_id")
+    packed = fusion.pack(order, F.col("max_chunks"), F.col("max_tokens"), F.col("max_per_item")).select("request_id", "chunk_id", "final_rank", "outcome")
     out = gated.join(lost, ["request_id", "chunk_id"], "left").join(packed, ["request_id", "chunk_id"], "left")
     code = F.coalesce("code", "lost_code", F.when(F.col("outcome") == "ITEM_CAP", "PACKING_ITEM_CAP").when(F.col("outcome") == "TOKEN_BUDGET", "PACKING_TOKEN_BUDGET"))
     return out.withColumn("code", code).drop("lost_code")
