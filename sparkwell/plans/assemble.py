@@ -75,11 +75,14 @@ def trim_tools(tools: DataFrame, edges: DataFrame) -> DataFrame:
     def one(t: pa.Table) -> pa.Table:
         rows = {r["node"]: r for r in t.to_pylist()}
         request, most = t["request_id"][0].as_py(), t["budget"][0].as_py()
-        held = {n: int(r["seed"]) for n, r in rows.items()}
-        for r in rows.values():
-            for x in r["targets"] or ():
+        live = {n for n, r in rows.items() if r["seed"]}
+        held, work = {n: int(r["seed"]) for n, r in rows.items()}, list(live)
+        while work:  # who stays needs its targets, each counted once
+            for x in rows[work.pop()]["targets"] or ():
                 held[x] += 1
-        live = {n for n, c in held.items() if c}
+                if x not in live:
+                    live.add(x)
+                    work.append(x)
         if sum(r["required"] for r in rows.values()) > most:
             status = dict.fromkeys(rows, "OVER_BUDGET")
         else:

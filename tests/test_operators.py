@@ -1,8 +1,12 @@
 """Chunking, graphs, packing, assembly and evaluation on hand-made rows."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.operators import chunking, fusion, graph
+from sparkwell.operators import channels, checks, chunking, concepts, fusion, graph, paging, similarity
 from sparkwell.plans import assemble, build, evaluate
 from sparkwell.sources import corpus
 
@@ -76,3 +80,142 @@ def test_missing_rank_fails(spark):
     want = spark.createDataFrame([(1, "topk", 5, -1, 3), (1, "exclude", 5, -1, 0), (1, "outranks", 6, 7, 0)], "case_id long, kind string, ref_a long, ref_b long, within int")
     have = spark.createDataFrame([(1, 6, 1), (1, 7, 2)], "case_id long, ref long, rank int")
     assert {r.kind: r.passed for r in evaluate.assertions(want, have).collect()} == {"topk": False, "exclude": True, "outranks": True}
+
+
+def brute_trim(rows, needs, budget):
+    """Statuses by taking the closure anew after every tool that goes."""
+    must, gone = {n for n, r in rows.items() if r["required"]}, set()
+
+    def reached():
+        seen = {n for n, r in rows.items() if r["seed"] and n not in gone}
+        work = list(seen)
+        while work:
+            for x in needs.get(work.pop(), ()):
+                if x in rows and x not in gone and x not in seen:
+                    seen.add(x)
+                    work.append(x)
+        return seen
+
+    if len(must) > budget:
+        return dict.fromkeys(rows, "OVER_BUDGET")
+    while len(live := reached()) > budget:
+        gone.add(min(live - must, key=lambda n: (rows[n]["score"], rows[n]["priority"], -n)))
+    return {n: "INCLUDED" if n in live else "BUDGET_OMITTED" for n in rows}
+
+
+def test_tool_budget_equals_taking_the_closure_anew(spark):
+    rng = random.Random(6)
+    data, edges, want = [], [], {}
+    for request in range(12):
+        n = rng.randint(5, 30)
+        mine = {(a, b) for a in range(n) for b in range(a) if rng.random() < 0.12}
+        needs = {}
+        for a, b in mine:
+            needs.setdefault(request * 100 + a, []).append(request * 100 + b)
+        rows = {request * 100 + k: {"required": False, "score": rng.choice([0.1, 0.5, 0.9]), "priority": rng.randint(1, 2), "seed": rng.random() < 0.4} for k in range(n)}
+        if rng.random() < 0.7:
+            k = request * 100 + n - 1
+            rows[k] |= {"required": True, "seed": True}
+        budget = rng.randint(1, n)
+        want |= {(request, k): v for k, v in brute_trim(rows, needs, budget).items()}
+        data += [(request, k, r["required"], r["score"], r["priority"], r["seed"], budget) for k, r in rows.items()]
+        edges += [(a, b) for a, bs in needs.items() for b in bs]
+    tools = spark.createDataFrame(data, "request_id long, node long, required boolean, score double, priority int, seed boolean, budget int")
+    got = assemble.trim_tools(tools, spark.createDataFrame(edges, "source long, target long")).collect()
+    assert {(r.request_id, r.node): r.status for r in got} == want
+
+
+def test_components_and_cycle_paths(spark):
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(70)})
+    reach = {a: {b for x, b in edges if x == a} for a in range(40)}
+    for _ in range(40):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    frame = spark.createDataFrame(edges, "source long, target long")
+    assert {r.node for r in graph.cycles(frame).collect()} == {a for a in reach if a in reach[a]}
+    got = {r.node: r.component for r in graph.strong_components(frame).collect()}
+    want = {a: max(b for b in reach[a] if a in reach[b]) for a in reach if any(b != a and a in reach[b] for b in reach[a])}
+    assert got == want
+    paths = {r.component: r.path for r in graph.cycle_paths(frame).collect()}
+    assert set(paths) == set(want.values())
+    for component, path in paths.items():
+        assert path[0] == path[-1] == component and len(path) > 2 and all(step in set(edges) for step in zip(path, path[1:]))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_suggestions_equal_all_pairs(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+    keys, words = sorted({word() for _ in range(60)}), [word() for _ in range(60)] + [None, "zzzzzzzzzzzzzzzzzz"]
+    got = similarity.suggest(spark.createDataFrame(list(enumerate(words)), "id int, word string"), "word", spark.createDataFrame([(k,) for k in keys], "key string")).collect()
+    for r in got:
+        best = min(((distance(r.word, k), k) for k in keys), default=None) if r.word is not None else None
+        near = best is not None and best[0] <= max(2, len(r.word) / 3)
+        assert (r.suggestion, r.distance) == ((best[1], best[0]) if near else (None, None)), r
+
+
+def test_packing_of_many_rows_equals_the_fold(spark):
+    rng = random.Random(3)
+    rows = [(q, k, rng.randint(0, 3), rng.randint(1, 60), k) for q in range(8) for k in range(rng.randint(1, 60))]
+    frame = spark.createDataFrame(rows, "request_id long, chunk_id long, item_id long, token_count int, final_rank int")
+    a = {(r.request_id, r.chunk_id): r.outcome for r in fusion.pack(frame, F.lit(6), F.lit(100), F.lit(2)).collect()}
+    b = {(r.request_id, r.chunk_id): r.outcome for r in fusion.pack_long(frame, 6, 100, 2).collect()}
+    assert a == b and set(a.values()) == {"PACKED", "ITEM_CAP", "TOKEN_BUDGET"}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_nearest_vectors(spark, block, monkeypatch):
+    monkeypatch.setattr(channels, "QUERY_BLOCK", block)
+    monkeypatch.setattr(channels, "SLICE", 30)
+    rng = np.random.default_rng(1)
+    v, q = rng.standard_normal((90, 5)), rng.standard_normal((12, 5))
+    v[7], q[3] = 0, 0
+    corpus = spark.createDataFrame([(k, x.tolist(), k % 3) for k, x in enumerate(v)] + [(1000, None, 1)], "id long, vector array<double>, kind int")
+    asked = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)] + [(99, None)], "request_id long, vector array<double>")
+    got = {(r.request_id, r["rank"]): r.chunk_id for r in channels.vector_channel(asked, corpus, 4).collect()}
+    with np.errstate(invalid="ignore"):
+        s = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 9)
+    want = {(i, r + 1): int(k) for i in range(12) if i != 3 for r, k in enumerate([k for k in np.lexsort((np.arange(90), -s[i])) if k != 7][:4])}
+    assert got == want
+    by_kind = channels.vector_scores(asked, corpus, 2, by="kind")
+    assert dict(by_kind.dtypes)["kind"] == "int"
+    best = {(r.request_id, r.kind): r.m for r in by_kind.groupBy("request_id", "kind").agg(F.max("score").alias("m")).collect()}
+    assert all(abs(best[i, k] - max(s[i][j] for j in range(90) if j % 3 == k and j != 7)) < 1e-9 for i in range(12) if i != 3 for k in range(3))
+
+
+def test_fulltext_needs_every_lexeme_and_folds_accents(spark):
+    chunks = spark.createDataFrame([(1, "Café", "pipeline of conversion"), (2, "", "cafe here and conversion there"), (3, "conversion", "nothing else")], "chunk_id long, title string, content string")
+    names = spark.createDataFrame([(3, "cafe")], "chunk_id long, names string")
+    asked = spark.createDataFrame([(1, "the CAFE conversion"), (2, "  "), (3, "absent cafe")], "request_id long, query string")
+    got = channels.fulltext_channel(asked, channels.postings(chunks, names), 10).orderBy("rank").collect()
+    assert [(r.request_id, r.chunk_id) for r in got] == [(1, 1), (1, 2), (1, 3)] or {(r.request_id, r.chunk_id) for r in got} == {(1, 1), (1, 2), (1, 3)}
+    assert channels.fulltext_channel(asked.where("request_id = 2"), channels.postings(chunks), 10).isEmpty()
+
+
+def test_a_name_that_is_its_own_alias_hits_twice(spark):
+    c = spark.createDataFrame([(1, "red-bolt-1", "red bolt", "red bolt", "published"), (2, "thing-2", "the thing", None, "published")], "concept_id long, key string, name string, alias string, status string")
+    asked = spark.createDataFrame([(1, "bolt"), (2, "th"), (3, "xyz")], "request_id long, text string")
+    hits = [(r.request_id, r["class"]) for r in concepts.match_hits(asked, c).collect()]
+    assert hits.count((1, "LEXICAL")) == 3 and hits.count((2, "LEXICAL")) == 2 and not any(r == 3 for r, _ in hits)
+
+
+def test_references_of_the_wrong_kind_and_suggestions(spark):
+    rows = spark.createDataFrame([(1, "alpha", "tool"), (2, "alpah", "tool"), (3, "beta", "tool"), (4, None, "tool"), (5, "entirely different", "skill")], "subject long, ref string, kind string")
+    targets = spark.createDataFrame([("alpha", "tool"), ("beta", "skill")], "key string, kind string")
+    got = {(r.subject, r.code, r.suggestion) for r in checks.reference_faults(rows, targets).collect()}
+    assert got == {(2, "REFERENCE_NOT_FOUND", "alpha"), (3, "REFERENCE_TYPE_MISMATCH", None), (5, "REFERENCE_NOT_FOUND", None)}
+
+
+def test_look_up_by_id_or_key(spark):
+    e = spark.createDataFrame([("item", 1, "a", None), ("chunk", 10, "x", 1), ("chunk", 20, "x", 2)], "kind string, id long, key string, parent long")
+    asked = spark.createDataFrame([(1, "item", 1, None, None), (2, "item", None, "a", None), (3, "chunk", None, "x", 2), (4, "item", 1, "a", None), (5, "item", None, None, None), (6, "chunk", None, "x", None)], "request_id long, kind string, id long, key string, parent long")
+    got = {r.request_id: (r.found, r.code) for r in paging.lookup(asked, e).collect()}
+    assert got == {1: (1, None), 2: (1, None), 3: (20, None), 4: (None, "INVALID_INPUT"), 5: (None, "INVALID_INPUT"), 6: (None, "ENTITY_NOT_FOUND")}

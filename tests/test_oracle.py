@@ -15,6 +15,8 @@ QUICK = [
     "ck_hard_split", "ck_paragraph_pack", "ck_inherit", "pr_rule_dimensions", "pr_lifecycle", "pr_effective_window", "tk_vector", "tk_fulltext", "jn_similarity",
     "wn_selection_group", "wn_pack", "wn_keyset_page", "ag_percentiles", "st_except", "gr_closure", "gr_cycles", "as_render", "as_budgets", "bd_plan", "bd_embed_work",
     "dq_summary", "br_list", "br_children", "sm_metrics", "sm_ingest", "src_entities",
+    "pr_rules", "pr_operators", "pr_simulate", "pr_context_validate", "st_hits_union", "qp_retrieve", "qp_profile", "qp_degrade", "gr_dep_closure", "gr_cycles", "gr_expand", "dq_self_and_cycles",
+    "dq_ref_suggestions", "dq_domain_values", "fn_edit_distance_suggest", "br_get", "br_list_kinds", "br_list_all", "as_discover", "as_groups", "as_skill_select", "ev_assembly",
 ]
 
 
