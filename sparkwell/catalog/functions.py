@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkwell.catalog import model as M
 from sparkwell.functions import text as T
 from sparkwell.operators import chunking, similarity
+from sparkwell.operators.embedding import embed
 
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -96,6 +97,22 @@ def fn_embed_fixture(s, d):
     return M.table(s, d, "benchmark").select("item_id", F.posexplode(T.fixture_embedding(F.col("text"), 64)).alias("i", "x")).select("item_id", "i", F.round("x", 9).alias("x"))
 
 
+def _hash_vectors(texts):
+    """The fixture embedding as a provider: 64 numbers from two chained digests."""
+    import hashlib
+
+    out = []
+    for t in texts:
+        first = hashlib.sha256(t.encode()).digest()
+        out.append([b / 255 - 0.5 for b in first + hashlib.sha256(first).digest()])
+    return out
+
+
+def fn_embed_provider(s, d):
+    got = embed(M.table(s, d, "benchmark"), "text", _hash_vectors, 64)
+    return got.select("item_id", F.posexplode("vector").alias("i", "x")).select("item_id", "i", F.round("x", 9).alias("x"))
+
+
 def ck_hard_split(s, d):
     return M.chunks(s, d).select("item_id", "ordinal", "part_key", F.md5("content").alias("content_md5"))
 
@@ -126,7 +143,7 @@ def ck_inherit(s, d):
     return c.select("chunk_id", "item_id", "status", "priority", F.round("authority", 9).alias("authority"), "effective_from", "effective_to", "selection_group", "token_count", F.sha2("content", 256).alias("content_hash"))
 
 
-QUERIES = {f.__name__: f for f in (fn_normalize, fn_fold_accents, fn_slug, fn_estimate_tokens, fn_trigrams, fn_trgm_similarity, fn_edit_distance_suggest, fn_canonical_hash, fn_uuid5, fn_semantic_text, fn_search_text, fn_valid_date, fn_contains_any, fn_embed_fixture, ck_hard_split, ck_paragraph_pack, ck_sections, ck_chunk, ck_inherit)}
+QUERIES = {f.__name__: f for f in (fn_normalize, fn_fold_accents, fn_slug, fn_estimate_tokens, fn_trigrams, fn_trgm_similarity, fn_edit_distance_suggest, fn_canonical_hash, fn_uuid5, fn_semantic_text, fn_search_text, fn_valid_date, fn_contains_any, fn_embed_fixture, fn_embed_provider, ck_hard_split, ck_paragraph_pack, ck_sections, ck_chunk, ck_inherit)}
 
 _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _TURNS = "(select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as body from conversations group by conv_id)"
@@ -160,6 +177,8 @@ w as (select o_orderkey, case o_orderkey % 4 when 0 then day when 1 then substr(
 select o_orderkey, value, coalesce(regexp_full_match(value, '\d{4}-\d{2}-\d{2}') and try_cast(value as date) is not null, false) as valid from w""",
     "fn_contains_any": "select p_partkey, p_name from part where contains(lower(p_name), 'red') or contains(lower(p_brand), 'red') or contains(lower(p_type), 'red')",
     "fn_embed_fixture": """with h as (select item_id, sha256(text) as a from benchmark), b as (select item_id, a || sha256(unhex(a)) as h from h)
+select item_id, cast(i as int) as i, round(cast('0x' || substr(h, 2 * i + 1, 2) as int) / 255.0::double - 0.5, 9) as x from (select item_id, h, unnest(range(0, 64)) as i from b)""",
+    "fn_embed_provider": """with h as (select item_id, sha256(text) as a from benchmark), b as (select item_id, a || sha256(unhex(a)) as h from h)
 select item_id, cast(i as int) as i, round(cast('0x' || substr(h, 2 * i + 1, 2) as int) / 255.0::double - 0.5, 9) as x from (select item_id, h, unnest(range(0, 64)) as i from b)""",
     "ck_hard_split": f"with {M.CHUNKS} select item_id, ordinal, part_key, md5(content) as content_md5 from chunks",
     "ck_paragraph_pack": f"""with recursive p as (select conv_id, list_filter(regexp_split_to_array(body, '\\n[ \\t]*\\n+'), lambda x: trim(x) <> '') as ps from {_TURNS}),

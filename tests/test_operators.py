@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.operators import channels, checks, chunking, concepts, fusion, graph, paging, similarity
+from sparkwell.operators import channels, checks, chunking, concepts, embedding, fusion, graph, paging, similarity
 from sparkwell.plans import assemble, build, evaluate
 from sparkwell.sources import corpus
 
@@ -219,3 +219,11 @@ def test_look_up_by_id_or_key(spark):
     asked = spark.createDataFrame([(1, "item", 1, None, None), (2, "item", None, "a", None), (3, "chunk", None, "x", 2), (4, "item", 1, "a", None), (5, "item", None, None, None), (6, "chunk", None, "x", None)], "request_id long, kind string, id long, key string, parent long")
     got = {r.request_id: (r.found, r.code) for r in paging.lookup(asked, e).collect()}
     assert got == {1: (1, None), 2: (1, None), 3: (20, None), 4: (None, "INVALID_INPUT"), 5: (None, "INVALID_INPUT"), 6: (None, "ENTITY_NOT_FOUND")}
+
+
+def test_a_provider_of_vectors(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None), (4, "a")], "id long, text string")
+    got = {r.id: r.vector for r in embedding.embed(rows, "text", lambda texts: [[float(len(t)), 1.0] for t in texts], 2, batch=1).collect()}
+    assert got == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: None, 4: [1.0, 1.0]}
+    with pytest.raises(Exception, match="EMBEDDING_DIMENSION_MISMATCH"):
+        embedding.embed(rows, "text", lambda texts: [[1.0] for _ in texts], 2).collect()
