@@ -22,6 +22,9 @@ TYPES = {
     "op8_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op9_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op10_token_counts": {"doc_id": "bigint", "n_tokens": "bigint"},
+    "op11_filter_audit": {"part": "string", "filter_order": "string", "step": "int", **{c: "bigint" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")}},
+    "op12_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op13_fill_in_middle": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"},
 }
 
 
@@ -45,7 +48,7 @@ def test_columns_and_types(got, name):
     assert {c: have.get(c) for c in TYPES[name]} == TYPES[name]
 
 
-@pytest.mark.parametrize("name", [n for n in TYPES if n not in ("op1_near_duplicates", "op7_packing")])
+@pytest.mark.parametrize("name", [n for n in TYPES if n not in ("op1_near_duplicates", "op7_packing", "op11_filter_audit")])
 def test_one_row_for_each_document(got, texts, name):
     assert sorted(r.doc_id for r in got[name][1]) == sorted(texts)
 
@@ -120,10 +123,22 @@ def test_near_duplicates(spark, got):
     assert sum(n.values()) >= 0.9 * close.sum() and all(n[r.vec_id] <= k for r, k in zip(rows, close.sum(1).tolist(), strict=True))
 
 
+def test_byte_bpe_equals_the_library(got, texts):
+    import public_tokenizers
+    from sparkwell.llm.byte_bpe import encoding
+
+    tool = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in got["op12_byte_bpe"][1]:
+        text = texts[r.doc_id] or ""
+        ids = tool.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_equals_sql(got, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
