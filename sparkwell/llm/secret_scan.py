@@ -11,6 +11,7 @@ import lzma
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +34,21 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 #: A short first line of a token that begins in the middle of its line.
 _ABOVE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n\Z")
 _LINE = re.compile(r"[^\r\n]+")
-#: How base64 of gzip, zlib, bz2 and xz begins.
-_PACKED = re.compile(r"H4s|e[A-P]|Ql|[/_]T")
+#: How gzip, zlib, bz2 and xz begin, as bytes and in base64.
+_MAGIC = (b"\x1f\x8b", b"\x78", b"BZh", b"\xfd7zXZ")
+_PACKED = re.compile(rb"H4s|e[A-P]|Ql|[/_]T")
 #: Texts in which none of the patterns above can begin are skipped by one linear pass in Arrow.
 _MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}"""
 #: Decompressed layers are read in windows of this many bytes, one at a time, that overlap by OVERLAP. A token without
 #: white space that a border would cut is held back until it ends, or has HELD bytes: then it goes on in a next window,
-#: from a place that keeps the alignment of base64. So memory is bounded by these three and the document itself.
-WINDOW, OVERLAP, HELD = 1 << 20, 1 << 16, 8 << 20
-#: Memory that an xz layer may ask for; one that wants more stays packed.
-XZ_MEMORY = 80 << 20
+#: from a place that keeps the alignment of base64 (of GROUP characters, so of nested base64, too), and packed bytes in
+#: it are unpacked as they come. So memory is bounded by these, the document, and the dictionary of an xz layer as far
+#: as the layer fills it.
+WINDOW, OVERLAP, HELD, GROUP = 1 << 20, 1 << 16, 8 << 20, 4**6
 _TOKEN = bytes(i for i in range(33, 127)) + b"\r\n"
 _BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_ENDS = re.compile(rb"[\r\n]+")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -151,10 +155,96 @@ def _texts(data: bytes) -> Iterator[str]:
         yield data.decode("utf-16-be", "replace")
 
 
-def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
-    """Decoded text in overlapping windows of bounded size; a token at the border comes whole in a later one."""
-    tail, held = b"", False
+class _Carried:
+    """Packed bytes whose base64 comes in parts: each part is unpacked as far as it goes, and the state is kept for the next."""
+
+    def __init__(self) -> None:
+        self.parts: deque[bytes] = deque()
+        self.open, self.ended = True, False
+        self.texts = _windows(_inflated(self._bytes()))
+
+    def _bytes(self) -> Iterator[bytes | None]:
+        rest = b""
+        while True:
+            if self.parts:
+                chars = rest + self.parts.popleft().translate(_STANDARD, b"\r\n")
+                n = len(chars) // 4 * 4
+                rest = chars[n:]
+                if n:
+                    yield base64.b64decode(chars[:n])
+            elif self.ended:
+                if len(rest) > 1:
+                    yield base64.b64decode(rest + b"=" * (-len(rest) % 4))
+                return
+            else:
+                yield None  # until there is more
+
+    def read(self, part: bytes, start: int = 0) -> Iterator[str]:
+        """The texts that part[start:] completes."""
+        for some in _parts(part, start):
+            self.parts.append(some)
+            for t in self.texts:
+                if t is None:
+                    break
+                yield t
+            else:
+                self.open = False
+                return
+
+    def end(self) -> Iterator[str]:
+        self.ended = True
+        yield from (t for t in self.texts if t is not None)
+
+
+def _parts(data: bytes, start: int) -> Iterator[bytes]:
+    """data[start:] in slices that grow, as most of what looks packed is not."""
+    size = 256
+    while start < len(data):
+        yield data[start : start + size]
+        start, size = start + size, min(2 * size, 1 << 16)
+
+
+def _carried_from(part: bytes, starts: list[int]) -> Iterator[str | _Carried]:
+    """The texts that packed bytes at these places of a part of a token have, and those that may go on."""
+    for x in starts:
+        if len(part) - x < 3 or _PACKED.match(part, x):
+            one = _Carried()
+            yield from one.read(part, x)
+            if one.open:
+                yield one
+
+
+def _windows(chunks: Iterator[bytes | None]) -> Iterator[str | None]:
+    """Decoded text in overlapping windows of bounded size; a token at the border comes whole in a later one, or in parts when it is too long.
+
+    A chunk of None, which says that more comes later, is handed on.
+    """
+    tail, held, parted, after_end = b"", False, False, False
+    carried: list[_Carried] = []
+
+    def begin(part: bytes, starts: list[int]) -> Iterator[str]:
+        for x in _carried_from(part, starts):
+            if isinstance(x, str):
+                yield x
+            else:
+                carried.append(x)
+
     for c in chunks:
+        if c is None:
+            yield None
+            continue
+        if parted:
+            inside = c[: len(c) - len(c.lstrip(_BASE64_BYTES))]
+            for one in carried:
+                yield from one.read(inside)
+            carried[:] = [one for one in carried if one.open]
+            yield from begin(inside, [0] * (after_end and bool(inside)) + [m.end() for m in _ENDS.finditer(inside) if m.end() < len(inside)])
+            after_end = inside[-1:] in (b"\r", b"\n")
+            if len(inside) < len(c):
+                for one in carried:
+                    yield from one.end()
+                parted = False
+                carried.clear()
         block = tail + c
         at = len(block.rstrip(_TOKEN))
         held = len(block) - at > OVERLAP
@@ -165,21 +255,39 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
             continue
         yield from _texts(block)
         cut = max(0, len(block) - OVERLAP)
-        if held:  # keep whole groups of four base64 characters together
+        if held:
             first = len(block.rstrip(_BASE64_BYTES))
             cut = max(first, cut)
-            while (len(block[first:cut].translate(None, b"\r\n")) % 4 or block[cut : cut + 1] in (b"\r", b"\n")) and cut > first:
+            extra = len(block[first:cut].translate(None, b"\r\n")) % GROUP  # keep whole groups of base64 characters together
+            while cut > first and (extra or block[cut : cut + 1] in (b"\r", b"\n")):
                 cut -= 1
+                extra -= block[cut] not in (10, 13)
+            if not parted and first < len(block):
+                parted, after_end = True, block[-1] in (10, 13)
+                yield from begin(block, [first] + [m.end() for m in _ENDS.finditer(block, first) if m.end() < len(block)])
         tail, held = block[cut:], False
     if held:
         yield from _texts(tail)
+    for one in carried:
+        yield from one.end()
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    """What compressed bytes hold, all members of them one after another, WINDOW bytes at a time."""
-    makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lambda: lzma.LZMADecompressor(memlimit=XZ_MEMORY)))
-    while make := next((make for magic, make in makers if data.startswith(magic)), None):
-        d, rest = make(), data
+def _inflated(chunks: Iterator[bytes | None]) -> Iterator[bytes | None]:
+    """What compressed bytes hold, all members of them one after another, WINDOW bytes at a time; None is handed on."""
+    makers = (lambda: zlib.decompressobj(31), zlib.decompressobj, bz2.BZ2Decompressor, lzma.LZMADecompressor)
+    rest, source, over = b"", iter(chunks), False
+    while True:
+        while len(rest) < 5 and not over:
+            if (more := next(source, b"")) is None:
+                yield None
+            elif more:
+                rest += more
+            else:
+                over = True
+        make = next((make for magic, make in zip(_MAGIC, makers, strict=True) if rest.startswith(magic)), None)
+        if make is None:
+            return
+        d = make()
         try:
             while not d.eof:
                 block = d.decompress(rest, WINDOW)
@@ -187,10 +295,15 @@ def _inflated(data: bytes) -> Iterator[bytes]:
                 if block:
                     yield block
                 elif not d.eof and not rest and getattr(d, "needs_input", True):
-                    return
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, MemoryError):
+                    if (more := next(source, b"")) is None:
+                        yield None
+                    elif more:
+                        rest = more
+                    else:
+                        return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
             return
-        data = d.unused_data.lstrip(b"\0")
+        rest = d.unused_data.lstrip(b"\0")
 
 
 def _decoded(token: str) -> bytes:
@@ -200,11 +313,10 @@ def _decoded(token: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _unpacked(data: bytes) -> Iterator[str]:
-    """The texts that the bytes of a base64 token hold when they are unpacked or are not UTF-8."""
-    if data[:1] in (b"\x1f", b"\x78", b"B", b"\xfd"):
-        yield from _windows(_inflated(data))
-    yield from itertools.islice(_texts(data), 1, None)
+def _unpacked(data: bytes, start: int = 0) -> Iterator[str]:
+    """The texts that packed bytes from a place on hold."""
+    if data.startswith(_MAGIC, start):
+        yield from _windows(_inflated(_parts(data, start)))  # type: ignore[misc]
 
 
 def _line_places(plain: str, read: list[tuple[int, int]], places: Places) -> Places:
@@ -229,31 +341,39 @@ def _line_places(plain: str, read: list[tuple[int, int]], places: Places) -> Pla
 def _tokens(layer: str, places: Places) -> Iterator[tuple[str, Places]]:
     """What the base64 tokens of a layer hold, with its places; one text at a time.
 
-    Every line of a token over several lines is read alone, too. The whole is read from the first line of each
-    alignment and from lines where packed bytes may begin, as what stands above may not belong to it. Unpacked text maps
-    to all lines read, plain text to those that hold it.
+    Every line of a token over several lines is read alone, too. The whole is decoded once for each alignment, from the
+    first line that has it; packed bytes may begin at any line, as what stands above may not belong to them, and are
+    sought in what is decoded already. Unpacked text maps to all lines read, plain text to those that hold it.
     """
     for m in _BASE64.finditer(layer):
         lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
         above = _ABOVE.search(layer, max(0, m.start() - 18), m.start())
         if above:
             lines.insert(0, above.span(1))
-        reads = [[x] for x in lines if x[1] - x[0] >= 16]
-        if len(lines) > 1:
-            firsts: dict[int, int] = {}
-            size = 0
-            for k, (a, b) in enumerate(lines[:-1]):
-                if firsts.setdefault(size % 4, k) == k or _PACKED.match(layer, a):
-                    reads.append(lines[k:])
-                size += b - a
-        for read in reads:
-            data = _decoded("".join(layer[a:b] for a, b in read))
+
+        def texts(data: bytes, read: list[tuple[int, int]]) -> Iterator[tuple[str, Places]]:
             whole = Places.whole(*places.span(read[0][0], read[-1][1]))
-            for inner in _unpacked(data):
+            for inner in itertools.chain(_unpacked(data), itertools.islice(_texts(data), 1, None)):
                 yield inner, whole
             plain = data.decode("utf-8", "surrogateescape")
             yield plain, whole if len(read) == 1 or not plain else _line_places(plain, read, places)
 
+        for x in lines:
+            if x[1] - x[0] >= 16:
+                yield from texts(_decoded(layer[x[0] : x[1]]), [x])
+        if len(lines) > 1:
+            joined, begin = "".join(layer[a:b] for a, b in lines), 0
+            firsts: dict[int, tuple[int, bytes]] = {}
+            for k, (a, b) in enumerate(lines[:-1]):
+                if begin % 4 not in firsts:
+                    firsts[begin % 4] = begin, _decoded(joined[begin:])
+                    yield from texts(firsts[begin % 4][1], lines[k:])
+                else:
+                    at, data = firsts[begin % 4]
+                    for inner in _unpacked(data, (begin - at) // 4 * 3):
+                        yield inner, Places.whole(*places.span(a, lines[-1][1]))
+                begin += b - a
+
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the text as it is, spans of every layer mapped to the text), each sorted.

@@ -322,6 +322,70 @@ def test_a_token_longer_than_what_is_held_keeps_its_alignment(monkeypatch):
     assert ("assign", 0, len(token)) in secret_scan.all_spans(token)[1]
 
 
+@pytest.mark.parametrize("kind", ["gz", "lines", "below a word", "bz2", "twice", "nested"])
+def test_packed_bytes_in_a_token_longer_than_what_is_held(monkeypatch, kind):
+    import bz2
+
+    for name, n in (("WINDOW", 512), ("OVERLAP", 128), ("HELD", 2048), ("GROUP", 64)):
+        monkeypatch.setattr(secret_scan, name, n)
+    secret, noise = b" password = hunter2secret ", random.Random(4).randbytes(9000)
+
+    def lines(data):
+        text = base64.b64encode(data).decode()
+        return "\n".join(text[k : k + 76] for k in range(0, len(text), 76)).encode()
+
+    inner = {
+        "gz": base64.b64encode(gzip.compress(noise + secret)), "lines": lines(gzip.compress(noise + secret)), "below a word": b"internationalisation\n" + lines(gzip.compress(noise + secret)),
+        "bz2": base64.urlsafe_b64encode(bz2.compress(noise + secret)), "twice": base64.b64encode(base64.b64encode(noise + secret + noise)),
+        "nested": base64.b64encode(gzip.compress(b"x=" + base64.b64encode(gzip.compress(noise + secret)))),
+    }[kind]
+    token = base64.b64encode(gzip.compress(b'key="' + inner + b'" end', mtime=0)).decode()
+    assert secret_scan.all_spans(token)[1] == [("assign", 0, len(token))]
+
+
+def test_an_xz_layer_of_a_large_dictionary_is_unpacked():
+    import lzma
+
+    data = lzma.compress(b"filler text " * 1000 + b" password = hunter2secret", filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 128 << 20}])
+    token = base64.b64encode(data).decode()
+    assert secret_scan.all_spans(token)[1] == [("assign", 0, len(token))]
+
+
+def test_lines_that_look_packed_cost_what_they_hold():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        secret_scan.all_spans("\n".join("eA" + "b3Jk" * 4 + "abc" for _ in range(n)))
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 60 * max(0.05, seconds(2000))
+
+
+def test_random_nests_of_layers_equal_a_plain_unwrapper():
+    import urllib.parse
+
+    rng = random.Random(12)
+
+    def b64(x, width):
+        t = base64.b64encode(x.encode()).decode()
+        return "\n".join(t[k : k + width] for k in range(0, len(t), width))
+
+    wraps = [
+        lambda x: urllib.parse.quote(x, safe=""), lambda x: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.5 or c == "\\" else c for c in x), lambda x: "".join(f"&#{ord(c)};" for c in x),
+        lambda x: b64(x, 1 << 20), lambda x: b64(x, 76), lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode(), lambda x: base64.urlsafe_b64encode(zlib.compress(x.encode())).decode(),
+    ]
+    for k in range(60):
+        inner = f"token: abc{k}def and AKIA{'Z' * 16} " + "0a" * 13
+        text, depth = inner, rng.randint(1, 4)
+        for _ in range(depth):
+            text = rng.choice(wraps)(text)
+        found = secret_scan.all_spans(f"before {text} after")[1]
+        assert {kind for kind, _, _ in found} == {"assign", "access", "hex"}, k
+        assert all(7 <= a < b <= 7 + len(text) for _, a, b in found)
+
+
 def test_secret_cycles_end():
     text = "a%2525252541 " + base64.b64encode(b"%41%41" * 30).decode()
     assert secret_scan.all_spans(text)[0] == []
