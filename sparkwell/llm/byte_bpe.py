@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from sparkwell.llm.stash import free, small_batches, written
 
-#: Bytes of text whose positions stand together; a longer document makes a block of its own.
-BLOCK = 8 << 20
+#: Code points of text whose positions stand together; a longer document makes a block of its own.
+BLOCK = 16 << 20
+#: Bytes of text for each list that distinct pre-tokens are dealt into, so that lists grow in number, not in length.
+LIST_BYTES = 1 << 20
 #: Code points of a text split in one call; a longer one is read match by match.
 AT_ONCE = 1 << 20
 _CODEC = "zstd"
@@ -29,12 +33,15 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(4)
 def encoding(path: str, pattern: str):
+    """One for each Python worker."""
     import tiktoken
 
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@lru_cache(1)
 def stand_ins() -> dict[int, str]:
     """Characters that the library that encodes and the one that splits here put in different classes, with a plain one of the right class.
 
@@ -96,66 +103,91 @@ class Splitter:
         return np.array(out, np.uint32)
 
 
-def exploded(docs: DataFrame, text: str, pattern: str, keep: list[str], names: list[str]) -> DataFrame:
-    """Texts in blocks: for each document a row with the places of its pre-tokens, in order, and for each distinct one of a block a row.
+def exploded(docs: DataFrame, text: str, pattern: str, lists: int, keep: list[str], names: list[str]) -> DataFrame:
+    """Texts in blocks: for each document a row with the places of its pre-tokens, in order, and the block's distinct ones.
 
-    names: the columns block, place, word and positions. So a pre-token's bytes leave a block once, not once a position.
+    names: the columns block, list, words and positions. The distinct pre-tokens of a block are dealt by a hash into
+    lists, a row each; a place counts on through the block's lists in their order. So a pre-token leaves a block once,
+    not once a position.
     """
-    new = [StructField(n, t) for n, t in zip(names, (LongType(), IntegerType(), StringType(), BinaryType()), strict=True)]
+    new = [StructField(n, t) for n, t in zip(names, (LongType(), LongType(), ArrayType(StringType()), BinaryType()), strict=True)]
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + new)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
         block, size = TaskContext.get().partitionId() << 32, 0
-        kinds: list[pa.DataType] = []
+        open_: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
 
-        def close() -> pa.RecordBatch:
+        def rows(kept: list[pa.Array], n: int, at: pa.Array, words: pa.Array, positions: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*kept, pa.array([block] * n, pa.int64()), at, words, positions], names=schema.names)
+
+        def close() -> Iterator[pa.RecordBatch]:
             words = list(split.words)
-            n = len(words)
+            dealt = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % lists
+            order = np.argsort(dealt, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            for kept, positions in open_:
+                n = len(positions)
+                yield rows(kept.columns, n, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.string())), pa.array([_packed(place[p]) for p in positions], pa.binary()))
+            begins = np.flatnonzero(np.diff(dealt[order], prepend=-1))
+            n = len(begins)
+            if n:
+                made = pa.ListArray.from_arrays(pa.array(np.append(begins, len(words)), pa.int32()), pa.array(words, pa.string()).take(pa.array(order)))
+                yield rows([pa.nulls(n, c.type) for c in open_[0][0].columns], n, pa.array(dealt[order][begins]), made, pa.nulls(n, pa.binary()))
             split.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in kinds] + [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(words, pa.string()), pa.nulls(n, pa.binary())], names=schema.names)
+            open_.clear()
 
         for batch in batches:
-            kinds = [batch.column(c).type for c in range(k)]
             first, positions = 0, []
             for i, t in enumerate(batch.column(k).to_pylist(), 1):
-                positions.append(_packed(split.split(t or "")))
+                positions.append(split.split(t or ""))
                 size += len(t or "")
                 if size >= BLOCK or i == batch.num_rows:
-                    n = i - first
-                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, n) for c in range(k)] + [pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(positions, pa.binary())], names=schema.names)
+                    open_.append((batch.select(range(k)).slice(first, i - first), positions))
                     first, positions = i, []
                 if size >= BLOCK:
-                    yield close()
+                    yield from close()
                     block, size = block + 1, 0
-        if split.words:
-            yield close()
+        if open_:
+            yield from close()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
-def _packed(places: np.ndarray) -> bytes:
-    if not len(places) or places.max() < 1 << 16:
-        places = places.astype(np.uint16)
-    return bytes([places.itemsize]) + len(places).to_bytes(8, "little") + pa.compress(places.tobytes(), codec=_CODEC, asbytes=True)
+def _packed(values: np.ndarray) -> bytes:
+    """Non-negative numbers in few bytes."""
+    most = int(values.max()) if len(values) else 0
+    values = values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+    return bytes([values.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec=_CODEC, asbytes=True)
 
 
-def _places(raw: bytes) -> np.ndarray:
-    kind, n = np.dtype(np.uint16 if raw[0] == 2 else np.uint32), int.from_bytes(raw[1:9], "little")
+def _unpacked(raw: bytes) -> np.ndarray:
+    kind, n = np.dtype(f"u{raw[0]}"), int.from_bytes(raw[1:9], "little")
     return np.frombuffer(pa.decompress(raw[9:], n * kind.itemsize, codec=_CODEC, asbytes=True), kind)
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) of distinct words, each of them one pre-token."""
+def encode_lists(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """(block, list, sizes, ids) of rows(block, list, words): all rows of a list meet, so each distinct word is encoded once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoding(vocabulary, r"(?s:.+)")  # a word is not split again
-        for b in batches:
-            ids = tool.encode_ordinary_batch(b.column(0).to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    sizes and ids: how many ids each word of the row has, and all of them, packed.
+    """
+
+    def one_list(t: pa.Table) -> pa.Table:
+        words = t["words"].combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        known = encoding(vocabulary, r"(?s:.+)").encode_ordinary_batch(coded.dictionary.to_pylist(), num_threads=1)  # a word is not split again
+        size = np.array([len(x) for x in known], np.int64)
+        flat, start = np.fromiter((i for x in known for i in x), np.int64), np.cumsum(size) - size
+        which, upto = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(np.diff(np.asarray(words.offsets)))])
+        sizes, ids = [], []
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            sizes.append(_packed(size[which[a:b]]))
+            ids.append(_packed(flat[ragged(start, size, which[a:b])]))
+        return pa.table({"block": t["block"], "list": t["list"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return rows.groupBy("list").applyInArrow(one_list, "block long, list long, sizes binary, ids binary")
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -168,37 +200,33 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarr
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """docs without the text, plus ids: what a byte-level BPE without special tokens makes of every whole text.
 
-    Pre-tokens are exploded with their positions in blocks of documents, distinct ones of the whole corpus are found by
-    a shuffle and encoded once each, their ids are joined back to every block that holds them, and each block puts its
-    documents together by position. A frequent pre-token is one row for a block, so no key gathers positions. A null or
-    empty text has no ids; a very long one makes a block of its own; repeated rows have their ids each; an empty table
-    gives an empty result. A column called ids is replaced, all others stay, whatever their names.
+    Pre-tokens are exploded with their positions in blocks of documents; a shuffle brings the equal ones of all blocks
+    together, where each distinct one is encoded once; the ids go back to every block that holds it, and each block puts
+    its documents together by position. A frequent pre-token is in one row for a block, so no key gathers positions. A
+    null or empty text has no ids; a very long one makes a block of its own; repeated rows have their ids each; an empty
+    table gives an empty result. A column called ids is replaced, all others stay, whatever their names.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.schema.names if c != text and c.lower() != "ids"]
-    block, place, word, positions = names = free(docs, "block", "place", "word", "positions")
-    stash = written(exploded(docs, text, pattern, keep, names))
-    local = stash.where(F.col(word).isNotNull()).select(F.col(block).alias("block"), F.col(place).alias("place"), F.col(word).alias("word"))
-    known = encode_words(local.select("word").distinct(), vocabulary)
-    joined = local.join(known, "word").select("block", "place", "ids")
-    sought = stash.where(F.col(positions).isNotNull()).select(F.col(block), F.col(positions), *[F.col(f"`{c}`") for c in keep])
+    names = free(docs, "block", "list", "words", "positions")
+    block, listed, words, positions = (F.col(n) for n in names)
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    stash = written(exploded(docs, text, pattern, 1 + total // LIST_BYTES, keep, names))
+    encoded = encode_lists(stash.where(words.isNotNull()).select(block.alias("block"), listed.alias("list"), words.alias("words")), vocabulary)
+    sought = stash.where(positions.isNotNull()).select(block, positions, *[F.col(f"`{c}`") for c in keep])
     schema = StructType([docs.schema[c] for c in keep] + [StructField("ids", ArrayType(IntegerType()))])
 
-    def together(sought: pa.Table, local: pa.Table) -> pa.Table:
-        order = np.argsort(local["place"].to_numpy())
-        lists = local["ids"].combine_chunks()
-        bounds = np.asarray(lists.offsets, np.int64)
-        starts, sizes = bounds[:-1][order], np.diff(bounds)[order]
-        values = lists.values.to_numpy()
-        out, ends = [np.zeros(0, np.int32)], [0]
-        for raw in sought[positions].to_pylist():
-            ids = values[ragged(starts, sizes, _places(raw))] if len(order) else values[:0]
-            out.append(ids)
-            ends.append(ends[-1] + len(ids))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+    def together(sought: pa.Table, encoded: pa.Table) -> pa.Table:
+        encoded = encoded.sort_by("list")
+        size = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, encoded["sizes"].to_pylist())]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *(_unpacked(x).astype(np.int32) for x in encoded["ids"].to_pylist())])
+        start = np.cumsum(size) - size
+        out = [flat[ragged(start, size, _unpacked(raw))] for raw in sought[names[3]].to_pylist()]
+        ends = np.cumsum([0, *map(len, out)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
         return pa.table([*(sought[c] for c in keep), ids], names=schema.names)
 
-    return sought.groupBy(block).cogroup(joined.groupBy("block")).applyInArrow(together, schema)
+    return sought.groupBy(names[0]).cogroup(encoded.groupBy("block")).applyInArrow(together, schema)
 
 
 def token_bytes(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
