@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from sparkwell.llm.stash import free, small_batches, written
+from sparkwell.llm.stash import free, new_folder, small_batches
 
 #: Code points of text whose positions stand together; a longer document makes a block of its own.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Bytes of text for each list that distinct pre-tokens are dealt into, so that lists grow in number, not in length.
 LIST_BYTES = 1 << 20
+#: Bytes of text for each bucket of the table of blocks, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 20_000
 #: Code points of a text split in one call; a longer one is read match by match.
 AT_ONCE = 1 << 20
 _CODEC = "zstd"
@@ -106,51 +109,48 @@ class Splitter:
 def exploded(docs: DataFrame, text: str, pattern: str, lists: int, keep: list[str], names: list[str]) -> DataFrame:
     """Texts in blocks: for each document a row with the places of its pre-tokens, in order, and the block's distinct ones.
 
-    names: the columns block, list, words and positions. The distinct pre-tokens of a block are dealt by a hash into
-    lists, a row each; a place counts on through the block's lists in their order. So a pre-token leaves a block once,
-    not once a position.
+    names: the columns block, list, places, words and positions. The distinct pre-tokens of a block are dealt by a hash
+    into lists, a row each with their places in the block, so a pre-token leaves a block once, not once a position.
     """
-    new = [StructField(n, t) for n, t in zip(names, (LongType(), LongType(), ArrayType(StringType()), BinaryType()), strict=True)]
+    new = [StructField(n, t) for n, t in zip(names, (LongType(), LongType(), BinaryType(), BinaryType(), BinaryType()), strict=True)]
     schema = StructType([StructField(c, docs.schema[c].dataType) for c in keep] + new)
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
         block, size = TaskContext.get().partitionId() << 32, 0
-        open_: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+        kinds: list[pa.DataType] = []
 
-        def rows(kept: list[pa.Array], n: int, at: pa.Array, words: pa.Array, positions: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*kept, pa.array([block] * n, pa.int64()), at, words, positions], names=schema.names)
+        def rows(kept: list[pa.Array], *made: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*kept, pa.array([block] * len(made[0]), pa.int64()), *made], names=schema.names)
 
         def close() -> Iterator[pa.RecordBatch]:
-            words = list(split.words)
-            dealt = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % lists
+            words = [w.encode() for w in split.words]
+            dealt = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % lists
+            split.clear()
             order = np.argsort(dealt, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            for kept, positions in open_:
-                n = len(positions)
-                yield rows(kept.columns, n, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.string())), pa.array([_packed(place[p]) for p in positions], pa.binary()))
             begins = np.flatnonzero(np.diff(dealt[order], prepend=-1))
-            n = len(begins)
-            if n:
-                made = pa.ListArray.from_arrays(pa.array(np.append(begins, len(words)), pa.int32()), pa.array(words, pa.string()).take(pa.array(order)))
-                yield rows([pa.nulls(n, c.type) for c in open_[0][0].columns], n, pa.array(dealt[order][begins]), made, pa.nulls(n, pa.binary()))
-            split.clear()
-            open_.clear()
+            for lo in range(0, len(begins), 1000):
+                some = begins[lo : lo + 1000]
+                parts = [order[a:b] for a, b in zip(some.tolist(), [*some[1:].tolist(), begins[lo + 1000] if lo + 1000 < len(begins) else len(order)], strict=True)]
+                places, lists_ = [_packed(np.diff(p, prepend=0)) for p in parts], [_packed_words([words[i] for i in p.tolist()]) for p in parts]
+                n = len(parts)
+                yield rows([pa.nulls(n, t) for t in kinds], pa.array(dealt[order][some]), pa.array(places, pa.binary()), pa.array(lists_, pa.binary()), pa.nulls(n, pa.binary()))
 
         for batch in batches:
+            kinds = [batch.column(c).type for c in range(k)]
             first, positions = 0, []
             for i, t in enumerate(batch.column(k).to_pylist(), 1):
-                positions.append(split.split(t or ""))
+                positions.append(_packed(split.split(t or "")))
                 size += len(t or "")
                 if size >= BLOCK or i == batch.num_rows:
-                    open_.append((batch.select(range(k)).slice(first, i - first), positions))
+                    n = i - first
+                    yield rows([batch.column(c).slice(first, n) for c in range(k)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(positions, pa.binary()))
                     first, positions = i, []
                 if size >= BLOCK:
                     yield from close()
                     block, size = block + 1, 0
-        if open_:
+        if split.words:
             yield from close()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
@@ -168,26 +168,44 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[9:], n * kind.itemsize, codec=_CODEC, asbytes=True), kind)
 
 
+def _packed_words(words: list[bytes]) -> bytes:
+    sizes, data = _packed(np.array([len(w) for w in words], np.int64)), b"".join(words)
+    return len(sizes).to_bytes(8, "little") + sizes + len(data).to_bytes(8, "little") + pa.compress(data, codec=_CODEC, asbytes=True)
+
+
+def _unpacked_words(raw: bytes) -> list[str]:
+    at = 8 + int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(_unpacked(raw[8:at]).astype(np.int64)).tolist()
+    data = pa.decompress(raw[at + 8 :], int.from_bytes(raw[at : at + 8], "little"), codec=_CODEC, asbytes=True)
+    return [data[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def encode_lists(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, list, sizes, ids) of rows(block, list, words): all rows of a list meet, so each distinct word is encoded once.
+    """(block, places, sizes, ids) of rows(block, list, places, words): all rows of a list meet, so each distinct word is encoded once.
 
     sizes and ids: how many ids each word of the row has, and all of them, packed.
     """
 
     def one_list(t: pa.Table) -> pa.Table:
-        words = t["words"].combine_chunks()
-        coded = words.flatten().dictionary_encode()
-        known = encoding(vocabulary, r"(?s:.+)").encode_ordinary_batch(coded.dictionary.to_pylist(), num_threads=1)  # a word is not split again
-        size = np.array([len(x) for x in known], np.int64)
-        flat, start = np.fromiter((i for x in known for i in x), np.int64), np.cumsum(size) - size
-        which, upto = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(np.diff(np.asarray(words.offsets)))])
-        sizes, ids = [], []
-        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-            sizes.append(_packed(size[which[a:b]]))
-            ids.append(_packed(flat[ragged(start, size, which[a:b])]))
-        return pa.table({"block": t["block"], "list": t["list"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
-
-    return rows.groupBy("list").applyInArrow(one_list, "block long, list long, sizes binary, ids binary")
+        words = [_unpacked_words(raw) for raw in t["words"].to_pylist()]
+        known: dict[str, int] = {}
+        which = [np.fromiter((known.setdefault(w, len(known)) for w in row), np.int64, len(row)) for row in words]
+        coded = encoding(vocabulary, r"(?s:.+)").encode_ordinary_batch(list(known), num_threads=1)  # a word is not split again
+        size = np.array([len(x) for x in coded], np.int64)
+        flat, start = np.fromiter((i for x in coded for i in x), np.int64), np.cumsum(size) - size
+        sizes, ids = [_packed(size[at]) for at in which], [_packed(flat[ragged(start, size, at)]) for at in which]
+        return pa.table({"block": t["block"], "places": t["places"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    return rows.groupBy("list").applyInArrow(one_list, "block long, places binary, sizes binary, ids binary")
+
+
+def in_buckets(rows: DataFrame, column: str, buckets: int) -> DataFrame:
+    """rows written as a table in the shared folder that is bucketed by a column, so that what groups by it shuffles nothing."""
+    spark, name = rows.sparkSession, f"sparkwell_{uuid.uuid4().hex}"
+    rows.write.option("path", new_folder(spark, "buckets")).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and out knows them
+    return out
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -202,26 +220,27 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -
 
     Pre-tokens are exploded with their positions in blocks of documents; a shuffle brings the equal ones of all blocks
     together, where each distinct one is encoded once; the ids go back to every block that holds it, and each block puts
-    its documents together by position. A frequent pre-token is in one row for a block, so no key gathers positions. A
+    its documents together by position. Blocks wait in a bucketed table, so positions are never shuffled. A frequent pre-token is in one row for a block, so no key gathers positions. A
     null or empty text has no ids; a very long one makes a block of its own; repeated rows have their ids each; an empty
     table gives an empty result. A column called ids is replaced, all others stay, whatever their names.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.schema.names if c != text and c.lower() != "ids"]
-    names = free(docs, "block", "list", "words", "positions")
-    block, listed, words, positions = (F.col(n) for n in names)
+    names = free(docs, "block", "list", "places", "words", "positions")
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    stash = written(exploded(docs, text, pattern, 1 + total // LIST_BYTES, keep, names))
-    encoded = encode_lists(stash.where(words.isNotNull()).select(block.alias("block"), listed.alias("list"), words.alias("words")), vocabulary)
-    sought = stash.where(positions.isNotNull()).select(block, positions, *[F.col(f"`{c}`") for c in keep])
+    stash = in_buckets(exploded(docs, text, pattern, 1 + total // LIST_BYTES, keep, names), names[0], min(MOST_BUCKETS, 8 + total // BUCKET_BYTES))
+    words = stash.where(F.col(names[3]).isNotNull()).select(*[F.col(n).alias(c) for n, c in zip(names[:4], ("block", "list", "places", "words"), strict=True)])
+    encoded = encode_lists(words, vocabulary)
+    sought = stash.where(F.col(names[4]).isNotNull()).select(names[0], names[4], *[F.col(f"`{c}`") for c in keep])
     schema = StructType([docs.schema[c] for c in keep] + [StructField("ids", ArrayType(IntegerType()))])
 
     def together(sought: pa.Table, encoded: pa.Table) -> pa.Table:
-        encoded = encoded.sort_by("list")
-        size = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, encoded["sizes"].to_pylist())]).astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpacked(x), dtype=np.int64) for x in encoded["places"].to_pylist())])
+        n = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, encoded["sizes"].to_pylist())]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.int32), *(_unpacked(x).astype(np.int32) for x in encoded["ids"].to_pylist())])
-        start = np.cumsum(size) - size
-        out = [flat[ragged(start, size, _unpacked(raw))] for raw in sought[names[3]].to_pylist()]
+        size, start = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        size[place], start[place] = n, np.cumsum(n) - n
+        out = [flat[ragged(start, size, _unpacked(raw))] for raw in sought[names[4]].to_pylist()]
         ends = np.cumsum([0, *map(len, out)])
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
         return pa.table([*(sought[c] for c in keep), ids], names=schema.names)

@@ -139,18 +139,19 @@ def test_long_texts_blocks_and_clashing_names(spark, library, monkeypatch):
     assert "".join(list(split.words)[i] for i in words.tolist()) == text
     docs = [(i, f"word{i % 7} and{i} " * 500) for i in range(40)]
     monkeypatch.setattr(byte_bpe, "LIST_BYTES", 500)
-    got = encoded(spark, docs, block=F.lit(1), list=F.lit("x"), Words=F.lit("y"), positions=F.lit(2.0), ids=F.lit(0))
-    assert got.columns == ["doc_id", "block", "list", "Words", "positions", "ids"]
+    got = encoded(spark, docs, block=F.lit(1), list=F.lit("x"), Places=F.lit(None).cast("int"), Words=F.lit("y"), positions=F.lit(2.0), ids=F.lit(0))
+    assert got.columns == ["doc_id", "block", "list", "Places", "Words", "positions", "ids"]
     assert {r.doc_id: list(r.ids) for r in got.collect()} == {i: library.encode_ordinary(t) for i, t in docs}
 
 
 def test_lists_of_words_are_encoded_row_by_row(spark, library):
-    rows = [(1, 0, [" word", "Ünï"]), (2, 0, ["Ünï"]), (2, 3, [" of many tokens that belong together", "a"])]
-    got = byte_bpe.encode_lists(spark.createDataFrame(rows, "block long, list long, words array<string>"), VOCABULARY).collect()
+    rows = [(1, 0, [" word", "Ünï", "a\0b"]), (2, 0, ["Ünï"]), (2, 3, [" of many tokens that belong together", "a"])]
+    packed = [(b, k, bytearray(str(n), "ascii"), bytearray(byte_bpe._packed_words([w.encode() for w in words]))) for n, (b, k, words) in enumerate(rows)]
+    got = byte_bpe.encode_lists(spark.createDataFrame(packed, "block long, list long, places binary, words binary"), VOCABULARY).collect()
     whole = byte_bpe.encoding(VOCABULARY, r"(?s:.+)")
     for r in got:
-        ids = [whole.encode_ordinary(w) for b, k, words in rows if (b, k) == (r.block, r.list) for w in words]
-        assert byte_bpe._unpacked(r.sizes).tolist() == list(map(len, ids)) and byte_bpe._unpacked(r.ids).tolist() == sum(ids, [])
+        ids = [whole.encode_ordinary(w) for w in rows[int(r.places)][2]]
+        assert r.block == rows[int(r.places)][0] and byte_bpe._unpacked(r.sizes).tolist() == list(map(len, ids)) and byte_bpe._unpacked(r.ids).tolist() == sum(ids, [])
     assert len(got) == 3
 
 
