@@ -16,7 +16,7 @@ from sparkwell.llm.stash import cut, free, small_batches
 from sparkwell.llm.text import NON_SPACE, slices, split_words
 
 CAPACITY = 4096
-#: Pieces packed together; each group wastes less than one sequence over what a single group would.
+#: Pieces packed together in a round; what a group leaves underfull goes on with what others left.
 GROUP_PIECES = 4000
 #: Units whose ids one Python worker remembers, and bytes of text split at once.
 CACHE_WORDS, SLICE = 1_000_000, 1 << 20
@@ -279,35 +279,67 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     return done + [b for b in under if b]
 
 
+def _pack_group(sizes: list[int], bins: list[list[int]] | None, capacity: int) -> list[list[int]]:
+    """Bins of places in sizes after the search: from the given ones, or from best fit if that ends in fewer."""
+    out = None if bins is None else local_search(bins, sizes, capacity)
+    if out is None or len(out) * capacity - sum(sizes) >= capacity:
+        fresh = local_search(best_fit(sizes, capacity), sizes, capacity)
+        out = fresh if out is None or len(fresh) < len(out) else out
+    return out
+
+
+def _packer(round_: int, capacity: int):
+    """Packs one group of rows (uid, size, bin or null, group) in a round."""
+
+    def one_group(t: pa.Table) -> pa.Table:
+        t = t.sort_by("uid")  # whatever order the shuffle brought
+        sizes, start = t["size"].to_pylist(), None
+        if t["bin"].null_count == 0:
+            of: dict[int, list[int]] = {}
+            for i, b in enumerate(t["bin"].to_pylist()):
+                of.setdefault(b, []).append(i)
+            start = [of[b] for b in sorted(of)]
+        sequence, offset, room = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
+        first = round_ << 56 | t["group"][0].as_py() << 24
+        for k, b in enumerate(_pack_group(sizes, start, capacity)):
+            upto = 0
+            for i in b:
+                sequence[i], offset[i] = first + k, upto
+                upto += sizes[i]
+            for i in b:
+                room[i] = capacity - upto
+        return pa.table([t["uid"], t["size"], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(room, pa.int64())], names=["uid", "size", "sequence_id", "offset", "room"])
+
+    return one_group
+
+
 def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """rows plus sequence_id and offset: every row placed in one sequence of at most `capacity`.
 
-    length: 1 to capacity in every row. Rows of full length fill a sequence each; the others are dealt by a hash of
-    their place into groups of about group_pieces, which are packed on their own, so no task grows with the input and
-    equal rows spread evenly. Within a group pieces come in reading order and the search makes no random choice. An
-    empty table gives an empty result. Columns called sequence_id or offset are replaced, all others stay.
+    length: 1 to capacity in every row. Rows of full length fill a sequence each. The others are dealt by a hash of
+    their place into groups of about group_pieces, so that no task grows with the input and equal rows spread evenly.
+    Bins that a group fills are done; the underfull bins of all groups are dealt into fewer groups, where the search
+    goes on from them (or starts anew), round by round, until one group holds them all or a round empties none. Each round deals what
+    the one before left underfull, so rounds get smaller. Within a group pieces come in reading order and the search
+    makes no random choice. An empty table gives an empty result. Columns called sequence_id or offset are replaced,
+    all others stay.
     """
     rows = rows.drop("sequence_id", "offset")
-    uid, group = free(rows, "uid", "group")
+    (uid,) = free(rows, "uid")
     rows = cut(rows.withColumn(uid, F.monotonically_increasing_id()))
-    full, rest = rows.where(F.col(length) >= capacity), rows.where(F.col(length) < capacity)
-    groups = max(1, -(-rest.count() // group_pieces))
-    dealt = rest.withColumn(group, F.pmod(F.xxhash64(uid), F.lit(groups)))
-    out = rows.drop(uid).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    names = out.schema.names
-
-    def one_group(t: pa.Table) -> pa.Table:
-        t = t.sort_by(uid)  # whatever order the shuffle brought
-        sizes = t.column(length).to_pylist()
-        bins = local_search(best_fit(sizes, capacity), sizes, capacity)
-        sequence, offset = [0] * len(sizes), [0] * len(sizes)
-        first = t.column(group)[0].as_py() << 32
-        for k, b in enumerate(bins):
-            at = 0
-            for i in b:
-                sequence[i], offset[i] = first + k, at
-                at += sizes[i]
-        return pa.table([t.column(c) for c in names[:-2]] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
-
-    packed = dealt.groupBy(group).applyInArrow(one_group, out.schema)
-    return packed.unionByName(full.withColumn("sequence_id", -1 - F.col(uid)).withColumn("offset", F.lit(0).cast("long")).drop(uid))
+    none = F.lit(None).cast("long")
+    left = rows.where(F.col(length) < capacity).select(F.col(uid).alias("uid"), F.col(length).cast("long").alias("size"), none.alias("bin"))
+    placed = rows.where(F.col(length) >= capacity).select(F.col(uid).alias("uid"), (-1 - F.col(uid)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    n, bins, round_ = left.count(), None, 0
+    while n:
+        groups = -(-n // group_pieces)
+        dealt = left.withColumn("group", F.pmod(F.xxhash64(F.coalesce("bin", "uid"), F.lit(round_)), F.lit(groups)))
+        out = cut(dealt.groupBy("group").applyInArrow(_packer(round_, capacity), "uid long, size long, sequence_id long, offset long, room long"))
+        now, n, under = out.agg(F.count_if(F.col("offset") == 0), F.count_if(F.col("room") > 0), F.count_if((F.col("offset") == 0) & (F.col("room") > 0))).first()
+        if groups == 1 or (bins is not None and now == bins):
+            placed = placed.unionByName(out.select("uid", "sequence_id", "offset"))
+            break
+        placed = placed.unionByName(out.where("room = 0").select("uid", "sequence_id", "offset"))
+        left, bins, round_ = out.where("room > 0").select("uid", "size", F.col("sequence_id").alias("bin")), under, round_ + 1
+    keyed = placed.withColumnRenamed("uid", uid)
+    return rows.join(keyed, uid).drop(uid).select(*[F.col(f"`{c}`") for c in rows.schema.names if c != uid], "sequence_id", "offset")

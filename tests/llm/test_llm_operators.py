@@ -171,6 +171,29 @@ def test_near_duplicates(spark, many_leaves, monkeypatch):
     assert got[0].component_id == got[2].component_id or not close[0, 2]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("lengths", [(3, 3, 3, 2, 2), (2, 3), (4, 1, 4, 1, 1, 7, 7, 2), (1, 1)])
+def test_vectors_of_mixed_lengths(spark, lengths, parts):
+    rng = np.random.default_rng(sum(lengths))
+    rows = [(k, rng.standard_normal(n).tolist(), 0) for k, n in enumerate(lengths)]
+    rows += [(100 + k, [2 * x for x in v], 0) for k, v, _ in rows] + [(200, None, 0), (201, [], 0), (202, [1.0, None], 0), (203, [0.0, 0.0, 0.0], 0), (204, [1e308, 1e308, -1e308], 0), (205, [1e-320, 1e-320, -1e-320], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(parts, "vec_id")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(frame).collect()}
+
+    def linked(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b or not any(a) or not any(b):
+            return False
+        x, y = (np.array(v) / max(map(abs, v)) for v in (a, b))
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98
+
+    links = {i: [j for j, w, _ in rows if j != i and linked(v, w)] for i, v, _ in rows}
+    at = brute_components(rows, lambda i, j: rows[j][0] in links[rows[i][0]])
+    least = {}
+    for (i, _, _), c in zip(rows, at, strict=True):
+        least[c] = min(i, least.get(c, i))
+    assert got == {i: (len(links[i]), least[c]) for (i, _, _), c in zip(rows, at, strict=True)}
+
+
 def test_the_forest_finds_close_vectors_in_deep_trees():
     rng = np.random.default_rng(9)
     base = rng.standard_normal((5000, 64))
@@ -234,6 +257,28 @@ def test_the_search_reaches_what_sorting_first_reaches():
         assert len(after) <= len(longest_first) and len(after) < len(start)  # exchanges emptied bins
 
 
+def packed_in_groups(spark, sizes, group):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, length long").repartition(4, "id")
+    got = packing.pack(rows, group_pieces=group).collect()
+    assert sorted((r.id, r.length) for r in got) == list(enumerate(sizes))
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in held.values():
+        assert [o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1].tolist()] and sum(n for _, n in p) <= 4096
+    return len(held)
+
+
+def test_groups_of_pieces_reach_what_one_group_reaches(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = [int(x) for x in np.minimum(4096, rng.lognormal(6.3, 1.1, 6000).astype(int) + 1)]
+    least = -(-sum(n for n in sizes if n < 4096) // 4096) + sum(n == 4096 for n in sizes)
+    assert packed_in_groups(spark, sizes, 10_000) == packed_in_groups(spark, sizes, 2000) == least
+    # without the search, groups do not get there
+    monkeypatch.setattr(packing, "_pack_group", lambda sizes, bins, capacity: packing.best_fit(sizes, capacity) if bins is None else bins)
+    assert packed_in_groups(spark, sizes, 2000) > least
+
+
 def test_local_search_ends_only_when_no_exchange_helps():
     sizes = [int(x) for x in np.random.default_rng(6).integers(800, 2600, 600)]
     bins = packing.best_fit(sizes, 4096)
