@@ -30,28 +30,22 @@ SPILL = 0.012
 BLOCK = 512
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, unit vectors of the usable rows). Null, empty, zero vectors and those with null or non-finite parts are not usable."""
-    rows = column.to_pylist() if column.null_count or column.flatten().null_count else None
-    sizes = np.diff(np.asarray(column.offsets)) if rows is None else np.array([len(r) if r and None not in r else 0 for r in rows])
-    if not len(sizes) or not sizes.any():
-        return np.zeros(len(sizes), bool), np.zeros((0, 0))
-    dim = int(np.bincount(sizes[sizes > 0]).argmax())
-    if rows is None and (sizes == dim).all():
-        every = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
-        index = np.arange(len(every))
-    else:
-        rows = rows or column.to_pylist()
-        index = np.flatnonzero(sizes == dim)
-        every = np.array([rows[i] for i in index], np.float64).reshape(-1, dim)
-    finite = np.isfinite(every).all(1)
-    most = np.where(finite, np.abs(np.where(np.isfinite(every), every, 0)).max(1), 0)
-    ok = finite & (most > 0)
-    every = every[ok] / most[ok][:, None]  # no overflow or underflow in the squares
-    every /= np.linalg.norm(every, axis=1)[:, None]
-    usable = np.zeros(len(sizes), bool)
-    usable[index[ok]] = True
-    return usable, every
+def unit_rows(column: pa.Array) -> list[bytes | None]:
+    """The bytes of every row's vector, in doubles and of unit length; None for null, empty and zero vectors and those with null or non-finite parts."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null part is NaN
+    out: list[bytes | None] = [None] * len(sizes)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        every = flat[begins[at][:, None] + np.arange(size)]
+        most = np.abs(every).max(1)
+        ok = np.isfinite(most) & (most > 0)
+        unit = every[ok] / most[ok][:, None]  # no overflow or underflow in the squares
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        for i, v in zip(at[ok].tolist(), unit, strict=True):
+            out[i] = v.tobytes()
+    return out
 
 
 class Tree:
@@ -90,10 +84,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, id, label, vector (doubles of unit length) and class of equal vectors; null vector and class where not usable."""
     for batch in batches:
         row, name, label, column = batch.columns
-        usable, unit = unit_rows(column)
-        raw: list[bytes | None] = [None] * len(row)
-        for i, v in zip(np.flatnonzero(usable).tolist(), unit, strict=True):
-            raw[i] = v.tobytes() if label[i].is_valid else None
+        known = label.is_valid().to_pylist()
+        raw = [v if ok else None for v, ok in zip(unit_rows(column), known, strict=True)]
         key = [v and hashlib.blake2b(v, digest_size=16).digest() for v in raw]
         yield pa.RecordBatch.from_arrays([row, name, label.cast(pa.string()), pa.array(raw, pa.binary()), pa.array(key, pa.binary())], names=["row", "id", "label", "vector", "class"])
 
@@ -105,7 +97,7 @@ def _homes(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[pa.
         raw = batch.column(2).to_pylist()
         dims = np.array([len(v) for v in raw], np.int64)
         same, other = np.flatnonzero(dims == dim), np.flatnonzero(dims != dim)
-        vectors = np.array([np.frombuffer(raw[i]) for i in same]).reshape(len(same), -1)
+        vectors = np.array([np.frombuffer(raw[i]) for i in same]).reshape(len(same), dim // 8)
         row, home = [other], [-dims[other]]  # vectors of another dimension meet among themselves
         for t, tree in enumerate(trees if len(same) else ()):
             rows, leaves = tree.leaves(vectors)
@@ -245,8 +237,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     and index every class; a leaf that is still large gets a tree of its own, round by round. Recall is measured in the
     tests. A leaf larger than BLOCK after that (a group of close vectors) is split into pairs of blocks. Each linked pair
     counts in the first leaf that both share, so counts leave a leaf, not pairs. Null labels, null, empty or zero vectors
-    and those with null or non-finite parts link with nothing; vectors of another length than most of the sample meet in
-    a leaf of their own; a long vector is a longer row and nothing else. A component's id is its least non-null id; an
+    and those with null or non-finite parts link with nothing. Vectors of different lengths never link: the trees are of
+    the length that most of the sample have, vectors of another one meet in a leaf for it, which is split as any large
+    one is; a long vector is a longer row and nothing else. A component's id is its least non-null id; an
     id in several rows stands for each of them, and a row without an id has no component. An empty table gives an empty
     result. Other columns of rows are not read, so their names cannot clash.
     """
