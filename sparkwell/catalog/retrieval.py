@@ -39,6 +39,11 @@ def tk_fulltext(s, d):
     return C.fulltext_channel(M.requests(s, d), C.postings(M.chunks(s, d), _names(s, d)), LIMITS["full_text"])
 
 
+def tk_fulltext_stemmed(s, d):
+    """As tk_fulltext, with words cut to their English stems on both sides."""
+    return C.fulltext_channel(M.requests(s, d), C.postings(M.chunks(s, d), _names(s, d)), LIMITS["full_text"], stemmed=True)
+
+
 def _headings(s, d):
     c = M.chunks(s, d)
     return c.select("chunk_id", F.col("title").alias("name")).unionByName(c.select("chunk_id", F.col("heading").alias("name")))
@@ -226,7 +231,7 @@ def qp_profile(s, d):
     return _profiled(s, d).select("request_id", "vector", "trigram", "max_chunks", "max_tokens", "error_code")
 
 
-QUERIES = {f.__name__: f for f in (tk_vector, tk_fulltext, tk_trigram, qp_resolve_concepts, ag_ambiguous, ag_strongest_match, st_hits_union, tk_concept, gr_expand, gr_paths, tk_graph, st_channel_union, ag_channel_pivot, ag_rrf, qp_reasons, qp_retrieve, qp_exclusions, qp_rankings, ag_funnel, ag_token_total, qp_degrade, qp_profile)}
+QUERIES = {f.__name__: f for f in (tk_vector, tk_fulltext, tk_fulltext_stemmed, tk_trigram, qp_resolve_concepts, ag_ambiguous, ag_strongest_match, st_hits_union, tk_concept, gr_expand, gr_paths, tk_graph, st_channel_union, ag_channel_pivot, ag_rrf, qp_reasons, qp_retrieve, qp_exclusions, qp_rankings, ag_funnel, ag_token_total, qp_degrade, qp_profile)}
 
 # ---- the same in SQL ----
 

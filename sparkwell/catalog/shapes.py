@@ -9,7 +9,7 @@ from sparkwell.catalog import model as M
 from sparkwell.catalog import retrieval as Q
 from sparkwell.catalog import rules as R
 from sparkwell.functions import text as T
-from sparkwell.operators import channels, fusion, graph, paging
+from sparkwell.operators import channels, fusion, graph, inverted_lists, paging
 from sparkwell.operators.similarity import trigram_join
 
 
@@ -72,6 +72,14 @@ def jn_vector(s, d):
     return channels.vector_channel(q, e, 5).select("request_id", F.col("chunk_id").alias("id"), "rank", "score")
 
 
+def jn_vector_index(s, d):
+    """As jn_vector, by inverted lists: approximate, so tested by its recall."""
+    e = M.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("request_id"), "vector")
+    index = inverted_lists.fit(e, 5)
+    return inverted_lists.indexed_vector_channel(q, inverted_lists.file(e, index), index, 5).select("request_id", F.col("chunk_id").alias("id"), "rank", "score")
+
+
 def jn_self_hierarchy(s, d):
     v = R.enum_values(s, d)
     top = v.where("parent IS NULL").select("value", F.col("value").alias("path"))
@@ -277,7 +285,7 @@ def br_backlinks(s, d):
     return t.unionByName(k).groupBy("id", "used_by_type").agg(F.count("*").alias("n"), F.min("used_by").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
+QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_vector_index, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
 
 _HIER = "v as (select r_name as value, null::varchar as parent from region union all select n_name, r_name from nation join region on n_regionkey = r_regionkey)"
 _NEAR = f"""{M.EDGES}, {M.CONCEPTS}, e as (select * from edges where relation in ('A', 'R')),

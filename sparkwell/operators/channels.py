@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
+from sparkwell.functions.stem import stem_table
 from sparkwell.operators.cuts import cut, written
 from sparkwell.operators.similarity import trigram_join
 
@@ -124,14 +125,28 @@ def postings(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return both.select("chunk_id", "lexeme", "pos", weight.alias("weight"))
 
 
-def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFrame) -> DataFrame:
-    """Chunks that hold every lexeme of requests(request_id, query), by cover density.
+def _stemmed(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs(request_id, lexeme) and postings with stems for lexemes; of the postings only those of a stem that is asked for.
+
+    Distinct lexemes are stemmed, and the map of those that share an asked stem, small beside the postings, is joined back.
+    """
+    asked = cut(stem_table(pairs))
+    known = stem_table(words).join(asked.select("stem").distinct(), "stem", "left_semi")
+    back = lambda df, table: df.join(table, "lexeme").drop("lexeme").withColumnRenamed("stem", "lexeme")
+    return back(pairs, asked).distinct(), back(words, written(known)).select(*words.columns)
+
+
+def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFrame, stemmed: bool = False) -> DataFrame:
+    """Chunks that hold every lexeme of requests(request_id, query), by cover density; stemmed: every stem of its lexemes.
 
     A request meets the chunks of its rarest lexeme; only what holds all the others, looked up one chunk and lexeme at a
     time, gets its positions. A cover is a shortest stretch with all lexemes; it scores the harmonic mean of its words'
     weights over one plus the other words in it.
     """
     asked = requests.select("request_id", F.array_sort(F.array_distinct(T.lexemes(T.fold_accents(F.col("query"))))).alias("q")).where(F.size("q") > 0)
+    if stemmed:
+        pairs, words = _stemmed(asked.select("request_id", F.explode("q").alias("lexeme")), words)
+        asked = pairs.groupBy("request_id").agg(F.array_sort(F.collect_set("lexeme")).alias("q"))  # the lexemes of one request
     asked = cut(asked.select("request_id", F.size("q").alias("n"), F.posexplode("q").alias("k", "lexeme")))
     most = asked.agg(F.max("n")).first()[0] or 0
     held = words.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
