@@ -8,7 +8,9 @@ from sparkwell.catalog import model as M
 from sparkwell.catalog import retrieval as Q
 from sparkwell.catalog import rules as R
 from sparkwell.operators import checks, graph
-from sparkwell.plans import build, evaluate
+from sparkwell.operators.chunking import hard_split
+from sparkwell.operators.cuts import written
+from sparkwell.plans import build, evaluate, snapshot
 from sparkwell.sources import corpus
 from sparkwell.streaming import feeds
 
@@ -39,11 +41,20 @@ def bd_plan(s, d):
     return _actions(s, d)
 
 
+def _parts(rows):
+    """The chunks of documents, children of their row."""
+    return hard_split(rows.select("id", "body"), "body", M.CHUNK_LIMIT).select("id", "ordinal", "content")
+
+
 def sink_apply_plan(s, d):
-    """Applied, written as a revision folder and read back."""
-    path = feeds.shared(s) + "/revision"
-    build.apply(_v1(s, d), _v2(s, d), _actions(s, d)).write.parquet(path)
-    return s.read.parquet(path).select("id", "priority", F.md5("body").alias("body_md5"))
+    """Both revisions as bucketed snapshots; the second writes the buckets it touches, chunks go and come with their document."""
+    home = feeds.shared(s)
+    v1, v2 = written(_v1(s, d)), written(_v2(s, d))
+    for actions, rows in ((v1.select("id", F.lit("upsert").alias("action")), v1), (build.plan(v1, v2), v2)):
+        snapshot.apply(s, home, actions, {"items": ("id", rows), "chunks": ("id", _parts(rows))}, buckets=32)
+    items = snapshot.read(s, home, "items", v2.schema)
+    chunks = snapshot.read(s, home, "chunks", _parts(v2).schema).groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+    return items.join(chunks, "id").select("id", "priority", F.md5("body").alias("body_md5"), "n_chunks", "n_chars")
 
 
 def bd_apply(s, d):
@@ -203,8 +214,11 @@ def src_entities(s, d):
 
 
 def sm_ingest(s, d):
-    src = M.table(s, d, "events")
-    return feeds.ingest(s, f"{d}/event[s].parquet", src.schema, "user_id", "event_id", ["user_id", "event_id", "event_type", "value"])
+    """Events as a feed of several micro-batches; a user whose newest event is an error is gone."""
+    home, events = feeds.shared(s), M.table(s, d, "events")
+    events.repartitionByRange(8, "event_id").write.parquet(f"{home}/feed")
+    feed = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{home}/feed")
+    return feeds.ingest(feed, home, "user_id", "event_id", ["user_id", "event_id", "event_type", "value"], F.col("event_type") == "error", 16)
 
 
 def sm_metrics(s, d):
@@ -237,7 +251,7 @@ SQL = {
     "bd_hashes": f"with {_V} select id, sha256(to_json({{'body': body, 'lang': lang, 'source': source, 'title': title}})) as source_hash, sha256(array_to_string(list_filter([trim(title, ' '), trim(body, ' ')], lambda x: x <> ''), chr(10))) as semantic_hash, sha256(to_json({{'body': body, 'lang': lang, 'priority': priority, 'source': source, 'title': title}})) as compiled_hash from v1",
     "bd_plan": f"""with {_V} select coalesce(a.id, b.id) as id, case when b.id is null then 'delete' else 'upsert' end as action from v1 a full join v2 b on a.id = b.id
 where a.id is null or b.id is null or a.body <> b.body or a.priority <> b.priority""",
-    "sink_apply_plan": f"with {_V} select id, priority, md5(body) as body_md5 from v2",
+    "sink_apply_plan": f"with {_V} select id, priority, md5(body) as body_md5, cast(greatest(1, ceil(length(body) / {M.CHUNK_LIMIT}.0)) as bigint) as n_chunks, length(body) as n_chars from v2",
     "bd_apply": """with st as (select 'ns' || cast(n_regionkey as varchar) as namespace, n_name as environment from nation)
 select namespace, environment, cast(1 as int) as revision, case when namespace = 'ns1' then 'superseded' else 'active' end as status from st union all select namespace, environment, 2, 'active' from st where namespace = 'ns1'""",
     "bd_verify": "select cast(0 as bigint) as n_missing, cast(0 as bigint) as n_left",
@@ -275,7 +289,7 @@ select case_id, 'include' as kind, (case_id, yes) in (select (request_id, node)
     "ev_refs": f"with {M.CHUNKS} select cast(item_id as varchar) || '#' || case when part_key = '' then 'intro' else part_key end as ref, chunk_id from chunks",
     "src_corpus": "select case when source like 'src1%' then 'first' else 'other' end as kind, count(distinct source || '/' || cast(doc_id // 200 as varchar)) as n_files from documents group by 1",
     "src_entities": "select case when source like 'src1%' then 'first' else 'other' end as kind, doc_id as id, lang, n_chars from documents",
-    "sm_ingest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
-    "sm_metrics": """select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as most from events
+    "sm_ingest": "select * from (select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1) where event_type <> 'error'",
+    "sm_metrics": """select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as most, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events
 where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select date_trunc('millisecond', max(ts)) - interval '10 minutes' from events) group by 1, 2""",
 }

@@ -118,7 +118,7 @@ def ag_percentiles(s, d):
 
 def ag_metric_counts(s, d):
     e = M.table(s, d, "events")
-    return e.groupBy("event_type", (F.col("user_id") % 3).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+    return e.groupBy("event_type", (F.col("user_id") % 3).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"), *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(name) for name, q in (("p50", 0.5), ("p95", 0.95))])
 
 
 def wn_selection_group(s, d):
@@ -330,7 +330,7 @@ select request_id, chunk_id, score from h qualify row_number() over (partition b
     "ag_total_count": "select count(*) as total from part where p_type = 'SMALL'",
     "ag_percentiles": """select event_type as stage, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, count(*) as n from events group by 1
 union all select 'total', quantile_disc(value, 0.5), quantile_disc(value, 0.95), count(*) from events""",
-    "ag_metric_counts": "select event_type, user_id % 3 as outcome, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2",
+    "ag_metric_counts": "select event_type, user_id % 3 as outcome, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events group by 1, 2",
     "wn_selection_group": """with p as (select p_partkey as id, p_brand as grp, p_size as priority, p_partkey % 3 as a, p_partkey % 5 as b, cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 3 as k from part)
 select id, grp from p qualify case k when 0 then true when 1 then row_number() over (partition by grp order by a desc, b desc, priority desc, id) = 1 else row_number() over (partition by grp order by priority desc, a desc, b desc, id) = 1 end""",
     "wn_final_order": f"with recursive {Q._DONE} select request_id, chunk_id, final_rank from finished where final_rank is not null",
