@@ -79,7 +79,8 @@ def as_budgets(s, d):
 
 
 def _graph(s, d):
-    nodes = M.table(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 25 != 0).alias("usable"))
+    gate = F.when(F.col("p_size") == 25, "LIFECYCLE_NOT_PUBLISHED").when(F.col("p_size") == 50, "AUTHORIZATION_NO_MATCH")
+    nodes = M.table(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 25 != 0).alias("usable"), gate.alias("code"))
     return nodes, graph.cut(M.tool_edges(s, d))
 
 
@@ -93,7 +94,7 @@ def _seeds(s, d):
 def gr_dep_closure(s, d):
     nodes, edges = _graph(s, d)
     v, _ = graph.dependency_closure(_seeds(s, d), nodes, edges)
-    return v.select("request_id", "node", "usable", "included", "required")
+    return v.select("request_id", "node", "usable", "included", "required", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("root", F.lit(-1)).alias("root"))
 
 
 def as_provenance(s, d):
@@ -106,7 +107,7 @@ def as_provenance(s, d):
 
 def as_edge_status(s, d):
     nodes, edges = _graph(s, d)
-    return graph.dependency_closure(_seeds(s, d), nodes, edges)[1]
+    return graph.dependency_closure(_seeds(s, d), nodes, edges)[1].withColumn("cause", F.coalesce("cause", F.lit(-1)))
 
 
 def _skills(s, d):
@@ -122,13 +123,14 @@ def as_skill_select(s, d):
     return A.select_skills(skills, needs, *_graph(s, d))[0]
 
 
+def as_removed_skills(s, d):
+    """Why skills went: each tool that cannot be used, and the gated tool behind it."""
+    return A.select_skills(*_skills(s, d), *_graph(s, d))[2]
+
+
 def as_usage(s, d):
     skills, needs = _skills(s, d)
-    kept, verdicts = A.select_skills(skills, needs, *_graph(s, d))
-    n = skills.groupBy("request_id").agg(F.count("*").alias("asked"))
-    k = kept.groupBy("request_id").agg(F.count("*").alias("used"))
-    t = verdicts.where("included").groupBy("request_id").agg(F.count("*").alias("tools"))
-    return n.join(k, "request_id", "left").join(t, "request_id", "left").select("request_id", "asked", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("tools", F.lit(0)).alias("tools"), F.lit(A.CEILINGS["tools"]).alias("most_tools"))
+    return A.usage(skills, *A.select_skills(skills, needs, *_graph(s, d)), as_budgets(s, d))
 
 
 def as_tool_budget(s, d):
@@ -154,7 +156,7 @@ def as_render(s, d):
     return out.select("request_id", "status", F.md5("text").alias("text_md5"), F.col("tokens").cast("long").alias("tokens"), F.col("n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (as_discover, as_gate, as_groups, as_fragments, as_budgets, gr_dep_closure, as_provenance, as_edge_status, as_skill_select, as_usage, as_tool_budget, as_bootstrap, as_render)}
+QUERIES = {f.__name__: f for f in (as_discover, as_gate, as_groups, as_fragments, as_budgets, gr_dep_closure, as_provenance, as_edge_status, as_skill_select, as_removed_skills, as_usage, as_tool_budget, as_bootstrap, as_render)}
 
 _GATED = f"""{R._EVAL}, p as (select p_partkey as entity_id, p_brand || '/' || p_type as rule_id, case when p_size % 10 = 0 then 'draft' else 'published' end as status, p_brand as grp, p_size as priority from part),
 g as (select request_id, p.*, spec_a, spec_b, case when status <> 'published' then 'LIFECYCLE_NOT_PUBLISHED' when entity_id % 3 = 0 and not allowed then 'AUTHORIZATION_NO_MATCH' when entity_id % 4 = 0 and state <> 'true' then 'APPLICABILITY_NO_MATCH' end as code
@@ -164,14 +166,15 @@ g as (select request_id, p.*, spec_a, spec_b, case when status <> 'published' th
 def _closure_sql(seeds: str) -> str:
     """Verdicts and edge statuses for seeds(request_id, node, required)."""
     return f"""{M.TOOL_EDGES}, nodes as (select p_partkey as node, p_size % 25 <> 0 as usable from part), seeds as ({seeds}),
-broken as (select node from nodes where not usable union select source from tool_edges join broken on target = node where requirement = 'required'),
+rooted as (select node, node as root, 0 as hops from nodes where not usable union select source, root, hops + 1 from tool_edges join rooted on target = node where requirement = 'required'),
+broken as (select node, case when min(hops) > 0 then 'REQUIRED_DEPENDENCY_UNAVAILABLE' else (select case p_size when 25 then 'LIFECYCLE_NOT_PUBLISHED' else 'AUTHORIZATION_NO_MATCH' end from part where p_partkey = node) end as code, (array_agg(root order by hops, root))[1] as root from rooted group by node),
 considered as (select request_id, node from seeds union select request_id, target from considered join tool_edges on source = node),
 included as (select request_id, node from seeds where node not in (select node from broken) union select request_id, target from included join tool_edges on source = node where target not in (select node from broken)),
 req as (select request_id, node from seeds where required and node not in (select node from broken) union select request_id, target from req join tool_edges on source = node where requirement = 'required' and target not in (select node from broken)),
 verdict as (select request_id, node, node not in (select node from broken) as usable, (request_id, node) in (select (request_id, node) from included) as included, (request_id, node) in (select (request_id, node) from req) as required from considered),
 status as (
-  select s.request_id, source, target, requirement, case when t.usable and s.included then 'INCLUDED' when not t.usable and requirement = 'required' then 'UNAVAILABLE' when not t.usable then 'OPTIONAL_OMITTED' else 'BLOCKED_BY_DEPENDENCY' end as status
-  from tool_edges join verdict s on s.node = source join verdict t on t.node = target and t.request_id = s.request_id)"""
+  select s.request_id, source, target, requirement, coalesce(b.root, -1) as cause, case when t.usable and s.included then 'INCLUDED' when not t.usable and requirement = 'required' then 'UNAVAILABLE' when not t.usable then 'OPTIONAL_OMITTED' else 'BLOCKED_BY_DEPENDENCY' end as status
+  from tool_edges join verdict s on s.node = source join verdict t on t.node = target and t.request_id = s.request_id left join broken b on b.node = target)"""
 
 
 _SEEDS = "select item_id as request_id, (13 * item_id + 101 * j) % (select count(*) from part) as node, j = 0 as required from benchmark, range(4) t(j)"
@@ -194,13 +197,16 @@ select request_id, entity_id from h qualify case when k in (0, 3) then true when
     "as_fragments": """select conv_id as request_id, turn, string_agg(distinct source, ',' order by source) as sources from (
   select conv_id, turn, 'template' as source from conversations where turn % 2 = 0 union all select conv_id, turn, 'task' from conversations where turn % 3 = 0 union all select conv_id, turn, 'skill' from conversations where role = 'assistant') group by 1, 2""",
     "as_budgets": "select item_id as request_id, cast(least(case when item_id % 3 <> 0 then 10 end, case when item_id % 3 = 1 then item_id % 20 end, 32) as int) as skills, cast(least(case when item_id % 3 = 2 then 80 end, 64) as int) as tools from benchmark",
-    "gr_dep_closure": f"with recursive {_closure_sql(_SEEDS)} select request_id, node, usable, included, required from verdict",
+    "gr_dep_closure": f"with recursive {_closure_sql(_SEEDS)} select request_id, node, usable, included, required, coalesce(code, '') as code, coalesce(root, -1) as root from verdict left join broken using (node)",
     "as_provenance": f"""with recursive {_closure_sql(_SEEDS)}, b as (select request_id, target as node, string_agg(cast(source as varchar), ',' order by source) as required_by from status where status = 'INCLUDED' group by 1, 2)
 select request_id, node, case when (request_id, node) in (select (request_id, node) from seeds) then 'seed' else 'dependency' end as origin, coalesce(required_by, '') as required_by from verdict left join b using (request_id, node) where included""",
-    "as_edge_status": f"with recursive {_closure_sql(_SEEDS)} select request_id, source, target, requirement, status from status",
+    "as_edge_status": f"with recursive {_closure_sql(_SEEDS)} select request_id, source, target, requirement, status, cause from status",
     "as_skill_select": f"{_SKILLS} select request_id, skill from kept",
-    "as_usage": f"""{_SKILLS} select s.request_id, count(*) as asked, count(k.skill) as used, coalesce(max(n), 0) as tools, cast(64 as int) as most_tools
-from skills s left join kept k on k.request_id = s.request_id and k.skill = s.skill left join (select request_id, count(*) as n from inc group by 1) i on i.request_id = s.request_id group by 1""",
+    "as_removed_skills": f"{_SKILLS} select request_id, skill, node as tool, code, root from skills join broken on node // 4 = skill and node % 4 >= 2",
+    "as_usage": f"""{_SKILLS}, why as (select request_id, string_agg(code || ':' || cast(n as varchar), ',' order by code) as removed from (select request_id, code, count(distinct skill) as n from skills join broken on node // 4 = skill and node % 4 >= 2 group by 1, 2) group by 1),
+caps as (select item_id as request_id, least(case when item_id % 3 <> 0 then 10 end, case when item_id % 3 = 1 then item_id % 20 end, 32) as skills, least(case when item_id % 3 = 2 then 80 end, 64) as tools from benchmark),
+u as (select request_id, 'skills' as budget, (select count(*) from kept k where k.request_id = c.request_id) as used, skills as most from caps c union all select request_id, 'tools', (select count(*) from inc i where i.request_id = c.request_id), tools from caps c)
+select request_id, budget, used, cast(most as bigint) as most, used > most as over, coalesce(removed, '') as removed from u left join why using (request_id)""",
     "as_render": """with recursive t as (select conv_id as request_id, turn, text, cast(ceil(length(text) / 4.0) as bigint) as tokens, row_number() over (partition by conv_id order by turn, text) as r from conversations),
 x as (select request_id, sum(case when turn = 0 then tokens else 0 end)::bigint as fixed, max(r) as last from t group by 1),
 f as (select request_id, 0::bigint as r, fixed as used, 0::bigint as n, '' as out from x

@@ -71,35 +71,71 @@ def expand(seeds: DataFrame, edges: DataFrame, published: DataFrame, hops: int =
     return found.where("hops > 0")
 
 
+def broken(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(node, code, root, hops): nodes that cannot be used, and why.
+
+    nodes(node, usable, and if there is one code) and edges(source, target, requirement); ends(node) may name more nodes.
+    A node is gated when it is not usable (its own code, or NOT_USABLE) or not known (NOT_FOUND), and broken when it
+    needs a broken one over a required edge (REQUIRED_DEPENDENCY_UNAVAILABLE). The cause travels backwards with the walk:
+    root is the gated node that is fewest required edges away, the least of several; a gated node is its own.
+    """
+    must = cut(edges.where("requirement = 'required'").select("source", "target").distinct())
+    every = edges.select(F.explode(F.array("source", "target")).alias("node"))
+    every = (every if ends is None else every.unionByName(ends.select("node"))).distinct()
+    own = F.col("code") if "code" in nodes.columns else F.lit(None).cast("string")
+    known = every.join(nodes.select("node", "usable", own.alias("code")), "node", "left").where("usable IS NULL OR NOT usable")
+    why = F.when(F.col("usable").isNull(), "NOT_FOUND").otherwise(F.coalesce("code", F.lit("NOT_USABLE")))
+    front = cut(known.select("node", why.alias("code"), F.col("node").alias("root"), F.lit(0).alias("hops")))
+    found, hops = front, 0
+    while not front.isEmpty():
+        hops += 1
+        step = front.select(F.col("node").alias("target"), "root").join(must, "target").groupBy(F.col("source").alias("node")).agg(F.min("root").alias("root"))
+        front = cut(step.join(found, "node", "left_anti").select("node", F.lit("REQUIRED_DEPENDENCY_UNAVAILABLE").alias("code"), "root", F.lit(hops).alias("hops")))
+        found = found.unionByName(front)
+    return cut(found)
+
+
+#: What a walk has found out of a node: it is considered, included, required.
+SEEN, INCLUDED, REQUIRED = 1, 2, 4
+
+
 def dependency_closure(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdicts, edge statuses) of dependencies for every request.
 
-    seeds(request_id, node, required), nodes(node, usable), edges(source, target, requirement). A node is unusable when
-    it is gated or unknown, or reaches a such one over required edges. Included: reachable from usable seeds over usable
-    nodes; required: the same over required edges from required seeds.
+    seeds(request_id, node, required), nodes(node, usable and perhaps code), edges(source, target, requirement). A node
+    is unusable when it is gated or unknown, or reaches a such one over required edges; its code and root tell why (see
+    broken). Included: reachable from usable seeds over usable nodes; required: the same over required edges from
+    required seeds. The three are found in one walk, whose rows carry what is new of a node. The cause of an edge is the
+    root of its target, where that is unusable.
     """
     edges = cut(edges.select("source", "target", "requirement").distinct())
-    must = edges.where("requirement = 'required'")
-    seen = reachable(seeds.select("request_id", "node"), edges, ["request_id"])
-    ends = edges.select(F.explode(F.array("source", "target")).alias("node")).unionByName(seeds.select("node")).distinct()
-    bad = ends.join(nodes.where("usable"), "node", "left_anti")
-    broken = cut(reachable(bad.select(F.lit(0).alias("k"), "node"), must.select(F.col("target").alias("source"), F.col("source").alias("target")), ["k"]).select("node"))
-    open_edges = edges.join(broken.select(F.col("node").alias("target")), "target", "left_anti").join(broken.select(F.col("node").alias("source")), "source", "left_anti")
-    good = seeds.join(broken, "node", "left_anti")
-    included = cut(reachable(good.select("request_id", "node"), open_edges, ["request_id"]))
-    required = cut(reachable(good.where("required").select("request_id", "node"), open_edges.where("requirement = 'required'"), ["request_id"]))
-    verdict = seen.join(broken.withColumn("broken", F.lit(True)), "node", "left").join(nodes.select("node", F.col("usable").alias("own")), "node", "left")
-    verdict = verdict.join(included.withColumn("included", F.lit(True)), ["request_id", "node"], "left").join(required.withColumn("required", F.lit(True)), ["request_id", "node"], "left")
-    verdict = cut(verdict.select("request_id", "node", F.col("broken").isNull().alias("usable"), F.coalesce("own", F.lit(False)).alias("own_gate"), F.coalesce("included", F.lit(False)).alias("included"), F.coalesce("required", F.lit(False)).alias("required")))
+    bad = broken(nodes, edges, seeds)
+    ids = bad.select("node")
+    open_ = F.col("s_bad").isNull() & F.col("t_bad").isNull()
+    marked = edges.join(ids.select(F.col("node").alias("source"), F.lit(True).alias("s_bad")), "source", "left").join(ids.select(F.col("node").alias("target"), F.lit(True).alias("t_bad")), "target", "left")
+    ways = cut(marked.select("source", "target", (F.lit(SEEN) + F.when(open_, INCLUDED).otherwise(0) + F.when(open_ & (F.col("requirement") == "required"), REQUIRED).otherwise(0)).alias("way")))
+    start = seeds.join(ids.withColumn("bad", F.lit(True)), "node", "left").groupBy("request_id", "node").agg(F.max(F.when(F.col("bad"), SEEN).when(F.col("required"), SEEN + INCLUDED + REQUIRED).otherwise(SEEN + INCLUDED)).alias("bits"))
+    state = cut(start.withColumn("fresh", F.col("bits")))
+    while True:
+        front = state.where("fresh <> 0").select("request_id", F.col("node").alias("source"), "fresh")
+        step = front.join(ways, "source").groupBy("request_id", F.col("target").alias("node")).agg(F.bit_or(F.col("fresh").bitwiseAND(F.col("way"))).alias("met"))
+        both = state.select("request_id", "node", "bits").join(step, ["request_id", "node"], "full_outer")
+        had, met = F.coalesce("bits", F.lit(0)), F.coalesce("met", F.lit(0))
+        state = cut(both.select("request_id", "node", had.bitwiseOR(met).alias("bits"), met.bitwiseAND(F.bitwise_not(had)).alias("fresh")))
+        if state.where("fresh <> 0").isEmpty():
+            break
+    flag = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) != 0
+    verdict = state.join(bad, "node", "left").select("request_id", "node", F.col("root").isNull().alias("usable"), (F.coalesce("hops", F.lit(1)) > 0).alias("own_gate"), flag(INCLUDED).alias("included"), flag(REQUIRED).alias("required"), "code", "root")
+    verdict = cut(verdict)
     src = verdict.select("request_id", F.col("node").alias("source"), F.col("included").alias("source_in"))
-    tgt = verdict.select("request_id", F.col("node").alias("target"), F.col("usable").alias("target_ok"))
+    tgt = verdict.select("request_id", F.col("node").alias("target"), F.col("usable").alias("target_ok"), F.col("root").alias("cause"))
     status = (
         F.when(F.col("target_ok") & F.col("source_in"), "INCLUDED")
         .when(~F.col("target_ok") & (F.col("requirement") == "required"), "UNAVAILABLE")
         .when(~F.col("target_ok"), "OPTIONAL_OMITTED")
         .otherwise("BLOCKED_BY_DEPENDENCY")
     )
-    resolved = edges.join(src, "source").join(tgt, ["request_id", "target"]).select("request_id", "source", "target", "requirement", status.alias("status"))
+    resolved = edges.join(src, "source").join(tgt, ["request_id", "target"]).select("request_id", "source", "target", "requirement", status.alias("status"), "cause")
     return verdict, resolved
 
 

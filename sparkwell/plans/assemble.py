@@ -41,22 +41,34 @@ def top_skills(found: DataFrame, most: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col(most))
 
 
-def select_skills(skills: DataFrame, needs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(skills that stay, verdicts of their tools).
+def select_skills(skills: DataFrame, needs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(skills that stay, verdicts of their tools, causes of those that go).
 
-    skills(request_id, skill), needs(skill, tool), nodes and edges as in graph.dependency_closure. A skill with a tool
-    that is not included goes, and the closure is taken again, until none goes; every round drops at least one.
+    skills(request_id, skill), needs(skill, tool), nodes and edges as in graph.dependency_closure. A skill goes when one
+    of its tools is not included. Its tools are seeds, and a usable seed is included whatever other skills go, so one
+    look at what is broken decides, and the closure is taken once, of what stays. Causes are (request_id, skill, tool,
+    code, root): every tool of a skill that cannot be used, its code, and the gated tool that is nearest behind it.
     """
-    kept = graph.cut(skills.select("request_id", "skill").distinct())
-    while True:
-        seeds = kept.join(needs, "skill").select("request_id", F.col("tool").alias("node"), F.lit(True).alias("required")).distinct()
-        verdicts, _ = graph.dependency_closure(seeds, nodes, edges)
-        have = verdicts.where("included").select("request_id", F.col("node").alias("tool"))
-        short = kept.join(needs, "skill").join(have, ["request_id", "tool"], "left_anti").select("request_id", "skill").distinct()
-        left = graph.cut(kept.join(short, ["request_id", "skill"], "left_anti"))
-        if left.count() == kept.count():
-            return kept, verdicts
-        kept = left
+    asked = graph.cut(skills.select("request_id", "skill").distinct())
+    pairs = graph.cut(asked.join(needs.select("skill", "tool").distinct(), "skill"))
+    bad = graph.broken(nodes, edges, pairs.select(F.col("tool").alias("node")))
+    causes = graph.cut(pairs.join(bad.select(F.col("node").alias("tool"), "code", "root"), "tool").select("request_id", "skill", "tool", "code", "root"))
+    kept = graph.cut(asked.join(causes.select("request_id", "skill").distinct(), ["request_id", "skill"], "left_anti"))
+    seeds = pairs.join(kept, ["request_id", "skill"], "left_semi").select("request_id", F.col("tool").alias("node"), F.lit(True).alias("required")).distinct()
+    return kept, graph.dependency_closure(seeds, nodes, edges)[0], causes
+
+
+def usage(asked: DataFrame, kept: DataFrame, verdicts: DataFrame, causes: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(request_id, budget, used, most, over) for skills and tools, and skills_removed: how many skills went for which codes.
+
+    budgets(request_id, skills, tools) are the maxima. A request without any skill that stays uses none.
+    """
+    count = lambda df, name: df.groupBy("request_id").agg(F.count("*").alias(name))
+    why = causes.groupBy("request_id", "code").agg(F.countDistinct("skill").alias("n")).groupBy("request_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "code", F.col("n").cast("string")))).alias("codes"))  # a handful of codes
+    all_ = budgets.join(asked.select("request_id").distinct(), "request_id").join(count(kept, "n_skills"), "request_id", "left").join(count(verdicts.where("included"), "n_tools"), "request_id", "left").join(why, "request_id", "left")
+    used = lambda name: F.coalesce(name, F.lit(0))
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), used(f"n_{b}").alias("used"), F.col(b).cast("long").alias("most")) for b in ("skills", "tools")])).alias("x")
+    return all_.select("request_id", rows, F.array_join(F.coalesce("codes", F.array().cast("array<string>")), ",").alias("removed")).select("request_id", "x.*", (F.col("x.used") > F.col("x.most")).alias("over"), "removed")
 
 
 def trim_tools(tools: DataFrame, edges: DataFrame) -> DataFrame:
