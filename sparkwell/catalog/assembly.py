@@ -143,11 +143,10 @@ def as_tool_budget(s, d):
 
 
 def as_bootstrap(s, d):
-    """Retrieval cut to the chunks of the first concept of every request, under the bootstrap budget."""
-    done = Q._done(s, d).where("final_rank IS NOT NULL").select("request_id", "chunk_id", "item_id", "final_rank", "token_count")
-    chosen = Q._seeds(s, d).select("request_id", "concept_id").join(M.chunk_concepts(s, d), "concept_id").select("request_id", "chunk_id").distinct()
-    kept = done.join(chosen, ["request_id", "chunk_id"], "left_semi")
-    return fusion.pack(kept, F.lit(10), F.lit(A.CEILINGS["bootstrap_tokens"]), F.lit(3)).where("outcome = 'PACKED'").select("request_id", "chunk_id")
+    """Retrieval confined to the concepts that a request resolves to, under the bootstrap budget; one that resolves to none is not confined."""
+    seeds = Q._seeds(s, d).select("request_id", F.lit("concept").alias("kind"), F.col("concept_id").cast("string").alias("value"))
+    limits = Q._profiled(s, d).withColumn("max_tokens", F.least("max_tokens", F.lit(A.CEILINGS["bootstrap_tokens"])))
+    return Q._done(s, d, seeds, limits).where("code IS NULL").select("request_id", "chunk_id", "final_rank")
 
 
 def as_render(s, d):
@@ -184,6 +183,8 @@ skills as (select distinct item_id as request_id, (7 * item_id + 31 * j) % (sele
 kept as (select request_id, skill from skills where skill not in (select node // 4 from broken where node % 4 >= 2)),
 used as (select kept.request_id, p_partkey as node from kept join part on p_partkey // 4 = skill and p_partkey % 4 >= 2),
 inc as (select request_id, node from used union select request_id, target from inc join tool_edges on source = node where target not in (select node from broken))"""
+_BOOTSTRAP = "hf as (select request_id, 'concept' as kind, cast(concept_id as varchar) as value from seeds)"
+CEILING = A.CEILINGS["bootstrap_tokens"]
 
 SQL = {
     "as_discover": """with s as (select i.item_id as request_id, v.label as kind, v.vec_id as entity_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score from benchmark i join embeddings q on q.vec_id = i.item_id, embeddings v),
@@ -214,13 +215,5 @@ f as (select request_id, 0::bigint as r, fixed as used, 0::bigint as n, '' as ou
     case when turn = 0 or used + tokens <= 600 then case when n = 0 then text else out || chr(10) || chr(10) || text end else out end from f join t on t.request_id = f.request_id and t.r = f.r + 1)
 select f.request_id, case when fixed <= 600 then 'OK' else 'PROMPT_OVER_BUDGET' end as status, md5(case when fixed <= 600 then out else '' end) as text_md5, case when fixed <= 600 then used else 0 end as tokens, case when fixed <= 600 then n else 0 end as n
 from f join x on x.request_id = f.request_id and x.last = f.r""",
-    "as_bootstrap": f"""with recursive {Q._DONE},
-bs as (select f.request_id, f.chunk_id, item_id, token_count, row_number() over (partition by f.request_id order by final_rank) as r from finished f where final_rank is not null and (f.request_id, f.chunk_id) in (select (request_id, chunk_id) from seeds join chunk_concepts using (concept_id))),
-bf as (
-  select request_id, 0::bigint as i, 0::bigint as n, 0::bigint as used, cast([] as bigint[]) as took, null::bigint as chunk_id, null::varchar as outcome from (select distinct request_id from bs)
-  union all
-  select request_id, i + 1, n + case when o = 'PACKED' then 1 else 0 end, used + case when o = 'PACKED' then token_count else 0 end, case when o = 'PACKED' then list_append(took, item_id) else took end, cid, o
-  from (select bf.*, c.item_id, c.token_count, c.chunk_id as cid, case when n >= 10 then 'TOKEN_BUDGET' when len(list_filter(took, lambda z: z = c.item_id)) >= 3 then 'ITEM_CAP' when used + token_count > 4096 then 'TOKEN_BUDGET' else 'PACKED' end as o
-    from bf join bs c on c.request_id = bf.request_id and c.r = bf.i + 1))
-select request_id, chunk_id from bf where outcome = 'PACKED'""",
+    "as_bootstrap": f"with recursive {Q._done_sql(_BOOTSTRAP, CEILING)} select request_id, chunk_id, final_rank from finished where final_code is null",
 }

@@ -104,14 +104,36 @@ def dq_ref_suggestions(s, d):
 
 
 def _bad_nodes(s, d):
-    n = R.nodes(s, d)
-    k = F.regexp_extract("rule_id", r"(\d+)", 1).cast("int") % 5
-    leaf = F.col("kind") == "leaf"
-    return n.withColumn("dim_key", F.when(leaf & (F.col("node_id") == 1) & (k == 1), "colour").otherwise(F.col("dim_key"))).withColumn("op", F.when((F.col("node_id") == 4) & (k == 2), "gt").otherwise(F.col("op"))).withColumn("operands", F.when((F.col("node_id") == 8) & (k == 3), F.array().cast("array<string>")).otherwise(F.col("operands")))
+    """The rules with a fault by the number of their brand: see PLANTED."""
+    n = R.nodes(s, d).withColumn("k", F.regexp_extract("rule_id", r"(\d+)", 1).cast("int") % 10)
+    n = n.where("k <> 9 OR node_id < 6")
+    column = {c: F.col(c) for c in ("dim_key", "op", "operands")}
+    for k, node, c, value in _planted():
+        column[c] = F.when((F.col("node_id") == node) & (F.col("k") == k), value).otherwise(column[c])
+    return n.withColumns(column).drop("k")
+
+
+def _texts(*values):
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _planted():
+    """(brand number modulo ten, node, column, value): an unknown dimension, an operator that the dimension does not take,
+    an empty list, a value that is not registered or no number, bounds the wrong way round, an operand too many, a single
+    operator on a multi dimension, no operand."""
+    none = F.lit(None).cast("array<string>")
+    return [
+        (1, 1, "dim_key", F.lit("colour")), (2, 4, "op", F.lit("gt")), (3, 8, "operands", _texts()), (4, 1, "operands", _texts("ATLANTIS")), (5, 3, "operands", _texts("plenty")),
+        (6, 3, "op", F.lit("between")), (6, 3, "operands", _texts("10", "5")), (7, 3, "op", F.lit("exists")), (8, 6, "op", F.lit("equals")), (0, 4, "operands", none),
+    ]
 
 
 def dq_rules(s, d):
-    return checks.rule_faults(_bad_nodes(s, d), R.dimensions(s)).groupBy("code").agg(F.count("*").alias("n"))
+    """Faults planted in the rules of parts; rules of every fourth kind of part grant access, by a dimension that describes."""
+    dims = R.dimensions(s).withColumn("category", F.when(F.col("dim_key") == "segment", "descriptive").otherwise("applicability"))
+    grants = M.table(s, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("n")).where("n % 4 = 0").select(F.concat_ws("/", "p_brand", "p_type").alias("rule_id"))
+    found = checks.rule_faults(_bad_nodes(s, d), dims, R.registry(s, d)[0], grants)
+    return found.groupBy("code", "severity", "reason").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
 
 
 def dq_groups(s, d):
@@ -266,8 +288,22 @@ l as (select * from r where not exists (select 1 from t where t.key = ref and t.
 c as (select *, case when ref in (select key from t) then 'REFERENCE_TYPE_MISMATCH' else 'REFERENCE_NOT_FOUND' end as code from l),
 n as (select ref, kind, key from (select distinct ref, kind from c where code = 'REFERENCE_NOT_FOUND') a join t using (kind) where levenshtein(ref, key) <= greatest(2, length(ref) / 3.0) qualify row_number() over (partition by ref, kind order by levenshtein(ref, key), key) = 1)
 select subject, ref, code, coalesce(key, '') as suggestion from c left join n on n.ref = c.ref and n.kind = c.kind and code = 'REFERENCE_NOT_FOUND'""".replace("select subject, ref, code", "select subject, c.ref as ref, code"),
-    "dq_rules": """with r as (select cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 5 as k from part group by p_brand, p_type)
-select (['UNKNOWN_DIMENSION', 'INVALID_OPERATOR_FOR_DIMENSION', 'INVALID_EXPRESSION'])[k] as code, count(*) as n from r where k in (1, 2, 3) group by 1""",
+    "dq_rules": """with r as (select p_brand || '/' || p_type as rule, cast(regexp_extract(p_brand, '(\\d+)', 1) as int) % 10 as k, min(p_partkey) as n from part group by p_brand, p_type),
+f as (
+  select rule || '#/allOf/0' as subject, 'UNKNOWN_DIMENSION' as code, 'error' as severity, 'UNKNOWN_DIMENSION' as reason from r where k = 1
+  union all select rule || '#/allOf/1/anyOf/1', 'INVALID_OPERATOR_FOR_DIMENSION', 'error', unnest(['NOT_ALLOWED', 'NEEDS_ORDER']) from r where k = 2
+  union all select rule || '#/allOf/2/noneOf/' || (case when n % 2 = 0 then '1' else '0' end) || '/allOf/0', 'INVALID_EXPRESSION', 'error', 'WRONG_SHAPE' from r where k = 3
+  union all select rule || '#/allOf/0/value/0', 'DIMENSION_VALUE_NOT_FOUND', 'error', 'WRONG_VALUE' from r where k = 4
+  union all select rule || '#/allOf/1/anyOf/0/value/0', 'INVALID_FIELD_TYPE', 'error', 'WRONG_VALUE' from r where k = 5
+  union all select rule || '#/allOf/1/anyOf/0', 'INVALID_EXPRESSION', 'error', 'REVERSED_BOUNDS' from r where k = 6
+  union all select rule || '#/allOf/1/anyOf/0', 'INVALID_EXPRESSION', 'error', 'VALUE_FORBIDDEN' from r where k = 7
+  union all select rule || '#/allOf/2/noneOf/0', 'INVALID_OPERATOR_FOR_DIMENSION', 'error', unnest(['NOT_ALLOWED', 'NEEDS_SINGLE']) from r where k = 8 and n % 2 = 0
+  union all select rule || '#/allOf/2/noneOf/0', 'INVALID_EXPRESSION', 'error', 'WRONG_SHAPE' from r where k = 8 and n % 2 = 0
+  union all select rule || '#/allOf/2', 'INVALID_EXPRESSION', 'error', 'EMPTY_GROUP' from r where k = 9
+  union all select rule || '#/allOf/1/anyOf/1', 'INVALID_EXPRESSION', 'error', 'VALUE_MISSING' from r where k = 0
+  union all select rule || '#/allOf/2/noneOf/0', 'UNSAFE_AUTHORIZATION_MISSING_BEHAVIOR', 'error', 'SKIPPED_WHEN_MISSING' from r where n % 4 = 0 and k <> 9
+  union all select rule || '#/allOf/1/anyOf/1', 'SUSPICIOUS_DIMENSION_CATEGORY_USAGE', 'warning', 'CATEGORY' from r where n % 4 = 0)
+select code, severity, reason, count(*) as n, min(subject) as first from f group by 1, 2, 3""",
     "dq_groups": "with g as (select p_brand, arg_min(p_type, p_partkey) as k from part group by 1) select 'SELECTION_GROUP_TYPE_MISMATCH' as code, 'error' as severity, cast(p_partkey as varchar) as subject from part join g using (p_brand) where p_type <> k",
     "dq_lifecycle_deps": f"""with {M.TOOL_EDGES}, {M.CONCEPTS} select 'INVALID_LIFECYCLE_DEPENDENCY' as code, 'error' as severity, cast(source as varchar) || '->' || cast(target as varchar) as subject
 from tool_edges join concepts a on a.concept_id = source and a.status = 'published' join concepts b on b.concept_id = target and b.status <> 'published'""",

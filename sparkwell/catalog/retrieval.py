@@ -181,7 +181,8 @@ def _gated_chunks(s, d):
     rule = p.select(F.col("p_partkey").alias("k"), F.concat_ws("/", "p_brand", "p_type").alias("rule_id"))
     i = F.col("item_id")
     c = M.chunks(s, d).withColumn("k", (7 * i) % n).join(rule, "k")
-    return c.select("chunk_id", "item_id", "status", "priority", "authority", "effective_from", "effective_to", "selection_group", "token_count", F.when(i % 4 == 1, F.col("rule_id")).alias("authorization"), F.when(i % 4 == 2, F.col("rule_id")).alias("applicability"))
+    own = F.when(i % 11 == 5, "deprecated").otherwise(F.col("status"))
+    return c.select("chunk_id", "item_id", own.alias("status"), F.col("status").alias("item_status"), "priority", "authority", "effective_from", "effective_to", "selection_group", "token_count", F.when(i % 4 == 1, F.col("rule_id")).alias("authorization"), F.when(i % 4 == 2, F.col("rule_id")).alias("applicability"))
 
 
 def _verdicts(s, d):
@@ -199,8 +200,29 @@ def _modes(s, d):
     return g.select("selection_group", F.when(k == 8, "all").when(k == 16, "most_specific").otherwise("highest_priority").alias("mode"))
 
 
-def _done(s, d):
-    return P.retrieve(_candidates(s, d), cut(_gated_chunks(s, d)), M.requests(s, d), cut(_verdicts(s, d)), _modes(s, d), _profiled(s, d))
+def _members(s, d):
+    """What chunks belong to: their item, their concepts, the domains of these."""
+    links = M.chunk_concepts(s, d).join(M.concepts(s, d).select("concept_id", "domain"), "concept_id")
+    member = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+    own = M.chunks(s, d).select("chunk_id", member("item", "item_id").alias("x")).unionByName(links.select("chunk_id", F.explode(F.array(member("concept", "concept_id"), member("domain", "domain"))).alias("x")))
+    return own.select("chunk_id", "x.*").distinct()
+
+
+def _filters(s, d):
+    """A fifth of the requests is confined to items, one to concepts, two to domains (one of them also to concepts), the rest to nothing."""
+    r = M.requests(s, d).select("request_id", (F.col("request_id") % 5).alias("m"))
+    i = F.col("request_id")
+    items = M.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("value"), (F.col("doc_id") % 7).alias("k"))
+    concepts = M.concepts(s, d).select(F.col("concept_id").cast("string").alias("value"), (F.col("concept_id") % 3).alias("k"))
+    domains = M.concepts(s, d).select(F.col("domain").alias("value"), (F.regexp_extract("domain", r"(\d+)", 1).cast("long") % 2).alias("k")).distinct()
+    confined = lambda kind, asked, among, n: asked.withColumn("k", i % n).join(among, "k").select("request_id", F.lit(kind).alias("kind"), "value")
+    return confined("item", r.where("m = 1"), items, 7).unionByName(confined("concept", r.where("m = 2"), concepts, 3)).unionByName(confined("domain", r.where("m IN (2, 3)"), domains, 2))
+
+
+def _done(s, d, filters=None, limits=None):
+    filters = _filters(s, d) if filters is None else filters
+    limits = _profiled(s, d) if limits is None else limits
+    return P.retrieve(_candidates(s, d), cut(_gated_chunks(s, d)), M.requests(s, d), cut(_verdicts(s, d)), _modes(s, d), limits, cut(filters), cut(_members(s, d)))
 
 
 def qp_retrieve(s, d):
@@ -340,7 +362,25 @@ _MERGED = f"""{_CANDIDATES},
 merged as (
   select request_id, chunk_id, {', '.join(f"min(rank) filter (channel = '{c}') as {c}_rank, arg_min(score, rank) filter (channel = '{c}') as {c}_score" for c in _CH)} from cand group by 1, 2),
 fused as (select *, round({' + '.join(f"coalesce(1.0::double / (60 + {c}_rank), 0)" for c in _CH)}, 12) as rrf from merged)"""
-_DONE = f"""{_MERGED}, {R._EVAL},
+_FILTERS = """hf as (
+  select request_id, 'item' as kind, cast(doc_id as varchar) as value from requests join documents on doc_id % 7 = request_id % 7 where request_id % 5 = 1
+  union all select request_id, 'concept', cast(concept_id as varchar) from requests join concepts on concept_id % 3 = request_id % 3 where request_id % 5 = 2
+  union all select distinct request_id, 'domain', domain from requests join concepts on cast(regexp_extract(domain, '([0-9]+)', 1) as bigint) % 2 = request_id % 2 where request_id % 5 in (2, 3))"""
+
+
+def _done_sql(filters: str, tokens: int) -> str:
+    """The whole plan under filters hf(request_id, kind, value) and a token budget."""
+    return _PLAN.replace("{FILTERS}", filters).replace("{TOKENS}", str(tokens))
+
+
+_PLAN = f"""{_MERGED}, {R._EVAL}, {{FILTERS}},
+member as (
+  select chunk_id, 'item' as kind, cast(item_id as varchar) as value from chunks union select chunk_id, 'concept', cast(concept_id as varchar) from chunk_concepts
+  union select chunk_id, 'domain', domain from chunk_concepts join concepts using (concept_id)),
+wanted as (select request_id, count(distinct kind) as n from hf group by 1),
+kept as (
+  select f.* from fused f left join wanted w using (request_id)
+  where w.n is null or w.n = (select count(distinct m.kind) from member m join hf on hf.kind = m.kind and hf.value = m.value where m.chunk_id = f.chunk_id and hf.request_id = f.request_id)),
 vd as (select request_id, rule_id, case state when 'true' then 2 else 0 end as st, spec_a, spec_b, allowed from done where request_id in (select request_id from requests)),
 gch as (
   select c.*, case when item_id % 4 = 1 then p_brand || '/' || p_type end as authz, case when item_id % 4 = 2 then p_brand || '/' || p_type end as appl
@@ -348,11 +388,11 @@ gch as (
 gated as (
   select f.*, g.item_id, g.priority, g.authority, g.selection_group, g.token_count, k.c_lim, coalesce(b.spec_a, 0) as spec_a, coalesce(b.spec_b, 0) as spec_b,
     authz is not null and not coalesce(a.allowed, false) as redacted,
-    case when not (status = 'published' or (status = 'draft' and include_draft)) then 'LIFECYCLE_NOT_PUBLISHED'
+    case when not (status = 'published' or (status = 'draft' and include_draft)) or item_id % 11 = 5 then 'LIFECYCLE_NOT_PUBLISHED'
       when coalesce(effective_from > as_of, false) or coalesce(effective_to <= as_of, false) then 'OUTSIDE_EFFECTIVE_WINDOW'
       when authz is not null and not coalesce(a.allowed, false) then 'AUTHORIZATION_NO_MATCH'
       when appl is not null and coalesce(b.st, 0) <> 2 then 'APPLICABILITY_NO_MATCH' end as code
-  from fused f join gch g using (chunk_id) join requests r using (request_id) join asks k using (request_id)
+  from kept f join gch g using (chunk_id) join requests r using (request_id) join asks k using (request_id)
   left join vd a on a.request_id = f.request_id and a.rule_id = authz left join vd b on b.request_id = f.request_id and b.rule_id = appl),
 won as (
   select *, case when selection_group is null then true
@@ -366,13 +406,18 @@ fold as (
   union all
   select f.request_id, i + 1, n + case when o = 'PACKED' then 1 else 0 end, used + case when o = 'PACKED' then token_count else 0 end, case when o = 'PACKED' then list_append(took, item_id) else took end, cid, o
   from (select f.*, x.item_id, x.token_count, x.chunk_id as cid,
-      case when f.n >= x.c_lim then 'TOKEN_BUDGET' when len(list_filter(took, lambda z: z = x.item_id)) >= 3 then 'ITEM_CAP' when used + token_count > 7000 then 'TOKEN_BUDGET' else 'PACKED' end as o
+      case when f.n >= x.c_lim then 'TOKEN_BUDGET' when len(list_filter(took, lambda z: z = x.item_id)) >= 3 then 'ITEM_CAP' when used + token_count > {{TOKENS}} then 'TOKEN_BUDGET' else 'PACKED' end as o
     from fold f join ordered x on x.request_id = f.request_id and x.final_rank = f.i + 1) f),
 finished as (
   select g.*, o.final_rank, coalesce(g.code, case when w.wins = false then 'SELECTION_GROUP_NOT_SELECTED' end, case fold.outcome when 'ITEM_CAP' then 'PACKING_ITEM_CAP' when 'TOKEN_BUDGET' then 'PACKING_TOKEN_BUDGET' end) as final_code
   from gated g left join won w using (request_id, chunk_id) left join ordered o using (request_id, chunk_id) left join fold on fold.request_id = g.request_id and fold.chunk_id = g.chunk_id)"""
+_DONE = _done_sql(_FILTERS, 7000)
+_MEMBER = _PLAN[_PLAN.index("member as (") : _PLAN.index("wanted as (")]
 
 SQL = {
+    "pr_hard_filters": f"""with {_BASE}, {_VECTOR}, {_FILTERS}, {_MEMBER} wanted as (select request_id, count(distinct kind) as n from hf group by 1)
+select request_id, chunk_id, rank from tk_vector v left join wanted w using (request_id)
+where n is null or n = (select count(distinct m.kind) from member m join hf on hf.kind = m.kind and hf.value = m.value where m.chunk_id = v.chunk_id and hf.request_id = v.request_id)""",
     "tk_vector": f"with {_BASE}, {_VECTOR} select * from tk_vector",
     "tk_fulltext": f"with {_BASE}, {_FULL} select * from tk_fulltext",
     "tk_trigram": f"with {_BASE}, {_TRGM} select * from tk_trigram",

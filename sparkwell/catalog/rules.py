@@ -199,10 +199,13 @@ select k as request_id, rule_id, (['false', 'unknown', 'true', 'true'])[st + 1]
 
 
 def pr_lifecycle(s, d):
-    """Chunks that each request may see: published, and drafts where it asks for them."""
-    r = M.requests(s, d).select("request_id", "include_draft")
-    wanted = r.select("request_id", F.explode(F.when(F.col("include_draft"), F.array(F.lit("published"), F.lit("draft"))).otherwise(F.array(F.lit("published")))).alias("status"))
-    return wanted.join(M.chunks(s, d).groupBy("status").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens")), "status").groupBy("request_id").agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("tokens"))
+    """Chunks that each request may see: they and their items are published, or drafts where it asks for them."""
+    r = M.requests(s, d).select("request_id", F.when(F.col("include_draft"), F.array(F.lit("published"), F.lit("draft"))).otherwise(F.array(F.lit("published"))).alias("allowed"))
+    wanted = r.select("request_id", "allowed", F.explode("allowed").alias("status"))
+    own = F.when(F.col("item_id") % 11 == 5, "deprecated").when((F.col("item_id") % 11 == 7) & (F.col("ordinal") > 0), "draft").otherwise(F.col("status"))
+    kinds = M.chunks(s, d).select(own.alias("status"), F.col("status").alias("item_status"), "token_count").groupBy("status", "item_status").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+    seen = wanted.join(kinds, "status").where(F.array_contains("allowed", F.col("item_status")))
+    return seen.groupBy("request_id").agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("tokens"))
 
 
 def pr_effective_window(s, d):
@@ -215,11 +218,11 @@ def pr_effective_window(s, d):
 
 
 def pr_hard_filters(s, d):
-    """Lines of three named parts of two brands; an empty list would filter nothing."""
-    lines, c = M.table(s, d, "lineitem"), M.concepts(s, d)
-    brands = s.createDataFrame([("Brand#1",), ("Brand#2",)], "domain string")
-    wanted = c.join(brands, "domain", "left_semi").select(F.col("concept_id").alias("l_partkey"))
-    return lines.join(wanted, "l_partkey", "left_semi").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    """The nearest chunks of every request, confined to the items, concepts and domains that it names."""
+    from sparkwell.catalog import retrieval as Q
+    from sparkwell.plans import retrieve
+
+    return retrieve.restrict(Q.tk_vector(s, d), Q._filters(s, d), Q._members(s, d)).select("request_id", "chunk_id", "rank")
 
 
 QUERIES = {f.__name__: f for f in (pr_rules, pr_authorize, pr_simulate, pr_rule_dimensions, src_dim_registry, pr_context_validate, pr_operators, pr_lifecycle, pr_effective_window, pr_hard_filters)}
@@ -266,10 +269,9 @@ union all select request_id, 'nation', 'CONTEXT_ENUM_VALUE_UNKNOWN' from m where
 union all select request_id, 'clearance', 'CONTEXT_DIMENSION_NOT_CLIENT_SETTABLE' from m where r = 29
 union all select request_id, 'acctbal', 'CONTEXT_TYPE_MISMATCH' from m where r = 43""",
     "pr_operators": _operators_sql(),
-    "pr_lifecycle": f"""with {M.REQUESTS}, {M.CHUNKS}
-select request_id, count(*) as n_chunks, cast(sum(token_count) as bigint) as tokens from requests join chunks on status = 'published' or (include_draft and status = 'draft') group by request_id""",
+    "pr_lifecycle": f"""with {M.REQUESTS}, {M.CHUNKS}, c as (select *, case when item_id % 11 = 5 then 'deprecated' when item_id % 11 = 7 and ordinal > 0 then 'draft' else status end as own from chunks)
+select request_id, count(*) as n_chunks, cast(sum(token_count) as bigint) as tokens from requests join c on (own = 'published' or (include_draft and own = 'draft')) and (status = 'published' or (include_draft and status = 'draft')) group by request_id""",
     "pr_effective_window": f"""with {M.REQUESTS}, {M.ITEMS}
 select request_id, count(*) as n_items, min(item_id) as first_item from requests join items on (effective_from is null or effective_from <= as_of) and (effective_to is null or as_of < effective_to)
 where effective_from is not null or effective_to is not null group by request_id""",
-    "pr_hard_filters": "select l_partkey, count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_brand in ('Brand#1', 'Brand#2')) group by l_partkey",
 }

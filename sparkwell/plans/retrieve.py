@@ -36,11 +36,27 @@ def warnings(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.explode(down).alias("warning"))
 
 
+def restrict(found: DataFrame, filters: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of found(request_id, chunk_id, ...) that meet every kind of filter of their request.
+
+    filters(request_id, kind, value) lists what a request is confined to, members(chunk_id, kind, value) what a chunk
+    belongs to: its item, its concepts, their domains. A kind without a row for a request does not confine it, so an
+    empty list means all; values of one kind are alternatives. A chunk stays when it has as many kinds as are asked for,
+    so filters are joined, never gathered into lists, whatever their length.
+    """
+    wanted = filters.groupBy("request_id").agg(F.countDistinct("kind").alias("wanted"))
+    pairs = found.select("request_id", "chunk_id").distinct()
+    held = pairs.join(wanted.select("request_id"), "request_id", "left_semi").join(members, "chunk_id").join(filters.distinct(), ["request_id", "kind", "value"], "left_semi")
+    have = held.groupBy("request_id", "chunk_id").agg(F.countDistinct("kind").alias("have"))
+    both = found.join(wanted, "request_id", "left").join(have, ["request_id", "chunk_id"], "left")
+    return both.where("wanted IS NULL OR have = wanted").drop("wanted", "have")
+
+
 def gate(merged: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     """merged candidates with the chunk's columns, `stage` and `code` of the first gate that stops them, and specificity.
 
-    chunks carry status, window, authorization and applicability rule ids (null: none); requests carry as_of and
-    include_draft; verdicts(request_id, rule_id, state, spec_a, spec_b, allowed). An identity is `redacted` whenever
+    chunks carry their status and their item's, both of which must be allowed, window, authorization and applicability
+    rule ids (null: none); requests carry as_of and include_draft; verdicts(request_id, rule_id, state, spec_a, spec_b, allowed). An identity is `redacted` whenever
     authorization is denied, whatever gate stopped the row.
     """
     c = merged.join(chunks, "chunk_id").join(requests.select("request_id", "as_of", "include_draft"), "request_id")
@@ -48,19 +64,24 @@ def gate(merged: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: Da
     appl = verdicts.select("request_id", F.col("rule_id").alias("applicability"), F.col("state").alias("appl_state"), "spec_a", "spec_b")
     c = c.join(auth, ["request_id", "authorization"], "left").join(appl, ["request_id", "applicability"], "left")
     denied = F.col("authorization").isNotNull() & ~F.coalesce("allowed", F.lit(False))
-    dead = ~((F.col("status") == "published") | ((F.col("status") == "draft") & F.col("include_draft")))
+    allowed = lambda c: (F.col(c) == "published") | ((F.col(c) == "draft") & F.col("include_draft"))
+    dead = ~(allowed("status") & allowed("item_status"))
     outside = F.coalesce(F.col("effective_from") > F.col("as_of"), F.lit(False)) | F.coalesce(F.col("effective_to") <= F.col("as_of"), F.lit(False))
     off = F.col("applicability").isNotNull() & (F.coalesce("appl_state", F.lit(0)) != 2)
     code = F.when(dead, "LIFECYCLE_NOT_PUBLISHED").when(outside, "OUTSIDE_EFFECTIVE_WINDOW").when(denied, "AUTHORIZATION_NO_MATCH").when(off, "APPLICABILITY_NO_MATCH")
     return c.withColumn("code", code).withColumn("redacted", denied).withColumn("spec_a", F.coalesce("spec_a", F.lit(0))).withColumn("spec_b", F.coalesce("spec_b", F.lit(0)))
 
 
-def retrieve(candidates: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame, modes: DataFrame, limits: DataFrame) -> DataFrame:
+def retrieve(candidates: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: DataFrame, modes: DataFrame, limits: DataFrame, filters: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """Every candidate of every request with its code (null: packed), ranks, fused score and final rank.
 
+    filters and members: see restrict; what they leave out is no candidate, so it neither competes nor is told of.
+
     limits(request_id, max_chunks, max_tokens, max_per_item): of its profile. modes(selection_group, mode): a group without a mode takes highest_priority.
     """
     merged = fusion.merge_channels(candidates)
+    if filters is not None and members is not None:
+        merged = restrict(merged, filters, members)
     gated = gate(merged, chunks, requests, verdicts).join(modes, "selection_group", "left")
     alive = gated.where("code IS NULL")
     chosen = alive.withColumn("wins", fusion.group_winner("selection_group", F.coalesce("mode", F.lit("highest_priority")), "chunk_id", ("request_id",)))
