@@ -61,13 +61,29 @@ def _turns(s, d):
     return c.select(F.col("conv_id").alias("request_id"), F.col("turn"), "role", F.col("text").alias("content"), T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+def _fragments(s, d):
+    """Turns as fragments: how they are included, a gate that some fail, a group of three neighbours, its mode (one kind of group has none)."""
+    t = _turns(s, d).groupBy("request_id", "turn").agg(F.max(F.col("role") == "assistant").alias("answers"))
+    i, k = F.col("turn"), F.expr("turn div 4")
+    return t.select(
+        "request_id", "answers", "turn", (F.col("request_id") * 1000 + i).alias("fragment"),
+        F.when(i % 3 == 0, "always").when(i % 3 == 1, "applicable").otherwise("task_relevant").alias("inclusion"),
+        F.when((F.col("request_id") + i) % 11 == 0, "LIFECYCLE_NOT_PUBLISHED").alias("gate"), F.when(i % 4 != 0, k).alias("grp"),
+        F.when(k % 3 == 0, "highest_priority").when(k % 3 == 1, "most_specific").alias("mode"), ((7 * i + F.col("request_id")) % 5).alias("priority"), (i % 2).alias("spec_a"), F.lit(0).cast("long").alias("spec_b"),
+    )
+
+
 def as_fragments(s, d):
-    """Turns from three sources (template: even, task: every third, skill: the assistant's), merged with the list of sources."""
-    t = _turns(s, d)
-    sources = t.where("turn % 2 = 0").select("request_id", "turn", F.lit("template").alias("source"))
-    sources = sources.unionByName(t.where("turn % 3 = 0").select("request_id", "turn", F.lit("task").alias("source")))
-    sources = sources.unionByName(t.where("role = 'assistant'").select("request_id", "turn", F.lit("skill").alias("source")))
-    return sources.groupBy("request_id", "turn").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    """Turns from a template, from three of four tasks and from skills (the answers), merged, gated, and resolved again where skills add to a group."""
+    f = graph.cut(_fragments(s, d))
+    has_task = F.col("request_id") % 4 != 3
+    pick = lambda condition: f.where(condition).select("request_id", "fragment")
+    merged = A.merge_fragments(
+        pick((F.col("turn") % 2 == 0) | (F.col("turn") % 5 == 1)), pick((F.col("turn") % 3 == 0) & has_task),
+        f.where("answers").select("request_id", "fragment", (F.col("turn") % 2).alias("skill")), f.select("fragment", "inclusion"),
+    )
+    done = A.resolve_fragments(merged, f.drop("request_id", "answers", "turn"), f.select("request_id", has_task.alias("has_task")).distinct())
+    return done.select("request_id", "fragment", F.array_join("sources", ",").alias("sources"), F.array_join("reasons", ",").alias("reasons"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("round", F.lit(-1)).alias("round"))
 
 
 def as_budgets(s, d):
@@ -195,8 +211,21 @@ from r full join l on r.request_id = l.request_id and r.kind = l.kind and r.enti
     "as_gate": f"with {_GATED} select request_id, code, count(*) as n, min(case when code <> 'AUTHORIZATION_NO_MATCH' then entity_id else -1 end) as first_entity from g where code is not null group by 1, 2",
     "as_groups": f"""with {_GATED}, h as (select *, cast(regexp_extract(grp, '(\\d+)', 1) as int) % 4 as k from g where code is null)
 select request_id, entity_id from h qualify case when k in (0, 3) then true when k = 1 then row_number() over (partition by request_id, grp order by spec_a desc, spec_b desc, priority desc, entity_id) = 1 else row_number() over (partition by request_id, grp order by priority desc, spec_a desc, spec_b desc, entity_id) = 1 end""",
-    "as_fragments": """select conv_id as request_id, turn, string_agg(distinct source, ',' order by source) as sources from (
-  select conv_id, turn, 'template' as source from conversations where turn % 2 = 0 union all select conv_id, turn, 'task' from conversations where turn % 3 = 0 union all select conv_id, turn, 'skill' from conversations where role = 'assistant') group by 1, 2""",
+    "as_fragments": """with t as (
+  select conv_id as request_id, turn, conv_id * 1000 + turn as fragment, bool_or(role = 'assistant') as answers, turn // 4 as k, case when turn % 4 <> 0 and (turn // 4) % 3 <> 2 then turn // 4 end as grp,
+    (7 * turn + conv_id) % 5 as priority, turn % 2 as spec, turn % 2 = 0 or turn % 5 = 1 as tpl, turn % 3 = 0 and conv_id % 4 <> 3 as tsk,
+    case when (conv_id + turn) % 11 = 0 then 'LIFECYCLE_NOT_PUBLISHED' when turn % 3 = 2 and conv_id % 4 = 3 then 'TASK_REQUIRED_FOR_FRAGMENT' end as gate from conversations group by conv_id, turn),
+m as (
+  select *, not (tpl or tsk) as late, concat_ws(',', case when answers then 'skill:' || cast(turn % 2 as varchar) end, case when tsk and not tpl then 'task' end, case when tpl then 'template' end) as sources,
+    concat_ws(',', case when tpl and turn % 3 = 1 then 'APPLICABLE_FRAGMENT' end, case when answers then 'SELECTED_SKILL' end, case when (tpl and turn % 3 = 2) or (tsk and not tpl) then 'TASK_RELEVANT_FRAGMENT' end, case when tpl and turn % 3 = 0 then 'TEMPLATE_FRAGMENT' end) as reasons
+  from t where tpl or tsk or answers),
+a as (select *, row_number() over (partition by request_id, grp order by case when k % 3 = 1 then spec end desc, priority desc, spec desc, fragment) as r from m where gate is null and grp is not null and not late),
+lost1 as (select fragment from a where r > 1),
+b as (
+  select *, row_number() over (partition by request_id, grp order by case when k % 3 = 1 then spec end desc, priority desc, spec desc, fragment) as r from m
+  where gate is null and grp is not null and fragment not in (select fragment from lost1) and (request_id, grp) in (select (request_id, grp) from m where gate is null and grp is not null and late))
+select request_id, fragment, sources, reasons, coalesce(gate, case when fragment in (select fragment from lost1) or fragment in (select fragment from b where r > 1) then 'SELECTION_GROUP_NOT_SELECTED' end, '') as code,
+  cast(case when gate is not null then 0 when fragment in (select fragment from lost1) then 1 when fragment in (select fragment from b where r > 1) then 2 else -1 end as int) as round from m""",
     "as_budgets": "select item_id as request_id, cast(least(case when item_id % 3 <> 0 then 10 end, case when item_id % 3 = 1 then item_id % 20 end, 32) as int) as skills, cast(least(case when item_id % 3 = 2 then 80 end, 64) as int) as tools from benchmark",
     "gr_dep_closure": f"with recursive {_closure_sql(_SEEDS)} select request_id, node, usable, included, required, coalesce(code, '') as code, coalesce(root, -1) as root from verdict left join broken using (node)",
     "as_provenance": f"""with recursive {_closure_sql(_SEEDS)}, b as (select request_id, target as node, string_agg(cast(source as varchar), ',' order by source) as required_by from status where status = 'INCLUDED' group by 1, 2)

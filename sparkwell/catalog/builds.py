@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkwell.catalog import model as M
 from sparkwell.catalog import retrieval as Q
 from sparkwell.catalog import rules as R
+from sparkwell.functions import text as T
 from sparkwell.operators import checks, graph
 from sparkwell.operators.chunking import hard_split
 from sparkwell.operators.cuts import written
@@ -76,6 +77,22 @@ def bd_embed_work(s, d):
     return build.embed_work(_v1(s, d), _v2(s, d)).select("id")
 
 
+def _measured(texts):
+    """A provider for the store: length, bytes and words of a text."""
+    return [[float(len(t)), float(len(t.encode())), float(len(t.split()))] for t in texts]
+
+
+def bd_vector_store(s, d):
+    """Vectors of the second revision: those of texts that the first had are taken from the store."""
+    text = T.joined_lines(F.col("title"), F.col("body")).alias("semantic_text")
+    v1, v2 = (rows.select("id", "semantic_hash", text) for rows in (_v1(s, d), _v2(s, d)))
+    store = s.createDataFrame([], "config_hash string, semantic_hash string, vector array<double>")
+    other = v1.where("id % 2 = 0").select(F.lit("other").alias("config_hash"), "semantic_hash", F.array(F.lit(0.0)).alias("vector"))  # made under another configuration
+    store = store.unionByName(build.semantic_vectors(v1, store, "lengths", _measured, 3)[1]).unionByName(other)
+    got = build.semantic_vectors(v2, store, "lengths", _measured, 3)[0]
+    return got.select("id", "reused", F.element_at("vector", 1).cast("long").alias("length"), F.element_at("vector", 2).cast("long").alias("bytes"))
+
+
 def jn_anti_deletes(s, d):
     return _v1(s, d).select("id").join(_v2(s, d).select("id"), "id", "left_anti")
 
@@ -219,9 +236,9 @@ def ev_refs(s, d):
 def _authored(s, d):
     """Documents as authored files in the shared folder: JSON with comments, at most 200 entities each."""
     home = feeds.shared(s)
-    one = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "n_chars"))
+    one = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "n_chars", F.concat("source", F.lit(',] "q\\" // {,} /* x')).alias("note")))
     groups = M.table(s, d, "documents").groupBy("source", F.expr("doc_id div 200").alias("b")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",\n").alias("rows"))
-    files = groups.select(F.concat(F.lit("// entities\n["), "rows", F.lit(",]\n")).alias("value"), F.concat(F.lit("knowledge-"), "source").alias("folder"))
+    files = groups.select(F.concat(F.lit("// entities, \"all\" of them\n["), "rows", F.lit(", /* the last, ] */\n]\n")).alias("value"), F.concat(F.lit("knowledge-"), "source").alias("folder"))
     files.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(home)
     return corpus.read_corpus(s, home, {"folder=knowledge-src1": "first", "folder=knowledge-": "other"})
 
@@ -231,8 +248,18 @@ def src_corpus(s, d):
 
 
 def src_entities(s, d):
-    e = corpus.read_entities(_authored(s, d), "struct<id:bigint,lang:string,n_chars:bigint>")
-    return e.select("kind", "id", "lang", "n_chars")
+    e = corpus.read_entities(_authored(s, d), "struct<id:bigint,lang:string,n_chars:bigint,note:string>")
+    return e.select("kind", "id", "lang", "n_chars", "note")
+
+
+def src_documents(s, d):
+    """Documents as files with front matter; some lack a fence, some have no JSON there."""
+    i = F.col("doc_id")
+    front = F.when(i % 13 == 0, F.lit("lang = en")).otherwise(F.concat(F.to_json(F.struct(i.alias("id"), "lang")), F.lit(" // a comment")))
+    first, last = F.when(i % 17 == 0, "").otherwise(" --- \n"), F.when(i % 19 == 0, "").otherwise("---\r\n")
+    files = M.table(s, d, "documents").select(i.cast("string").alias("path"), F.lit("document").alias("kind"), F.concat(first, front, F.lit("\n"), last, F.coalesce("text", F.lit(""))).alias("text"))
+    got = corpus.read_documents(files, "struct<id:bigint,lang:string>")
+    return got.select(F.col("path").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"), F.coalesce("body_line", F.lit(-1)).alias("body_line"), F.coalesce("code", F.lit("")).alias("code"))
 
 
 def sm_ingest(s, d):
@@ -247,7 +274,7 @@ def sm_metrics(s, d):
     return feeds.metric_windows(s, f"{d}/event[s].parquet", M.table(s, d, "events").schema)
 
 
-QUERIES = {f.__name__: f for f in (bd_hashes, bd_plan, sink_apply_plan, bd_apply, bd_verify, bd_equivalence, bd_embed_work, jn_anti_deletes, dq_unique, dq_refs, dq_ref_suggestions, dq_rules, dq_groups, dq_lifecycle_deps, dq_self_and_cycles, dq_name_collision, dq_domain_values, dq_summary, ev_retrieval, ev_report, ev_assembly, ev_refs, src_corpus, src_entities, sm_ingest, sm_metrics)}
+QUERIES = {f.__name__: f for f in (bd_hashes, bd_plan, sink_apply_plan, bd_apply, bd_verify, bd_equivalence, bd_embed_work, bd_vector_store, jn_anti_deletes, dq_unique, dq_refs, dq_ref_suggestions, dq_rules, dq_groups, dq_lifecycle_deps, dq_self_and_cycles, dq_name_collision, dq_domain_values, dq_summary, ev_retrieval, ev_report, ev_assembly, ev_refs, src_corpus, src_entities, src_documents, sm_ingest, sm_metrics)}
 
 _V = f"""{M.ITEMS}, v1 as (select item_id as id, title, body, lang, source, priority from items),
 v2 as (
@@ -279,6 +306,7 @@ select namespace, environment, cast(1 as int) as revision, case when namespace =
     "bd_verify": "select cast(0 as bigint) as n_missing, cast(0 as bigint) as n_left",
     "bd_equivalence": "select cast(0 as bigint) as n_different",
     "bd_embed_work": f"with {_V}, h as (select id, trim(title, ' ') || chr(10) || trim(body, ' ') as t from v2), o as (select trim(title, ' ') || chr(10) || trim(body, ' ') as t from v1) select min(id) as id from h where t not in (select t from o) group by t",
+    "bd_vector_store": f"with {_V}, o as (select trim(title, ' ') || chr(10) || trim(body, ' ') as t from v1), n as (select id, array_to_string(list_filter([trim(title, ' '), trim(body, ' ')], lambda x: x <> ''), chr(10)) as t from v2), k as (select array_to_string(list_filter([trim(title, ' '), trim(body, ' ')], lambda x: x <> ''), chr(10)) as t from v1) select id, t in (select t from k) as reused, length(t) as length, cast(strlen(t) as bigint) as bytes from n",
     "jn_anti_deletes": f"with {_V} select id from v1 where id not in (select id from v2)",
     "dq_unique": _UNIQUE,
     "dq_refs": f"with {_ORD} {_REFS}",
@@ -324,7 +352,9 @@ union all select 'TOOL_SELF_DEPENDENCY', 'error', cast(p_partkey as varchar) fro
 select case_id, 'include' as kind, (case_id, yes) in (select (request_id, node) from included) as passed from b union all select case_id, 'exclude', (case_id, no) not in (select (request_id, node) from included) from b""",
     "ev_refs": f"with {M.CHUNKS} select cast(item_id as varchar) || '#' || case when part_key = '' then 'intro' else part_key end as ref, chunk_id from chunks",
     "src_corpus": "select case when source like 'src1%' then 'first' else 'other' end as kind, count(distinct source || '/' || cast(doc_id // 200 as varchar)) as n_files from documents group by 1",
-    "src_entities": "select case when source like 'src1%' then 'first' else 'other' end as kind, doc_id as id, lang, n_chars from documents",
+    "src_entities": """select case when source like 'src1%' then 'first' else 'other' end as kind, doc_id as id, lang, n_chars, source || ',] "q\\" // {,} /* x' as note from documents""",
+    "src_documents": """with c as (select *, case when doc_id % 17 = 0 then 'MISSING_OPENING_FENCE' when doc_id % 19 = 0 then 'MISSING_CLOSING_FENCE' when doc_id % 13 = 0 then 'INVALID_JSON' else '' end as code from documents)
+select doc_id, case when code = '' then lang else '' end as lang, md5(case when code in ('', 'INVALID_JSON') then text else '' end) as body_md5, cast(case when code in ('', 'INVALID_JSON') then 4 else -1 end as int) as body_line, code from c""",
     "sm_ingest": "select * from (select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1) where event_type <> 'error'",
     "sm_metrics": """select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as most, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from events
 where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select date_trunc('millisecond', max(ts)) - interval '10 minutes' from events) group by 1, 2""",

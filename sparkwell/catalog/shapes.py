@@ -181,15 +181,18 @@ def gr_topo_depth(s, d):
 
 
 def gr_neighbourhood(s, d):
-    """Concepts within two hops of part 0 over relations A and R (whatever their status), in brands 1 to 12, and the edges that stay."""
-    c = M.concepts(s, d)
-    ok = c.where("CAST(regexp_extract(domain, '([0-9]+)', 1) AS INT) <= 12").select(F.col("concept_id").alias("node"))
-    e = M.edges(s, d).where("relation IN ('A', 'R')")
-    centre = s.createDataFrame([(0, 0, 1)], "request_id long, node long, seed_rank int")
-    seen = centre.select("node").unionByName(graph.expand(centre, e, ok.unionByName(centre.select("node")).distinct(), 2).select("node"))
-    seen = graph.cut(seen)
-    inner = e.join(seen.select(F.col("node").alias("source")), "source", "left_semi").join(seen.select(F.col("node").alias("target")), "target", "left_semi")
-    return inner.select("source", "relation", "target")
+    """Around every twentieth part: one or two hops (some ask for three, an error) in its direction, over its relations, into its domain; what was found, by kind."""
+    i = F.col("p_partkey")
+    k = F.expr("p_partkey div 20")
+    c = M.table(s, d, "part").where("p_partkey % 20 = 0").select(
+        i.alias("request_id"), i.alias("node"), F.when(i % 300 == 0, 3).otherwise(k % 2 + 1).cast("int").alias("depth"),
+        F.when(k % 3 == 0, "outgoing").when(k % 3 == 1, "incoming").otherwise("both").alias("direction"), F.when(k % 5 == 0, F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))).alias("domain"),
+    )
+    only = c.where("depth = 2").select("request_id", F.explode(F.array(F.lit("A"), F.lit("R"))).alias("relation"))
+    found = graph.neighbourhood(c, only, M.edges(s, d), M.concepts(s, d).select(F.col("concept_id").alias("node"), "domain"), M.chunk_concepts(s, d).select(F.col("concept_id").alias("node"), "chunk_id"))
+    told = lambda name, first: found[name].groupBy("request_id").agg(F.count("*").alias("n"), F.min(first).alias("first")).withColumn("kind", F.lit(name))
+    out = told("concepts", F.col("node") * 10 + F.col("hops")).unionByName(told("edges", F.col("source") * 100000 + F.col("target"))).unionByName(told("chunks", F.col("chunk_id")))
+    return out.unionByName(found["errors"].select("request_id", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("first"), F.col("code").alias("kind"))).select("request_id", "kind", "n", "first")
 
 
 def _dag(s, d):
@@ -211,8 +214,8 @@ def gr_dependents(s, d):
 
 
 def _turned(s, d):
-    """The required dependencies, and beside one of every hundredth part one that turns it back."""
-    e = graph.cut(_dag(s, d).where("requirement = 'required'").select("source", "target"))
+    """All dependencies, optional ones too, and beside one of every hundredth part one that turns it back."""
+    e = graph.cut(_dag(s, d).select("source", "target"))
     back = e.where("source % 100 = 7").groupBy("source").agg(F.min("target").alias("target"))
     return e.unionByName(back.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
@@ -288,12 +291,26 @@ def br_backlinks(s, d):
 QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_vector_index, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
 
 _HIER = "v as (select r_name as value, null::varchar as parent from region union all select n_name, r_name from nation join region on n_regionkey = r_regionkey)"
-_NEAR = f"""{M.EDGES}, {M.CONCEPTS}, e as (select * from edges where relation in ('A', 'R')),
-ok as (select concept_id from concepts where cast(regexp_extract(domain, '([0-9]+)', 1) as int) <= 12 or concept_id = 0),
-le as (select * from e where source in (select concept_id from ok) and target in (select concept_id from ok)),
-h1 as (select target as node from le where source = 0 union select source from le where target = 0),
-h2 as (select target as node from le where source in (select node from h1) union select source from le where target in (select node from h1)),
-seen as (select 0 as node union select node from h1 union select node from h2)"""
+_NEAR = f"""{M.EDGES}, {M.CHUNKS}, {M.CONCEPTS}, {M.CHUNK_CONCEPTS},
+c as (
+  select p_partkey as q, case when p_partkey % 300 = 0 then 3 else (p_partkey // 20) % 2 + 1 end as depth, (p_partkey // 20) % 3 as way,
+    case when (p_partkey // 20) % 5 = 0 then 'Brand#' || cast((p_partkey // 20) % 25 + 1 as varchar) end as dom from part where p_partkey % 20 = 0),
+w0 as (select q, q as node, depth, way, dom from c where depth in (1, 2)),
+e1 as (
+  select q, source, relation, target, target as nx from w0 join edges on source = node and (depth = 1 or relation in ('A', 'R')) where way <> 1
+  union select q, source, relation, target, source from w0 join edges on target = node and (depth = 1 or relation in ('A', 'R')) where way <> 0),
+n1 as (select distinct q, nx as node from e1 where nx <> q),
+w1 as (select n1.q, n1.node, way from n1 join w0 using (q) where depth = 2),
+e2 as (
+  select q, source, relation, target, target as nx from w1 join edges on source = node and relation in ('A', 'R') where way <> 1
+  union select q, source, relation, target, source from w1 join edges on target = node and relation in ('A', 'R') where way <> 0),
+n2 as (select distinct q, nx as node from e2 where nx <> q and (q, nx) not in (select (q, node) from n1)),
+nb as (
+  select x.q, x.node, hops from (select q, node, 1 as hops from n1 union all select q, node, 2 from n2) x join w0 z on z.q = x.q
+  join concepts on concept_id = x.node where z.dom is null or domain = z.dom),
+vis as (select q, node from nb union select q, q from w0),
+ed as (select distinct q, source, relation, target from (select * from e1 union all select * from e2) where (q, source) in (select (q, node) from vis) and (q, target) in (select (q, node) from vis)),
+ch as (select distinct q, chunk_id from vis join chunk_concepts on concept_id = node)"""
 
 _ENTITIES = """entities as (
   select 'concept' as kind, concept_id as id, key, null::bigint as parent, status from concepts
@@ -356,11 +373,13 @@ from (select * from v full join l using (request_id, concept_id)) join concepts
     "st_intersect": "select l_partkey from lineitem where l_returnflag = 'A' and l_quantity < 3 intersect select l_partkey from lineitem where l_returnflag = 'R' and l_quantity < 3",
     "gr_closure": f"with {_HIER} select value as ancestor, value as descendant, cast(0 as int) as depth from v union all select parent, value, 1 from v where parent is not null",
     "gr_topo_depth": f"with {_HIER} select value, cast(case when parent is null then 0 else 1 end as int) as depth from v",
-    "gr_neighbourhood": f"with {_NEAR} select source, relation, target from e where source in (select node from seen) and target in (select node from seen)",
+    "gr_neighbourhood": f"""with {_NEAR} select q as request_id, 'concepts' as kind, count(*) as n, min(node * 10 + hops) as first from nb group by q
+union all select q, 'edges', count(*), min(source * 100000 + target) from ed group by q union all select q, 'chunks', count(*), min(chunk_id) from ch group by q
+union all select q, 'INVALID_INPUT', 1, 0 from c where depth = 3""",
     "gr_reachable": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 20 = 0 union select origin, target from r join tool_edges on source = node) select origin, node from r",
     "gr_dependents": f"with recursive {M.TOOL_EDGES}, r as (select p_partkey as origin, p_partkey as node from part where p_partkey % 20 = 0 union select origin, source from r join tool_edges on target = node) select origin, node from r",
     # every cycle uses a turned edge, so a node lies on one when its start is reached from the node and the node from its end
-    "gr_cycles": f"""with recursive {M.TOOL_EDGES}, must as (select source, target from tool_edges where requirement = 'required'),
+    "gr_cycles": f"""with recursive {M.TOOL_EDGES}, must as (select source, target from tool_edges),
 turned as (select min(target) as source, source as target from must where source % 100 = 7 group by source),
 e as (select source, target from must union all select source, target from turned),
 fw as (select target as k, target as node from turned union select k, e.target from fw join e on fw.node = e.source),

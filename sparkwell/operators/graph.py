@@ -71,6 +71,43 @@ def expand(seeds: DataFrame, edges: DataFrame, published: DataFrame, hops: int =
     return found.where("hops > 0")
 
 
+def neighbourhood(centres: DataFrame, relations: DataFrame, edges: DataFrame, domains: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """errors, concepts, edges and chunks around every centre of centres(request_id, node, depth, direction, domain), in one walk of two hops.
+
+    relations(request_id, relation): which ones a request follows, all where it names none; direction is outgoing,
+    incoming or both; edges(source, relation, target) whatever the status of their ends. A depth other than 1 or 2 is an
+    error. Concepts (request_id, node, hops) are those of the domain, where one is given, by domains(node, domain); an
+    edge that was walked stays when both its ends do, the centre's among them; chunks are those of links(node, chunk_id).
+    """
+    bad = ~F.coalesce(F.col("depth").isin(1, 2), F.lit(False))
+    errors = centres.where(bad).select("request_id", F.lit("INVALID_INPUT").alias("code"))
+    asked = cut(centres.where(~bad).select("request_id", "node", "depth", "direction", "domain"))
+    wanted = relations.select("request_id", "relation").distinct()
+    some = wanted.select("request_id").distinct().withColumn("some", F.lit(True))
+    both = cut(edges.select("source", "relation", "target").distinct())
+    terms = asked.join(some, "request_id", "left").select("request_id", "depth", "direction", F.coalesce("some", F.lit(False)).alias("some"))
+    found = front = asked.select("request_id", "node", F.lit(0).alias("hops"))
+    walked = None
+    for hop in (1, 2):
+        here = front.join(terms, "request_id").where(F.col("depth") >= hop).drop("hops", "depth")
+        out = here.where("direction <> 'incoming'").join(both, F.col("node") == F.col("source")).withColumn("next", F.col("target"))
+        back = here.where("direction <> 'outgoing'").join(both, F.col("node") == F.col("target")).withColumn("next", F.col("source"))
+        step = out.unionByName(back)
+        free = step.where("NOT some").unionByName(step.where("some").join(wanted, ["request_id", "relation"], "left_semi").select(step.columns))
+        met = cut(free.select("request_id", "source", "relation", "target", "next").distinct())
+        walked = met if walked is None else walked.unionByName(met)
+        front = cut(met.select("request_id", F.col("next").alias("node")).distinct().join(found.select("request_id", "node"), ["request_id", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        found = found.unionByName(front)
+    confined = found.where("hops > 0").join(asked.select("request_id", "domain"), "request_id")
+    inside = confined.where("domain IS NOT NULL").join(domains.select("node", "domain").distinct(), ["node", "domain"], "left_semi")
+    concepts = cut(confined.where("domain IS NULL").unionByName(inside.select(confined.columns)).select("request_id", "node", "hops"))
+    seen = concepts.select("request_id", "node").unionByName(asked.select("request_id", "node"))
+    end = lambda name: seen.withColumnRenamed("node", name)
+    kept = walked.select("request_id", "source", "relation", "target").distinct().join(end("source"), ["request_id", "source"], "left_semi").join(end("target"), ["request_id", "target"], "left_semi").select("request_id", "source", "relation", "target")
+    chunks = seen.join(links.select("node", "chunk_id"), "node").select("request_id", "chunk_id").distinct()
+    return {"errors": errors, "concepts": concepts, "edges": kept, "chunks": chunks}
+
+
 def broken(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(node, code, root, hops): nodes that cannot be used, and why.
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.operators import graph
+from sparkwell.operators import fusion, graph
 
 #: Ceilings of every request.
 CEILINGS = {"skills": 32, "tools": 64, "prompt_tokens": 32768, "bootstrap_tokens": 4096}
@@ -30,6 +30,54 @@ def gates(found: DataFrame) -> DataFrame:
     return found.withColumn("code", code)
 
 
+#: Fixed reason codes of fragments by how a template includes them.
+INCLUSION = {"always": "TEMPLATE_FRAGMENT", "applicable": "APPLICABLE_FRAGMENT", "task_relevant": "TASK_RELEVANT_FRAGMENT"}
+
+
+def merge_fragments(template: DataFrame, task: DataFrame, skills: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(request_id, fragment, sources, reasons, late): fragments of three sources merged.
+
+    template(request_id, fragment), task(request_id, fragment) found by relevance, skills(request_id, fragment, skill) of
+    selected skills, fragments(fragment, inclusion). A task brings only what the template does not have; late tells
+    fragments that skills alone brought.
+    """
+    kind: Column = F.lit(None).cast("string")
+    for k, v in INCLUSION.items():
+        kind = F.when(F.col("inclusion") == k, v).otherwise(kind)
+    by = ["request_id", "fragment"]
+    one = template.join(fragments.select("fragment", "inclusion"), "fragment").select(*by, F.lit("template").alias("source"), kind.alias("reason"), F.lit(False).alias("late"))
+    two = task.join(template, by, "left_anti").select(*by, F.lit("task").alias("source"), F.lit(INCLUSION["task_relevant"]).alias("reason"), F.lit(False).alias("late"))
+    three = skills.select(*by, F.concat(F.lit("skill:"), F.col("skill").cast("string")).alias("source"), F.lit("SELECTED_SKILL").alias("reason"), F.lit(True).alias("late"))
+    every = one.unionByName(two).unionByName(three).distinct()
+    return every.groupBy(*by).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.bool_and("late").alias("late"))
+
+
+def resolve_fragments(merged: DataFrame, fragments: DataFrame, tasks: DataFrame) -> DataFrame:
+    """merged plus code (null: chosen) and round: 0 for gates, 1 or 2 for the resolution of groups that left a fragment out.
+
+    fragments(fragment, inclusion, gate, grp, mode, priority, spec_a, spec_b): gate is the code of a gate that fails or
+    null, a group without a mode does not compete. tasks(request_id, has_task): what is relevant to a task needs one.
+    Groups are resolved over what template and task brought. Those, and only those, that skills add an eligible
+    fragment to are resolved again over what was left of them and the new ones, so no skill gets round its group.
+    """
+    rows = merged.join(fragments, "fragment").join(tasks, "request_id", "left")
+    needs = (F.col("inclusion") == "task_relevant") & ~F.coalesce("has_task", F.lit(False))
+    rows = rows.withColumn("code", F.coalesce("gate", F.when(needs, "TASK_REQUIRED_FOR_FRAGMENT"))).withColumn("grp", F.when(F.col("mode").isNotNull(), F.col("grp")))
+    rows = graph.cut(rows.withColumn("round", F.when(F.col("code").isNotNull(), 0)))
+
+    def losers(open_: DataFrame, round_: int) -> DataFrame:
+        chosen = open_.withColumn("wins", fusion.group_winner("grp", F.col("mode"), "fragment", ("request_id",)))
+        return chosen.where("NOT wins").select("request_id", "fragment", F.lit(round_).alias("lost"))
+
+    eligible = rows.where("code IS NULL AND grp IS NOT NULL")
+    first = graph.cut(losers(eligible.where("NOT late"), 1))
+    gained = eligible.where("late").select("request_id", "grp").distinct()
+    second = losers(eligible.join(gained, ["request_id", "grp"], "left_semi").join(first, ["request_id", "fragment"], "left_anti"), 2)
+    out = rows.join(first.unionByName(second), ["request_id", "fragment"], "left")
+    code = F.coalesce("code", F.when(F.col("lost").isNotNull(), "SELECTION_GROUP_NOT_SELECTED"))
+    return out.select("request_id", "fragment", "sources", "reasons", "late", code.alias("code"), F.coalesce("round", "lost").alias("round"))
+
+
 def budget(*limits: Column) -> Column:
     """The least of the limits that are set."""
     return F.least(*limits)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
+from sparkwell.operators.cuts import written
+from sparkwell.operators.embedding import embed
 
 
 def hashes(rows: DataFrame) -> DataFrame:
@@ -54,6 +58,23 @@ def embed_work(stored: DataFrame, built: DataFrame) -> DataFrame:
     return built.join(stored.select("semantic_hash").distinct(), "semantic_hash", "left_anti").groupBy("semantic_hash").agg(F.min("id").alias("id"))
 
 
+def semantic_vectors(rows: DataFrame, store: DataFrame, config: str, provider: Callable[[list[str]], list[list[float]]], dim: int) -> tuple[DataFrame, DataFrame]:
+    """(rows plus vector and reused, what the store gains) of rows(semantic_hash, semantic_text, ...).
+
+    store(config_hash, semantic_hash, vector) is addressed by what was embedded and how, so a text that was ever embedded
+    under this configuration is not again, whatever row holds it. Every other text goes to the provider once; a vector
+    of another dimension than `dim`, in the store or from the provider, fails the job. A null text has no vector.
+    """
+    wrong = F.raise_error(F.lit(f"EMBEDDING_DIMENSION_MISMATCH: the store has vectors that have not {dim} numbers"))
+    mine = store.where(F.col("config_hash") == config).groupBy("semantic_hash").agg(F.first("vector").alias("vector"))
+    mine = mine.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong))
+    texts = rows.where("semantic_text IS NOT NULL").groupBy("semantic_hash").agg(F.min("semantic_text").alias("semantic_text"))
+    missing = written(texts.join(mine, "semantic_hash", "left_anti"))
+    made = written(embed(missing, "semantic_text", provider, dim).select("semantic_hash", "vector"))
+    known = mine.join(texts, "semantic_hash", "left_semi").select("semantic_hash", "vector", F.lit(True).alias("reused")).unionByName(made.withColumn("reused", F.lit(False)))
+    return rows.join(known, "semantic_hash", "left"), made.select(F.lit(config).alias("config_hash"), "semantic_hash", "vector")
+
+
 def revisions(state: DataFrame, applied: str) -> DataFrame:
     """state(namespace, environment, revision, status) after a build of namespace `applied`: every environment steps on, the active one is superseded."""
     mine = state.where(F.col("namespace") == applied)
