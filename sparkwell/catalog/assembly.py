@@ -114,11 +114,10 @@ def gr_dep_closure(s, d):
 
 
 def as_provenance(s, d):
+    """Why every tool is there: asked for, or needed or offered by others that are, and by which."""
     nodes, edges = _graph(s, d)
     v, e = graph.dependency_closure(_seeds(s, d), nodes, edges)
-    by = e.where("status = 'INCLUDED'").groupBy("request_id", F.col("target").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("source")), lambda x: x.cast("string")), ",").alias("required_by"))
-    seed = _seeds(s, d).select("request_id", "node", F.lit("seed").alias("origin"))
-    return v.where("included").join(by, ["request_id", "node"], "left").join(seed, ["request_id", "node"], "left").select("request_id", "node", F.coalesce("origin", F.lit("dependency")).alias("origin"), F.coalesce("required_by", F.lit("")).alias("required_by"))
+    return A.provenance(v, e, _seeds(s, d)).select("request_id", "node", *[F.array_join(c, ",").alias(c) for c in ("sources", "required_by", "reasons")])
 
 
 def as_edge_status(s, d):
@@ -228,8 +227,12 @@ select request_id, fragment, sources, reasons, coalesce(gate, case when fragment
   cast(case when gate is not null then 0 when fragment in (select fragment from lost1) then 1 when fragment in (select fragment from b where r > 1) then 2 else -1 end as int) as round from m""",
     "as_budgets": "select item_id as request_id, cast(least(case when item_id % 3 <> 0 then 10 end, case when item_id % 3 = 1 then item_id % 20 end, 32) as int) as skills, cast(least(case when item_id % 3 = 2 then 80 end, 64) as int) as tools from benchmark",
     "gr_dep_closure": f"with recursive {_closure_sql(_SEEDS)} select request_id, node, usable, included, required, coalesce(code, '') as code, coalesce(root, -1) as root from verdict left join broken using (node)",
-    "as_provenance": f"""with recursive {_closure_sql(_SEEDS)}, b as (select request_id, target as node, string_agg(cast(source as varchar), ',' order by source) as required_by from status where status = 'INCLUDED' group by 1, 2)
-select request_id, node, case when (request_id, node) in (select (request_id, node) from seeds) then 'seed' else 'dependency' end as origin, coalesce(required_by, '') as required_by from verdict left join b using (request_id, node) where included""",
+    "as_provenance": f"""with recursive {_closure_sql(_SEEDS)},
+b as (select request_id, target as node, string_agg(cast(source as varchar), ',' order by source) as by_all, string_agg(case when requirement = 'required' then cast(source as varchar) end, ',' order by source) as by_required, bool_or(requirement = 'required') as must, bool_or(requirement = 'optional') as may from status where status = 'INCLUDED' group by 1, 2),
+k as (select distinct request_id, node, required from seeds)
+select v.request_id, v.node, concat_ws(',', case when k.node is not null then 'request' end, (select string_agg('tool:' || cast(source as varchar), ',' order by 'tool:' || cast(source as varchar)) from status s where s.request_id = v.request_id and s.target = v.node and s.status = 'INCLUDED')) as sources,
+  coalesce(by_required, '') as required_by, concat_ws(',', case when may then 'OPTIONAL_TOOL_DEPENDENCY' end, case when k.node is not null then 'REQUESTED_TOOL' end, case when must then 'REQUIRED_TOOL_DEPENDENCY' end) as reasons
+from verdict v left join b on b.request_id = v.request_id and b.node = v.node left join k on k.request_id = v.request_id and k.node = v.node where v.included""",
     "as_edge_status": f"with recursive {_closure_sql(_SEEDS)} select request_id, source, target, requirement, status, cause from status",
     "as_skill_select": f"{_SKILLS} select request_id, skill from kept",
     "as_removed_skills": f"{_SKILLS} select request_id, skill, node as tool, code, root from skills join broken on node // 4 = skill and node % 4 >= 2",

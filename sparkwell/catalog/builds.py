@@ -201,12 +201,14 @@ def _cases(s, d):
     """Two documents per request as expectations: those that hold its first words, and the request's own number."""
     r = M.requests(s, d)
     base = r.select(F.col("request_id").alias("case_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), ((F.col("request_id") * m) * M.STRIDE).alias("ref_a"), ((F.col("request_id") * m + 1) * M.STRIDE).alias("ref_b"), F.lit(w).alias("within")) for k, m, w in (("include", 1, 0), ("exclude", 3, 0), ("topk", 1, 3), ("outranks", 1, 0))])).alias("x"))
-    return base.select("case_id", "x.*")
+    named = r.select(F.col("request_id").alias("case_id"), F.lit("resolved").alias("kind"), ((13 * F.col("request_id")) % M.table(s, d, "part").count()).alias("ref_a"), F.lit(-1).cast("long").alias("ref_b"), F.lit(0).alias("within"))
+    return base.select("case_id", "x.*").unionByName(named)
 
 
 def _results(s, d):
     got = Q.qp_retrieve(s, d).select(F.col("request_id").alias("case_id"), F.col("chunk_id").alias("ref"), F.col("final_rank").alias("rank"))
-    return evaluate.assertions(_cases(s, d), graph.cut(got))
+    named = Q.qp_resolve_concepts(s, d).select(F.col("request_id").alias("case_id"), F.col("concept_id").alias("ref"))
+    return evaluate.assertions(_cases(s, d), graph.cut(got), graph.cut(named))
 
 
 def ev_retrieval(s, d):
@@ -292,7 +294,8 @@ _EV = f"""{Q._DONE}, dl as (select request_id as case_id, chunk_id as ref, final
 xp as (select request_id as case_id, unnest([{{'kind': 'include', 'm': 1}}, {{'kind': 'exclude', 'm': 3}}, {{'kind': 'topk', 'm': 1}}, {{'kind': 'outranks', 'm': 1}}]) as x from requests),
 rs as (
   select xp.case_id, x.kind as kind, coalesce(case x.kind when 'include' then a.rank is not null when 'exclude' then a.rank is null when 'topk' then a.rank <= 3 else a.rank < b.rank end, false) as passed
-  from xp left join dl a on a.case_id = xp.case_id and a.ref = xp.case_id * x.m * {M.STRIDE} left join dl b on b.case_id = xp.case_id and b.ref = (xp.case_id * x.m + 1) * {M.STRIDE})"""
+  from xp left join dl a on a.case_id = xp.case_id and a.ref = xp.case_id * x.m * {M.STRIDE} left join dl b on b.case_id = xp.case_id and b.ref = (xp.case_id * x.m + 1) * {M.STRIDE}
+  union all select request_id, 'resolved', (request_id, (13 * request_id) % (select count(*) from part)) in (select (request_id, concept_id) from resolved) from requests)"""
 
 from sparkwell.catalog import assembly as _A  # noqa: E402
 

@@ -110,18 +110,21 @@ def tk_graph(s, d):
     return C.graph_channel(_expanded(s, d, LIMITS["graph_depth"]), M.chunk_concepts(s, d), M.concepts(s, d), ["R", "A"], LIMITS["graph_limit"])
 
 
-def _profiled(s, d):
-    """Every request with the limits of its profile (named, default or built in), and why it cannot be answered."""
-    r = M.requests(s, d)
-    named = r.select("request_id", F.when(F.col("request_id") % 4 == 0, "wide").when(F.col("request_id") % 4 == 1, "tight").when(F.col("request_id") % 4 == 2, "absent").alias("profile"))
+def _profiles(s, d):
     b = M.table(s, d, "benchmark").agg(F.count("*").cast("int").alias("n"))
     fields = dict.fromkeys(LIMITS, F.lit(None).cast("int"))
 
     def profile(name, default, **given):
         return b.select(F.lit(name).alias("profile"), F.lit(default).alias("is_default"), *[c.alias(f) for f, c in (fields | given).items()])
 
-    known = profile("wide", False, vector=F.col("n")).unionByName(profile("tight", False, max_chunks=F.lit(5))).unionByName(profile("base", True, trigram=F.lit(50)))
-    return P.errors(r, P.profiles(named, known))
+    return profile("wide", False, vector=F.col("n")).unionByName(profile("tight", False, max_chunks=F.lit(5))).unionByName(profile("base", True, trigram=F.lit(50)))
+
+
+def _profiled(s, d):
+    """Every request with the limits of its profile (named, default or built in), and why it cannot be answered."""
+    r = M.requests(s, d)
+    named = r.select("request_id", F.when(F.col("request_id") % 4 == 0, "wide").when(F.col("request_id") % 4 == 1, "tight").when(F.col("request_id") % 4 == 2, "absent").alias("profile"))
+    return P.errors(r, P.profiles(named, _profiles(s, d)))
 
 
 def _services(s, d):

@@ -258,12 +258,14 @@ def br_list_kinds(s, d):
 
 
 def br_list_all(s, d):
-    """Dimensions, groups and domains by key."""
+    """Dimensions, groups, domains, profiles and templates (one for each role of a turn) by key."""
     dims = R.dimensions(s).select(F.lit("dimension").alias("kind"), F.col("dim_key").alias("key"), F.col("value_type").alias("detail"))
     groups = Q._modes(s, d).select(F.lit("group").alias("kind"), F.col("selection_group").alias("key"), F.col("mode").alias("detail"))
     domains = M.concepts(s, d).groupBy(F.col("domain").alias("key")).agg(F.count("*").cast("string").alias("detail")).select(F.lit("domain").alias("kind"), "key", "detail")
     w = Window.partitionBy("kind").orderBy("key")
-    return dims.unionByName(groups).unionByName(domains).select("kind", "key", "detail", F.row_number().over(w).alias("place"))
+    profiles = Q._profiles(s, d).select(F.lit("profile").alias("kind"), F.col("profile").alias("key"), F.when(F.col("is_default"), "default").otherwise("").alias("detail"))
+    templates = M.table(s, d, "conversations").groupBy("role").agg(F.count("*").cast("string").alias("detail")).select(F.lit("template").alias("kind"), F.concat(F.lit("template-"), "role").alias("key"), "detail")
+    return dims.unionByName(groups).unionByName(domains).unionByName(profiles).unionByName(templates).select("kind", "key", "detail", F.row_number().over(w).alias("place"))
 
 
 def br_get(s, d):
@@ -275,20 +277,46 @@ def br_get(s, d):
     return paging.lookup(asked, _entities(s, d).select("kind", "id", "key", "parent")).select("request_id", "kind", F.coalesce("found", F.lit(-1)).alias("found"), F.coalesce("code", F.lit("")).alias("code"))
 
 
+def _link(df, parent_kind, parent, child_kind, child, place):
+    text = lambda c: c.cast("string")
+    return df.select(F.lit(parent_kind).alias("parent_kind"), text(parent).alias("parent"), F.lit(child_kind).alias("child_kind"), text(child).alias("child"), place.cast("long").alias("place"))
+
+
 def br_children(s, d):
-    e = M.edges(s, d)
-    out = e.groupBy(F.col("source").alias("concept_id")).agg(F.count("*").alias("n_out"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("kinds"))
-    back = e.groupBy(F.col("target").alias("concept_id")).agg(F.count("*").alias("n_in"))
-    return out.join(back, "concept_id", "full_outer").select("concept_id", F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("n_in", F.lit(0)).alias("n_in"), "kinds")
+    """Aliases and relations of concepts, chunks of items, values of dimensions, members of groups, steps of skills."""
+    c, e, zero = M.concepts(s, d), M.edges(s, d), F.lit(0)
+    col = F.col
+    out = _link(c, "concept", col("concept_id"), "alias", col("alias"), zero)
+    out = out.unionByName(_link(e, "concept", col("source"), "relation_out", F.concat_ws(":", "relation", "target"), zero)).unionByName(_link(e, "concept", col("target"), "relation_in", F.concat_ws(":", "relation", "source"), zero))
+    out = out.unionByName(_link(M.chunks(s, d), "item", col("item_id"), "chunk", col("chunk_id"), col("ordinal")))
+    out = out.unionByName(_link(R.enum_values(s, d), "dimension", col("dim_key"), "value", col("value"), zero))
+    out = out.unionByName(_link(M.items(s, d).where("selection_group IS NOT NULL"), "group", col("selection_group"), "item", col("item_id"), col("item_id")))
+    return paging.children(out.unionByName(_link(M.table(s, d, "part"), "skill", F.expr("p_partkey div 4"), "tool", col("p_partkey"), col("p_partkey"))))
 
 
 def br_backlinks(s, d):
-    t = M.tool_edges(s, d).select(F.col("target").alias("id"), F.lit("tool").alias("used_by_type"), F.col("source").alias("used_by"))
-    k = M.chunk_concepts(s, d).select(F.col("concept_id").alias("id"), F.lit("chunk").alias("used_by_type"), F.col("chunk_id").alias("used_by"))
-    return t.unionByName(k).groupBy("id", "used_by_type").agg(F.count("*").alias("n"), F.min("used_by").alias("first"))
+    """Who uses an entity: tools each other and skills them, chunks concepts, templates and skills fragments, rules dimensions."""
+    def use(df, kind, id_, by_kind, by):
+        return df.select(F.lit(kind).alias("kind"), id_.cast("string").alias("id"), F.lit(by_kind).alias("used_by_kind"), by.cast("string").alias("used_by"))
+
+    col = F.col
+    turns = M.table(s, d, "conversations").select((col("conv_id") * 1000 + col("turn")).alias("fragment"), "conv_id", "turn", "role")
+    out = use(M.tool_edges(s, d), "tool", col("target"), "tool", col("source"))
+    out = out.unionByName(use(M.table(s, d, "part").where("p_partkey % 4 >= 2"), "tool", col("p_partkey"), "skill", F.expr("p_partkey div 4")))
+    out = out.unionByName(use(M.chunk_concepts(s, d), "concept", col("concept_id"), "chunk", col("chunk_id")))
+    out = out.unionByName(use(turns.where("turn % 2 = 0"), "fragment", col("fragment"), "template", col("conv_id"))).unionByName(use(turns.where("role = 'assistant'"), "fragment", col("fragment"), "skill", col("turn") % 2))
+    return paging.backlinks(out.unionByName(use(R.nodes(s, d).where("kind = 'leaf'"), "dimension", col("dim_key"), "rule", col("rule_id"))))
+
+
+def br_list_items(s, d):
+    """The first twenty published items of groups that are in use, with a chunk about some concept of four brands, and how many there are."""
+    wanted = M.concepts(s, d).where("domain IN ('Brand#2', 'Brand#4', 'Brand#6', 'Brand#8')").select("concept_id")
+    about = M.chunk_concepts(s, d).join(wanted, "concept_id", "left_semi").join(M.chunks(s, d).select("chunk_id", "item_id"), "chunk_id").select("item_id").distinct()
+    found = M.items(s, d).where("status = 'published' AND selection_group IS NOT NULL").join(about, "item_id", "left_semi").select("item_id", "selection_group")
+    return paging.keyset_page(found, "item_id", -1, 20).join(found.agg(F.count("*").alias("total")))
 
 
-QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_vector_index, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
+QUERIES = {f.__name__: f for f in (src_tables, jn_chunk_item, jn_edge_endpoints, jn_alias_concept, jn_link_entity, jn_semi_concept, jn_semi_domain, jn_left_state, jn_similarity, jn_vector, jn_vector_index, jn_self_hierarchy, jn_range_window, ag_max_score, ag_distinct, ag_total_count, ag_percentiles, ag_metric_counts, wn_selection_group, wn_final_order, wn_pack, wn_keyset_page, wn_rank_candidates, wn_fragment_order, st_id_union, st_except, st_intersect, gr_closure, gr_topo_depth, gr_neighbourhood, gr_reachable, gr_dependents, gr_cycles, gr_cycle_paths, br_list, br_list_items, br_list_kinds, br_list_all, br_get, br_children, br_backlinks)}
 
 _HIER = "v as (select r_name as value, null::varchar as parent from region union all select n_name, r_name from nation join region on n_regionkey = r_regionkey)"
 _NEAR = f"""{M.EDGES}, {M.CHUNKS}, {M.CONCEPTS}, {M.CHUNK_CONCEPTS},
@@ -392,7 +420,9 @@ select kind, id, key, cast(row_number() over w as int) as place, count(*) over (
     "br_list_all": f"""with {M.ITEMS}, {M.CONCEPTS}, a as (
   select 'dimension' as kind, dim_key as key, value_type as detail from (values {", ".join(f"('{x[0]}', '{x[1]}')" for x in R.DIMENSIONS)}) t(dim_key, value_type)
   union all select 'group', g, case cast(split_part(g, '-', -1) as int) % 24 when 8 then 'all' when 16 then 'most_specific' else 'highest_priority' end from (select distinct selection_group as g from items where selection_group is not null)
-  union all select 'domain', domain, cast(count(*) as varchar) from concepts group by domain)
+  union all select 'domain', domain, cast(count(*) as varchar) from concepts group by domain
+  union all select 'profile', k, v from (values ('wide', ''), ('tight', ''), ('base', 'default')) t(k, v)
+  union all select 'template', 'template-' || role, cast(count(*) as varchar) from conversations group by role)
 select kind, key, detail, cast(row_number() over (partition by kind order by key) as int) as place from a""",
     "br_get": f"""with {M.REQUESTS}, {M.CHUNKS}, {_ENTITIES},
 a as (select request_id, 'concept' as kind, null::bigint as id, concept_text as key, null::bigint as parent from requests union all select request_id, 'concept', request_id * 3, null, null from requests
@@ -401,8 +431,26 @@ a as (select request_id, 'concept' as kind, null::bigint as id, concept_text as
 f as (select a.*, (select min(e.id) from entities e where e.kind = a.kind and e.id = a.id) as by_id, (select min(e.id) from entities e where e.kind = a.kind and e.key = a.key and e.parent is not distinct from a.parent) as by_key from a)
 select request_id, kind, coalesce(case when (id is null) = (key is null) then null when id is not null then by_id else by_key end, -1) as found,
   case when (id is null) = (key is null) then 'INVALID_INPUT' when coalesce(by_id, by_key) is null then 'ENTITY_NOT_FOUND' else '' end as code from f""",
-    "br_children": f"""with {M.EDGES}, o as (select source as concept_id, count(*) as n_out, string_agg(distinct relation, ',' order by relation) as kinds from edges group by 1), i as (select target as concept_id, count(*) as n_in from edges group by 1)
-select concept_id, coalesce(n_out, 0) as n_out, coalesce(n_in, 0) as n_in, kinds from o full join i using (concept_id)""",
-    "br_backlinks": f"""with {M.TOOL_EDGES}, {M.CHUNKS}, {M.CHUNK_CONCEPTS}, b as (select target as id, 'tool' as used_by_type, source as used_by from tool_edges union all select concept_id, 'chunk', chunk_id from chunk_concepts)
-select id, used_by_type, count(*) as n, min(used_by) as first from b group by 1, 2""",
+    "br_children": f"""with {M.EDGES}, {M.CHUNKS}, {M.CONCEPTS}, {_HIER}, l as (
+  select 'concept' as parent_kind, cast(concept_id as varchar) as parent, 'alias' as child_kind, alias as child, 0 as place from concepts
+  union all select 'concept', cast(source as varchar), 'relation_out', relation || ':' || cast(target as varchar), 0 from edges
+  union all select 'concept', cast(target as varchar), 'relation_in', relation || ':' || cast(source as varchar), 0 from edges
+  union all select 'item', cast(item_id as varchar), 'chunk', cast(chunk_id as varchar), ordinal from chunks
+  union all select 'dimension', 'nation', 'value', value, 0 from v
+  union all select 'group', selection_group, 'item', cast(item_id as varchar), item_id from items where selection_group is not null
+  union all select 'skill', cast(p_partkey // 4 as varchar), 'tool', cast(p_partkey as varchar), p_partkey from part)
+select parent_kind, parent, child_kind, count(*) as n, (array_agg(child order by place, child))[1] as first, (array_agg(child order by place desc, child desc))[1] as last from l group by 1, 2, 3""",
+    "br_backlinks": f"""with {M.TOOL_EDGES}, {M.CHUNKS}, {M.CHUNK_CONCEPTS}, r as (select p_brand || '/' || p_type as rule, min(p_partkey) as n from part group by p_brand, p_type), b as (
+  select 'tool' as kind, cast(target as varchar) as id, 'tool' as used_by_kind, cast(source as varchar) as used_by from tool_edges
+  union select 'tool', cast(p_partkey as varchar), 'skill', cast(p_partkey // 4 as varchar) from part where p_partkey % 4 >= 2
+  union select 'concept', cast(concept_id as varchar), 'chunk', cast(chunk_id as varchar) from chunk_concepts
+  union select 'fragment', cast(conv_id * 1000 + turn as varchar), 'template', cast(conv_id as varchar) from conversations where turn % 2 = 0
+  union select 'fragment', cast(conv_id * 1000 + turn as varchar), 'skill', cast(turn % 2 as varchar) from conversations where role = 'assistant'
+  union select 'dimension', unnest(['nation', 'acctbal', 'segment', 'first_order']), 'rule', rule from r union select 'dimension', 'priorities', 'rule', rule from r where n % 2 = 0)
+select kind, id, used_by_kind, count(*) as n, min(used_by) as first from b group by 1, 2, 3""",
+    "br_list_items": f"""with {M.CHUNKS}, {M.CONCEPTS}, {M.CHUNK_CONCEPTS}, f as (
+  select item_id, selection_group from items where status = 'published' and selection_group is not null
+    and item_id in (select item_id from chunks join chunk_concepts using (chunk_id) join concepts using (concept_id) where domain in ('Brand#2', 'Brand#4', 'Brand#6', 'Brand#8'))),
+p as (select * from f order by item_id limit 21)
+select item_id, selection_group, to_base64(encode('cursor:' || cast(item_id as varchar))) as cursor, (select count(*) from p) > 20 as has_next_page, (select count(*) from f) as total from (select * from p order by item_id limit 20)""",
 }

@@ -42,3 +42,19 @@ def lookup(asked: DataFrame, entities: DataFrame) -> DataFrame:
     bad = asked.where(wrong).withColumn("found", F.lit(None).cast("long"))
     out = by_id.select("request_id", "kind", "found").unionByName(by_key.select("request_id", "kind", "found")).withColumn("code", F.when(F.col("found").isNull(), "ENTITY_NOT_FOUND"))
     return out.unionByName(bad.select("request_id", "kind", "found", F.lit("INVALID_INPUT").alias("code")))
+
+
+def children(links: DataFrame) -> DataFrame:
+    """(parent_kind, parent, child_kind, n, first, last) of links(parent_kind, parent, child_kind, child, place): how many there are and both ends in order of place, then child.
+
+    Combined before the shuffle, so a parent with very many children is a few rows.
+    """
+    at = F.struct("place", "child")
+    ends = links.groupBy("parent_kind", "parent", "child_kind").agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b"))
+    return ends.select("parent_kind", "parent", "child_kind", "n", F.col("a.child").alias("first"), F.col("b.child").alias("last"))
+
+
+def backlinks(uses: DataFrame) -> DataFrame:
+    """(kind, id, used_by_kind, n, first) of uses(kind, id, used_by_kind, used_by): who refers to an entity, each once."""
+    once = uses.distinct()
+    return once.groupBy("kind", "id", "used_by_kind").agg(F.count("*").alias("n"), F.min("used_by").alias("first"))

@@ -119,6 +119,19 @@ def usage(asked: DataFrame, kept: DataFrame, verdicts: DataFrame, causes: DataFr
     return all_.select("request_id", rows, F.array_join(F.coalesce("codes", F.array().cast("array<string>")), ",").alias("removed")).select("request_id", "x.*", (F.col("x.used") > F.col("x.most")).alias("over"), "removed")
 
 
+def provenance(verdicts: DataFrame, resolved: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(request_id, node, sources, required_by, reasons) of every included tool of graph.dependency_closure.
+
+    sources: the request for a seed, and every included tool with an edge to it; required_by: those whose edge is a
+    required one; reasons: codes of how it came in, all that hold. A tool's list is as long as its edges.
+    """
+    into = resolved.where("status = 'INCLUDED'").select("request_id", F.col("target").alias("node"), F.concat(F.lit("tool:"), F.col("source").cast("string")).alias("source"), F.when(F.col("requirement") == "required", F.col("source")).alias("needs"), F.when(F.col("requirement") == "required", "REQUIRED_TOOL_DEPENDENCY").otherwise("OPTIONAL_TOOL_DEPENDENCY").alias("reason"))
+    own = seeds.select("request_id", "node", F.lit("request").alias("source"), F.lit(None).cast("long").alias("needs"), F.lit("REQUESTED_TOOL").alias("reason")).distinct()
+    why = into.unionByName(own).join(verdicts.where("included").select("request_id", "node"), ["request_id", "node"], "left_semi").groupBy("request_id", "node")
+    told = why.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("needs")).alias("needs"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return told.select("request_id", "node", "sources", F.transform("needs", lambda x: x.cast("string")).alias("required_by"), "reasons")
+
+
 def trim_tools(tools: DataFrame, edges: DataFrame) -> DataFrame:
     """tools(request_id, node, required, score, priority, seed, budget) cut to the budget: (request_id, node, status).
 

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def assertions(expected: DataFrame, delivered: DataFrame) -> DataFrame:
-    """expected(case_id, kind, ref_a, ref_b, within) plus passed; delivered(case_id, ref, rank) holds what was packed.
+def assertions(expected: DataFrame, delivered: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """expected(case_id, kind, ref_a, ref_b, within) plus passed; delivered(case_id, ref, rank) holds what was packed, resolved(case_id, ref) the concepts.
 
-    include, exclude, topk (rank <= within) and outranks (ref_a before ref_b); a missing rank fails.
+    include, exclude, topk (rank <= within) and outranks (ref_a before ref_b); a missing rank fails. resolved: ref_a is
+    among the concepts of the case.
     """
     a = delivered.select("case_id", F.col("ref").alias("ref_a"), F.col("rank").alias("rank_a"))
     b = delivered.select("case_id", F.col("ref").alias("ref_b"), F.col("rank").alias("rank_b"))
-    both = expected.join(a, ["case_id", "ref_a"], "left").join(b, ["case_id", "ref_b"], "left")
+    c = (delivered.limit(0) if resolved is None else resolved).select("case_id", F.col("ref").alias("ref_a")).distinct().withColumn("known", F.lit(True))
+    both = expected.join(a, ["case_id", "ref_a"], "left").join(b, ["case_id", "ref_b"], "left").join(c, ["case_id", "ref_a"], "left")
     passed = (
         F.when(F.col("kind") == "include", F.col("rank_a").isNotNull())
         .when(F.col("kind") == "exclude", F.col("rank_a").isNull())
         .when(F.col("kind") == "topk", F.col("rank_a") <= F.col("within"))
+        .when(F.col("kind") == "resolved", F.col("known"))
         .when(F.col("kind") == "outranks", F.col("rank_a") < F.col("rank_b"))
     )
     return both.select("case_id", "kind", "ref_a", "ref_b", "within", F.coalesce(passed, F.lit(False)).alias("passed"))

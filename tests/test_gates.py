@@ -81,3 +81,32 @@ def test_every_static_fault_of_a_rule(spark):
         got[rule].add((r.code, path, r.reason))
         assert r.severity == ("warning" if r.reason == "CATEGORY" else "error")
     assert got == {rule: want for rule, (_, want) in cases.items()} and len(found) == sum(len(w) for _, w in cases.values())
+
+
+def test_children_backlinks_and_resolved_concepts(spark):
+    from sparkwell.operators import paging
+    from sparkwell.plans import evaluate
+
+    links = spark.createDataFrame([("item", "1", "chunk", "b", 0), ("item", "1", "chunk", "a", 5), ("item", "1", "chunk", "c", 5), ("item", "2", "chunk", "x", 1), ("item", "1", "alias", "q", 0)], "parent_kind string, parent string, child_kind string, child string, place long")
+    assert {tuple(r) for r in paging.children(links).collect()} == {("item", "1", "chunk", 3, "b", "c"), ("item", "2", "chunk", 1, "x", "x"), ("item", "1", "alias", 1, "q", "q")}
+    uses = spark.createDataFrame([("tool", "1", "skill", "9"), ("tool", "1", "skill", "9"), ("tool", "1", "skill", "5"), ("tool", "1", "tool", "5")], "kind string, id string, used_by_kind string, used_by string")
+    assert {tuple(r) for r in paging.backlinks(uses).collect()} == {("tool", "1", "skill", 2, "5"), ("tool", "1", "tool", 1, "5")}
+    want = spark.createDataFrame([(1, "resolved", 7, -1, 0), (1, "resolved", 8, -1, 0), (1, "include", 7, -1, 0)], "case_id long, kind string, ref_a long, ref_b long, within int")
+    delivered = spark.createDataFrame([(1, 8, 1)], "case_id long, ref long, rank int")
+    resolved = spark.createDataFrame([(1, 7), (1, 7)], "case_id long, ref long")
+    assert {(r.kind, r.ref_a, r.passed) for r in evaluate.assertions(want, delivered, resolved).collect()} == {("resolved", 7, True), ("resolved", 8, False), ("include", 7, False)}
+    assert not any(r.passed for r in evaluate.assertions(want, delivered).collect())
+
+
+def test_provenance_names_sources_and_reasons(spark):
+    from sparkwell.operators import graph
+    from sparkwell.plans import assemble
+
+    nodes = spark.createDataFrame([(k, k != 5) for k in range(1, 7)], "node long, usable boolean")
+    edges = spark.createDataFrame([(1, 2, "required"), (3, 2, "optional"), (1, 3, "optional"), (1, 5, "optional"), (6, 2, "required")], "source long, target long, requirement string")
+    seeds = spark.createDataFrame([(9, 1, True), (9, 2, False)], "request_id long, node long, required boolean")
+    got = {r.node: (list(r.sources), list(r.required_by), list(r.reasons)) for r in assemble.provenance(*graph.dependency_closure(seeds, nodes, edges), seeds).collect()}
+    assert got == {
+        1: (["request"], [], ["REQUESTED_TOOL"]), 3: (["tool:1"], [], ["OPTIONAL_TOOL_DEPENDENCY"]),
+        2: (["request", "tool:1", "tool:3"], ["1"], ["OPTIONAL_TOOL_DEPENDENCY", "REQUESTED_TOOL", "REQUIRED_TOOL_DEPENDENCY"]),
+    }
