@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -76,32 +75,33 @@ class Splitter:
     def __init__(self, pattern: str):
         self.pattern, self.plain = regex.compile(pattern), stand_ins()
         self.differs = {chr(c) for c in self.plain}
-        self.uneven = re.compile(r" \s|\s |\A\s|\s\Z")
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
 
-    def _matches(self, text: str) -> Iterator[str]:
+    def _matches(self, text: str) -> Iterator[str] | list[str]:
         if not (text.isascii() or self.differs.isdisjoint(text)):
             return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.plain)))
-        return iter(self.pattern.findall(text)) if len(text) <= AT_ONCE else (m[0] for m in self.pattern.finditer(text))
+        return self.pattern.findall(text) if len(text) <= AT_ONCE else (m[0] for m in self.pattern.finditer(text))
 
-    def _indices(self, text: str) -> Iterator[int]:
+    def _by_match(self, text: str) -> np.ndarray:
         words = self.words
-        return (words.setdefault(w, len(words)) for w in self._matches(text))
+        return np.fromiter((words.setdefault(w, len(words)) for w in self._matches(text)), np.uint32)
 
     def split(self, text: str) -> np.ndarray:
-        if " " not in text or self.uneven.search(text):
-            return np.fromiter(self._indices(text), np.uint32)
+        words, known, out = self.words, self.spaced, []
         first, *more = text.split(" ")
-        out = list(self._indices(first))
-        known = self.spaced
+        if not more or not first or first[-1].isspace():
+            return self._by_match(text)
+        out += [words.setdefault(x, len(words)) for x in self._matches(first)]
         for w in more:
             got = known.get(w)
             if got is None:
-                got = known[w] = tuple(self._indices(" " + w))
+                if not w or w[0].isspace() or w[-1].isspace():  # white space beside the space
+                    return self._by_match(text)
+                got = known[w] = tuple([words.setdefault(x, len(words)) for x in self._matches(" " + w)])
             out += got
         return np.array(out, np.uint32)
 

@@ -131,6 +131,18 @@ def test_split_equals_the_library(library, texts):
         assert [x for i in places.tolist() for x in whole.encode_ordinary(words[i])] == library.encode_ordinary(t)
 
 
+def test_split_equals_the_library_where_their_unicode_differs(library):
+    whole = byte_bpe.encoding(VOCABULARY, r"(?s:.+)")
+    split = byte_bpe.Splitter(public_tokenizers.PATTERN)
+    chars = [*byte_bpe.stand_ins(), *range(0x250), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1F600]
+    for c in map(chr, chars):
+        for t in (f"1{c}{c}'s", f"a{c} b", f"x  {c}"):
+            places = split.split(t)
+            words = list(split.words)
+            assert [x for i in places.tolist() for x in whole.encode_ordinary(words[i])] == library.encode_ordinary(t), (hex(ord(c)), t)
+        split.clear()
+
+
 def test_long_texts_blocks_and_clashing_names(spark, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "AT_ONCE", 50)
     split = byte_bpe.Splitter(public_tokenizers.PATTERN)

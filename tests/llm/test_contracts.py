@@ -112,15 +112,35 @@ def test_base_secrets_equal_plain_patterns(got, texts):
         assert set(spelled) <= set(r.spans.split(",")) or not spelled
 
 
-def test_near_duplicates(spark, got):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
-    unit = np.array([r.embedding for r in rows], np.float64)
+def planted(spark, tmp_path):
+    """The given vectors, and beside every third one scaled, nearly equal, or moved too far; some under another label."""
+    rng = np.random.default_rng(7)
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    for k, (i, v, label) in enumerate(rows[::3]):
+        v = np.array(v)
+        near = v + rng.standard_normal(len(v)) * np.linalg.norm(v) / np.sqrt(len(v)) * (0.0, 0.1, 0.17, 0.3)[k % 4]
+        rows.append((100_000 + i, (near * (1 + k % 3)).tolist(), label if k % 7 else (label + 1) % 10))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return rows
+
+
+def test_near_duplicates(spark, tmp_path):
+    rows = planted(spark, tmp_path)
+    unit = np.array([v for _, v, _ in rows])
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    label = np.array([r.label for r in rows])
+    label = np.array([x for _, _, x in rows])
     close = (unit @ unit.T >= 0.98) & (label[:, None] == label)
     np.fill_diagonal(close, False)
-    n = {r.vec_id: r.n_links for r in got["op1_near_duplicates"][1]}
-    assert sum(n.values()) >= 0.9 * close.sum() and all(n[r.vec_id] <= k for r, k in zip(rows, close.sum(1).tolist(), strict=True))
+    assert 150 < close.sum() < 1000
+    got = {r.vec_id: r for r in queries.op1_near_duplicates(spark, str(tmp_path)).collect()}
+    want = dict(zip((i for i, _, _ in rows), close.sum(1).tolist(), strict=True))
+    asked = [i for i in want if i % 20 == 0]
+    assert sum(got[i].n_links for i in asked) >= 0.9 * sum(want[i] for i in asked) and sum(r.n_links for r in got.values()) >= 0.9 * close.sum()
+    assert all(got[i].n_links <= n for i, n in want.items())
+    for x, (i, _, _) in enumerate(rows):
+        joined = {rows[j][0] for j in np.flatnonzero(close[x])} | {i}
+        assert got[i].component_id in (i, min(joined)) or got[i].component_id < i and got[i].n_links
+        assert got[i].kept == (got[i].component_id == i)
 
 
 def test_byte_bpe_equals_the_library(got, texts):
