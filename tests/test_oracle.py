@@ -16,6 +16,7 @@ QUICK = [
     "wn_selection_group", "wn_pack", "wn_keyset_page", "ag_percentiles", "st_except", "gr_closure", "gr_cycles", "as_render", "as_budgets", "bd_plan", "bd_embed_work",
     "dq_summary", "br_list", "br_children", "sm_metrics", "sm_ingest", "src_entities",
     "pr_rules", "pr_operators", "pr_simulate", "pr_context_validate", "st_hits_union", "qp_retrieve", "qp_profile", "qp_degrade", "gr_dep_closure", "gr_cycles", "gr_expand", "dq_self_and_cycles",
+    "gr_neighbourhood", "as_fragments", "dq_rules", "src_documents", "as_provenance", "as_removed_skills", "as_usage", "pr_hard_filters", "br_backlinks", "br_list_items", "ag_metric_counts", "sink_apply_plan", "bd_vector_store",
     "dq_ref_suggestions", "dq_domain_values", "fn_edit_distance_suggest", "br_get", "br_list_kinds", "br_list_all", "as_discover", "as_groups", "as_skill_select", "ev_assembly",
 ]
 
