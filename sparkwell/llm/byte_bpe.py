@@ -19,11 +19,11 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from sparkwell.llm.stash import free, new_folder, small_batches
 
 #: Code points of text whose positions stand together; a longer document makes a block of its own.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 #: Bytes of text for each list that distinct pre-tokens are dealt into, so that lists grow in number, not in length.
 LIST_BYTES = 1 << 20
 #: Bytes of text for each bucket of the table of blocks, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 20_000
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
 #: Code points of a text split in one call; a longer one is read match by match.
 AT_ONCE = 1 << 20
 _CODEC = "zstd"
