@@ -8,18 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.llm.stash import free, small_batches
+from sparkwell.llm.jaccard import _member as member
+from sparkwell.llm.jaccard import bitmap
+from sparkwell.llm.stash import free, small_batches, written
 from sparkwell.llm.text import ALNUM, gram_hashes, gram_mask, slices, split_words
 
 #: Words of a window that counts as a hit.
 WINDOW = 10
 #: Words of a fingerprinted gram; every WINDOW words hold WINDOW - GRAM + 1 grams, the least of which is kept.
 GRAM = 5
-#: Bytes of benchmark text in one broadcast index; a larger benchmark is searched in several blocks.
+#: Bytes of benchmark text up to which its index is broadcast; fingerprints of a larger benchmark meet those of documents by a shuffle.
 BLOCK_BYTES = 8 << 20
+#: Words around a fingerprint that may belong to a window with it: those before its gram, and the gram with those after it.
+BEFORE, AFTER = WINDOW - GRAM, WINDOW
+#: Parts into which the documents of one fingerprint are dealt in the shuffled join; the items of it go to each.
+SALTS = 16
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("item", pa.string())]))
 
 
 @dataclass
@@ -115,32 +122,92 @@ def find_spans(hashes: np.ndarray, bounds: np.ndarray, index: BlockIndex, window
     return sorted(found)
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: BlockIndex, text: str, words: str, spans_column: str) -> Iterator[pa.RecordBatch]:
+def fingerprint_rows(batches: Iterator[pa.RecordBatch], lengths: list[int], items: bool, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns before the last, which is the text, for each of its fingerprints, with print, size, place and around.
+
+    Of items those are the winnowed grams (size WINDOW), and the whole of an item of fewer words (size: its words). Of
+    documents they are the winnowed grams and the grams of every length of `lengths`, as far as `wanted` marks them.
+    around: hashes of the BEFORE words ahead of a winnowed gram and the AFTER from its first on; words outside the text
+    are 1 in items and 0 in documents, so they never agree.
+    """
     for batch in batches:
-        spans: list[list] = [[] for _ in range(batch.num_rows)]
-        counts = np.zeros(batch.num_rows, np.int64)
-        for lo, hi, data, offsets in slices(batch.column(text)):
+        for lo, _, data, offsets in slices(batch.column(batch.num_columns - 1)):
             w = split_words(data, offsets, ALNUM)
-            counts[lo:hi] = w.counts
-            for row, a, b, item in find_spans(w.hashes, w.bounds, index):
-                spans[lo + row].append({"first": a, "last": b, "item": index.ids[item]})
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("item", pa.string())]))
-        named = dict(zip(batch.schema.names, batch.columns, strict=True))
-        old = named.pop(spans_column).to_pylist()
-        named[words] = pa.array(counts)
-        named[spans_column] = pa.array([x + y for x, y in zip(old, spans, strict=True)], kind)
-        yield pa.RecordBatch.from_pydict({k: named[k] for k in batch.schema.names})
+            for size in lengths:
+                k = GRAM if size == WINDOW else size
+                grams, usable = gram_hashes(w.hashes, k), gram_mask(w.bounds, k, len(w.hashes))
+                at = winnow(grams, usable, WINDOW - GRAM + 1) if size == WINDOW else np.flatnonzero(usable)
+                if wanted is not None:
+                    at = at[member(grams[at], wanted)]
+                row = np.searchsorted(w.bounds, at, "right") - 1
+                if items and size < WINDOW:
+                    at, row = at[w.counts[row] == size], row[w.counts[row] == size]
+                if not len(at):
+                    continue
+                near = at[:, None] + np.arange(-BEFORE, AFTER if size == WINDOW else -BEFORE)
+                inside = (near >= w.bounds[row][:, None]) & (near < w.bounds[row + 1][:, None])
+                words = np.where(inside, w.hashes[np.clip(near, 0, len(w.hashes) - 1)], np.uint64(items))
+                around = pa.Array.from_buffers(pa.binary(8 * near.shape[1]), len(at), [None, pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                kept = [batch.column(c).take(pa.array(lo + row)) for c in range(batch.num_columns - 1)]
+                new = [pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array(at - w.bounds[row]), around]
+                yield pa.RecordBatch.from_arrays(kept + new, names=[*batch.schema.names[:-1], "print", "size", "place", "around"])
+
+
+def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, piece, item, line, first, last) of met fingerprints around which the words of a whole window agree."""
+    for b in batches:
+        size, place, there = (b.column(c).to_numpy() for c in ("size", "place", "there"))
+        first, last = place.copy(), place + size
+        long = np.flatnonzero(size == WINDOW)
+        if len(long):
+            mine, other = (np.frombuffer(b"".join(b.column(c).take(pa.array(long)).to_pylist()), np.uint64).reshape(len(long), -1) for c in ("around", "facing"))
+            same = mine == other
+            first[long] -= np.logical_and.accumulate(same[:, :BEFORE][:, ::-1], axis=1).sum(1)
+            last[long] = place[long] + np.logical_and.accumulate(same[:, BEFORE:], axis=1).sum(1)
+        hit = pa.array(last - first >= size)
+        out = [b.column("mark"), b.column("piece"), b.column("item"), pa.array(there - place), pa.array(first), pa.array(last)]
+        yield pa.RecordBatch.from_arrays([c.filter(hit) for c in out], names=["mark", "piece", "item", "line", "first", "last"])
+
 
+def shared_spans(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(mark, found) of the texts(mark, text) that hold a window of items(item, text); found lists the maximal runs.
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list:
-    """Broadcast indexes of blocks of items, each of about block_bytes of text (at least one item)."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    blocks = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    out = []
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).distinct().collect()  # of bounded size
-        out.append(benchmark.sparkSession.sparkContext.broadcast(build_index([r["id"] for r in mine], pa.array([r["text"] for r in mine], pa.string()))))
-    return out
+    Fingerprints of both sides are joined by a shuffle. The benchmark's mark bits of a bitmap of fixed size, so hardly a
+    fingerprint leaves a document that meets none, and each carries the words that may form a window with it: runs are
+    compared where two meet, no text is fetched. Copies of a text are one mark and go on once. A fingerprint that many
+    documents hold is dealt into SALTS parts. Pieces of one run overlap, as each window of it has a fingerprint of its
+    own, and are merged along their line (place in the item less place in the text).
+    """
+    spark = texts.sparkSession
+    kinds = "print long, size int, place long, around binary"
+    named = items.where("text IS NOT NULL").select("item", F.xxhash64("item", "text").alias("piece"), "text").distinct()
+    every = list(range(1, WINDOW + 1))
+    theirs = written(named.mapInArrow(lambda batches: fingerprint_rows(batches, every, True), f"item string, piece long, {kinds}"))
+    lengths = sorted(r[0] for r in theirs.select("size").distinct().collect())  # WINDOW of them at most
+    wanted = spark.sparkContext.broadcast(bitmap(theirs.select("print")))
+    ours = texts.mapInArrow(lambda batches: fingerprint_rows(batches, lengths, False, wanted.value), f"mark binary, {kinds}").distinct()
+    dealt = ours.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int"))
+    facing = theirs.select("item", "piece", "print", "size", F.col("place").alias("there"), F.col("around").alias("facing"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = dealt.join(facing, ["print", "size", "salt"]).select("mark", "piece", "item", "size", "place", "there", "around", "facing")
+    runs = met.mapInArrow(agreeing, "mark binary, piece long, item string, line long, first long, last long")
+    line = Window.partitionBy("mark", "piece", "item", "line").orderBy("first", "last")
+    apart = F.col("first") > F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    islands = runs.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("run", F.sum("apart").over(line))
+    whole = islands.groupBy("mark", "piece", "item", "line", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.groupBy("mark").agg(F.collect_set(F.struct("first", "last", "item")).alias("found"))
+
+
+def _search(column: pa.Array, index: BlockIndex | None) -> tuple[np.ndarray, list[list[dict]]]:
+    """Words and, by a broadcast index, spans of every row."""
+    spans: list[list] = [[] for _ in range(len(column))]
+    counts = np.zeros(len(column), np.int64)
+    for lo, hi, data, offsets in slices(column):
+        w = split_words(data, offsets, ALNUM)
+        counts[lo:hi] = w.counts
+        if index is not None:
+            for row, a, b, item in find_spans(w.hashes, w.bounds, index):
+                spans[lo + row].append({"first": a, "last": b, "item": index.ids[item]})
+    return counts, spans
 
 
 def covered(spans: list[dict]) -> tuple[int, list[str]]:
@@ -155,9 +222,10 @@ def covered(spans: list[dict]) -> tuple[int, list[str]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs plus n_words, n_hit, spans (first word, last word + 1, item), items (sorted ids with occurring windows), items_sha256 and contaminated.
 
-    The benchmark is the stated query set: it is cut into blocks of about block_bytes, and every block's fingerprints
-    are broadcast and met by all documents in one pass over them without a shuffle. Every run of WINDOW shared words
-    holds a kept fingerprint on both sides, so none is missed; runs are then compared word by word in both directions.
+    Fingerprints of documents and benchmark are joined: those of a benchmark of up to block_bytes of text are broadcast
+    and met in one pass without a shuffle, those of a larger one meet by a shuffle (shared_spans), with equal results.
+    Every run of WINDOW shared words holds a kept fingerprint on both sides, so none is missed; runs are then compared
+    word by word in both directions.
     Items of fewer words are compared whole. One row per input row: null texts have no words, a document without hits
     has no items and the hash of the empty string; null items and items without words match nothing; an item without
     an id counts under the id "null". Rows are searched one by one, so repeated rows get equal answers; a very long text
@@ -167,18 +235,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     small_batches(docs.sparkSession)
     new = ["n_words", "n_hit", "spans", "items", "items_sha256", "contaminated"]
     out = docs.drop(*new)
-    words, found = free(out, "words", "found")
+    found = free(out, "found")[0]
     names = out.schema.names
     schema = out.selectExpr("*", "0L n_words", "0L n_hit", "CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>) spans", "CAST(array() AS array<string>) items", "'' items_sha256", "false contaminated").schema
-    *earlier, last = _blocks(benchmark, item_id, item_text, block_bytes)
-    out = out.withColumn(words, F.lit(0).cast("long")).withColumn(found, F.expr("CAST(array() AS array<struct<first:bigint,last:bigint,item:string>>)"))
-    for index in earlier:
-        out = out.mapInArrow(lambda batches, index=index: _search(batches, index.value, text, words, found), out.schema)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    found_type = "array<struct<first:bigint,last:bigint,item:string>>"
+    index = None
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
+        some = items.distinct().collect()  # of bounded size
+        index = docs.sparkSession.sparkContext.broadcast(build_index([r["item"] for r in some], pa.array([r["text"] for r in some], pa.string())))
+        out = out.withColumn(found, F.expr(f"CAST(array() AS {found_type})"))
+    else:
+        # copies of a text have one mark; a null text has that of the empty one, and no spans
+        mark, salt = free(out, "mark", "salt")
+        # copies of one text lie in many partitions, and the rows of a partition go to one part of their mark
+        out = out.withColumn(mark, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        spans = written(shared_spans(out.select(F.col(mark).alias("mark"), F.col(text).alias("text")), items))
+        spans = spans.select(F.col("mark").alias(mark), F.col("found").alias(found), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        out = out.join(spans, [mark, salt], "left").select(*names, F.coalesce(found, F.expr("array()")).cast(found_type).alias(found))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _search(batches, last.value, text, words, found):
-            got = [covered(s) for s in b.column(found).to_pylist()]
-            cols = [b.column(c) for c in names] + [b.column(words), pa.array([h for h, _ in got], pa.int64()), b.column(found), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
+        for b in batches:
+            counts, spans = _search(b.column(text), None if index is None else index.value)
+            spans = [sorted(x or y, key=lambda s: (s["first"], s["last"], s["item"])) for x, y in zip(spans, b.column(found).to_pylist(), strict=True)]
+            got = [covered(s) for s in spans]
+            cols = [b.column(c) for c in names] + [pa.array(counts), pa.array([h for h, _ in got], pa.int64()), pa.array(spans, SPANS), pa.array([i for _, i in got], pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, i in got], pa.string()), pa.array([h > 0 for h, _ in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return out.mapInArrow(finish, schema)

@@ -86,6 +86,23 @@ def test_decontamination(spark, block_bytes):
     assert all(r.items_sha256 == hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in got)
 
 
+def test_decontamination_by_shuffle_equals_broadcast(spark):
+    """Spans and all other columns, with passages over many items, runs that break, copies, repeats and short items."""
+    rng = random.Random(11)
+    common = prose(40, rng)
+    items = [(k, prose(rng.choice([4, 9, 10, 25]), rng)) for k in range(20)] + [(k, f"{prose(5, rng)} {common} {prose(k - 30, rng)}") for k in range(40, 50)] + [(60, "la " * 50), (60, prose(30, rng))]
+    words = common.split()
+    rows = [(k, prose(rng.randint(0, 30), rng)) for k in range(30)] + [(100, common)] * 40 + [(200 + k, f"{prose(k, rng)} {' '.join(words[: 9 + k])} x {' '.join(words[9 + k :])}") for k in range(15)]
+    rows += [(300, "la " * 2000 + rng.choice(items)[1]), (301, rng.choice(items)[1][:-1]), (302, None), (303, ""), (304, " ".join(t for _, t in items) * 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    near, far = (decontaminate.decontaminate(docs_frame(spark, rows), bench, block_bytes=size) for size in (1 << 20, 0))
+    assert near.schema == far.schema
+    assert sorted(map(str, far.collect())) == sorted(map(str, near.collect()))
+    assert far.where("contaminated").count() > 50
+    empty = bench.limit(0)
+    assert [r.contaminated for r in decontaminate.decontaminate(docs_frame(spark, rows[:3]), empty, block_bytes=-1).collect()] == [False] * 3
+
+
 def brute_components(sets, linked):
     root = list(range(len(sets)))
 
