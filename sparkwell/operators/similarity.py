@@ -38,25 +38,33 @@ def trigram_join(left: DataFrame, left_id: str, left_text: str, right: DataFrame
 def suggest(words: DataFrame, word: str, keys: DataFrame) -> DataFrame:
     """words plus suggestion and distance: the nearest of keys(key), ties to the lexically first, within max(2, length / 3) edits.
 
-    With t edits one of t + 1 segments of a key stands unchanged in the word, at most t places off. So words and keys
-    meet by segment, its number, the key's length and t, not all with all; then the edits are counted.
+    With t edits one of t + 1 segments of a key stands unchanged in the word, at most t places off. So the segments of a
+    key meet the equal parts of words with that t. Places and sizes are cut into ranges of 2t + 1, of which a word meets
+    two, so a word makes rows in proportion to its letters; a key makes its segments for those t which words of about
+    its size have. What met is held against the exact bounds, and then the edits are counted.
     """
-    asked = cut(words.select(F.col(word).alias("w")).where("w IS NOT NULL").distinct().withColumn("t", F.greatest(F.lit(2), F.floor(F.length("w") / 3)).cast("int")))
-    most = asked.agg(F.max("t")).first()[0] or 2
-
-    def segments(df: DataFrame, size: Column) -> DataFrame:
-        """One row per segment i of a key of `size` letters: its place (from 1) and length."""
-        short = size.cast("int") / (F.col("t") + 1)
-        n, longer = F.floor(short).cast("int"), F.pmod(size, F.col("t") + 1)
-        some = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
-        before = F.col("t") + 1 - longer  # the first of them have n letters, the others one more
-        return some.withColumn("at", F.col("i") * n + F.greatest(F.lit(0), F.col("i") - before) + 1).withColumn("len", n + (F.col("i") >= before).cast("int"))
-
-    k = keys.select("key").where("key IS NOT NULL").distinct().withColumn("size", F.length("key")).withColumn("t", F.explode(F.sequence(F.lit(2), F.lit(most))))
-    k = segments(k, F.col("size")).select("t", "size", "i", F.substring("key", F.col("at"), F.col("len")).alias("part"), "key")
-    w = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.length("w") - F.col("t")), F.length("w") + F.col("t"))))
-    w = segments(w, F.col("size")).withColumn("from", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("t")), F.greatest(F.lit(1), F.col("at") + F.col("t")))))
-    w = w.where("from + len - 1 <= length(w)").select("t", "size", "i", F.substring("w", F.col("from"), F.col("len")).alias("part"), "w").distinct()
-    near = w.join(k, ["t", "size", "i", "part"]).select("w", "key", "t").distinct().withColumn("distance", F.levenshtein("w", "key")).where("distance <= t")
+    n = F.length("w")
+    asked = cut(words.select(F.col(word).alias("w")).where("w IS NOT NULL").distinct().withColumn("t", F.greatest(F.lit(2), F.floor(n / 3)).cast("int")))
+    wide = 2 * F.col("t") + 1
+
+    def ranges(centre: Column) -> Column:
+        """The ranges that the places up to t away from this one lie in."""
+        at = lambda c: F.floor(c / wide).cast("int")
+        return F.explode(F.sequence(at(F.greatest(F.lit(0), centre - F.col("t"))), at(centre + F.col("t"))))
+
+    # a word of 3t to 3t + 2 letters, or of at most 8 where t is 2, may be t letters longer or shorter than the key
+    size = F.length("key")
+    k = keys.select("key").where("key IS NOT NULL").distinct().withColumn("t", F.explode(F.sequence(F.greatest(F.lit(2), F.ceil((size - 2) / 4).cast("int")), F.greatest(F.lit(2), F.floor(size / 2).cast("int")))))
+    k = k.join(asked.select("t").distinct(), "t").withColumn("size", size).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
+    short, longer = F.floor(F.col("size") / (F.col("t") + 1)).cast("int"), F.pmod("size", F.col("t") + 1)
+    late = F.greatest(F.lit(0), F.col("i") - (F.col("t") + 1 - longer))  # the last `longer` segments have a letter more
+    k = k.withColumn("at", F.col("i") * short + late + 1).withColumn("part", F.substring("key", F.col("at"), short + (F.col("i") >= F.col("t") + 1 - longer).cast("int")))
+    k = k.select("t", "key", "size", "at", "part", F.floor(F.col("at") / wide).cast("int").alias("at_range"), F.floor(F.col("size") / wide).cast("int").alias("size_range"))
+    least, most = (F.floor(F.greatest(F.lit(0), c) / (F.col("t") + 1)).cast("int") for c in (n - F.col("t"), n + F.col("t")))
+    w = asked.withColumn("len", F.explode(F.sequence(least, most + 1))).where(F.col("len") <= n).withColumn("from", F.explode(F.sequence(F.lit(1), n - F.col("len") + 1)))
+    w = w.withColumn("part", F.substring("w", F.col("from"), F.col("len"))).withColumn("at_range", ranges(F.col("from"))).withColumn("size_range", ranges(n))
+    met = w.join(k, ["t", "part", "at_range", "size_range"]).where((F.abs(F.col("from") - F.col("at")) <= F.col("t")) & (F.abs(n - F.col("size")) <= F.col("t")))
+    # t comes out of the grouping, so that edits are counted after it, once a pair
+    near = met.groupBy("w", "key").agg(F.min("t").alias("t")).withColumn("distance", F.expr("levenshtein(w, key, t)")).where("distance >= 0")
     best = near.groupBy("w").agg(F.min(F.struct("distance", "key")).alias("best")).select(F.col("w").alias(word), F.col("best.key").alias("suggestion"), F.col("best.distance").alias("distance"))
     return words.join(best, word, "left")

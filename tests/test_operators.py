@@ -207,6 +207,39 @@ def test_a_name_that_is_its_own_alias_hits_twice(spark):
     assert hits.count((1, "LEXICAL")) == 3 and hits.count((2, "LEXICAL")) == 2 and not any(r == 3 for r, _ in hits)
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_suggestions_for_words_and_keys_of_all_lengths(spark):
+    """Random edits at the bounds of what is near, empty ones, and a word of 2000 letters among short ones."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    keys = ["", "a", some(2000), some(700)] + [some(rng.randint(1, 40)) for _ in range(60)]
+    words = ["", "ab", "abc", keys[2][300:] + some(200)]
+    for _ in range(120):
+        letters = list(rng.choice(keys[4:]))
+        for _ in range(rng.randint(0, 2 + len(letters) // 3)):
+            at = rng.randint(0, len(letters))
+            letters[at : at + rng.randint(0, 1)] = some(rng.randint(0, 1))
+        words.append("".join(letters))
+    got = similarity.suggest(spark.createDataFrame(list(enumerate(words)), "id int, word string"), "word", spark.createDataFrame([(k,) for k in keys], "key string")).collect()
+    assert len(got) == len(words)
+    for r in got:
+        if len(r.word) > 1000:
+            assert r.suggestion == keys[2] and r.distance <= 500
+            continue
+        most = max(2, len(r.word) // 3)
+        near = sorted((e, k) for k in keys if abs(len(k) - len(r.word)) <= most and (e := _edits(r.word, k)) <= most)
+        assert (r.suggestion, r.distance) == ((near[0][1], near[0][0]) if near else (None, None)), r
+
+
 def test_references_of_the_wrong_kind_and_suggestions(spark):
     rows = spark.createDataFrame([(1, "alpha", "tool"), (2, "alpah", "tool"), (3, "beta", "tool"), (4, None, "tool"), (5, "entirely different", "skill")], "subject long, ref string, kind string")
     targets = spark.createDataFrame([("alpha", "tool"), ("beta", "skill")], "key string, kind string")
