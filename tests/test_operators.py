@@ -260,3 +260,19 @@ def test_a_provider_of_vectors(spark):
     assert got == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: None, 4: [1.0, 1.0]}
     with pytest.raises(Exception, match="EMBEDDING_DIMENSION_MISMATCH"):
         embedding.embed(rows, "text", lambda texts: [[1.0] for _ in texts], 2).collect()
+
+
+def test_texts_meet_the_same_broadcast_or_shuffled(spark, monkeypatch):
+    words = ["blue ring", "blue-ring-17", "Blue  Ring", "ring", "", "  ", "---", None, "é ring", "red bolt", "bolt", "ri", "old plate of blue steel"]
+    left = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "a long, t string")
+    right = spark.createDataFrame([(i, w) for i, w in enumerate(words + words[:4])], "b long, u string")
+    pairs = lambda: sorted((r.a, r.b, r.score) for r in similarity.trigram_join(left, "a", "t", right, "b", "u").collect())
+    known = spark.createDataFrame([(i, f"{w}-{i}", w, words[-i - 1], "published") for i, w in enumerate(words) if w is not None], "concept_id long, key string, name string, alias string, status string")
+    asked = left.select(F.col("a").alias("request_id"), F.col("t").alias("text")).where("t IS NOT NULL")
+    hits = lambda: sorted(str(tuple(r)) for r in concepts.match_hits(asked, known).collect())
+    plan = concepts.match_hits(asked, known)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "array_intersect" not in plan  # the names stay where they are
+    few, named = pairs(), hits()
+    assert few and any("LEXICAL" in x for x in named) and any("TRIGRAM" in x for x in named)
+    monkeypatch.setattr(similarity, "TEXT_BLOCK", 0)
+    assert pairs() == few and hits() == named
