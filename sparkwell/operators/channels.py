@@ -119,7 +119,7 @@ def postings(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
     if names is None:
         names = chunks.select("chunk_id").limit(0).withColumn("names", F.lit(""))
     a, b, c = (T.lexemes(T.fold_accents(x)) for x in (F.col("title"), F.col("content"), F.coalesce("names", F.lit(""))))
-    parts = chunks.join(names, "chunk_id", "left").select("chunk_id", a.alias("a"), b.alias("b"), c.alias("c"))
+    parts = chunks.join(names.hint("merge"), "chunk_id", "left").select("chunk_id", a.alias("a"), b.alias("b"), c.alias("c"))
     both = parts.select("chunk_id", F.size("a").alias("n"), (F.size("a") + F.size("b")).alias("m"), F.posexplode(F.concat("a", "b", "c")).alias("pos", "lexeme"))
     weight = F.when(F.col("pos") < F.col("n"), TITLE_WEIGHT).when(F.col("pos") < F.col("m"), BODY_WEIGHT).otherwise(NAME_WEIGHT)
     return both.select("chunk_id", "lexeme", "pos", weight.alias("weight"))
@@ -147,7 +147,7 @@ def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFra
     if stemmed:
         pairs, words = _stemmed(asked.select("request_id", F.explode("q").alias("lexeme")), words)
         asked = pairs.groupBy("request_id").agg(F.array_sort(F.collect_set("lexeme")).alias("q"))  # the lexemes of one request
-    asked = cut(asked.select("request_id", F.size("q").alias("n"), F.posexplode("q").alias("k", "lexeme")))
+    asked = written(asked.select("request_id", F.size("q").alias("n"), F.posexplode("q").alias("k", "lexeme")))
     most = asked.agg(F.max("n")).first()[0] or 0
     held = words.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
     held = written(held)  # of all words only those that some request asks for
@@ -184,7 +184,8 @@ def graph_channel(neighbours: DataFrame, links: DataFrame, keys: DataFrame, rela
     """Chunks of expanded concepts: by seed rank, hops, first relation's place, concept key, chunk id; each chunk once."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in relation_order]).cast("array<string>"), F.col("first_relation")), F.lit(0))
     typed = neighbours.withColumn("relation_rank", F.when(place == 0, 1 << 30).otherwise(place - 1))
-    hits = typed.join(links.select(F.col("concept_id").alias("node"), "chunk_id"), "node").join(keys.select(F.col("concept_id").alias("node"), "key"), "node")
+    # neither links nor keys are broadcast, however small their shuffle files are
+    hits = typed.join(links.select(F.col("concept_id").alias("node"), "chunk_id").hint("merge"), "node").join(keys.select(F.col("concept_id").alias("node"), "key").hint("merge"), "node")
     order = [F.col("seed_rank"), F.col("hops"), F.col("relation_rank"), F.col("key"), F.col("chunk_id")]
     once = hits.withColumn("first", F.row_number().over(Window.partitionBy("request_id", "chunk_id").orderBy(*order))).where("first = 1").withColumn("score", F.lit(None).cast("double"))
     return ranked(once, "graphLinked", limit, order)

@@ -46,7 +46,7 @@ def restrict(found: DataFrame, filters: DataFrame, members: DataFrame) -> DataFr
     """
     wanted = filters.groupBy("request_id").agg(F.countDistinct("kind").alias("wanted"))
     pairs = found.select("request_id", "chunk_id").distinct()
-    held = pairs.join(wanted.select("request_id"), "request_id", "left_semi").join(members, "chunk_id").join(filters.distinct(), ["request_id", "kind", "value"], "left_semi")
+    held = pairs.join(wanted.select("request_id"), "request_id", "left_semi").join(members.hint("merge"), "chunk_id").join(filters.distinct().hint("merge"), ["request_id", "kind", "value"], "left_semi")
     have = held.groupBy("request_id", "chunk_id").agg(F.countDistinct("kind").alias("have"))
     both = found.join(wanted, "request_id", "left").join(have, ["request_id", "chunk_id"], "left")
     return both.where("wanted IS NULL OR have = wanted").drop("wanted", "have")
@@ -59,7 +59,7 @@ def gate(merged: DataFrame, chunks: DataFrame, requests: DataFrame, verdicts: Da
     rule ids (null: none); requests carry as_of and include_draft; verdicts(request_id, rule_id, state, spec_a, spec_b, allowed). An identity is `redacted` whenever
     authorization is denied, whatever gate stopped the row.
     """
-    c = merged.join(chunks, "chunk_id").join(requests.select("request_id", "as_of", "include_draft"), "request_id")
+    c = merged.join(chunks.hint("merge"), "chunk_id").join(requests.select("request_id", "as_of", "include_draft"), "request_id")
     auth = verdicts.select("request_id", F.col("rule_id").alias("authorization"), "allowed")
     appl = verdicts.select("request_id", F.col("rule_id").alias("applicability"), F.col("state").alias("appl_state"), "spec_a", "spec_b")
     c = c.join(auth, ["request_id", "authorization"], "left").join(appl, ["request_id", "applicability"], "left")

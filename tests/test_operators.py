@@ -276,3 +276,12 @@ def test_texts_meet_the_same_broadcast_or_shuffled(spark, monkeypatch):
     assert few and any("LEXICAL" in x for x in named) and any("TRIGRAM" in x for x in named)
     monkeypatch.setattr(similarity, "TEXT_BLOCK", 0)
     assert pairs() == few and hits() == named
+
+
+def test_names_and_links_are_not_broadcast(spark):
+    near = spark.createDataFrame([(1, 5, 1, 1, "R")], "request_id long, node long, seed_rank int, hops int, first_relation string")
+    links = spark.createDataFrame([(9, 5)], "chunk_id long, concept_id long")
+    keys = spark.createDataFrame([(5, "k")], "concept_id long, key string")
+    out = channels.graph_channel(near, links, keys, ["R"], 3)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.request_id, r.chunk_id, r["rank"]) for r in out.collect()] == [(1, 9, 1)]
