@@ -285,3 +285,27 @@ def test_names_and_links_are_not_broadcast(spark):
     out = channels.graph_channel(near, links, keys, ["R"], 3)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r.request_id, r.chunk_id, r["rank"]) for r in out.collect()] == [(1, 9, 1)]
+
+
+def test_many_keys_share_the_rows_of_a_walk(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(500)]
+    seeds = [(f"k{i}", rng.randrange(320)) for i in range(1500)] + [("k0", 7), ("k0", 7)]
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+    want = set()
+    for k, node in set(seeds):
+        todo, seen = [node], {node}
+        while todo:
+            for x in below.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        want |= {(k, x) for x in seen}
+    df = spark.createDataFrame(seeds, "k string, node long")
+    got = graph.reachable(df, spark.createDataFrame(pairs, "source long, target long"), ["k"])
+    rows = [(r.k, r.node) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    places = graph._numbered(df, ["k"])
+    assert places.select("block", "lane", "bit").distinct().count() == 1500 and places.select("block").distinct().count() < 20
