@@ -153,10 +153,11 @@ def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFra
     held = written(held)  # of all words only those that some request asks for
     often = held.select("lexeme", "chunk_id").distinct().groupBy("lexeme").agg(F.count("*").alias("often"))
     rarest = asked.join(often, "lexeme", "left").groupBy("request_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "lexeme")).alias("x")).select("request_id", "x.lexeme")
-    near = rarest.join(held.select("lexeme", "chunk_id").distinct(), "lexeme").select("request_id", "chunk_id")
-    pairs = near.join(asked, "request_id").join(held.select("lexeme", "chunk_id").distinct(), ["lexeme", "chunk_id"])
+    # postings compress so well that Spark would broadcast them, hence the hints; a row per request is written and known to be smaller
+    near = written(rarest).join(held.select("lexeme", "chunk_id").distinct(), "lexeme").select("request_id", "chunk_id")
+    pairs = near.join(asked, "request_id").join(held.select("lexeme", "chunk_id").distinct().hint("merge"), ["lexeme", "chunk_id"])
     full = cut(pairs.groupBy("request_id", "chunk_id").agg(F.count("*").alias("have"), F.first("n").alias("n")).where("have = n").select("request_id", "chunk_id"))
-    found = full.join(asked, "request_id").join(held, ["lexeme", "chunk_id"])
+    found = full.join(asked, "request_id").join(held.hint("merge"), ["lexeme", "chunk_id"])
     upto = Window.partitionBy("request_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("k") == k, F.struct("pos", "weight"))).over(upto) for k in range(most)]
     ends = found.select("request_id", "chunk_id", "pos", "n", F.array_compact(F.array(*last) if last else F.array().cast("array<struct<pos:int,weight:double>>")).alias("latest")).where(F.size("latest") == F.col("n"))

@@ -126,3 +126,14 @@ def test_registered_stemmed_query_finds_no_less(spark):
     pairs = lambda name: {(r.request_id, r.chunk_id) for r in q[name](spark, "/root/testdata/sf0.001").where(F.col("rank") <= 40).collect()}
     plain, stemmed = pairs("tk_fulltext"), pairs("tk_fulltext_stemmed")
     assert plain <= stemmed
+
+
+def test_postings_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(channels, "cut", lambda df: plans.append(df) or df)
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "bolt")], "request_id long, query string")
+    words = spark.createDataFrame([(10, "red", 0, 1.0), (10, "bolt", 1, 1.0), (20, "bolt", 0, 0.4)], "chunk_id long, lexeme string, pos int, weight double")
+    out = channels.fulltext_channel(asked, words, 10)
+    assert sorted((r.request_id, r.chunk_id) for r in out.collect()) == [(1, 10), (2, 10), (2, 20)]
+    for df in (*plans, out):  # postings meet candidates by lexeme and chunk; no such side goes through the driver
+        assert not re.search(r"BroadcastExchange HashedRelationBroadcastMode\(List\(input\[\d+, \w+, \w+\], input\[", df._jdf.queryExecution().executedPlan().toString())
