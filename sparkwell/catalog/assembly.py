@@ -10,6 +10,8 @@ from sparkwell.catalog import retrieval as Q
 from sparkwell.catalog import rules as R
 from sparkwell.functions import text as T
 from sparkwell.operators import channels, fusion, graph, rules
+from sparkwell.operators.concepts import SPREAD
+from sparkwell.operators.cuts import written
 from sparkwell.plans import assemble as A
 
 
@@ -38,8 +40,10 @@ def _gated(s, d):
     ids = M.requests(s, d).select("request_id")
     nodes = R.nodes(s, d)
     got = rules.evaluate(R.contexts(s, d).join(ids, "request_id", "left_semi"), nodes, R.dimensions(s), values, closure, requests=R.customers(s, d).join(ids, "request_id", "left_semi"))
-    verdict = graph.cut(rules.authorize(got, nodes, R.dimensions(s)).select("request_id", "rule_id", "state", "allowed", "spec_a", "spec_b"))
-    p = M.table(s, d, "part").select(F.col("p_partkey").alias("entity_id"), F.concat_ws("/", "p_brand", "p_type").alias("rule_id"), F.when(F.col("p_size") % 10 == 0, "draft").otherwise("published").alias("status"), F.col("p_brand").alias("grp"), F.col("p_size").alias("priority"))
+    # written, so that Spark knows the verdicts of few requests for the smaller side; parts are dealt out, as each meets every request
+    verdict = written(rules.authorize(got, nodes, R.dimensions(s)).select("request_id", "rule_id", "state", "allowed", "spec_a", "spec_b"))
+    part = M.table(s, d, "part")
+    p = part.repartition(1 + part.count() // SPREAD, "p_partkey").select(F.col("p_partkey").alias("entity_id"), F.concat_ws("/", "p_brand", "p_type").alias("rule_id"), F.when(F.col("p_size") % 10 == 0, "draft").otherwise("published").alias("status"), F.col("p_brand").alias("grp"), F.col("p_size").alias("priority"))
     offered = verdict.join(p, "rule_id")
     i = F.col("entity_id")
     return A.gates(offered.withColumn("authorized", F.when(i % 3 == 0, F.col("allowed"))).withColumn("applicable", F.when(i % 4 == 0, F.col("state") == 2)))
@@ -53,7 +57,7 @@ def as_groups(s, d):
     live = _gated(s, d).where("code IS NULL")
     k = F.regexp_extract("grp", r"(\d+)", 1).cast("int") % 4
     live = live.withColumn("mode", F.when(k == 0, "all").when(k == 1, "most_specific").when(k == 2, "highest_priority")).withColumn("grp", F.when(F.col("mode").isNotNull(), F.col("grp")))
-    return live.withColumn("wins", fusion.group_winner("grp", F.col("mode"), "entity_id", ("request_id",))).where("wins").select("request_id", "entity_id")
+    return fusion.group_winners(live, "grp", F.col("mode"), "entity_id", ("request_id",)).select("request_id", "entity_id")
 
 
 def _turns(s, d):

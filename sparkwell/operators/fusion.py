@@ -42,6 +42,23 @@ def group_winner(group: str, mode: Column, id_col: str, partition: tuple[str, ..
     return F.col(group).isNull() | (mode == "all") | F.when(mode == "most_specific", exact == 1).otherwise(first == 1)
 
 
+def group_winners(rows: DataFrame, group: str, mode: Column, id_col: str, partition: tuple[str, ...] = ()) -> DataFrame:
+    """(partition..., id_col) of the rows that group_winner chooses, where a group has one mode, by aggregates instead of windows.
+
+    Rows are first combined by what orders them, with the least id of each, which a hash table does before the shuffle;
+    so neither a group nor the rows without one are ever sorted in one task, and what is sorted are different orders.
+    """
+    some = rows.withColumn("_mode", F.coalesce(mode, F.lit("highest_priority")))
+    free = F.col(group).isNull() | (F.col("_mode") == "all")
+    least = some.where(~free).groupBy(*partition, group, "_mode", "priority", "spec_a", "spec_b").agg(F.min(id_col).alias(id_col))
+    most = F.lit((1 << 63) - 1)
+    down = {c: F.coalesce(-F.col(c).cast("long"), most) for c in ("priority", "spec_a", "spec_b")}  # nulls come last
+    place = lambda *by: F.struct(*[down[c].alias(f"_{i}") for i, c in enumerate(by)], id_col)
+    first = F.when(F.col("_mode") == "most_specific", place("spec_a", "spec_b", "priority")).otherwise(place("priority", "spec_a", "spec_b"))
+    won = least.groupBy(*partition, group).agg(F.min(first).alias("_first")).select(*partition, F.col(f"_first.{id_col}").alias(id_col))
+    return some.where(free).select(*partition, id_col).unionByName(won)
+
+
 def final_order() -> Column:
     """Rank within a request: fused score, authority (null: 0), priority, id."""
     return F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("rrf"), F.desc(F.coalesce("authority", F.lit(0.0))), F.desc("priority"), "chunk_id"))

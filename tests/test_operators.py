@@ -309,3 +309,14 @@ def test_many_keys_share_the_rows_of_a_walk(spark):
     assert len(rows) == len(want) and set(rows) == want
     places = graph._numbered(df, ["k"])
     assert places.select("block", "lane", "bit").distinct().count() == 1500 and places.select("block").distinct().count() < 20
+
+
+def test_group_winners_equal_the_windows_and_sort_no_group(spark):
+    rng = random.Random(5)
+    kinds = {0: "all", 1: "most_specific", 2: "highest_priority", 3: None}
+    data = [(i % 3, i, (g := rng.choice([None, *range(8)])), kinds.get(g % 4) if g is not None else rng.choice(list(kinds.values())), rng.choice([None, 1, 2]), rng.choice([None, 0, 1]), rng.choice([None, 0, 1])) for i in range(400)]
+    rows = spark.createDataFrame(data, "r long, id long, grp int, mode string, priority int, spec_a int, spec_b int")
+    want = rows.withColumn("wins", fusion.group_winner("grp", F.col("mode"), "id", ("r",))).where("wins").select("r", "id")
+    got = fusion.group_winners(rows, "grp", F.col("mode"), "id", ("r",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
