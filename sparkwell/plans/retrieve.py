@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.operators import fusion
+from sparkwell.operators.cuts import written
 
 #: Built-in profile, field by field.
 DEFAULTS = {"vector": 60, "full_text": 40, "trigram": 20, "concept_linked": 30, "seeds": 4, "graph_depth": 1, "graph_limit": 30, "max_chunks": 10, "max_tokens": 7000, "max_per_item": 3}
@@ -44,10 +45,13 @@ def restrict(found: DataFrame, filters: DataFrame, members: DataFrame) -> DataFr
     empty list means all; values of one kind are alternatives. A chunk stays when it has as many kinds as are asked for,
     so filters are joined, never gathered into lists, whatever their length.
     """
+    # what was found is few rows a request: written, it is known for the smaller side, and neither filters nor members are sorted
+    found = written(found)
     wanted = filters.groupBy("request_id").agg(F.countDistinct("kind").alias("wanted"))
-    pairs = found.select("request_id", "chunk_id").distinct()
-    held = pairs.join(wanted.select("request_id"), "request_id", "left_semi").join(members.hint("merge"), "chunk_id").join(filters.distinct().hint("merge"), ["request_id", "kind", "value"], "left_semi")
-    have = held.groupBy("request_id", "chunk_id").agg(F.countDistinct("kind").alias("have"))
+    pairs = written(found.select("request_id", "chunk_id").distinct().join(wanted.select("request_id"), "request_id", "left_semi"))
+    near = members.join(pairs.select("chunk_id"), "chunk_id", "left_semi")
+    held = written(pairs.join(near.distinct(), "chunk_id").select("request_id", "chunk_id", "kind", "value"))
+    have = filters.join(held, ["request_id", "kind", "value"]).groupBy("request_id", "chunk_id").agg(F.countDistinct("kind").alias("have"))
     both = found.join(wanted, "request_id", "left").join(have, ["request_id", "chunk_id"], "left")
     return both.where("wanted IS NULL OR have = wanted").drop("wanted", "have")
 

@@ -1,6 +1,7 @@
 """Filters of requests and the static check of rules on hand-made rows."""
 
 import random
+import re
 
 from sparkwell.operators import checks
 from sparkwell.plans import retrieve
@@ -30,6 +31,17 @@ def test_no_filters_leave_everything(spark):
     assert retrieve.restrict(found, none, spark.createDataFrame([], "chunk_id long, kind string, value string")).count() == 2
 
 
+def test_long_lists_of_filters_are_not_sorted(spark):
+    found = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "request_id long, chunk_id long")
+    filters = spark.range(20000).selectExpr("1L AS request_id", "'item' AS kind", "cast(id + 3 AS string) AS value")
+    members = spark.range(5).selectExpr("id AS chunk_id", "'item' AS kind", "cast(id AS string) AS value")
+    got = retrieve.restrict(found, filters, members)
+    assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[([^\]]*)\]", plan)
+    assert any("value#" in keys for _, keys in joins) and not any("value#" in keys for kind, keys in joins if kind == "SortMergeJoin")
+
+
 def test_chunk_and_item_must_both_be_allowed(spark):
     merged = spark.createDataFrame([(1, k) for k in range(6)] + [(2, k) for k in range(6)], "request_id long, chunk_id long")
     status = [("published", "published"), ("draft", "published"), ("published", "draft"), ("draft", "draft"), ("published", "deprecated"), ("deprecated", "published")]
