@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkwell.operators.cuts import cut
+from sparkwell.operators.cuts import written
 
 #: Buckets of a table when it is first written; the pointer keeps the number.
 BUCKETS = 64
@@ -84,7 +84,7 @@ def apply(spark: SparkSession, home: str, actions: DataFrame, built: Mapping[str
     if now["revision"]:
         buckets = now["buckets"]
     row = {"revision": now["revision"] + 1, "epoch": now["epoch"] if epoch is None else epoch, "buckets": buckets}
-    doing = cut(actions.select("id", "action", bucket_of(F.col("id"), buckets).alias("bucket")).distinct())
+    doing = written(actions.select("id", "action", bucket_of(F.col("id"), buckets).alias("bucket")).distinct())
     touched = sorted(r[0] for r in doing.select("bucket").distinct().collect())  # no more than there are buckets
     rows = [r for r in manifest(spark, home, now["revision"]) if r["bucket"] not in set(touched)]
     for table, (key, new) in built.items() if touched else ():
@@ -92,13 +92,15 @@ def apply(spark: SparkSession, home: str, actions: DataFrame, built: Mapping[str
         kept = old.join(doing.select(F.col("id").alias(key)), key, "left_anti")
         brought = new.join(doing.where("action = 'upsert'").select(F.col("id").alias(key)), key, "left_semi")
         path = f"{home}/data/{table}/{row['revision']}"
-        both = kept.unionByName(brought).withColumn("bucket", bucket_of(F.col(key), buckets))
-        both.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        here = lambda df: df.withColumn("bucket", bucket_of(F.col(key), buckets))
+        # what is kept is read bucket by bucket and goes back there, so only what is brought is dealt out
+        both = here(kept).unionByName(here(brought).hint("rebalance", "bucket"))
+        both.write.mode("overwrite").partitionBy("bucket").parquet(path)
         made = spark.read.schema(StructType([*new.schema.fields, both.schema["bucket"]])).parquet(path)
         rows += [{"table": table, "bucket": k, "path": f"{path}/bucket={k}", "n_rows": n} for k, n in made.groupBy("bucket").count().collect()]
         if table == next(iter(built)):
-            here = made.select(F.col(key).alias("id")).distinct().withColumn("here", F.lit(True))
-            wrong = doing.join(here, "id", "left").where((F.col("action") == "upsert") != F.coalesce("here", F.lit(False))).count()
+            there = made.select(F.col(key).alias("id")).distinct().withColumn("here", F.lit(True))
+            wrong = doing.join(there, "id", "left").where((F.col("action") == "upsert") != F.coalesce("here", F.lit(False))).count()
             if wrong:
                 raise RuntimeError(f"REVISION_NOT_VERIFIED: {wrong} ids of revision {row['revision']} are not as planned")
     ordered = [tuple(r[c] for c in ("table", "bucket", "path", "n_rows")) for r in rows]

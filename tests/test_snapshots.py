@@ -1,6 +1,7 @@
 """Bucketed snapshots, the change feed that writes them, and exact quantiles of counts."""
 
 import math
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkwell.plans import snapshot
 from sparkwell.streaming import feeds
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ITEMS, PARTS, ACTIONS = "id long, name string", "owner long, n int", "id long, action string"
 
 
@@ -48,6 +50,17 @@ def test_a_revision_replaces_children_with_their_parent_and_writes_what_it_touch
     assert set(snapshot.unused(spark, home, keep=1)) == {p for k, p in before.items() if k[1] in touched} and snapshot.unused(spark, home) == []
 
 
+def test_a_plan_is_applied_without_copies_of_its_texts(spark, tmp_path, monkeypatch):
+    from sparkwell.catalog import builds
+    from sparkwell.operators import cuts
+
+    folders = []
+    monkeypatch.setattr(cuts, "new_folder", lambda _spark, kind: folders.append(f"{tmp_path}/{kind}-{len(folders)}") or folders[-1])
+    assert builds.sink_apply_plan(spark, DATA).count() > 0
+    tables = [f for f in folders if "/table-" in f]
+    assert tables and not any("body" in spark.read.parquet(f).columns for f in tables)
+
+
 def test_what_fails_before_the_pointer_moves_changes_nothing(spark, tmp_path, monkeypatch):
     home = str(tmp_path)
     items, parts = filled(spark, home)
