@@ -114,14 +114,23 @@ def vector_channel(requests: DataFrame, vectors: DataFrame, limit: int | DataFra
     return ranked(hits, channel, limit, [F.desc("score"), F.col("chunk_id")])
 
 
-def postings(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, lexeme, pos, weight) of title, content and the names of concepts, in that order; names(chunk_id, names)."""
+def postings(chunks: DataFrame, names: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """(chunk_id, lexeme, pos, weight) of title, content and the names of concepts, in that order; names(chunk_id, names).
+
+    keep: the lexemes of title and content are written, for who reads them twice; then a chunk's names need only its counts.
+    """
     if names is None:
         names = chunks.select("chunk_id").limit(0).withColumn("names", F.lit(""))
     a, b, c = (T.lexemes(T.fold_accents(x)) for x in (F.col("title"), F.col("content"), F.coalesce("names", F.lit(""))))
-    parts = chunks.join(names.hint("merge"), "chunk_id", "left").select("chunk_id", a.alias("a"), b.alias("b"), c.alias("c"))
-    both = parts.select("chunk_id", F.size("a").alias("n"), (F.size("a") + F.size("b")).alias("m"), F.posexplode(F.concat("a", "b", "c")).alias("pos", "lexeme"))
     weight = F.when(F.col("pos") < F.col("n"), TITLE_WEIGHT).when(F.col("pos") < F.col("m"), BODY_WEIGHT).otherwise(NAME_WEIGHT)
+    if keep:
+        own = written(chunks.select("chunk_id", a.alias("a"), b.alias("b")).select("chunk_id", F.size("a").alias("n"), (F.size("a") + F.size("b")).alias("m"), F.concat("a", "b").alias("words")).where("words IS NOT NULL"))
+        named = own.select("chunk_id", "n", "m").join(names.select("chunk_id", c.alias("c")).hint("merge"), "chunk_id")
+        both = own.select("chunk_id", "n", "m", F.posexplode("words").alias("pos", "lexeme"))
+        both = both.unionByName(named.select("chunk_id", "n", "m", F.posexplode("c").alias("pos", "lexeme")).withColumn("pos", F.col("m") + F.col("pos")))
+    else:
+        parts = chunks.join(names.hint("merge"), "chunk_id", "left").select("chunk_id", a.alias("a"), b.alias("b"), c.alias("c"))
+        both = parts.select("chunk_id", F.size("a").alias("n"), (F.size("a") + F.size("b")).alias("m"), F.posexplode(F.concat("a", "b", "c")).alias("pos", "lexeme"))
     return both.select("chunk_id", "lexeme", "pos", weight.alias("weight"))
 
 
@@ -139,9 +148,9 @@ def _stemmed(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFrame, stemmed: bool = False) -> DataFrame:
     """Chunks that hold every lexeme of requests(request_id, query), by cover density; stemmed: every stem of its lexemes.
 
-    A request meets the chunks of its rarest lexeme; only what holds all the others, looked up one chunk and lexeme at a
-    time, gets its positions. A cover is a shortest stretch with all lexemes; it scores the harmonic mean of its words'
-    weights over one plus the other words in it.
+    A request meets the chunks of its rarest lexeme (any would do) and gets the positions of all its lexemes there, so the
+    postings are shuffled once. A cover is a shortest stretch with all lexemes, so a chunk that lacks one has none; it
+    scores the harmonic mean of its words' weights over one plus the other words in it.
     """
     asked = requests.select("request_id", F.array_sort(F.array_distinct(T.lexemes(T.fold_accents(F.col("query"))))).alias("q")).where(F.size("q") > 0)
     if stemmed:
@@ -151,13 +160,11 @@ def fulltext_channel(requests: DataFrame, words: DataFrame, limit: int | DataFra
     most = asked.agg(F.max("n")).first()[0] or 0
     held = words.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
     held = written(held)  # of all words only those that some request asks for
-    often = held.select("lexeme", "chunk_id").distinct().groupBy("lexeme").agg(F.count("*").alias("often"))
+    often = held.groupBy("lexeme").agg(F.count("*").alias("often"))
     rarest = asked.join(often, "lexeme", "left").groupBy("request_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "lexeme")).alias("x")).select("request_id", "x.lexeme")
-    # postings compress so well that Spark would broadcast them, hence the hints; a row per request is written and known to be smaller
-    near = written(rarest).join(held.select("lexeme", "chunk_id").distinct(), "lexeme").select("request_id", "chunk_id")
-    pairs = near.join(asked, "request_id").join(held.select("lexeme", "chunk_id").distinct().hint("merge"), ["lexeme", "chunk_id"])
-    full = cut(pairs.groupBy("request_id", "chunk_id").agg(F.count("*").alias("have"), F.first("n").alias("n")).where("have = n").select("request_id", "chunk_id"))
-    found = full.join(asked, "request_id").join(held.hint("merge"), ["lexeme", "chunk_id"])
+    # postings compress so well that Spark would broadcast them, hence the hint; a row per request is written and known to be smaller
+    near = written(rarest).join(held.select("lexeme", "chunk_id"), "lexeme").select("request_id", "chunk_id").distinct()
+    found = near.join(asked, "request_id").join(held.hint("merge"), ["lexeme", "chunk_id"])
     upto = Window.partitionBy("request_id", "chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("k") == k, F.struct("pos", "weight"))).over(upto) for k in range(most)]
     ends = found.select("request_id", "chunk_id", "pos", "n", F.array_compact(F.array(*last) if last else F.array().cast("array<struct<pos:int,weight:double>>")).alias("latest")).where(F.size("latest") == F.col("n"))

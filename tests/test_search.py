@@ -137,3 +137,15 @@ def test_postings_are_not_broadcast(spark, monkeypatch):
     assert sorted((r.request_id, r.chunk_id) for r in out.collect()) == [(1, 10), (2, 10), (2, 20)]
     for df in (*plans, out):  # postings meet candidates by lexeme and chunk; no such side goes through the driver
         assert not re.search(r"BroadcastExchange HashedRelationBroadcastMode\(List\(input\[\d+, \w+, \w+\], input\[", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_kept_postings_equal_the_others_and_read_texts_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "Red Bolt", "a Bolt, réd"), (2, None, "of bolts"), (3, "x", None), (4, "", "")], "chunk_id long, title string, content string")
+    names = spark.createDataFrame([(1, "steel bolt"), (2, "nut"), (9, "gone")], "chunk_id long, names string")
+    kept = channels.postings(chunks, names, keep=True)
+    assert sorted(kept.collect()) == sorted(channels.postings(chunks, names).collect())
+    assert "content" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(channels, "cut", None)  # nothing is looked up before the positions, so these are shuffled once
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "nut"), (3, "bolt nut")], "request_id long, query string")
+    out = channels.fulltext_channel(asked, kept, 10)
+    assert [(r.request_id, r.chunk_id) for r in out.orderBy("request_id").collect()] == [(1, 1)]
