@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from sparkwell.catalog import builds
 from sparkwell.operators import graph
 from sparkwell.plans import assemble, build
 from sparkwell.sources import corpus
@@ -144,3 +145,11 @@ def test_neighbourhoods_equal_a_plain_walk(spark):
         want["edges"] |= {(q, *e) for e in met if {e[0], e[2]} <= visible}
         want["chunks"] |= {(q, c) for k, c in links if k in visible}
     assert {name: {tuple(r) for r in df.collect()} for name, df in found.items()} == want and all(want.values())
+
+
+def test_authored_files_are_written_by_many_tasks_and_opened_for_their_text_alone(spark):
+    files = builds._authored(spark, "/root/testdata/sf0.001")
+    tasks = {r.path.split("/part-")[1][:5] for r in files.select("path").collect()}
+    assert len(tasks) > 4  # however little is shuffled
+    assert files.where("text LIKE '// entities%'").count() == files.count()
+    assert "content" not in files.select("kind")._jdf.queryExecution().executedPlan().toString()
