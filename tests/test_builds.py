@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from sparkwell.catalog import builds
+from sparkwell.catalog import builds, shapes
 from sparkwell.operators import graph
 from sparkwell.plans import assemble, build
 from sparkwell.sources import corpus
@@ -153,3 +153,9 @@ def test_authored_files_are_written_by_many_tasks_and_opened_for_their_text_alon
     assert len(tasks) > 4  # however little is shuffled
     assert files.where("text LIKE '// entities%'").count() == files.count()
     assert "content" not in files.select("kind")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_are_no_partitions(spark):
+    """Three names of relations would send all edges to three tasks."""
+    plan = shapes.jn_edge_endpoints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(relation" not in plan
