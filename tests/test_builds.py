@@ -159,3 +159,8 @@ def test_relations_are_no_partitions(spark):
     """Three names of relations would send all edges to three tasks."""
     plan = shapes.jn_edge_endpoints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(relation" not in plan
+
+
+def test_children_put_edges_together_once(spark):
+    plan = shapes.br_children(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "relation_out" in plan and "l_linenumber" not in plan  # read from a table, not joined anew for either end
