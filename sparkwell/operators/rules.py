@@ -34,6 +34,8 @@ SKIP = 3
 KINDS = ("leaf", "allOf", "anyOf", "noneOf")
 #: Nodes of a block of rules, and requests of a slice, that one task folds at once.
 NODES, SLICE = 4000, 2000
+#: Most tasks that blocks and slices are dealt to; beyond that a task folds several, one after the other.
+TASKS = 2000
 
 
 def grouped_contexts(contexts: DataFrame, closure: DataFrame, values: DataFrame) -> DataFrame:
@@ -202,6 +204,8 @@ def evaluate(contexts: DataFrame, nodes: DataFrame, dimensions: DataFrame, value
     def fold(states: pa.Table, tree: pa.Table) -> pa.Table:
         return _fold(states, tree)
 
+    # verdicts are many times what is shuffled for them, so its size must not decide how few tasks fold
+    left = left.repartition(min(blocks * slices, TASKS), "block", "slice")
     return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(fold, "request_id long, rule_id string, state int, spec_a int, spec_b int, err int")
 
 
