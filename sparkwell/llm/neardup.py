@@ -22,8 +22,9 @@ SAMPLE = 40_000
 #: Vectors of one label that a leaf should hold; trees are built at every size.
 LEAF = 32
 #: A leaf with more vectors than this is split further by a tree of its own, fitted on about FIT of them, unless its
-#: largest part would keep more than KEPT of it, as in a group of vectors that are all close to each other.
-LARGE, FIT, KEPT = 1024, 4000, 0.8
+#: parts would keep more than KEPT squared of its pairs, as in a group of vectors that are all close to each other. The
+#: tree ends where spill makes more than GROWN rows of a vector.
+LARGE, FIT, KEPT, GROWN = 1024, 4000, 0.8, 4
 #: A vector within this distance of a split point (on unit vectors) goes to both sides.
 SPILL = 0.012
 #: Vectors of a block; the pairs of a larger leaf are split into pairs of blocks.
@@ -69,11 +70,27 @@ class Tree:
         """Rows and the leaves they fall into, a row once for each of its leaves."""
         axes, rows, nodes = self.axes(), np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
         for _ in range(self.depth):
-            x = np.einsum("ij,ij->i", vectors[rows], axes[nodes]) - self.at[nodes]
-            left, right = x < spill, x >= -spill
-            rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
+            rows, nodes = self.below(axes, vectors, rows, nodes, spill)
         return rows, nodes
 
+    def below(self, axes: np.ndarray, vectors: np.ndarray, rows: np.ndarray, nodes: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+        x = np.einsum("ij,ij->i", vectors[rows], axes[nodes]) - self.at[nodes]
+        left, right = x < spill, x >= -spill
+        return np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2])
+
+    def worth(self, vectors: np.ndarray) -> tuple[int, int]:
+        """The depth at which leaves hold the fewest pairs while no more than GROWN rows are made of a vector, and twice those pairs."""
+        axes, rows, nodes = self.axes(), np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
+        best = (0, len(vectors) ** 2)
+        for depth in range(1, self.depth + 1):
+            rows, nodes = self.below(axes, vectors, rows, nodes, SPILL)
+            if len(rows) > GROWN * len(vectors):
+                break
+            pairs = int((np.bincount(nodes) ** 2).sum())
+            if pairs < best[1]:
+                best = (depth, pairs)
+        return best
+
 
 def _depth(n: int, most: int) -> int:
     """Levels until n vectors stand in leaves of LEAF, as far as `most` vectors can tell split points; one at least."""
@@ -112,15 +129,18 @@ def _homes(batches: Iterator[pa.RecordBatch], trees: list[Tree]) -> Iterator[pa.
 
 
 def _inner_tree(t: pa.Table) -> pa.Table:
-    """A tree for one large leaf from a sample of its vectors, as the bytes of its split points."""
+    """A tree for one large leaf from a sample of its vectors, as the bytes of its split points; no row where that saves too few pairs."""
     label, home, n = (t[c][0].as_py() for c in ("label", "home", "n"))
     vectors = np.array([np.frombuffer(v) for v in t["vector"].to_pylist()])
     tree = Tree(vectors, _depth(n, len(vectors)), home & 0x7FFFFFFF)
-    return pa.table({"label": pa.array([label]), "home": pa.array([home], pa.int64()), "depth": pa.array([tree.depth], pa.int32()), "cuts": pa.array([tree.at.tobytes()], pa.binary())})
+    depth, pairs = tree.worth(vectors)
+    some = [0] if pairs <= KEPT**2 * len(vectors) ** 2 else []
+    cuts = tree.at[: (1 << depth) - 1].tobytes()  # a tree of less depth begins with the same directions
+    return pa.table({"label": pa.array([label for _ in some], pa.string()), "home": pa.array([home for _ in some], pa.int64()), "depth": pa.array([depth for _ in some], pa.int32()), "cuts": pa.array([cuts for _ in some], pa.binary())})
 
 
 def _inner_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, label, vector, copies, parent, home) of rows with the tree of their large leaf."""
+    """(row, label, vector, copies, home) of rows with the tree of their large leaf."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
         parents = t["home"].to_numpy()
@@ -136,7 +156,7 @@ def _inner_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a new name for (home, node); below zero are the homes of other dimensions, so it stays above
                 name = (mix(np.uint64(home * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + nodes.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 kept = [some[c].combine_chunks().take(at) for c in ("row", "label", "vector", "copies")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(rows), home)), pa.array(name)], names=["row", "label", "vector", "copies", "parent", "home"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(name)], names=["row", "label", "vector", "copies", "home"])
 
 
 def _split_large(first: DataFrame) -> DataFrame:
@@ -148,59 +168,64 @@ def _split_large(first: DataFrame) -> DataFrame:
         if sizes.isEmpty():
             break
         # sampled by a hash of the row, so about FIT rows of each leaf meet in a task
-        some = at.join(sizes, leaf).where(F.pmod(F.xxhash64("row", "home"), F.lit(1 << 20)) * F.col("n") < F.lit(FIT) * F.lit(1 << 20))
+        some = at.join(sizes, leaf).where(F.pmod(F.xxhash64("row", "home"), F.lit(1 << 20)) * F.col("n") < F.lit(FIT << 20))
         trees = written(some.groupBy(*leaf).applyInArrow(_inner_tree, "label string, home long, depth int, cuts binary"))
-        parts = written(at.join(trees, leaf).select(*slim, "depth", "cuts").mapInArrow(_inner_homes, "row long, label string, vector binary, copies long, parent long, home long"))
-        found = parts.groupBy("label", "parent", "home").agg(F.count("*").alias("m")).groupBy("label", "parent").agg(F.max("m").alias("m"))
-        split = written(found.join(sizes.withColumnRenamed("home", "parent"), ["label", "parent"]).where(F.col("m") <= KEPT * F.col("n")).select("label", "parent"))
+        split = written(trees.select(leaf))
         if split.isEmpty():
             break
-        rest = at.join(split.withColumnRenamed("parent", "home"), leaf, "left_anti")
+        rest = at.join(split, leaf, "left_anti")
         done = rest if done is None else done.unionByName(rest)
-        at = written(parts.join(split, ["label", "parent"], "left_semi").select(slim))
+        # only what is split meets its tree; names of leaves alone are few and small
+        at = written(at.join(split, leaf, "left_semi").join(trees, leaf).select(*slim, "depth", "cuts").mapInArrow(_inner_homes, "row long, label string, vector binary, copies long, home long"))
     if done is None:
         return first
     every = written(done.unionByName(at))
     return every.join(every.groupBy("row").agg(F.collect_list("home").alias("homes")), "row")  # a few leaves in each tree
 
 
+def _earlier(homes: pa.ListArray, home: int) -> np.ndarray:
+    """Rows by the different homes before this one: 1 where the row is there too."""
+    row = np.repeat(np.arange(len(homes)), pc.list_value_length(homes).to_numpy())
+    every = homes.flatten().to_numpy()
+    some = every < home
+    names, at = np.unique(every[some], return_inverse=True)
+    out = np.zeros((len(homes), len(names)), np.float32)
+    out[row[some], at] = 1
+    return out
+
+
 def _leaf_links(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(rows that link here first, with how many copies, and links that join them) of a leaf or a pair of its blocks."""
-    row, copies = t["row"].to_numpy(), t["copies"].to_numpy()
+    row, copies = t["row"].to_numpy(), t["copies"].to_numpy().astype(np.float64)
     home, side = t["home"][0].as_py(), t["block"].to_numpy() != t["i"][0].as_py()
-    raw = t["vector"].combine_chunks()
-    unit = np.array([np.frombuffer(v) for v in raw.to_pylist()])
+    unit = np.array([np.frombuffer(v) for v in t["vector"].combine_chunks().to_pylist()])
     within = t["i"][0].as_py() == t["j"][0].as_py()
     left, right = (np.arange(len(row)),) * 2 if within else (np.flatnonzero(~side), np.flatnonzero(side))
     close = unit[left] @ unit[right].T >= COSINE
-    i, j = np.nonzero(np.triu(close, 1) if within else close)
-    if not len(i):
-        return row[:0], copies[:0], []
-    a, b = left[i], right[j]
-    # close vectors mostly have the same lists of leaves, so the first shared one is found once for each two lists
-    names: dict[tuple, int] = {}
-    of = np.array([names.setdefault(tuple(h), len(names)) for h in t["homes"].to_pylist()])
-    lists = list(names)
-    both, at = np.unique(of[a] * len(lists) + of[b], return_inverse=True)
-    sets = [set(h) for h in lists]
-    here = np.array([min(sets[x // len(lists)] & sets[x % len(lists)]) == home for x in both.tolist()])
-    a, b = a[here[at]], b[here[at]]
-    degree = np.bincount(a, copies[b], len(row)) + np.bincount(b, copies[a], len(row))
-    root = list(range(len(row)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    joins = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            joins.append((int(row[x]), int(row[y])))
-    linked = np.flatnonzero(degree)
-    return row[linked], degree[linked].astype(np.int64), joins
+    if within:
+        close = np.triu(close, 1)
+    x, y = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    if not len(x):
+        return row[:0], row[:0], []
+    left, right, close = left[x], right[y], close[np.ix_(x, y)]
+    # a pair counts in the first leaf that both share
+    earlier = _earlier(t["homes"].combine_chunks(), home)
+    close &= earlier[left] @ earlier[right].T == 0
+    degree, links = np.zeros(len(row)), close.astype(np.float64)
+    degree[left] += links @ copies[right]
+    degree[right] += copies[left] @ links
+    i, j = np.nonzero(close)
+    a, b, root = left[i], right[j], np.arange(len(row))
+    while True:
+        low, last = np.minimum(root[a], root[b]), root
+        root = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == last).all():
+            break
+    linked, joined = np.flatnonzero(degree), np.flatnonzero(root != np.arange(len(row)))
+    return row[linked], degree[linked].astype(np.int64), list(zip(row[joined].tolist(), row[root[joined]].tolist(), strict=True))
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +287,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
 
     at = _split_large(written(firsts.mapInArrow(lambda b: _homes(b, forest.value), "row long, label string, vector binary, copies long, home long, homes array<long>")))
     leaf = ["label", "home"]
-    sizes = written(at.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    dealt = at.join(sizes, leaf).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    # few leaves are larger than a block, so the others are not shuffled to learn that they are not
+    sizes = written(at.groupBy(*leaf).agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks")).where("blocks > 1"))
+    dealt = at.join(sizes, leaf, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     group = [*leaf, "i", "j"]
     found = written(dealt.drop("other", "blocks").repartition(*group).sortWithinPartitions(*group).mapInArrow(_links, "row long, other long, n long"))

@@ -188,6 +188,31 @@ def test_near_duplicates(spark, many_leaves, monkeypatch):
     assert got[0].component_id == got[2].component_id or not close[0, 2]
 
 
+def test_large_leaves_with_the_given_size_of_a_sample(spark, monkeypatch):
+    """FIT as it is: a leaf is split by all it has, one tight group is dealt into blocks, and no link of either is lost."""
+    for name, n in (("SAMPLE", 40), ("LARGE", 64), ("BLOCK", 50)):
+        monkeypatch.setattr(neardup, name, n)
+    rng = np.random.default_rng(3)
+    vectors = [(c + rng.standard_normal(16) * 0.005).tolist() for c in np.repeat(rng.standard_normal((40, 16)), 8, axis=0)]
+    vectors += [(np.ones(16) + rng.standard_normal(16) * 0.01).tolist() for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").withColumn("label", F.lit(0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(rows).collect()}
+    assert got == {k: (7, k // 8 * 8) for k in range(320)} | {k: (199, 320) for k in range(320, 520)}
+
+
+def test_a_tree_is_worth_its_rows_where_it_parts_vectors():
+    rng = np.random.default_rng(6)
+
+    def worth(v):
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        depth, pairs = neardup.Tree(v, 6, 5).worth(v)
+        return depth, pairs / len(v) ** 2
+
+    depth, part = worth(rng.standard_normal((2000, 64)))
+    assert depth == 6 and part < 0.1
+    assert worth(np.ones(64) + rng.standard_normal((2000, 64)) * 0.01)[1] > neardup.KEPT**2  # each vector would go to nearly every leaf
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 @pytest.mark.parametrize("lengths", [(3, 3, 3, 2, 2), (2, 3), (4, 1, 4, 1, 1, 7, 7, 2), (1, 1)])
 def test_vectors_of_mixed_lengths(spark, lengths, parts):
