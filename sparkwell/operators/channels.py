@@ -17,8 +17,10 @@ from sparkwell.functions.stem import stem_table
 from sparkwell.operators.cuts import cut, written
 from sparkwell.operators.similarity import trigram_join
 
-#: Query vectors that are broadcast; more of them meet the corpus in blocks of so many, and of SLICE vectors, by a shuffle.
-QUERY_BLOCK, SLICE = 1024, 20_000
+#: Query vectors that are broadcast; more of them meet the corpus by a shuffle.
+QUERY_BLOCK = 1024
+#: That shuffle deals blocks of so many queries and slices of so many vectors, to so many tasks at most; a task holds so many scores at once.
+ASKED, SLICE, TASKS, CELLS = 8192, 10_000, 400, 1 << 22
 #: Weights of words of the title, the body and the names of concepts in a cover.
 TITLE_WEIGHT, BODY_WEIGHT, NAME_WEIGHT = 1.0, 0.4, 0.2
 DIGITS = 9
@@ -89,21 +91,27 @@ def vector_scores(requests: DataFrame, vectors: DataFrame, limit: int, by: str |
 
         out = corpus.mapInArrow(best, schema)
     else:
-        blocks, slices = 1 + asked.count() // QUERY_BLOCK, 1 + corpus.count() // SLICE
+        blocks, slices = 1 + asked.count() // ASKED, 1 + corpus.count() // SLICE
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-        left = asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(blocks))).withColumn("slice", every(slices))
+        # the vectors of both sides get names of their own: where they are the same column, a cogroup loses one
+        left = asked.withColumnRenamed("vector", "asked").withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(blocks))).withColumn("slice", every(slices))
         right = corpus.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", every(blocks))
 
         def pair(some: pa.Table, many: pa.Table) -> pa.Table:
             if not len(some) or not len(many):
                 return pa.table({f: [] for f in ("request_id", "id", "score", "by")[: 3 + (by is not None)]}, schema=target)
-            (a, q), (b, v) = _unit(some["vector"].combine_chunks()), _unit(many["vector"].combine_chunks())
+            (a, q), (b, v) = _unit(some["asked"].combine_chunks()), _unit(many["vector"].combine_chunks())
             names = many["by"].to_pylist() if by is not None else None
             groups = None if names is None else [names[i] for i in b.tolist()]
-            return pa.table(_nearest(some["request_id"].to_numpy()[a], q, many["id"].to_numpy()[b], v, groups, limit, None if by is None else target.field("by").type), schema=target)
+            who, ids, kind = some["request_id"].to_numpy()[a], many["id"].to_numpy()[b], None if by is None else target.field("by").type
+            step = max(1, CELLS // max(1, len(ids)))
+            parts = [pa.table(_nearest(who[i : i + step], q[i : i + step], ids, v, groups, limit, kind), schema=target) for i in range(0, len(who) if len(ids) else 0, step)]
+            return pa.concat_tables(parts) if parts else target.empty_table()
 
         fields = [("request_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]
         target = pa.schema(fields if by is None else [*fields, ("by", corpus.select("by").limit(0).toArrow().schema.field("by").type)])
+        # what is shuffled is small beside the scores made of it, so its size must not decide how few tasks score
+        left = left.repartition(min(4 * blocks * slices, TASKS), "block", "slice")
         out = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(pair, schema)
     return out if by is None else out.withColumnRenamed("by", by)
 

@@ -107,6 +107,18 @@ def test_inverted_lists_find_near_vectors(spark, hot, monkeypatch):
     assert {(r.request_id, r["rank"]): r.chunk_id for r in full} == {(q, k + 1): c for q, cs in want.items() for k, c in enumerate(cs)}
 
 
+def test_many_requests_out_of_the_vectors_themselves(spark, monkeypatch):
+    """Requests and corpus are the same column, as in jn_vector, and meet by a shuffle."""
+    for name, n in (("QUERY_BLOCK", 5), ("ASKED", 7), ("SLICE", 30), ("CELLS", 100)):
+        monkeypatch.setattr(channels, name, n)
+    v = np.random.default_rng(8).standard_normal((100, 6))
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(900, [0.0] * 6), (901, None)], "vec_id long, embedding array<double>")
+    rows = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 5 = 0").select(F.col("id").alias("request_id"), "vector")
+    got = {(r.request_id, r["rank"]): r.chunk_id for r in channels.vector_channel(asked, rows, 3).collect()}
+    assert got == {(q, k + 1): c for q, cs in zip(range(0, 100, 5), exact(v[::5], v, 3), strict=True) for k, c in enumerate(cs)}
+
+
 def test_inverted_lists_of_no_vectors(spark):
     none = spark.createDataFrame([], "id long, vector array<double>")
     index = inverted_lists.fit(none, 5)
