@@ -1,5 +1,6 @@
 """Dependencies with causes against a plain walk of random graphs, and skills against taking the closure again and again."""
 
+import os
 import random
 
 from sparkwell.operators import graph
@@ -114,3 +115,34 @@ def test_skills_equal_taking_the_closure_again_and_again(spark):
             if q == r.request_id:
                 codes.setdefault(code, set()).add(k)
         assert r.removed == ",".join(f"{c}:{len(k)}" for c, k in sorted(codes.items()))
+
+
+def test_what_keys_reach_is_not_shuffled_as_rows(spark, monkeypatch):
+    """Many keys, so that their names cannot be broadcast: rows of bits are shuffled, and of all rounds only the last stays on disk."""
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: tables.append(f(df)) or tables[-1])
+    tables = []
+    rng = random.Random(3)
+    edges = {(rng.randrange(150), rng.randrange(150)) for _ in range(170)}
+    seeds = {(f"k{q % 700}", q % 3, rng.randrange(150)) for q in range(1000)}
+    start = spark.createDataFrame(list(seeds), "name string, part int, node long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.reachable(start, spark.createDataFrame(list(edges), "source long, target long"), ["name", "part"])
+        got = [tuple(r) for r in out.collect()]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = set()
+    for name, part, node in seeds:
+        work = [node]
+        while work:
+            x = work.pop()
+            if (name, part, x) not in want:
+                want.add((name, part, x))
+                work += [b for a, b in edges if a == x]
+    assert sorted(got) == sorted(want)
+    final = plan.partition("== Initial Plan ==")[0]
+    assert "Generate explode" in final and final.index("Generate explode") < final.index("Exchange")  # above all shuffles
+    there = [t for t in tables if os.path.exists(t.inputFiles()[0].removeprefix("file://"))]
+    assert len(tables) > 4 and len(there) == 2  # the places of keys and the last state
