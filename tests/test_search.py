@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkwell import catalog
 from sparkwell.functions.stem import measure, stem, stem_table
 from sparkwell.functions.text import STOP_WORDS
-from sparkwell.operators import channels, inverted_lists
+from sparkwell.operators import channels, inverted_lists, similarity
 
 #: Words of the examples in Porter's paper, with their stems.
 PAIRS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl
@@ -161,3 +161,17 @@ def test_kept_postings_equal_the_others_and_read_texts_once(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "red bolt"), (2, "nut"), (3, "bolt nut")], "request_id long, query string")
     out = channels.fulltext_channel(asked, kept, 10)
     assert [(r.request_id, r.chunk_id) for r in out.orderBy("request_id").collect()] == [(1, 1)]
+
+
+def test_rows_of_one_frequent_text_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TEXT_BLOCK", 0)
+    names = ["red steel bolt", "red steel nut", "blue paper"]
+    right = spark.createDataFrame([(k, names[k % 3]) for k in range(600)] + [(900, None)], "id long, name string")
+    left = spark.createDataFrame([(q, names[q % 2]) for q in range(6)] + [(9, None)], "query_id long, query string")
+    out = similarity.trigram_join(left, "query_id", "query", right, "id", "name", digits=3)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    grams = [{x for w in n.split() for x in (f"  {w} "[i : i + 3] for i in range(len(w) + 1))} for n in names]
+    score = lambda a, b: len(a & b) / len(a | b)
+    want = {(q, k): round(score(grams[q % 2], grams[k % 3]), 3) for q in range(6) for k in range(600) if score(grams[q % 2], grams[k % 3]) > 0.3}
+    assert {(r.query_id, r.id): r.score for r in rows} == want and len(rows) == len(want)
+    assert len({r.task for r in rows if r.id % 3 == 0}) > 8
